@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import bpe, hashindex, packing, simhash, substring, vafile, warc
+from tilewright.llm import bpe, hashindex, licences, packing, quality, simhash, substring, toxicity, vafile, warc
 from tilewright.llm.common import table
 
 
@@ -22,6 +22,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, p_insult, p_contempt, toxicity, is_toxic) of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -34,12 +40,23 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, licences, n_hits, hits) of every document."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, expected_grade, tail_probability, keep) of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.fit(docs, quality.grades(table(spark, sf_dir, "labels")))).drop("text")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_simhash, op5_exact_top_k, op6_nearest, op7_warc, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_simhash, op4_toxicity, op5_exact_top_k, op6_nearest, op7_warc, op8_licences, op9_quality, op10_byte_bpe)}
 
 OP2_SQL = r"""
 WITH d AS (

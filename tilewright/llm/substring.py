@@ -138,7 +138,7 @@ def estimated_repeats(least: np.ndarray, seen: np.ndarray, bits: int) -> np.ndar
     return (both[0] & both[1]).astype(bool)
 
 
-def places(docs: DataFrame, text: str, width: int, bits: int, seen) -> DataFrame:
+def places(docs: DataFrame, width: int, bits: int, seen) -> DataFrame:
     """Of rows (_id, _variant, text): first places in a batch of each window estimated repeated (h1, h2), and runs of word
     numbers [first, last) that are known to be repeats already (h1 null)."""
     names = ["h1", "h2", "_id", "_variant", "first", "last"]
@@ -191,24 +191,27 @@ def merged(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def deduplicated(docs: DataFrame, *, width: int = 20, id_col: str = "doc_id", text: str = "text", most_counters: int = 1 << 28, keep_text: bool = True) -> DataFrame:
-    """(id, n_words, n_removed, kept_sha256[, kept]): every row's words that stay, joined by one space, and their digest."""
-    own = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_variant"), F.col(f"`{text}`").alias("_text"))
+def deduplicated(docs: DataFrame, *, width: int = 20, id_col: str = "doc_id", text: str = "text", most_counters: int = 1 << 28, keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_words, n_removed, kept_sha256[, kept]): every row's words that stay, joined by one space, and their digest.
+
+    carry: other columns of docs to keep, under their names.
+    """
+    own = docs.select(F.struct(F.lit(0).alias("_none"), *[F.col(f"`{c}`") for c in carry]).alias("_carry"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_variant"), F.col(f"`{text}`").alias("_text"))
     spark = docs.sparkSession
     bits = sketch_bits(own, "_text", most_counters)
     seen = spark.sparkContext.broadcast(sketch(own, "_text", width, bits).tobytes())
-    found = saved(places(own, "_text", width, bits, seen), "places")
+    found = saved(places(own.drop("_carry"), width, bits, seen), "places")
     least = F.min(F.struct("_id", "first")).over(Window.partitionBy("h1", "h2"))
     later = found.filter(F.col("h1").isNotNull()).withColumn("_least", least).filter(F.struct("_id", "first") > F.col("_least"))
     repeats = later.select("_id", "_variant", "first", "last").unionByName(found.filter(F.col("h1").isNull()).select("_id", "_variant", "first", "last"))
     of_text = repeats.groupBy("_id", "_variant").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text
+    names = [id_col, "_carry", "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for t, first, last in zip(*(b.column(k) for k in (1, 2, 3)), strict=True):
+            for t, first, last in zip(*(b.column(k) for k in (2, 3, 4)), strict=True):
                 w = (t.as_py() or "").encode("utf-8", "surrogatepass").split()
                 n = len(w)
                 if first.is_valid:
@@ -217,13 +220,14 @@ def deduplicated(docs: DataFrame, *, width: int = 20, id_col: str = "doc_id", te
                 kept = b" ".join(w)
                 out.append((n, n - len(w), sha256(kept).hexdigest(), kept if keep_text else None))
             n, gone, digest, kept = zip(*out, strict=True) if out else [()] * 4
-            made = [b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
+            made = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
             if keep_text:
                 made.append(pa.array(kept, pa.binary()).cast(pa.string()))
             yield pa.RecordBatch.from_arrays(made, names=names)
 
     return (
         own.join(of_text, ["_id", "_variant"], "left")
-        .select(F.when(F.col("_id") != NO_ID, F.col("_id")).cast(id_type).alias(id_col), "_text", "first", "last")
-        .mapInArrow(keep, f"`{id_col}` {id_type}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
+        .select(F.when(F.col("_id") != NO_ID, F.col("_id")).cast(id_type).alias(id_col), "_carry", "_text", "first", "last")
+        .mapInArrow(keep, f"`{id_col}` {id_type}, _carry {own.schema['_carry'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
+        .select(id_col, *names[2:], *[F.col(f"_carry.`{c}`") for c in carry])
     )

@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 #: Entries of a worker's piece cache, and the longest piece that it keeps.
 CACHE, LONGEST = 500_000, 48
-#: Pieces of ASCII letters, perhaps with one mark at the end: their matches are known without the pattern.
-PLAIN = re.compile(r"([A-Za-z]+)([.,!?:;]?)")
+#: Marks that may end a piece, and the first character beyond the Latin blocks whose letters every library knows alike.
+MARKS, BEYOND = frozenset(".,!?:;"), chr(0x250)
 TWO_BLANKS = re.compile(r"\s\s")
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -99,12 +99,13 @@ class Encoder:
         made = tokenizer(path, pattern)
         self.cut, self.merge = made.pre_tokenizer.pre_tokenize_str, made.model.tokenize
         self.matches: dict[str, bytes] = {}
+        self.packed = [i.to_bytes(4, "little") for i in range(made.get_vocab_size(with_added_tokens=True) + 1)]
         self.inner = Pieces(self, " ")
         self.first = Pieces(self, "")
 
     def match(self, shown: str) -> bytes:
         if (out := self.matches.get(shown)) is None:
-            out = np.array([t.id for t in self.merge(shown)], "<u4").tobytes()
+            out = b"".join([self.packed[t.id] for t in self.merge(shown)])
             if len(shown) <= LONGEST:
                 if len(self.matches) >= CACHE:
                     self.matches.clear()
@@ -122,6 +123,9 @@ class Encoder:
         return head + b"".join(map(self.inner.__getitem__, pieces))
 
 
+SHOWN = dict(enumerate(byte_characters()))
+
+
 class Pieces(dict):
     """The ids of each piece, with what precedes it. Full, it forgets all."""
 
@@ -130,9 +134,10 @@ class Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         e = self.encoder
-        if plain := PLAIN.fullmatch(piece):
-            word, mark = plain.groups()
-            out = e.match(self.shown + word)
+        # Latin letters, perhaps with a mark at the end: their matches are known without the pattern.
+        body, mark = (piece[:-1], piece[-1]) if piece and piece[-1] in MARKS else (piece, "")
+        if body.isalpha() and max(body) < BEYOND:
+            out = e.match(self.shown + (body if body.isascii() else body.encode().decode("latin-1").translate(SHOWN)))
             if mark:
                 out += e.match(mark)
         else:

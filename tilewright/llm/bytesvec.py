@@ -1,7 +1,7 @@
 """Words and their hashes for many texts at once, with numpy over the raw UTF-8 bytes.
 
 Hashes are sums of random byte values times powers of an odd number, modulo 2**64, taken from
-running totals and then mixed. Two independent seeds give 128 bits.
+running totals and then mixed. Independent seeds give more bits.
 """
 
 from __future__ import annotations

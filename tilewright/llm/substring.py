@@ -7,7 +7,7 @@ stays; the words of every other place go. All windows are judged on the input.
    through its anchor, the shorter run of words with the least hash inside it, which equal windows share: the count
    of an anchor is at least that of each of its windows, so the sketch never underestimates, and about a seventh of
    the places are counted. Counters stop at two.
-2. Only windows whose estimate is two or more are grouped exactly, by 128 bits of hash. Within a batch only the first
+2. Only windows whose estimate is two or more are grouped exactly, by 95 bits of hash. Within a batch only the first
    place of a window goes on to the shuffle, so a window that all documents share weighs as much as one that two share.
 3. The places found to be repeats are joined back to the texts.
 
@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm import bytesvec as V
-from tilewright.llm.common import saved
 
 ANCHOR, SLICE_BITS, NO_ID = 8, 16, (1 << 63) - 1
 
@@ -139,10 +138,13 @@ def estimated_repeats(least: np.ndarray, seen: np.ndarray, bits: int) -> np.ndar
 
 
 def places(docs: DataFrame, width: int, bits: int, seen) -> DataFrame:
-    """Of rows (_id, _variant, text): first places in a batch of each window estimated repeated (h1, h2), and runs of word
-    numbers [first, last) that are known to be repeats already (h1 null)."""
+    """Of rows (_id, _variant, text): first places in a batch of each window estimated repeated (h1, h2 of 64 and 31 bits; last is 0), and runs
+    of word numbers [first, last) that are known to be repeats already (h2 is -1, and h1 any number that spreads them)."""
     names = ["h1", "h2", "_id", "_variant", "first", "last"]
 
+    def batch(h1, h2, ids, variants, first, last) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, ids, variants, first.astype(np.int32), last.astype(np.int32))], names=names)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(seen.value, np.uint8).reshape(2, -1)
         for b in batches:
@@ -170,17 +172,22 @@ def places(docs: DataFrame, width: int, bits: int, seen) -> DataFrame:
             # Places that tie with the first (the same id and start) go on as well.
             tie = (ids[row] == ids[row[lead]]) & (place == place[lead])
             r, p = row[tie], place[tie]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[tie].view(np.int64), h2[tie].view(np.int64), ids[r], variants[r], p.astype(np.int32), (p + width).astype(np.int32))], names=names)
+            # In the order of the texts, which packs well in the shuffle.
+            h1, h2, r, p = h1[tie], h2[tie], row[tie], place[tie]
+            order = np.lexsort((p, r))
+            h1, h2, r, p = h1[order], h2[order], r[order], p[order]
+            yield batch(h1.view(np.int64), (h2 >> np.uint64(33)).astype(np.int32), ids[r], variants[r], p, np.zeros(len(p)))
             r, p = row[~tie], place[~tie]
             if len(r):
                 order = np.lexsort((p, r))
                 r, p = r[order], p[order]
                 cut = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] > p[:-1] + width)]))
                 ends = np.concatenate([cut[1:], [len(r)]]) - 1
-                none = pa.nulls(len(cut), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(ids[r[cut]]), pa.array(variants[r[cut]]), pa.array(p[cut].astype(np.int32)), pa.array((p[ends] + width).astype(np.int32))], names=names)
+                r = r[cut]
+                spread = V.mixed((ids[r] + p[cut]).astype(np.uint64)).view(np.int64)
+                yield batch(spread, np.full(len(r), -1, np.int32), ids[r], variants[r], p[cut], p[ends] + width)
 
-    return docs.mapInArrow(find, "h1 long, h2 long, _id long, _variant long, first int, last int")
+    return docs.mapInArrow(find, "h1 long, h2 int, _id long, _variant long, first int, last int")
 
 
 def merged(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
@@ -200,10 +207,11 @@ def deduplicated(docs: DataFrame, *, width: int = 20, id_col: str = "doc_id", te
     spark = docs.sparkSession
     bits = sketch_bits(own, "_text", most_counters)
     seen = spark.sparkContext.broadcast(sketch(own, "_text", width, bits).tobytes())
-    found = saved(places(own.drop("_carry"), width, bits, seen), "places")
+    found = places(own.drop("_carry"), width, bits, seen)
     least = F.min(F.struct("_id", "first")).over(Window.partitionBy("h1", "h2"))
-    later = found.filter(F.col("h1").isNotNull()).withColumn("_least", least).filter(F.struct("_id", "first") > F.col("_least"))
-    repeats = later.select("_id", "_variant", "first", "last").unionByName(found.filter(F.col("h1").isNull()).select("_id", "_variant", "first", "last"))
+    known = F.col("last") > 0
+    later = found.withColumn("_least", least).filter(known | (F.struct("_id", "first") > F.col("_least")))
+    repeats = later.select("_id", "_variant", "first", F.when(known, F.col("last")).otherwise(F.col("first") + width).alias("last"))
     of_text = repeats.groupBy("_id", "_variant").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
     id_type = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "_carry", "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text

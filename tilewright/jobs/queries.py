@@ -1,6 +1,6 @@
 """All registered queries of the map-data jobs."""
 
-from tilewright.jobs import q_tiles
+from tilewright.jobs import q_labels, q_services, q_tiles
 from tilewright.jobs.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "q_tiles"]
+__all__ = ["ORACLES", "QUERIES", "q_labels", "q_services", "q_tiles"]

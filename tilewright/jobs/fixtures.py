@@ -35,6 +35,8 @@ VIEWS: dict[str, str] = {
     "tracks": """SELECT user_id AS path_id, 0 AS contour, i, lon0 - 360 * floor((lon0 + 180) / 360) AS lon, lat FROM (
         SELECT user_id, i, CAST((user_id * 37) % 360 - 180 AS DOUBLE) + 0.37 * CAST(i AS DOUBLE) AS lon0, -60 + CAST((user_id * 13) % 120 AS DOUBLE) + 0.21 * CAST(event_id % 10 AS DOUBLE) AS lat FROM (
         SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events))""",
+    "polygons": f"""SELECT n_nationkey AS shape_id, contour, CASE WHEN contour = 0 THEN i ELSE 3 - i END AS i, lon + sx * CASE WHEN contour = 0 THEN 6 ELSE 2 END AS lon, lat + sy * CASE WHEN contour = 0 THEN 5 ELSE CAST(1.5 AS DOUBLE) END AS lat, CAST(n_nationkey % 3 AS INT) AS fill_alpha, n_nationkey * 2 AS order_index FROM (
+        SELECT n_nationkey, {_grid('(n_nationkey * 2500)')} FROM nation) CROSS JOIN (SELECT 0 AS contour UNION ALL SELECT 1 AS contour) CROSS JOIN (SELECT 0 AS i, -1 AS sx, -1 AS sy UNION ALL SELECT 1 AS i, 1 AS sx, -1 AS sy UNION ALL SELECT 2 AS i, 1 AS sx, 1 AS sy UNION ALL SELECT 3 AS i, -1 AS sx, 1 AS sy) WHERE contour = 0 OR n_nationkey % 2 = 0""",
     "features": """SELECT CAST(4 AS INT) AS z, CAST(p_partkey % 16 AS INT) AS x, CAST((p_partkey * 7) % 16 AS INT) AS y, p_partkey AS feature_id,
         CASE p_type WHEN 'ECONOMY' THEN 'road' WHEN 'SMALL' THEN 'poi' WHEN 'MEDIUM' THEN 'water_label' WHEN 'PROMO' THEN 'transit' WHEN 'STANDARD' THEN 'admin_boundary' ELSE 'landcover' END AS source_layer,
         CASE WHEN p_type = 'ECONOMY' THEN 'LineString' WHEN p_type = 'LARGE' THEN 'Polygon' ELSE 'Point' END AS geometry_type,

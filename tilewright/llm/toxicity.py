@@ -26,6 +26,8 @@ from tilewright.llm.labelled import bucket_of, gathered, letter_features, sample
 #: Categories before the last, and their seed words.
 SEEDS = {"insult": ("idiot", "moron", "stupid", "clown", "loser"), "contempt": ("worthless", "pathetic", "trash", "scum", "disgusting")}
 LAST, BITS, SAMPLE, FEATURES, FOLDS = "toxic", 20, 5000, 150, 5
+#: Half the likelihood ratio that a bucket must reach to be used, and the weight of the ridge penalty.
+LEAST_GAIN, RIDGE = 6.0, 0.05
 
 
 @dataclass
@@ -49,7 +51,7 @@ def telling(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, most: int) -> np
     gain = a * np.log(a / p / total) + b * np.log(b / n / total) + (p - a) * np.log(np.maximum(1 - a / p, 1e-9) / np.maximum(1 - total, 1e-9)) + (n - b) * np.log(np.maximum(1 - b / n, 1e-9) / np.maximum(1 - total, 1e-9))
     gain[a / p < 2 * b / n] = 0  # what toxic rows hold more often
     order = np.lexsort((seen, -gain))[:most]
-    return np.sort(seen[order[gain[order] > 6]])
+    return np.sort(seen[order[gain[order] > LEAST_GAIN]])
 
 
 def dense(row: np.ndarray, bucket: np.ndarray, n: int, buckets: np.ndarray) -> np.ndarray:
@@ -61,7 +63,7 @@ def dense(row: np.ndarray, bucket: np.ndarray, n: int, buckets: np.ndarray) -> n
     return x
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 120) -> tuple[np.ndarray, float]:
+def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 120) -> tuple[np.ndarray, float]:
     """Logistic regression with a ridge penalty, by accelerated gradient steps."""
     z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w = last = np.zeros(z.shape[1])
@@ -133,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, seeds: dict[str, tuple[str, ...]]
     return fit_chain(row, bucket, [*targets, toxic])
 
 
-def score(docs: DataFrame, chain: list[Link], *, names: list[str] | None = None, threshold: float = 0.4, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, chain: list[Link], *, names: list[str] | None = None, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """docs with p_<category> of each category of the chain, `toxicity` (that of the last) and `is_toxic`. Columns of these names are replaced."""
     names = [f"p_{c}" for c in names or SEEDS]
     added = [*names, "toxicity", "is_toxic"]

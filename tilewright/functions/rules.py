@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 
 #: Limits of an expression.
 MOST_DEPTH, MOST_NODES, MOST_ARGUMENTS, MOST_TEXT = 32, 4096, 1024, 16384
-NO = F.lit(False)
+
+
+def no() -> Column:
+    return F.lit(False)
 
 
 class RuleError(ValueError):
@@ -44,17 +47,17 @@ class Scope:
 
 def constant(x: Any) -> Value:
     if x is None:
-        return Value("null", F.lit(None).cast("string"), NO)
+        return Value("null", F.lit(None).cast("string"), no())
     if isinstance(x, bool):
-        return Value("boolean", F.lit(x), NO)
+        return Value("boolean", F.lit(x), no())
     if isinstance(x, (int, float)):
         if not math.isfinite(x):
             raise RuleError("numbers must be finite")
-        return Value("number", F.lit(float(x)), NO)
+        return Value("number", F.lit(float(x)), no())
     if isinstance(x, str):
-        return Value("string", F.lit(x), NO)
+        return Value("string", F.lit(x), no())
     if isinstance(x, list):
-        return Value("array", F.lit(None).cast("string"), NO, tuple(x))
+        return Value("array", F.lit(None).cast("string"), no(), tuple(x))
     raise RuleError(f"no literal: {x!r}")
 
 
@@ -83,11 +86,11 @@ class Compiler:
             head, rest = rest.split("{", 1)
             name, rest = rest.split("}", 1)
             parts += [F.lit(head), text_of(self.get(name))]
-        return Value("string", F.concat(*parts, F.lit(rest)), NO)
+        return Value("string", F.concat(*parts, F.lit(rest)), no())
 
     def get(self, name: str) -> Value:
         kind, column = self.scope.properties.get(name, ("null", F.lit(None).cast("string")))
-        return Value(kind, column, NO)
+        return Value(kind, column, no())
 
 
 def number_text(x: Column) -> Column:
@@ -107,14 +110,14 @@ def equal(a: Value, b: Value) -> Column:
         return F.lit(a.items == b.items)
     if a.kind == b.kind:
         return a.value.eqNullSafe(b.value)
-    return a.value.isNull() & b.value.isNull() if "array" not in (a.kind, b.kind) else NO
+    return a.value.isNull() & b.value.isNull() if "array" not in (a.kind, b.kind) else no()
 
 
 def truth(v: Value) -> tuple[Column, Column]:
     """(value, failed) as a condition: what is not a boolean fails."""
     if v.kind != "boolean":
-        return NO, F.lit(True)
-    return F.coalesce(v.value, NO), v.failed | v.value.isNull()
+        return no(), F.lit(True)
+    return F.coalesce(v.value, no()), v.failed | v.value.isNull()
 
 
 def kind_of(values: list[Value]) -> str:
@@ -133,15 +136,15 @@ def _get(c, args, of, bound, depth):
 
 
 def _has(c, args, of, bound, depth):
-    return Value("boolean", c.get(args[0]).value.isNotNull(), NO)
+    return Value("boolean", c.get(args[0]).value.isNotNull(), no())
 
 
 def _geometry(c, args, of, bound, depth):
-    return Value("string", F.lit(None).cast("string"), F.lit(True)) if c.scope.geometry is None else Value("string", c.scope.geometry, NO)
+    return Value("string", F.lit(None).cast("string"), F.lit(True)) if c.scope.geometry is None else Value("string", c.scope.geometry, no())
 
 
 def _zoom(c, args, of, bound, depth):
-    return Value("number", F.lit(None).cast("double"), F.lit(True)) if c.scope.zoom is None else Value("number", c.scope.zoom.cast("double"), NO)
+    return Value("number", F.lit(None).cast("double"), F.lit(True)) if c.scope.zoom is None else Value("number", c.scope.zoom.cast("double"), no())
 
 
 def _same(negate: bool):
@@ -157,12 +160,12 @@ def _order(compare):
     def run(c, args, of, bound, depth):
         a, b = of(args[0]), of(args[1])
         if a.kind != b.kind or a.kind not in ("number", "string"):
-            return Value("boolean", NO, F.lit(True))
+            return Value("boolean", no(), F.lit(True))
         fail = a.failed | b.failed | a.value.isNull() | b.value.isNull()
         out = compare(a.value, b.value)
         if a.kind == "number":  # what is no number is in no order
             out = out & ~F.isnan(a.value) & ~F.isnan(b.value)
-        return Value("boolean", F.coalesce(out, NO), fail)
+        return Value("boolean", F.coalesce(out, no()), fail)
 
     return run
 
@@ -174,18 +177,18 @@ def _not(c, args, of, bound, depth):
 
 def _all(decisive: bool):
     def run(c, args, of, bound, depth):
-        value, failed = F.lit(not decisive), NO
+        value, failed = F.lit(not decisive), no()
         for a in reversed(args):
             v, f = truth(of(a))
             ends = v if decisive else ~v
-            value, failed = F.when(f, NO).when(ends, F.lit(decisive)).otherwise(value), F.when(f, F.lit(True)).when(ends, NO).otherwise(failed)
+            value, failed = F.when(f, no()).when(ends, F.lit(decisive)).otherwise(value), F.when(f, F.lit(True)).when(ends, no()).otherwise(failed)
         return Value("boolean", value, failed)
 
     return run
 
 
 def _in(c, args, of, bound, depth):
-    needle, hit, failed = of(args[0]), NO, None
+    needle, hit, failed = of(args[0]), no(), None
     failed = needle.failed
     for a in args[1:]:
         v = of(a)
@@ -207,13 +210,13 @@ def _case(c, args, of, bound, depth):
 def _coalesce(c, args, of, bound, depth):
     values = [of(a) for a in args]
     kind = kind_of(values)
-    return Value(kind, F.coalesce(*[F.when(~v.failed, cast(v, kind)) for v in values]), NO)
+    return Value(kind, F.coalesce(*[F.when(~v.failed, cast(v, kind)) for v in values]), no())
 
 
 def _concat(c, args, of, bound, depth):
     values = [of(a) for a in args if not isinstance(a, dict)]
     out = F.concat(*[text_of(v) for v in values])
-    failed = NO
+    failed = no()
     for v in values:
         failed = failed | v.failed
     return Value("string", out, failed | (F.length(out) > MOST_TEXT))
@@ -225,7 +228,7 @@ def _match(c, args, of, bound, depth):
     kind = kind_of([*(v for _, v in arms), last])
     value, failed = cast(last, kind), last.failed
     for labels, v in reversed(arms):
-        hit = NO
+        hit = no()
         for x in labels:
             hit = hit | equal(needle, constant(x))
         value, failed = F.when(hit, cast(v, kind)).otherwise(value), F.when(hit, v.failed).otherwise(failed)
@@ -336,7 +339,7 @@ def from_legacy(f: list) -> list:
 def compile_filter(f: list | None, scope: Scope) -> tuple[Column, Column]:
     """(match, failed) of a filter in either form; no filter matches everything."""
     if f is None:
-        return F.lit(True), NO
+        return F.lit(True), no()
     old = f[0] in ("none", "!has", "!in") or (f[0] in ("==", "!=", "<", "<=", ">", ">=", "in", "has") and len(f) > 1 and isinstance(f[1], str)) or (f[0] in ("all", "any") and any(isinstance(x, list) and x and (x[0] in ("none", "!has", "!in") or (len(x) > 1 and isinstance(x[1], str) and x[0] not in ("get", "has", "!", "var"))) for x in f[1:]))
     value, failed = truth(compile_expression(from_legacy(f) if old else f, scope))
     return value & ~failed, failed

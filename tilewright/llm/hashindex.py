@@ -23,9 +23,6 @@ from tilewright.llm.common import saved
 
 BITS, BYTE = 256, 8
 DISTANCE = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8))
-#: The byte values by distance from each byte, and how many there are up to each distance.
-NEAR = np.argsort(DISTANCE, axis=1, kind="stable")
-UP_TO = np.cumsum(np.bincount(DISTANCE[0], minlength=9))
 
 
 def learn(x: np.ndarray, bits: int = BITS, rounds: int = 25, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -48,31 +45,37 @@ def code(x: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """A block's codes, indexed by each substring."""
+    """A block's codes, indexed by each substring: for a substring's value and a radius, the rows whose substring is that near, as a bitmap."""
 
     def __init__(self, codes: np.ndarray) -> None:
-        self.codes = codes
-        self.order = np.argsort(codes, axis=0, kind="stable").T
-        self.start = np.stack([np.searchsorted(c[o], np.arange(257)) for c, o in zip(codes.T, self.order, strict=True)])
+        self.codes, self.words, self.lists, self.last = codes, wide(codes), {}, 0
+
+    def postings(self, radius: int) -> np.ndarray:
+        if radius not in self.lists:
+            near = DISTANCE <= radius
+            self.lists[radius] = np.stack([np.packbits(near[:, c], axis=1) for c in self.codes.T])
+        return self.lists[radius]
 
     def probe(self, query: np.ndarray, radius: int) -> np.ndarray:
         """Rows that agree with the query in some substring up to `radius` bits."""
-        hit = np.zeros(len(self.codes), bool)
-        for j, q in enumerate(query):
-            for v in NEAR[q, : UP_TO[radius]]:
-                hit[self.order[j, self.start[j, v] : self.start[j, v + 1]]] = True
-        return np.flatnonzero(hit)
+        hit = np.bitwise_or.reduce(self.postings(radius)[np.arange(len(query)), query], axis=0)
+        return np.flatnonzero(np.unpackbits(hit, count=len(self.codes)))
 
     def ball(self, query: np.ndarray, least: int) -> np.ndarray:
-        """All rows within the smallest radius that holds `least` of them (all rows, if there are fewer)."""
-        m = len(query)
-        for radius in range(BYTE + 1):
+        """All rows within the smallest radius that holds `least` of them (all rows, if there are fewer). Probing starts at the substring radius that the last query ended with."""
+        m, want, word = len(query), min(least, len(self.codes)), wide(query[None])
+        for radius in range(self.last, BYTE + 1):
             rows = self.probe(query, radius)
-            far = np.bitwise_count(self.codes[rows] ^ query).sum(axis=1, dtype=np.int64)
-            sure = far < m * (radius + 1)
-            if sure.sum() >= min(least, len(self.codes)):
+            far = np.bitwise_count(self.words[rows] ^ word).sum(axis=1, dtype=np.int64)
+            if np.count_nonzero(far < m * (radius + 1)) >= want:
                 break
-        return rows[far <= np.partition(far, min(least, len(rows)) - 1)[min(least, len(rows)) - 1]]
+        self.last = radius
+        return rows[far <= np.partition(far, want - 1)[want - 1]]
+
+
+def wide(codes: np.ndarray) -> np.ndarray:
+    """Codes as rows of 64-bit words, filled up with zeros."""
+    return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8)))).view(np.uint64)
 
 
 def nearest(embeddings: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", bits: int = BITS, least: int = 192, sample: int = 4096) -> DataFrame:

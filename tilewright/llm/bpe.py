@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries of a worker's piece cache, and the longest piece that it keeps.
-CACHE, LONGEST = 500_000, 48
+CACHE, LONGEST = 300_000, 48
 #: Marks that may end a piece, and the first character beyond the Latin blocks whose letters every library knows alike.
 MARKS, BEYOND = frozenset(".,!?:;"), chr(0x250)
 TWO_BLANKS = re.compile(r"\s\s")

@@ -5,8 +5,9 @@ is cut there and every distinct piece is encoded once for each worker; the match
 and their merges are the library's. Byte-level characters stand for bytes by the usual table:
 printable Latin-1 for itself, every other byte for the next free character from 256 on.
 
-Null texts count as empty (no ids). Other columns are kept as they are, but for a column that has
-the name of an output, which the output replaces.
+Null texts count as empty (no ids), null ids are kept, repeated rows are encoded each for itself, and an empty table gives no
+rows. Texts of any length are encoded whole. Other columns are kept as they are, but for a column that has the name of an output,
+which the output replaces.
 """
 
 from __future__ import annotations
@@ -93,10 +94,15 @@ def token_bytes(path: str, pattern: str | None = None) -> list[bytes]:
 
 
 class Encoder:
-    """ids of texts as little-endian 32-bit bytes. Strings of special tokens count as ordinary text."""
+    """ids of texts as little-endian 32-bit bytes.
+
+    A tokenizer's file may list added tokens, which the library finds in texts before it cuts them: texts that hold one go through the
+    library's own call. A file of ranks has none, so strings that look like special tokens are ordinary text there.
+    """
 
     def __init__(self, path: str, pattern: str | None = None) -> None:
         made = tokenizer(path, pattern)
+        self.whole, self.added = made.encode, [t.content for t in made.get_added_tokens_decoder().values()]
         self.cut, self.merge = made.pre_tokenizer.pre_tokenize_str, made.model.tokenize
         self.matches: dict[str, bytes] = {}
         self.packed = [i.to_bytes(4, "little") for i in range(made.get_vocab_size(with_added_tokens=True) + 1)]
@@ -115,6 +121,9 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
+        for token in self.added:
+            if token in text:
+                return np.array(self.whole(text, add_special_tokens=False).ids, "<u4").tobytes()
         pieces = LONE_SPACE.split(text) if TWO_BLANKS.search(text) else text.split(" ")
         if not pieces[0]:  # a text that starts with a space
             return b"".join(map(self.inner.__getitem__, pieces[1:]))

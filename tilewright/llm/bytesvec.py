@@ -1,7 +1,8 @@
 """Words and their hashes for many texts at once, with numpy over the raw UTF-8 bytes.
 
-Hashes are sums of random byte values times powers of an odd number, modulo 2**64, taken from
-running totals and then mixed. Independent seeds give more bits.
+Features of classifiers (`Hasher`) are sums of random byte values times powers of an odd number, modulo 2**64, taken from running totals
+and then mixed: cheap for many overlapping pieces, but not sound where distinct pieces must not meet. Where they must not (`word_hashes`,
+`windowed`), every eight bytes, and every half of a window, are mixed in before the next. Independent seeds give more bits.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Texts are handled in runs of about this many bytes, so that memory follows the longest text, not the batch.
 RUN_BYTES = 1 << 20
@@ -56,6 +58,52 @@ class Hasher:
         return mixed((total[end] - total[start]) * self.powers.down[start] + (end - start).astype(np.uint64))
 
 
+#: Words of up to this many bytes are hashed eight bytes at a time; longer ones are few, and go through XXH3 one by one.
+SHORT = 64
+#: The lowest 0 to 8 bytes of a 64-bit number.
+LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of the pieces data[start:end] of bytes."""
+    size = end - start
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    out = mixed(np.arange(SHORT + 1, dtype=np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))[np.minimum(size, SHORT)]
+    for k in range(0, SHORT, 8):
+        todo = np.flatnonzero(size > k) if k else slice(None)
+        if k and not len(todo):
+            break
+        out[todo] = mixed(out[todo] ^ (eight[start[todo] + k] & LOWEST[np.minimum(size[todo] - k, 8)]))
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), seed)
+    return out
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashes, in this order."""
+    x = a * np.uint64(0xA0761D6478BD642F)
+    x += b
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xE7037ED1A0B428DB)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def windowed(x: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of `width` consecutive hashes, from each place on (or from the places `at`), joined from powers of two of them."""
+    places = slice(0, max(0, len(x) - width + 1))
+    out, have, size = None, 0, 1
+    while True:
+        if width & size:
+            part = x[places.start + have : places.stop + have] if at is None else x[at + have]
+            out = part if out is None else joined(out, part)
+            have += size
+        size *= 2
+        if size > width:
+            return out
+        x = joined(x[: -(size // 2)], x[size // 2 :])
+
+
 def runs(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of consecutive rows of a string column; null counts as empty. Offsets start at 0."""
     if isinstance(column, pa.ChunkedArray):

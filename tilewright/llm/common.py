@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. Only where none is set (tests) is a local one made and set."""
+    """The cluster's checkpoint folder. Where none is set a local one is made and set, but only for a local master (tests): executors
+    elsewhere would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,6 +40,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """A name that no column has, in any case of its letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def first_copy(df: DataFrame, key: str, *values: str) -> DataFrame:
     """One row per non-null key: repeated keys keep the smallest values. Reduced before the shuffle."""
     kept = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*values)).alias("_least"))

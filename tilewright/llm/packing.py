@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilewright.llm import bpe
-from tilewright.llm.common import saved
+from tilewright.llm.common import free_name, saved
 
 #: Pieces of a shard, on average: what one task packs at once.
 SHARD = 8192
@@ -110,11 +110,13 @@ def pack(table: DataFrame, *, capacity: int = 2048, length: str = "length", shar
     """table (any columns, lengths from 1 to capacity) with `sequence_id` and `offset`.
 
     The table is written once, so that its rows keep their numbers. Rows with a null length, or one that is not from
-    1 to capacity, get null for both.
+    1 to capacity, get null for both. Columns named sequence_id or offset are replaced; all others stay, whatever their names.
     """
-    own = saved(table.drop("sequence_id", "offset"), "pieces").withColumn("_row", F.monotonically_increasing_id())
-    fits = F.col(length).between(1, capacity - 1)
-    short = own.filter(fits).select("_row", F.col(length).cast("long").alias("length"))
+    kept = [c for c in table.columns if c.lower() not in ("sequence_id", "offset")]
+    row = free_name("_row", kept)
+    own = saved(table.select(*[F.col(f"`{c}`") for c in kept]), "pieces").withColumn(row, F.monotonically_increasing_id())
+    size = F.col(f"`{length}`")
+    short = own.filter(size.between(1, capacity - 1)).select(F.col(row).alias("_row"), size.cast("long").alias("length"))
     n = short.count()
     first = saved(shard_pack(short, max(1, -(-n // shard)), 1, capacity), "packed")
     # What a shard could not fill is packed again: bins with a gap that a typical piece would still fit.
@@ -124,11 +126,11 @@ def pack(table: DataFrame, *, capacity: int = 2048, length: str = "length", shar
     placed = first.filter(~loose)
     if m:
         placed = placed.unionByName(shard_pack(again, max(1, -(-m // shard)), 2, capacity))
-    ids = placed.select("_row", ((F.col("_level").cast("long") * (1 << 28) + F.col("_shard")) * (1 << 31) + F.col("_bin")).alias("sequence_id"), F.col("_at").alias("offset"))
-    whole = F.col(length) == capacity
+    ids = placed.select(F.col("_row").alias(row), ((F.col("_level").cast("long") * (1 << 28) + F.col("_shard")) * (1 << 31) + F.col("_bin")).alias("sequence_id"), F.col("_at").alias("offset"))
+    whole = size == capacity
     return (
-        own.join(ids, "_row", "left")
-        .withColumn("sequence_id", F.when(whole, -1 - F.col("_row")).otherwise(F.col("sequence_id")))
+        own.join(ids.hint("merge"), row, "left")
+        .withColumn("sequence_id", F.when(whole, -1 - F.col(row)).otherwise(F.col("sequence_id")))
         .withColumn("offset", F.when(whole, F.lit(0).cast("long")).otherwise(F.col("offset")))
-        .drop("_row")
+        .drop(row)
     )

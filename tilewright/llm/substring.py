@@ -7,49 +7,37 @@ stays; the words of every other place go. All windows are judged on the input.
    through its anchor, the shorter run of words with the least hash inside it, which equal windows share: the count
    of an anchor is at least that of each of its windows, so the sketch never underestimates, and about a seventh of
    the places are counted. Counters stop at two.
-2. Only windows whose estimate is two or more are grouped exactly, by 95 bits of hash. Within a batch only the first
-   place of a window goes on to the shuffle, so a window that all documents share weighs as much as one that two share.
-3. The places found to be repeats are joined back to the texts.
+2. Only windows whose estimate is two or more are grouped, by 95 bits of hash. Within a batch only the first place of a window goes
+   on to the shuffle, so a window that all documents share weighs as much as one that two share.
+3. The places found to be repeats are joined back to the texts, and every one of them is held against the words of the place that it
+   repeats: inside a batch word by word, else by 128-bit digests of both places' words. If two windows that share a hash differ, nothing is
+   returned of that try, and the job is run again with other hashes: what is removed does repeat.
 
-The sketch has a bounded size (`most_counters`): beyond the input that fits it, estimates grow, more windows are grouped
-exactly, and the result stays the same.
+The sketch has a bounded size (`most_counters`): beyond the input that fits it, estimates grow, more windows are grouped, and the result
+stays the same.
 
 Null texts have no words. Null ids come after all others. Rows that share an id count as one place for equal starts, so
 exact repeats of a row (same id, same text) do not remove each other's words. Texts shorter than a window keep all
-words. An empty table gives no rows. Other columns do not take part.
+words. Words and texts of any length are taken whole: a text's words are held one text at a time. An empty table gives no rows. Other
+columns do not take part, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm import bytesvec as V
+from tilewright.llm.common import saved
 
-ANCHOR, SLICE_BITS, NO_ID = 8, 16, (1 << 63) - 1
-
-
-@cache
-def hashers() -> tuple[V.Hasher, ...]:
-    """Of a word's bytes (two), and of windows and anchors made of words."""
-    return tuple(V.Hasher(s) for s in (11, 12, 13, 14, 15))
-
-
-def anchors(values: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places whose anchor is some window's least, hash of each place's anchor); last, places where a window starts."""
-    span = min(ANCHOR, width)
-    n = len(values)
-    if n < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    start = np.arange(n - span + 1)
-    return start, hashers()[4].of(values, start, start + span)
+ANCHOR, SLICE_BITS, NO_ID, CUT, TRIES = 8, 16, (1 << 63) - 1, 256, 8
+#: Second halves of hashes that are none: places known to repeat, and places whose words differ from those that share their hash.
+KNOWN, CLASH = -1, -2
 
 
 def windows(values: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,10 +45,9 @@ def windows(values: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray
 
     Anchors that tie for the least are all counted, so that two places of a window always have two anchor places.
     """
-    _, hashed = anchors(values, row, width)
-    if not len(hashed):
-        return np.zeros(0, np.int64), hashed, hashed
-    most = np.uint64(0xFFFFFFFFFFFFFFFF)
+    if len(values) < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    hashed = V.windowed(values, min(ANCHOR, width))
     within = width - min(ANCHOR, width) + 1
     least = V.least_of(hashed, within)
     whole = row[: len(row) - width + 1] == row[width - 1 :]
@@ -69,9 +56,8 @@ def windows(values: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray
     pad = np.zeros(within - 1, np.uint64)
     greatest = V.least_of(np.concatenate([pad, shown, pad]), within, np.maximum)
     lies = V.least_of(np.concatenate([pad.astype(bool), whole, pad.astype(bool)]), within, np.maximum)
-    counted = hashed[lies & (greatest == hashed) & (hashed <= most)]
     at = np.flatnonzero(whole)
-    return at, least[at], counted
+    return at, least[at], hashed[lies & (greatest == hashed)]
 
 
 def counters(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +72,7 @@ def sketch_bits(docs: DataFrame, text: str, most_counters: int) -> int:
     return int(np.clip(np.ceil(np.log2(max(1, size / 11))), SLICE_BITS, np.log2(most_counters)))
 
 
-def sketch(docs: DataFrame, text: str, width: int, bits: int) -> np.ndarray:
+def sketch(docs: DataFrame, text: str, width: int, bits: int, seed: int) -> np.ndarray:
     """The merged sketch: for two rows of 2**bits counters a bit each that says whether it reached two."""
 
     def cells(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +92,7 @@ def sketch(docs: DataFrame, text: str, width: int, bits: int) -> np.ndarray:
         for b in batches:
             for _, data, at in V.runs(b.column(0)):
                 start, end, row = V.words(data, at)
-                x = windows(hashers()[0].of(data, start, end), row, width)[2]
+                x = windows(V.word_hashes(data, start, end, seed), row, width)[2]
                 found.append(x)
                 n += len(x)
                 if n > 2_000_000:
@@ -115,18 +101,19 @@ def sketch(docs: DataFrame, text: str, width: int, bits: int) -> np.ndarray:
         if n:
             yield from cells(found)
 
-    def merge(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A slice's rows come as a stream, so that no worker holds what all partitions say of it."""
         total = np.zeros(1 << SLICE_BITS, np.int64)
-        for x in p["one"]:
-            total[np.frombuffer(x, np.uint16)] += 1
-        for x in p["two"]:
-            total[np.frombuffer(x, np.uint16)] += 2
-        return pd.DataFrame({"slice": [key[0]], "bits": [np.packbits(total > 1, bitorder="little").tobytes()]})
+        for b in batches:
+            for name, by in (("one", 1), ("two", 2)):
+                for x in b.column(name):
+                    total[np.frombuffer(x.as_buffer(), np.uint16)] += by
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": [np.packbits(total > 1, bitorder="little").tobytes()]})
 
     parts = docs.select(F.col(text)).mapInArrow(count, "slice int, one binary, two binary")
     out = np.zeros((2, 1 << (bits - 3)), np.uint8)
     step = 1 << (SLICE_BITS - 3)
-    for r in parts.groupBy("slice").applyInPandas(merge, "slice int, bits binary").toLocalIterator():
+    for r in parts.groupBy("slice").applyInArrow(merge, "slice int, bits binary").toLocalIterator():
         at = (r["slice"] >> 1) * step
         out[r["slice"] & 1, at : at + step] = np.frombuffer(r["bits"], np.uint8)
     return out
@@ -137,13 +124,23 @@ def estimated_repeats(least: np.ndarray, seen: np.ndarray, bits: int) -> np.ndar
     return (both[0] & both[1]).astype(bool)
 
 
-def places(docs: DataFrame, width: int, bits: int, seen) -> DataFrame:
-    """Of rows (_id, _variant, text): first places in a batch of each window estimated repeated (h1, h2 of 64 and 31 bits; last is 0), and runs
-    of word numbers [first, last) that are known to be repeats already (h2 is -1, and h1 any number that spreads them)."""
+def consecutive(*same: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Where a new run starts, of rows in order: where a value of `same` changes, or step does not go up by one."""
+    new = np.ones(len(step), bool)
+    if len(step):
+        new[1:] = step[1:] != step[:-1] + 1
+        for x in same:
+            new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def places(docs: DataFrame, width: int, bits: int, seen, seed: int, strength: int) -> DataFrame:
+    """Of rows (_id, _variant, text): first places in a batch of each window estimated repeated (h1, h2 of 64 and 31 bits; last is 0), runs
+    of word numbers [first, last) that are known to be repeats already (h2 is KNOWN, and h1 any number that spreads them), and CLASH rows."""
     names = ["h1", "h2", "_id", "_variant", "first", "last"]
 
     def batch(h1, h2, ids, variants, first, last) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, ids, variants, first.astype(np.int32), last.astype(np.int32))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2.astype(np.int32), ids, variants, first.astype(np.int32), last.astype(np.int32))], names=names)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(seen.value, np.uint8).reshape(2, -1)
@@ -152,16 +149,14 @@ def places(docs: DataFrame, width: int, bits: int, seen) -> DataFrame:
             got: list[tuple[np.ndarray, ...]] = []
             for i, data, at in V.runs(b.column(2)):
                 start, end, row = V.words(data, at)
-                values = hashers()[0].of(data, start, end)
+                values = V.word_hashes(data, start, end, seed)
                 begin, least, _ = windows(values, row, width)
                 begin = begin[estimated_repeats(least, table, bits)]
                 if len(begin):
-                    h1 = hashers()[2].of(values, begin, begin + width)
-                    values = hashers()[1].of(data, start, end)
-                    h2 = hashers()[3].of(values, begin, begin + width)
-                    own = row[begin]
+                    h1 = V.windowed(values, width, begin) >> np.uint64(min(63, 95 - strength))
+                    h2 = V.windowed(V.word_hashes(data, start, end, seed + TRIES), width, begin) >> np.uint64(64 - min(31, strength))
                     head = np.searchsorted(row, np.arange(len(at)), "left")
-                    got.append((h1, h2, own + i, begin - head[own]))
+                    got.append((h1, h2, row[begin] + i, begin - head[row[begin]]))
             if not got:
                 continue
             h1, h2, row, place = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -171,71 +166,183 @@ def places(docs: DataFrame, width: int, bits: int, seen) -> DataFrame:
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             # Places that tie with the first (the same id and start) go on as well.
             tie = (ids[row] == ids[row[lead]]) & (place == place[lead])
-            r, p = row[tie], place[tie]
             # In the order of the texts, which packs well in the shuffle.
-            h1, h2, r, p = h1[tie], h2[tie], row[tie], place[tie]
-            order = np.lexsort((p, r))
-            h1, h2, r, p = h1[order], h2[order], r[order], p[order]
-            yield batch(h1.view(np.int64), (h2 >> np.uint64(33)).astype(np.int32), ids[r], variants[r], p, np.zeros(len(p)))
-            r, p = row[~tie], place[~tie]
-            if len(r):
-                order = np.lexsort((p, r))
-                r, p = r[order], p[order]
-                cut = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] > p[:-1] + width)]))
-                ends = np.concatenate([cut[1:], [len(r)]]) - 1
-                r = r[cut]
-                spread = V.mixed((ids[r] + p[cut]).astype(np.uint64)).view(np.int64)
-                yield batch(spread, np.full(len(r), -1, np.int32), ids[r], variants[r], p[cut], p[ends] + width)
+            order = np.flatnonzero(tie)
+            order = order[np.lexsort((place[order], row[order]))]
+            r, p = row[order], place[order]
+            yield batch(h1[order].view(np.int64), h2[order], ids[r], variants[r], p, np.zeros(len(p)))
+            later = np.flatnonzero(~tie)
+            if not len(later):
+                continue
+            later = later[np.lexsort((place[later], row[later]))]
+            r, p, of, shift = row[later], place[later], row[lead[later]], place[later] - place[lead[later]]
+            cut = consecutive(r, of, shift, step=p)
+            r, of, shift, first, last = r[cut], of[cut], shift[cut], p[cut], p[np.append(cut[1:], len(p)) - 1] + width
+            held: dict[int, list[bytes]] = {}
+            for k in {*r.tolist(), *of.tolist()}:
+                held[k] = words_of(b.column(2)[k].as_py())
+            same = np.array([held[i][s:e] == held[j][s - d : e - d] for i, j, s, e, d in zip(r.tolist(), of.tolist(), first.tolist(), last.tolist(), shift.tolist(), strict=True)])
+            yield batch(V.mixed((ids[r] + first).astype(np.uint64)).view(np.int64), np.where(same, KNOWN, CLASH), ids[r], variants[r], first, last)
 
     return docs.mapInArrow(find, "h1 long, h2 int, _id long, _variant long, first int, last int")
 
 
-def merged(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").split()
+
+
+#: A repeat's source: the place whose words it repeats lies `_shift` words earlier in the text (_src, _src_variant). Known runs have none. places: firsts, or firsts and lasts, as 32-bit numbers.
+SOURCE = "_kind int, _src long, _src_variant long, _shift int, places binary"
+
+
+def repeats(found: DataFrame) -> DataFrame:
+    """(_id, _variant, SOURCE): of found places, those that are not the first of their window, grouped by source as far as a task sees them."""
+    ordered = found.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "_id", "first", "_variant")
+    names = ["_id", "_variant", "_kind", "_src", "_src_variant", "_shift", "places"]
+
+    def later(c: list[np.ndarray]) -> list[np.ndarray]:
+        """(id, variant, kind, source, its variant, shift, first, last) of whole keys' rows."""
+        h1, h2, ids, variants, first, last = c
+        new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]) if len(h1) else np.zeros(0, bool)
+        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+        sure = h2 < 0
+        keep = sure | (ids != ids[lead]) | (first != first[lead])
+        none = np.zeros_like(ids)
+        out = [ids, variants, np.where(sure, h2, 0), np.where(sure, none, ids[lead]), np.where(sure, none, variants[lead]), np.where(sure, 0, first - first[lead]), first, last]
+        return [x[keep] for x in out]
+
+    def grouped(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        x = [np.concatenate(p) for p in zip(*parts, strict=True)]
+        order = np.lexsort((x[6], *x[5::-1]))
+        x = [c[order] for c in x]
+        cut = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in x[:6]], axis=0)])) if len(order) else np.zeros(0, np.int64)
+        ends = np.append(cut[1:], len(order))[: len(cut)]
+        first, last = x[6].astype(np.int32), x[7].astype(np.int32)
+        packed = [(first[a:z].tobytes() if k == 0 else first[a:z].tobytes() + last[a:z].tobytes()) for a, z, k in zip(cut.tolist(), ends.tolist(), x[2][cut].tolist(), strict=True)]
+        kinds = (np.int64, np.int64, np.int32, np.int64, np.int64, np.int32)
+        return pa.RecordBatch.from_arrays([*[pa.array(c[cut].astype(k)) for c, k in zip(x, kinds, strict=False)], pa.array(packed, pa.binary())], names=names)
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 6
+        parts, n = [], 0
+        for b in batches:
+            c = [np.concatenate([h, x.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, x in zip(held, b.columns, strict=True)]
+            # The last key may go on in the next batch.
+            cut = int(np.argmax((c[0] == c[0][-1]) & (c[1] == c[1][-1]))) if len(c[0]) else 0
+            held = [x[cut:] for x in c]
+            parts.append(later([x[:cut] for x in c]))
+            n += len(parts[-1][0])
+            if n > 1_000_000:
+                yield grouped(parts)
+                parts, n = [], 0
+        parts.append(later(held))
+        yield grouped(parts)
+
+    return ordered.mapInArrow(reduce, f"_id long, _variant long, {SOURCE}")
+
+
+def runs_of(entries: list[dict], width: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int, int]]]:
+    """(runs [first, last) of words that go, pieces (source, its variant, from, to, shift) of the source's words to hold against them) of a text's entries.
+
+    Pieces end at every CUT words of the source, so that texts which repeat the same words ask for the same pieces, and what is asked of a text
+    is bounded by its own length.
+    """
+    by: dict[tuple[int, int, int], list[np.ndarray]] = {}
+    gone: list[tuple[int, int]] = []
+    for e in entries:
+        at = np.frombuffer(e["places"], np.int32)
+        if e["_kind"] == KNOWN:
+            gone += zip(at[: len(at) // 2].tolist(), at[len(at) // 2 :].tolist(), strict=True)
+        elif not e["_kind"]:
+            by.setdefault((e["_src"], e["_src_variant"], e["_shift"]), []).append(at)
+    pieces = []
+    for (src, variant, shift), found in by.items():
+        at = np.unique(np.concatenate(found))
+        cut = consecutive(step=at)
+        for a, z in zip(at[cut].tolist(), at[np.append(cut[1:], len(at)) - 1].tolist(), strict=True):
+            gone.append((a, z + width))
+            a, z = a - shift, z + width - shift
+            edges = [a, *range(a // CUT * CUT + CUT, z, CUT), z]
+            pieces += [(src, variant, s, e, shift) for s, e in zip(edges, edges[1:], strict=False)]
+    return gone, pieces
+
+
+def asked(by_text: DataFrame, width: int) -> DataFrame:
+    """(_id, _variant, asked: array<struct<s,e>>): the distinct pieces of each source."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {p[:4] for e in b.column(0).to_pylist() for p in runs_of(e, width)[1]}
+            cols = list(zip(*found, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["_id", "_variant", "s", "e"])
+
+    rows = by_text.select("entries").mapInArrow(of, "_id long, _variant long, s int, e int").distinct()
+    return rows.groupBy("_id", "_variant").agg(F.collect_list(F.struct("s", "e")).alias("asked"))
+
+
+def merged(runs: list[tuple[int, int]], n: int) -> np.ndarray:
     """Which of n words lie in one of the runs."""
     change = np.zeros(n + 1, np.int64)
-    np.add.at(change, first, 1)
-    np.add.at(change, np.minimum(last, n), -1)
+    if runs:
+        first, last = np.array(runs).T
+        np.add.at(change, first, 1)
+        np.add.at(change, np.minimum(last, n), -1)
     return np.cumsum(change[:-1]) > 0
 
 
-def deduplicated(docs: DataFrame, *, width: int = 20, id_col: str = "doc_id", text: str = "text", most_counters: int = 1 << 28, keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, n_words, n_removed, kept_sha256[, kept]): every row's words that stay, joined by one space, and their digest.
+def digest(words: list[bytes]) -> tuple[int, int]:
+    x = blake2b(b" ".join(words), digest_size=16).digest()
+    return int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True)
 
-    carry: other columns of docs to keep, under their names.
-    """
-    own = docs.select(F.struct(F.lit(0).alias("_none"), *[F.col(f"`{c}`") for c in carry]).alias("_carry"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_variant"), F.col(f"`{text}`").alias("_text"))
-    spark = docs.sparkSession
-    bits = sketch_bits(own, "_text", most_counters)
-    seen = spark.sparkContext.broadcast(sketch(own, "_text", width, bits).tobytes())
-    found = places(own.drop("_carry"), width, bits, seen)
-    least = F.min(F.struct("_id", "first")).over(Window.partitionBy("h1", "h2"))
-    known = F.col("last") > 0
-    later = found.withColumn("_least", least).filter(known | (F.struct("_id", "first") > F.col("_least")))
-    repeats = later.select("_id", "_variant", "first", F.when(known, F.col("last")).otherwise(F.col("first") + width).alias("last"))
-    of_text = repeats.groupBy("_id", "_variant").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
-    id_type = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, "_carry", "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text
+
+def once(own: DataFrame, width: int, bits: int, id_type: str, keep_text: bool, seed: int, strength: int) -> DataFrame | None:
+    """A try: the result, or None if two windows that differ share a hash."""
+    spark = own.sparkSession
+    seen = spark.sparkContext.broadcast(sketch(own, "_text", width, bits, seed).tobytes())
+    rows = repeats(places(own.select("_id", "_variant", "_text"), width, bits, seen, seed, strength))
+    entry = F.struct(*[c.split()[0] for c in SOURCE.split(", ")])
+    by_text = saved(rows.groupBy("_id", "_variant").agg(F.collect_list(entry).alias("entries")), "repeats")
+    if not by_text.filter(F.exists("entries", lambda e: e["_kind"] == CLASH)).isEmpty():
+        return None
+    kinds = [("_id", id_type), ("_carry", own.schema["_carry"].dataType.simpleString()), ("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string"), ("kept", "string"), ("checks", "array<struct<id:bigint,variant:bigint,s:int,e:int,x:bigint,y:bigint>>")]
+    check = pa.list_(pa.struct([(n, t) for n, t in zip(("id", "variant", "s", "e", "x", "y"), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)]))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for t, first, last in zip(*(b.column(k) for k in (2, 3, 4)), strict=True):
-                w = (t.as_py() or "").encode("utf-8", "surrogatepass").split()
-                n = len(w)
-                if first.is_valid:
-                    gone = merged(first.values.to_numpy(), last.values.to_numpy(), n)
-                    w = [x for x, g in zip(w, gone.tolist(), strict=True) if not g]
+            for t, i, variant, entries, pieces in zip(*(b.column(k) for k in range(2, 7)), strict=True):
+                w = words_of(t.as_py())
+                n, checks = len(w), []
+                if pieces.is_valid:
+                    checks = [(i.as_py(), variant.as_py(), p["s"], p["e"], *digest(w[p["s"] : p["e"]])) for p in pieces.as_py()]
+                if entries.is_valid:
+                    runs, told = runs_of(entries.as_py(), width)
+                    checks += [(src, v, s, e, *digest(w[s + d : e + d])) for src, v, s, e, d in told]
+                    w = [x for x, g in zip(w, merged(runs, n).tolist(), strict=True) if not g]
                 kept = b" ".join(w)
-                out.append((n, n - len(w), sha256(kept).hexdigest(), kept if keep_text else None))
-            n, gone, digest, kept = zip(*out, strict=True) if out else [()] * 4
-            made = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
-            if keep_text:
-                made.append(pa.array(kept, pa.binary()).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays(made, names=names)
-
-    return (
-        own.join(of_text, ["_id", "_variant"], "left")
-        .select(F.when(F.col("_id") != NO_ID, F.col("_id")).cast(id_type).alias(id_col), "_carry", "_text", "first", "last")
-        .mapInArrow(keep, f"`{id_col}` {id_type}, _carry {own.schema['_carry'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
-        .select(id_col, *names[2:], *[F.col(f"_carry.`{c}`") for c in carry])
-    )
+                out.append((n, n - len(w), sha256(kept).hexdigest(), kept if keep_text else None, [dict(zip(("id", "variant", "s", "e", "x", "y"), c, strict=True)) for c in checks]))
+            n, gone, hexes, kept, checks = zip(*out, strict=True) if out else [()] * 5
+            made = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(hexes, pa.string()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(checks, check)]
+            yield pa.RecordBatch.from_arrays(made, names=[k for k, _ in kinds])
+
+    key = ["_id", "_variant"]
+    met = own.join(by_text.hint("merge"), key, "left").join(asked(by_text, width).hint("merge"), key, "left")
+    ids = F.when(F.col("_id") != NO_ID, F.col("_id")).cast(id_type)
+    out = saved(met.select(ids.alias("_out"), "_carry", "_text", "_id", "_variant", "entries", "asked").mapInArrow(keep, ", ".join(f"{k} {t}" for k, t in kinds)), "deduplicated")
+    checks = out.select(F.explode("checks").alias("c")).select("c.*").groupBy("id", "variant", "s", "e").agg(*[f(c).alias(n + c) for n, f in (("lo", F.min), ("hi", F.max)) for c in "xy"])
+    return out.drop("checks") if checks.filter("lox <> hix OR loy <> hiy").isEmpty() else None
+
+
+def deduplicated(docs: DataFrame, *, width: int = 20, id_col: str = "doc_id", text: str = "text", most_counters: int = 1 << 28, keep_text: bool = True, carry: tuple[str, ...] = (), strength: int = 95) -> DataFrame:
+    """(id, n_words, n_removed, kept_sha256[, kept]): every row's words that stay, joined by one space, and their digest.
+
+    carry: other columns of docs to keep, under their names. strength: bits of hash by which windows are grouped; few of them show that what
+    merely shares a hash is found out.
+    """
+    own = docs.select(F.struct(F.lit(0).alias("_none"), *[F.col(f"`{c}`") for c in carry]).alias("_carry"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_variant"), F.col(f"`{text}`").alias("_text"))
+    bits = sketch_bits(own, "_text", most_counters)
+    for seed in range(TRIES):
+        out = once(own, width, bits, docs.schema[id_col].dataType.simpleString(), keep_text, seed, strength)
+        if out is not None:
+            return out.select(F.col("_id").alias(id_col), "n_words", "n_removed", "kept_sha256", *["kept"] * keep_text, *[F.col(f"_carry.`{c}`") for c in carry])
+    raise RuntimeError(f"windows that differ shared hashes of {strength} bits in {TRIES} tries")

@@ -7,7 +7,8 @@ from oracle import SF, database, same
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from test_text import brute_fingerprint, brute_substring, classes  # noqa: E402
+from test_near_copies import brute_kept  # noqa: E402
+from test_text import brute_substring  # noqa: E402
 
 from tilewright.llm.queries import ORACLES, QUERIES  # noqa: E402
 
@@ -31,10 +32,8 @@ def test_stages(spark):
         docs = spark.createDataFrame(out.collect(), SCHEMA)
         after = {r.doc_id: r for r in docs.collect()}
         if name == "SimHash near-dedup":
-            fps = {i: brute_fingerprint(r.text) for i, r in before.items()}
-            ids = sorted(fps)
-            want = classes(ids, [(a, b) for a in ids for b in ids if b < a and (fps[a] ^ fps[b]).bit_count() <= 3])
-            assert set(after) == set(want.values()) and all(after[i] == before[i] for i in after)
+            rows = [(i, before[i].text) for i in sorted(before)]
+            assert set(after) == {rows[k][0] for k in brute_kept(rows)} and all(after[i] == before[i] for i in after)
         elif name == "substring dedup":
             want = brute_substring([(i, r.text) for i, r in before.items()], 20)
             assert {i: r.text for i, r in after.items()} == {i: v[0][2] for i, v in want.items()}

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilewright.llm.common import lean
+
 #: Entries of a worker's piece cache, and the longest piece that it keeps.
 CACHE, LONGEST = 300_000, 48
 #: Marks that may end a piece, and the first character beyond the Latin blocks whose letters every library knows alike.
@@ -182,7 +184,7 @@ def over(df: DataFrame, column: str, schema: T.StructType, rows: Callable[[list]
             made = rows(b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*(f.name for f in kept), *schema.names])
 
-    return ins.mapInArrow(mapped, T.StructType([*kept, *schema.fields]))
+    return ins.mapInArrow(lean(mapped), T.StructType([*kept, *schema.fields]))
 
 
 def encode(df: DataFrame, path: str, *, pattern: str | None = None, text: str = "text", ids: str = "ids", offsets: bool = False) -> DataFrame:

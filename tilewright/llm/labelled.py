@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm import bytesvec as V
+from tilewright.llm.common import lean
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -84,7 +85,7 @@ def gathered(rows: DataFrame, features: Callable[[np.ndarray, np.ndarray], list[
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.binary())), *b.columns[1:]], names=["f", *columns])
 
     schema = "f array<binary>, " + ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
-    got = sorted(((tuple(bytes(x) for x in r["f"]), tuple(r[c] for c in columns)) for r in rows.mapInArrow(made, schema).toLocalIterator()))
+    got = sorted(((tuple(bytes(x) for x in r["f"]), tuple(r[c] for c in columns)) for r in rows.mapInArrow(lean(made), schema).toLocalIterator()))
     return [list(f) for f, _ in got], np.array([y for _, y in got]).reshape(-1, len(columns))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilewright.llm import bpe
-from tilewright.llm.common import free_name, saved
+from tilewright.llm.common import free_name, lean, saved
 
 #: Pieces of a shard, on average: what one task packs at once.
 SHARD = 8192
@@ -89,7 +89,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, separa
                 made.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in cols[5]], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(made, names=schema.names)
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(cut, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(lean(cut), schema)
 
 
 def shard_pack(rows: DataFrame, shards: int, level: int, capacity: int) -> DataFrame:

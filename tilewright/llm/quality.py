@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm import bytesvec as V
+from tilewright.llm.common import lean
 from tilewright.llm.labelled import gathered, sample, shape_features, sigmoid
 
 BITS, SAMPLE = 14, 4000
@@ -108,4 +109,4 @@ def score(docs: DataFrame, model: Ordinal, *, least: int = 1, threshold: float =
 
     ins = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").alias("_in"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "expected_grade double, tail_probability double, keep boolean"])
-    return ins.mapInArrow(scored, schema)
+    return ins.mapInArrow(lean(scored), schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.common import saved
+from tilewright.llm.common import lean, saved
 from tilewright.llm.graph import components
 
 BITS, SEGMENT, BLOCK = 64, 32, 2048
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
             found = np.array([fingerprint(t.as_py(), width, seed) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], names=schema.names)
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(made, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(lean(made), schema)
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def links(fps: DataFrame, most: int = 3, block: int = BLOCK) -> DataFrame:
             yield of([c[:cut] for c in cols])
         yield of(held)
 
-    found = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(connect, "a long, b long")
+    found = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(lean(connect), "a long, b long")
     return pairs.unionByName(found).distinct()
 
 

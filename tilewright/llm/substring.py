@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm import bytesvec as V
-from tilewright.llm.common import saved
+from tilewright.llm.common import lean, saved
 
 ANCHOR, SLICE_BITS, NO_ID, CUT, TRIES = 8, 16, (1 << 63) - 1, 256, 8
 #: Second halves of hashes that are none: places known to repeat, and places whose words differ from those that share their hash.
@@ -110,7 +110,7 @@ def sketch(docs: DataFrame, text: str, width: int, bits: int, seed: int) -> np.n
                     total[np.frombuffer(x.as_buffer(), np.uint16)] += by
         yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": [np.packbits(total > 1, bitorder="little").tobytes()]})
 
-    parts = docs.select(F.col(text)).mapInArrow(count, "slice int, one binary, two binary")
+    parts = docs.select(F.col(text)).mapInArrow(lean(count), "slice int, one binary, two binary")
     out = np.zeros((2, 1 << (bits - 3)), np.uint8)
     step = 1 << (SLICE_BITS - 3)
     for r in parts.groupBy("slice").applyInArrow(merge, "slice int, bits binary").toLocalIterator():
@@ -184,7 +184,7 @@ def places(docs: DataFrame, width: int, bits: int, seen, seed: int, strength: in
             same = np.array([held[i][s:e] == held[j][s - d : e - d] for i, j, s, e, d in zip(r.tolist(), of.tolist(), first.tolist(), last.tolist(), shift.tolist(), strict=True)])
             yield batch(V.mixed((ids[r] + first).astype(np.uint64)).view(np.int64), np.where(same, KNOWN, CLASH), ids[r], variants[r], first, last)
 
-    return docs.mapInArrow(find, "h1 long, h2 int, _id long, _variant long, first int, last int")
+    return docs.mapInArrow(lean(find), "h1 long, h2 int, _id long, _variant long, first int, last int")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -238,7 +238,7 @@ def repeats(found: DataFrame) -> DataFrame:
         parts.append(later(held))
         yield grouped(parts)
 
-    return ordered.mapInArrow(reduce, f"_id long, _variant long, {SOURCE}")
+    return ordered.mapInArrow(lean(reduce), f"_id long, _variant long, {SOURCE}")
 
 
 def runs_of(entries: list[dict], width: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int, int]]]:
@@ -276,7 +276,7 @@ def asked(by_text: DataFrame, width: int) -> DataFrame:
             cols = list(zip(*found, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["_id", "_variant", "s", "e"])
 
-    rows = by_text.select("entries").mapInArrow(of, "_id long, _variant long, s int, e int").distinct()
+    rows = by_text.select("entries").mapInArrow(lean(of), "_id long, _variant long, s int, e int").distinct()
     return rows.groupBy("_id", "_variant").agg(F.collect_list(F.struct("s", "e")).alias("asked"))
 
 
@@ -328,7 +328,7 @@ def once(own: DataFrame, width: int, bits: int, id_type: str, keep_text: bool, s
     key = ["_id", "_variant"]
     met = own.join(by_text.hint("merge"), key, "left").join(asked(by_text, width).hint("merge"), key, "left")
     ids = F.when(F.col("_id") != NO_ID, F.col("_id")).cast(id_type)
-    out = saved(met.select(ids.alias("_out"), "_carry", "_text", "_id", "_variant", "entries", "asked").mapInArrow(keep, ", ".join(f"{k} {t}" for k, t in kinds)), "deduplicated")
+    out = saved(met.select(ids.alias("_out"), "_carry", "_text", "_id", "_variant", "entries", "asked").mapInArrow(lean(keep), ", ".join(f"{k} {t}" for k, t in kinds)), "deduplicated")
     checks = out.select(F.explode("checks").alias("c")).select("c.*").groupBy("id", "variant", "s", "e").agg(*[f(c).alias(n + c) for n, f in (("lo", F.min), ("hi", F.max)) for c in "xy"])
     return out.drop("checks") if checks.filter("lox <> hix OR loy <> hiy").isEmpty() else None
 

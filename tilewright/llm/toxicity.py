@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm import bytesvec as V
+from tilewright.llm.common import lean
 from tilewright.llm.labelled import bucket_of, gathered, letter_features, sample, sigmoid
 
 #: Categories before the last, and their seed words.
@@ -162,4 +163,4 @@ def score(docs: DataFrame, chain: list[Link], *, names: list[str] | None = None,
 
     ins = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").alias("_in"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} double" for n in added[:-1]), "is_toxic boolean"])
-    return ins.mapInArrow(scored, schema)
+    return ins.mapInArrow(lean(scored), schema)

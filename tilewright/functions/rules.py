@@ -14,6 +14,8 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tilewright.functions import colors as C
+
 #: Limits of an expression.
 MOST_DEPTH, MOST_NODES, MOST_ARGUMENTS, MOST_TEXT = 32, 4096, 1024, 16384
 
@@ -69,6 +71,8 @@ class Compiler:
         self.nodes += 1
         if depth > MOST_DEPTH or self.nodes > MOST_NODES:
             raise RuleError("the rule is too large")
+        if isinstance(e, dict):
+            return self.of(from_function(e), bound, depth)
         if not isinstance(e, list):
             return self.tokens(e) if isinstance(e, str) and "{" in e else constant(e)
         if not e or not isinstance(e[0], str) or len(e) - 1 > MOST_ARGUMENTS:
@@ -254,16 +258,31 @@ def _interpolate(c, args, of, bound, depth):
     form, x = args[0], of(args[1])
     base = 1.0 if form[0] == "linear" else float(form[1])
     stops, outs = increasing(args[2::2]), [of(a) for a in args[3::2]]
-    if kind_of(outs) not in ("number", "null") or x.kind != "number":
+    kind = kind_of(outs)
+    if kind not in ("number", "string", "null") or x.kind != "number":
         return Value("number", F.lit(None).cast("double"), F.lit(True))
-    value, failed = cast(outs[-1], "number"), x.failed | x.value.isNull()
+    value, failed = cast(outs[-1], kind), x.failed | x.value.isNull()
     for v in outs:
         failed = failed | v.failed | v.value.isNull()
+
+    def between(a: Value, b: Value, t: Column) -> Column:
+        return a.value + (b.value - a.value) * t if kind != "string" else C.lerp_color(a.value, b.value, t)
+
     for k in range(len(stops) - 2, -1, -1):
         a, b = stops[k], stops[k + 1]
         t = (x.value - a) / (b - a) if base == 1 else (F.pow(F.lit(base), x.value - a) - 1) / (base ** (b - a) - 1)
-        value = F.when(x.value < b, outs[k].value + (outs[k + 1].value - outs[k].value) * t).otherwise(value)
-    return Value("number", F.when(x.value <= stops[0], outs[0].value).otherwise(value), failed)
+        value = F.when(x.value < b, between(outs[k], outs[k + 1], t)).otherwise(value)
+    value = F.when(x.value <= stops[0], outs[0].value).otherwise(value)
+    # Texts between stops must be colours; at the ends any text stands as it is.
+    return Value(kind, value, failed | value.isNull() if kind == "string" else failed)
+
+
+def _literal_or(c, args, of, bound, depth):
+    """The first argument unless it failed or is null, else the second: how older functions fall back."""
+    v, other = of(args[0]), of(args[1])
+    kind = kind_of([v, other])
+    good = ~v.failed & v.value.isNotNull()
+    return Value(kind, F.when(good, cast(v, kind)).otherwise(cast(other, kind)), ~good & other.failed)
 
 
 def _let(c, args, of, bound, depth):
@@ -306,7 +325,7 @@ def _number(c, args, of, bound, depth):
 OPERATORS = {
     "literal": lambda c, a, of, b, d: constant(a[0]), "get": _get, "has": _has, "geometry-type": _geometry, "zoom": _zoom, "==": _same(False), "!=": _same(True),
     "<": _order(lambda a, b: a < b), "<=": _order(lambda a, b: a <= b), ">": _order(lambda a, b: a > b), ">=": _order(lambda a, b: a >= b), "!": _not, "all": _all(False), "any": _all(True), "in": _in, "case": _case,
-    "coalesce": _coalesce, "concat": _concat, "format": _concat, "match": _match, "step": _step, "interpolate": _interpolate, "let": _let, "var": _var, "to-string": _string, "+": _fold(lambda a, b: a + b), "*": _fold(lambda a, b: a * b), "number": _number,
+    "coalesce": _coalesce, "concat": _concat, "format": _concat, "match": _match, "step": _step, "interpolate": _interpolate, "let": _let, "var": _var, "to-string": _string, "+": _fold(lambda a, b: a + b), "*": _fold(lambda a, b: a * b), "number": _number, "value-or": _literal_or,
 }
 
 
@@ -314,6 +333,27 @@ def compile_expression(rule: Any, scope: Scope) -> Value:
     return Compiler(scope).of(rule)
 
 
+def from_function(f: dict) -> list:
+    """A function of the older form (stops, and on demand property, type, base, default) as an expression: categorical ones match their stops, interval ones and those whose
+    outputs lie on no line step between them, all others are interpolated. Functions of a property fall back to the default where the property is no number."""
+    stops, name, kind, base = f.get("stops"), f.get("property"), f.get("type", "exponential"), f.get("base", 1)
+    pairs = isinstance(stops, list) and 0 < len(stops) <= MOST_ARGUMENTS // 2 and all(isinstance(s, list) and len(s) == 2 and not isinstance(s[0], (list, dict)) for s in stops)
+    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v)
+    if not pairs or kind not in ("categorical", "interval", "exponential") or not number(base) or base <= 0 or (name is not None and (not isinstance(name, str) or not 0 < len(name) <= MOST_TEXT)):
+        raise RuleError(f"no function: {str(f)[:60]}")
+    x, other = ["zoom"] if name is None else ["get", name], ["literal", f.get("default")]
+    outs = [["literal", v] for _, v in stops]
+    if kind == "categorical" or not all(number(s) for s, _ in stops):
+        arms = [part for (s, _), v in zip(stops, outs, strict=True) for part in (s, v)]
+        return ["match", x, *arms, other]
+    on_line = all(number(v) for _, v in stops) or all(isinstance(v, str) and C.is_color(v) for _, v in stops)
+    if kind == "interval" or not on_line:
+        run = ["step", x, outs[0], *[part for (s, _), v in zip(stops[1:], outs[1:], strict=True) for part in (s, v)]]
+    else:
+        run = ["interpolate", ["linear"] if base == 1 else ["exponential", base], x, *[part for (s, _), v in zip(stops, outs, strict=True) for part in (s, v)]]
+    return run if name is None else ["value-or", run, other]
+
+
 def from_legacy(f: list) -> list:
     """A filter of the older form as an expression."""
     name, args = f[0], f[1:]

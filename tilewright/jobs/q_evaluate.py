@@ -14,37 +14,44 @@ C = F.col
 FS = having("features")
 
 
-@query("g02_evaluate_line", FS + "SELECT feature_id, CASE WHEN NOT (height / 5 <= 256 AND abs(height * 5 - 4700) <= 4096 AND rank * 150 BETWEEN 0 AND 512 AND 20 BETWEEN 1 AND 120 AND rank + 1 BETWEEN 1 AND 16) THEN 'invalid' WHEN level - 0.2 <= 0 OR rank = 3 THEN 'hidden' ELSE 'drawn' END AS outcome FROM features")
+@query("g02_evaluate_line", FS + """
+SELECT feature_id, CASE WHEN level - 0.2 <= 0 OR rank = 3 OR height - 950 <= 0 THEN 'hidden'
+  WHEN NOT ((height - 950) * 2 <= 256 AND abs(height * 5 - 4700) <= 4096 AND rank * 150 BETWEEN 0 AND 512 AND rank + 1 BETWEEN 1 AND 16) THEN 'invalid' ELSE 'drawn' END AS outcome
+FROM features""")
 def _(spark, sf_dir):
     f = view(spark, sf_dir, "features")
     d = lambda c: c.cast("double")
-    return f.select("feature_id", V.evaluate_line(C("height") / 5, C("height") * 5 - 4700, d(C("rank") * 150), F.lit(20.0), d(C("rank") + 1), C("level") - 0.2, F.when(C("rank") == 3, 0).otherwise(255)).alias("outcome"))
+    return f.select("feature_id", V.evaluate_line((C("height") - 950) * 2, C("height") * 5 - 4700, d(C("rank") * 150), F.lit(20.0), d(C("rank") + 1), C("level") - 0.2, F.when(C("rank") == 3, 0).otherwise(255)).alias("outcome"))
 
 
-@query("g03_evaluate_fill", FS + "SELECT feature_id, CASE WHEN abs(height * 5 - 4700) > 4096 THEN 'invalid' WHEN level - 0.2 <= 0 OR rank = 3 THEN 'hidden' ELSE 'drawn' END AS outcome FROM features")
+@query("g03_evaluate_fill", FS + """
+SELECT feature_id, CASE WHEN abs(height * 5 - 4700) > 4096 THEN 'invalid' WHEN level - 0.2 <= 0 OR rank = 3 AND feature_id % 2 = 0 THEN 'hidden' ELSE 'drawn' END AS outcome,
+  CASE WHEN feature_id % 2 = 1 THEN 'own' WHEN feature_id % 3 = 0 THEN 'fill' END AS outline
+FROM features""")
 def _(spark, sf_dir):
     f = view(spark, sf_dir, "features")
-    return f.select("feature_id", V.evaluate_fill(C("height") * 5 - 4700, F.lit(3.0), C("level") - 0.2, F.when(C("rank") == 3, 0).otherwise(255)).alias("outcome"))
+    own = C("feature_id") % 2 == 1
+    outcome = V.evaluate_fill(C("height") * 5 - 4700, F.lit(3.0), C("level") - 0.2, F.when(C("rank") == 3, 0).otherwise(255), F.when(own, 255))
+    return f.select("feature_id", outcome.alias("outcome"), V.fill_outline(F.lit("fill"), F.when(own, "own"), C("feature_id") % 3 == 0).alias("outline"))
 
 
-@query("g04_evaluate_text", FS + "SELECT feature_id, CASE WHEN height / 5 > 256 OR rank * 60 > 180 OR rank - 1 < 0 THEN 'invalid' ELSE 'drawn' END AS outcome, CASE rank WHEN 0 THEN upper(name) WHEN 1 THEN lower(brand) ELSE name END AS text FROM features")
+@query("g04_evaluate_text", FS + """
+SELECT feature_id, CASE WHEN height / 5 > 256 OR rank * 60 > 180 OR rank - 1 < 0 THEN 'invalid' ELSE 'drawn' END AS outcome, CASE rank WHEN 0 THEN upper(name) WHEN 1 THEN lower(brand) ELSE name END AS text,
+  CASE WHEN feature_id % 3 = 0 THEN 'top' WHEN feature_id % 2 = 0 THEN 'left' ELSE 'center' END AS anchor
+FROM features""")
 def _(spark, sf_dir):
     f = view(spark, sf_dir, "features")
     d = lambda c: c.cast("double")
     text = V.transformed(F.when(C("rank") == 1, C("brand")).otherwise(C("name")), F.when(C("rank") == 0, "uppercase").when(C("rank") == 1, "lowercase"))
-    return f.select("feature_id", V.evaluate_text(C("height") / 5, F.lit(10.0), F.lit(1.2), d(C("rank") - 1), d(C("rank") * 60), F.lit(1.0)).alias("outcome"), text.alias("text"))
+    anchor = V.text_anchor(F.when(C("feature_id") % 3 == 0, F.array(F.lit("top"), F.lit("bottom"))), F.when(C("feature_id") % 2 == 0, "left"))
+    return f.select("feature_id", V.evaluate_text(C("height") / 5, F.lit(10.0), F.lit(1.2), d(C("rank") - 1), d(C("rank") * 60), F.lit(1.0)).alias("outcome"), text.alias("text"), anchor.alias("anchor"))
 
 
-@query("g05_evaluate_extrusion", FS + "SELECT feature_id, CASE WHEN height < 950 OR level * 2 > 1 THEN 'invalid' WHEN level <= 0 OR height <= 950 THEN 'hidden' ELSE 'drawn' END AS outcome FROM features")
+@query("g05_evaluate_extrusion", FS + "SELECT feature_id, CASE WHEN height < 950 OR level * 2 > 1 THEN 'invalid' ELSE 'drawn' END AS outcome FROM features")
 def _(spark, sf_dir):
     return view(spark, sf_dir, "features").select("feature_id", V.evaluate_extrusion(F.lit(950.0), C("height"), C("level") * 2).alias("outcome"))
 
 
-@query("a05_tile_stats", FS + "SELECT z, x, y, source_layer, count(*) FILTER (geometry_type = 'Point') AS n_points, count(*) FILTER (geometry_type = 'LineString') AS n_lines, count(*) FILTER (geometry_type = 'Polygon') AS n_polygons, CAST(sum(16 * (rank + 1) + 32 * 6 + 2 * length(source_layer)) AS BIGINT) AS bytes FROM features GROUP BY ALL")
-def _(spark, sf_dir):
-    return V.tile_stats(view(spark, sf_dir, "features").withColumns({"n_vertices": C("rank") + 1, "n_properties": F.lit(6)}))
-
-
 @query("j09_exact_geography", having("places") + "SELECT place_id, entity_type IN ('Country', 'Municipality') AND lower(address) IN ('building', 'machinery') AND CASE entity_type WHEN 'Country' THEN lower(address) = 'building' ELSE true END AS hit FROM places")
 def _(spark, sf_dir):
     p = view(spark, sf_dir, "places")

@@ -179,7 +179,7 @@ def _(spark, sf_dir):
     return P.valid_places(view(spark, sf_dir, "places")).select("place_id", "name", "lat", "lon")
 
 
-@query("i05_hover_transitions", having("pointer_events") + "SELECT pointer_id, ts, exited, target AS entered FROM (SELECT *, lag(target) OVER (PARTITION BY pointer_id ORDER BY ts) AS exited FROM pointer_events) WHERE target IS DISTINCT FROM exited")
+@query("i05_hover_transitions", having("pointer_events") + "SELECT pointer_id, ts, exited, target AS entered FROM (SELECT *, lag(target) OVER (PARTITION BY pointer_id ORDER BY ts, event_id) AS exited FROM pointer_events) WHERE target IS DISTINCT FROM exited")
 def _(spark, sf_dir):
     return T.hover_transitions(view(spark, sf_dir, "pointer_events"))
 

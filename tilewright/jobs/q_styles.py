@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tilewright.functions.colors import parse_color
 from tilewright.functions.rules import compile_expression, compile_filter
 from tilewright.jobs.fixtures import having, view
 from tilewright.jobs.q_tiles import LAT
@@ -37,17 +38,27 @@ RULES = {
     "f18_to_string": (["to-string", ["get", "rank"]], "CAST(rank AS VARCHAR)", "false"),
     "f19_sum": (["+", ["get", "opt"], 1, ["zoom"]], "opt + 1 + 7", "opt IS NULL"),
     "f20_number": (["number", ["get", "name"], ["get", "opt"], 9], "coalesce(opt, 9)", "false"),
+    "f13_format": (["format", ["get", "name"], {"font-scale": 0.8}, " ", {}, ["get", "rank"]], "concat(name, ' ', rank)", "false"),
+    "f16_colors": (["interpolate", ["linear"], ["get", "rank"], 0, "#000", 4, "rgba(255, 255, 255, 1)"], "CASE rank WHEN 0 THEN '#000' WHEN 1 THEN '#404040FF' WHEN 2 THEN '#808080FF' WHEN 3 THEN '#BFBFBFFF' ELSE 'rgba(255, 255, 255, 1)' END", "false"),
+    "f23_categorical": ({"property": "brand", "type": "categorical", "stops": [["Brand#1", "a"], ["Brand#2", "b"]], "default": "c"}, "CASE brand WHEN 'Brand#1' THEN 'a' WHEN 'Brand#2' THEN 'b' ELSE 'c' END", "false"),
+    "f23_interval": ({"property": "opt", "type": "interval", "stops": [[0, "s"], [0.25, "m"], [0.75, "l"]], "default": "none"}, "CASE WHEN opt IS NULL THEN 'none' WHEN opt < 0.25 THEN 's' WHEN opt < 0.75 THEN 'm' ELSE 'l' END", "false"),
+    "f23_exponential": ({"property": "rank", "base": 2, "stops": [[0, 0], [4, 15]]}, "CASE WHEN rank <= 0 THEN 0 WHEN rank < 4 THEN 15 * (pow(2, rank) - 1) / 15 ELSE 15 END", "false"),
+    "f23_zoom": ({"stops": [[5, 1], [9, 3]]}, "2.0", "false"),
+    "f23_steps_of_texts": ({"property": "rank", "stops": [[0, "low"], [2, "high"]]}, "CASE WHEN rank < 2 THEN 'low' ELSE 'high' END", "false"),
     "f21_tokens": ("{name} of {brand}{gone} {", "concat(name, ' of ', brand, ' {')", "false"),
 }
 
 
+NUMBERS = ("f02_get", "f12_coalesce", "f16_interpolate", "f16_exponential", "f17_let", "f19_sum", "f20_number", "f23_exponential", "f23_zoom")
+
+
 def features(spark, sf_dir):
     f = view(spark, sf_dir, "features")
     return f.withColumn("opt", F.when(F.col("feature_id") % 4 != 0, F.col("level")))
 
 
 def register(name, rule, value, failed):
-    number = "CASE WHEN {f} THEN NULL ELSE round(CAST({v} AS DOUBLE), 6) END" if name[:3] in ("f02", "f12", "f16", "f17", "f19", "f20") else "CASE WHEN {f} THEN NULL ELSE {v} END"
+    number = "CASE WHEN {f} THEN NULL ELSE round(CAST({v} AS DOUBLE), 6) END" if name in NUMBERS else "CASE WHEN {f} THEN NULL ELSE {v} END"
 
     @query(name, FEATURES + f"SELECT feature_id, {number.format(v=value, f=failed)} AS v, {failed} AS failed FROM f")
     def run(spark, sf_dir):
@@ -68,6 +79,18 @@ def _(spark, sf_dir):
     return f.select("feature_id", hit.alias("hit"), failed.alias("failed"))
 
 
+#: Colours in texts, and what they are in SQL: red, green, blue (multiplied by the opacity) and opacity, in thousandths.
+COLORS = {"#f00": (1000, 0, 0, 1000), "#0f08": (0, 533, 0, 533), "#336699": (200, 400, 600, 1000), "#33669980": (100, 201, 301, 502), "rgb(255, 127.5, 0)": (1000, 500, 0, 1000), "RGBA(51,102,153,0.5)": (100, 200, 300, 500), "hsl(120, 100%, 50%)": (0, 1000, 0, 1000), "hsla(-120, 100%, 25%, 0.5)": (0, 0, 250, 500),
+          "hsl(30, 50%, 40%)": (600, 400, 200, 1000), "#12345": None, "rgb(1,2)": None, "rgb(256,0,0)": None, "rgba(1,2,3)": None, "rgb(1,2,3,1)": None, "hsl(1,2,3)": None, "hsla(0,0%,0%,1.1)": None, "red": None}
+
+
+@query("f24_parse_color", having("features") + "SELECT feature_id, CASE feature_id % 17 " + " ".join(f"WHEN {k} THEN {'NULL' if v is None else list(v)}" for k, v in enumerate(COLORS.values())) + " END AS rgba FROM features")
+def _(spark, sf_dir):
+    text = F.element_at(F.array(*[F.lit(t) for t in COLORS]), (F.col("feature_id") % 17 + 1).cast("int"))
+    c = parse_color(text)
+    return view(spark, sf_dir, "features").select("feature_id", F.when(c.isNotNull(), F.array(*[F.round(c[k] * 1000).cast("int") for k in "rgba"])).alias("rgba"))
+
+
 #: A small style, and the same in SQL.
 LAYERS = [
     {"id": "roads", "type": "line", "source-layer": "road", "filter": [">", ["get", "opt"], 0.3], "paint": {"color": ["match", ["get", "rank"], 0, "#f00", "#00f"], "width": ["interpolate", ["linear"], ["zoom"], 5, 1, 9, 3]}},
@@ -101,6 +124,17 @@ def _(spark, sf_dir):
     return S.project_features(view(spark, sf_dir, "features")).select("feature_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
-@query("g14_label_candidates", having("features") + "SELECT feature_id, place FROM (SELECT feature_id, CAST(row_number() OVER (PARTITION BY z, x, y ORDER BY rank, feature_id) AS INT) AS place FROM features WHERE trim(name) <> '') WHERE place <= 20")
+TEXTS = [{"id": "names", "type": "symbol", "source-layer": "poi", "filter": [">", ["get", "rank"], 0], "layout": {"text-field": "{name} {rank}"}}, {"id": "roads", "type": "symbol", "source-layer": "road", "layout": {"text-field": ["get", "brand"]}}, {"id": "off", "type": "symbol", "source-layer": "road", "visibility": "none", "layout": {"text-field": "x"}}, {"id": "bare", "type": "symbol", "source-layer": "road"}]
+
+
+@query("g14_label_candidates", having("features") + """, t AS (
+  SELECT z, x, y, 0 AS layer_order, 'names' AS layer_id, feature_id, concat(name, ' ', rank) AS text, fx AS ax, fy AS ay FROM features WHERE source_layer = 'poi' AND rank > 0
+  UNION ALL SELECT z, x, y, 1, 'roads', feature_id, brand, fx + 0.02, fy FROM features WHERE source_layer = 'road'
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY z, x, y ORDER BY layer_order, feature_id) AS INT) AS place FROM t WHERE trim(text) <> '')
+SELECT z, x, y, place, layer_order, layer_id, feature_id, text, round(ax, 6) AS ax, round(ay, 6) AS ay FROM r WHERE place <= 256""")
 def _(spark, sf_dir):
-    return S.label_candidates(view(spark, sf_dir, "features"), 20).select("feature_id", "place")
+    f = features(spark, sf_dir)
+    at = lambda dx: F.struct((F.col("fx") + dx).alias("x"), F.col("fy").alias("y"))
+    line = F.when(F.col("geometry_type") == "LineString", F.array(F.array(at(0.0), at(0.01), at(0.02), at(0.03)))).otherwise(F.array().cast("array<array<struct<x:double,y:double>>>"))
+    rows = S.label_candidates(f.withColumn("at", S.representative(F.array(at(0.0)), line)), TEXTS, 7.0, PROPERTIES)
+    return rows.select("z", "x", "y", "place", "layer_order", "layer_id", "feature_id", "text", F.round("at.x", 6).alias("ax"), F.round("at.y", 6).alias("ay"))

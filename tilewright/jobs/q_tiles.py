@@ -186,55 +186,99 @@ def _(spark, sf_dir):
     return p.select("scene_id", "seq", M.rectangle_visible(C("left") - 40, C("top") - 60, C("width"), C("height"), F.lit(900.0), F.lit(600.0)).alias("visible"))
 
 
-# Tiles of scenes that are neither turned nor pitched have a plain box in the oracle.
-FLAT = having("scenes", "layers", "tile_cache") + f""", f AS (SELECT *, CAST(floor(zoom) AS INT) AS z, 256 * pow(2, zoom - floor(zoom)) AS size FROM scenes WHERE heading = 0 AND pitch = 0),
-g AS (SELECT *, {wx('lon')} * size * pow(2, z) AS cx, greatest(0, least(size * pow(2, z), {wy('lat')} * size * pow(2, z))) AS cy FROM f),
-h AS (SELECT *, CAST(floor((cx - vw / 2) / size) AS INT) AS x0, CAST(floor((cx + vw / 2 - 1e-7) / size) AS INT) AS x1, greatest(0, CAST(floor((cy - vh / 2) / size) AS INT)) AS y0, least(CAST(pow(2, z) AS INT) - 1, CAST(floor((cy + vh / 2 - 1e-7) / size) AS INT)) AS y1 FROM g),
-vt AS (SELECT scene_id, z, CAST(((wxi % CAST(pow(2, z) AS BIGINT)) + CAST(pow(2, z) AS BIGINT)) % CAST(pow(2, z) AS BIGINT) AS INT) AS x, CAST(yi AS INT) AS y, CAST(wxi AS INT) AS world_x, CAST((yi - y0) * (x1 - x0 + 1) + wxi - x0 AS INT) AS tile_index,
-    wxi * size - cx + vw / 2 AS "left", yi * size - cy + vh / 2 AS top, size, vw, vh FROM h, unnest(range(y0, y1 + 1)) AS a(yi), unnest(range(x0, x1 + 1)) AS b(wxi)),
-rq AS (SELECT scene_id, z, x, y, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY d2, tile_index) AS INT) AS priority FROM (
-    SELECT *, row_number() OVER (PARTITION BY scene_id, z, x, y ORDER BY d2, tile_index) AS r FROM (SELECT *, ("left" + size / 2 - vw / 2) * ("left" + size / 2 - vw / 2) + (top + size / 2 - vh / 2) * (top + size / 2 - vh / 2) AS d2 FROM vt)) WHERE r = 1),
-ac AS (SELECT scene_id, source_id FROM scenes, layers WHERE is_visible AND opacity > 0 AND zoom >= min_zoom AND zoom < max_zoom),
-rt AS (SELECT rq.scene_id, l.source_id, z, x, y, priority FROM rq JOIN ac USING (scene_id) JOIN layers l USING (source_id) WHERE x / pow(2, z) * 360 - 180 < east AND (x + 1) / pow(2, z) * 360 - 180 > west AND {LAT.format('(y + 1) / pow(2, z)')} < north AND {LAT.format('y / pow(2, z)')} > south)
+# The four corners of a scene's viewport, turned back to the ground plane: lx, hx, ly and hy about the camera.
+BOXES = """
+f AS (
+  SELECT *, CAST(floor(zoom) AS INT) AS z, 256 * pow(2, zoom - floor(zoom)) AS size, ((360 - heading) % 360) * pi() / 180 AS turn, pitch * pi() / 180 AS lean,
+    greatest(1, (vh + 0) * 0.5 / tan(20 * pi() / 180)) AS far, vw / 2 + {m} AS hw, -(vh / 2 + {m}) AS top0, vh / 2 + {m} AS bot0
+  FROM scenes
+), f1 AS (
+  SELECT *, CASE WHEN {m} > 0 AND sin(lean) > 0 THEN greatest(top0, -0.75 * far * cos(lean) / sin(lean)) ELSE top0 END AS yt FROM f
+), f2 AS (
+  SELECT *, CASE WHEN lean = 0 THEN yt ELSE yt * far / (far * cos(lean) + yt * sin(lean)) END AS ft, CASE WHEN lean = 0 THEN bot0 ELSE bot0 * far / (far * cos(lean) + bot0 * sin(lean)) END AS fb FROM f1
+), f3 AS (
+  SELECT *, CASE WHEN lean = 0 THEN hw ELSE hw * (far - ft * sin(lean)) / far END AS st, CASE WHEN lean = 0 THEN hw ELSE hw * (far - fb * sin(lean)) / far END AS sb FROM f2
+), bx AS (
+  SELECT *,
+    least(-st * cos(turn) + ft * sin(turn), st * cos(turn) + ft * sin(turn), -sb * cos(turn) + fb * sin(turn), sb * cos(turn) + fb * sin(turn)) AS lx,
+    greatest(-st * cos(turn) + ft * sin(turn), st * cos(turn) + ft * sin(turn), -sb * cos(turn) + fb * sin(turn), sb * cos(turn) + fb * sin(turn)) AS hx,
+    least(ft * cos(turn) + st * sin(turn), ft * cos(turn) - st * sin(turn), fb * cos(turn) + sb * sin(turn), fb * cos(turn) - sb * sin(turn)) AS ly,
+    greatest(ft * cos(turn) + st * sin(turn), ft * cos(turn) - st * sin(turn), fb * cos(turn) + sb * sin(turn), fb * cos(turn) - sb * sin(turn)) AS hy
+  FROM f3
+)"""
+
+
+def boxes(margin: float = 0) -> str:
+    return BOXES.format(m=margin)
+
+
+GRID = f"""
+g AS (SELECT *, {wx('lon')} * size * pow(2, z) AS cx, greatest(0, least(size * pow(2, z), {wy('lat')} * size * pow(2, z))) AS cy FROM bx),
+h AS (
+  SELECT *, CAST(floor((cx + lx) / size) AS INT) AS x0, CAST(floor((cx + hx - 1e-7) / size) AS INT) AS x1,
+    greatest(0, CAST(floor((cy + ly) / size) AS INT)) AS y0, least(CAST(pow(2, z) AS INT) - 1, CAST(floor((cy + hy - 1e-7) / size) AS INT)) AS y1
+  FROM g
+)"""
+TILES = having("scenes", "layers", "tile_cache") + "," + boxes() + "," + GRID + f""",
+vt AS (
+  SELECT scene_id, z, CAST(((wxi % CAST(pow(2, z) AS BIGINT)) + CAST(pow(2, z) AS BIGINT)) % CAST(pow(2, z) AS BIGINT) AS INT) AS x, CAST(yi AS INT) AS y, CAST(wxi AS INT) AS world_x,
+    CAST((yi - y0) * (x1 - x0 + 1) + wxi - x0 AS INT) AS tile_index, wxi * size - cx + vw / 2 AS "left", yi * size - cy + vh / 2 AS top, size, vw, vh
+  FROM h, unnest(range(y0, y1 + 1)) AS a(yi), unnest(range(x0, x1 + 1)) AS b(wxi)
+), rq AS (
+  SELECT scene_id, z, x, y, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY d2, tile_index) AS INT) AS priority FROM (
+    SELECT *, row_number() OVER (PARTITION BY scene_id, z, x, y ORDER BY d2, tile_index) AS r FROM (
+      SELECT *, ("left" + size / 2 - vw / 2) * ("left" + size / 2 - vw / 2) + (top + size / 2 - vh / 2) * (top + size / 2 - vh / 2) AS d2 FROM vt)) WHERE r = 1
+), ac AS (
+  SELECT scene_id, source_id FROM scenes JOIN layers USING (map_id) WHERE is_visible AND opacity > 0 AND zoom >= min_zoom AND zoom < max_zoom
+), rt AS (
+  SELECT rq.scene_id, l.source_id, z, x, y, priority FROM rq JOIN ac USING (scene_id) JOIN layers l USING (source_id)
+  WHERE x / pow(2, z) * 360 - 180 < east AND (x + 1) / pow(2, z) * 360 - 180 > west AND {LAT.format('(y + 1) / pow(2, z)')} < north AND {LAT.format('y / pow(2, z)')} > south
+)
 """
 
 
-def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.visible_tiles(view(spark, sf_dir, "scenes").filter("heading = 0 AND pitch = 0"))
+def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.visible_tiles(view(spark, sf_dir, "scenes"))
+
+
+def active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.active_layers(view(spark, sf_dir, "scenes"), view(spark, sf_dir, "layers"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    layers = view(spark, sf_dir, "layers")
-    return T.request_tiles(T.required_tiles(flat(spark, sf_dir)), T.active_layers(view(spark, sf_dir, "scenes"), layers), layers)
+    return T.request_tiles(T.required_tiles(shown(spark, sf_dir)), active(spark, sf_dir), view(spark, sf_dir, "layers"))
 
 
-@query("c01_visible_tiles", FLAT + 'SELECT scene_id, z, x, y, world_x, tile_index, round("left", 4) AS "left", round(top, 4) AS top FROM vt')
+@query("c01_visible_tiles", TILES + 'SELECT scene_id, z, x, y, world_x, tile_index, round("left", 4) AS "left", round(top, 4) AS top FROM vt')
 def _(spark, sf_dir):
-    return flat(spark, sf_dir).select("scene_id", "z", "x", "y", "world_x", "tile_index", *rounded("left", "top", places=4))
+    return shown(spark, sf_dir).select("scene_id", "z", "x", "y", "world_x", "tile_index", *rounded("left", "top", places=4))
 
 
-@query("c01_visible_tiles_pitched")
+@query("c01_visible_tiles_margin", having("scenes") + "," + boxes(128) + """, pl AS (SELECT scene_id, plain.lx AS plx, plain.hx AS phx, plain.ly AS ply, plain.hy AS phy FROM (WITH""" + boxes().replace("FROM scenes", "FROM scenes") + """ SELECT scene_id, lx, hx, ly, hy FROM bx) AS plain),
+bm AS (SELECT bx.* EXCLUDE (lx, hx, ly, hy), least(plx, greatest(plx - 512, lx)) AS lx, greatest(phx, least(phx + 512, hx)) AS hx, least(ply, greatest(ply - 512, ly)) AS ly, greatest(phy, least(phy + 512, hy)) AS hy FROM bx JOIN pl USING (scene_id)),
+""" + GRID.replace("FROM bx)", "FROM bm)") + """
+SELECT scene_id, z, (x1 - x0 + 1) * (y1 - y0 + 1) AS n, x0, x1, y0, y1 FROM h WHERE x0 <= x1 AND y0 <= y1""")
 def _(spark, sf_dir):
-    """Turned and pitched scenes, with a margin: held against a second implementation in the tests."""
+    """With a margin that reaches beyond the viewport."""
     return T.visible_tiles(view(spark, sf_dir, "scenes"), margin=128.0).groupBy("scene_id", "z").agg(F.count("*").alias("n"), F.min("world_x").alias("x0"), F.max("world_x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
 
 
-@query("c02_required_tiles", FLAT + "SELECT * FROM rq")
+@query("c02_required_tiles", TILES + "SELECT * FROM rq")
 def _(spark, sf_dir):
-    return T.required_tiles(flat(spark, sf_dir))
+    return T.required_tiles(shown(spark, sf_dir))
 
 
-@query("c03_active_layers", FLAT + "SELECT * FROM ac")
+@query("c03_active_layers", TILES + "SELECT * FROM ac")
 def _(spark, sf_dir):
-    return T.active_layers(view(spark, sf_dir, "scenes"), view(spark, sf_dir, "layers"))
+    return active(spark, sf_dir)
 
 
-@query("c04_request_tiles", FLAT + "SELECT * FROM rt")
+@query("c04_request_tiles", TILES + "SELECT * FROM rt")
 def _(spark, sf_dir):
     return requests(spark, sf_dir)
 
 
-LOOK = FLAT + """, lk AS (SELECT rt.*, CASE WHEN c.status = 'F' THEN 'hit' WHEN c.status = 'O' THEN 'pending' ELSE 'missing' END AS found FROM rt LEFT JOIN tile_cache c USING (source_id, z, x, y))
+LOOK = TILES + """, lk AS (SELECT rt.*, CASE WHEN c.status = 'F' THEN 'hit' WHEN c.status = 'O' THEN 'pending' ELSE 'missing' END AS found FROM rt LEFT JOIN tile_cache c USING (source_id, z, x, y))
 """
 
 
@@ -259,7 +303,7 @@ def _(spark, sf_dir):
     return K.coverage(requests(spark, sf_dir), parts(spark, sf_dir)[0].withColumn("is_opaque", (C("x") + C("y")) % 2 == 0))
 
 
-OVER = having("tile_cache") + """, a AS (SELECT * FROM tile_cache WHERE z = 5), b AS (SELECT * FROM tile_cache WHERE z <> 5 AND bytes % 3 = 0),
+OVER = having("tile_cache") + """, a AS (SELECT * FROM tile_cache WHERE z = 5), b AS (SELECT * FROM tile_cache WHERE z <> 5),
 ov AS (SELECT a.source_id, a.z AS a_z, a.x AS a_x, a.y AS a_y, b.z AS b_z, b.x AS b_x, b.y AS b_y FROM a JOIN b ON a.source_id = b.source_id AND (a.x >> greatest(0, a.z - b.z)) = (b.x >> greatest(0, b.z - a.z)) AND (a.y >> greatest(0, a.z - b.z)) = (b.y >> greatest(0, b.z - a.z)))
 """
 
@@ -267,7 +311,7 @@ ov AS (SELECT a.source_id, a.z AS a_z, a.x AS a_x, a.y AS a_y, b.z AS b_z, b.x A
 @query("c08_tiles_overlap", OVER + "SELECT * FROM ov")
 def _(spark, sf_dir):
     c = view(spark, sf_dir, "tile_cache")
-    return T.overlapping(c.filter("z = 5"), c.filter("z <> 5 AND bytes % 3 = 0"))
+    return T.overlapping(c.filter("z = 5"), c.filter("z <> 5"))
 
 
 @query("c09_bounds_centre", having("points") + f", b AS (SELECT device, min(lon) AS west, min(lat) AS south, max(lon) - 20 AS east, max(lat) AS north FROM points GROUP BY device), c AS (SELECT *, ({wx('west')} + CASE WHEN {wx('east')} < {wx('west')} THEN 1 ELSE 0 END + {wx('east')}) / 2 AS cx, ({wy('south')} + {wy('north')}) / 2 AS cy FROM b) SELECT device, round(west, 6) AS west, round(south, 6) AS south, round(east, 6) AS east, round(north, 6) AS north, round((cx - floor(cx)) * 360 - 180, 6) AS lon, round({LAT.format('cy')}, 6) AS lat FROM c")
@@ -282,9 +326,27 @@ def _(spark, sf_dir):
     return T.fallback_zooms(view(spark, sf_dir, "tile_cache"), 5)
 
 
-@query("c12_cached_instances", FLAT + "SELECT scene_id, source_id, z, x, y, world_x FROM vt JOIN tile_cache USING (z, x, y)")
+# Instances of every cached tile of a scene's active sources, whatever its zoom: worlds from the first to the last that the camera box touches.
+CACHED = TILES + """, ci AS (
+  SELECT scene_id, c.source_id, c.z, c.x, c.y, size * pow(2, h.z - c.z) AS s, size * pow(2, h.z) AS world, cx, cy, lx, hx, ly, hy, c.x * size * pow(2, h.z - c.z) - cx AS l0, c.y * size * pow(2, h.z - c.z) - cy AS t0, vw, vh
+  FROM h JOIN ac USING (scene_id) JOIN tile_cache c USING (source_id)
+), cw AS (
+  SELECT *, CAST(floor((lx - l0 - s) / world) + 1 AS BIGINT) AS w0, CAST(ceil((hx - l0) / world) - 1 AS BIGINT) AS w1 FROM ci WHERE t0 < hy AND t0 + s > ly
+), cr AS (
+  SELECT scene_id, source_id, z, x, y, CAST(x + w * CAST(pow(2, z) AS BIGINT) AS INT) AS world_x, l0 + w * world + vw / 2 AS "left", t0 + vh / 2 AS top, s AS size
+  FROM cw, unnest(range(w0, w1 + 1)) AS a(w) WHERE l0 + w * world < hx AND l0 + w * world + s > lx
+)
+"""
+
+
+def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.cached_instances(view(spark, sf_dir, "tile_cache"), view(spark, sf_dir, "scenes"), active(spark, sf_dir))
+
+
+@query("c12_cached_instances", CACHED + """SELECT scene_id, source_id, z, count(*) AS n, CAST(sum(x) AS BIGINT) AS xs, CAST(sum(y) AS BIGINT) AS ys, CAST(sum(world_x) AS BIGINT) AS wxs, round(sum("left"), 1) AS lefts, round(sum(top), 1) AS tops FROM cr GROUP BY ALL""")
 def _(spark, sf_dir):
-    return T.cached_instances(view(spark, sf_dir, "tile_cache"), flat(spark, sf_dir))
+    by = instances(spark, sf_dir).groupBy("scene_id", "source_id", "z")
+    return by.agg(F.count("*").alias("n"), *[F.sum(c).cast("long").alias(n) for c, n in (("x", "xs"), ("y", "ys"), ("world_x", "wxs"))], F.round(F.sum("left"), 1).alias("lefts"), F.round(F.sum("top"), 1).alias("tops"))
 
 
 @query("c13_redundant_tiles", having("tile_cache") + """, act AS (SELECT source_id, z, x, y, status = 'F' AS own FROM tile_cache WHERE z = 5), up AS (SELECT a.source_id, a.x, a.y, a.own, max(c.z) AS best FROM act a LEFT JOIN tile_cache c ON c.source_id = a.source_id AND c.status = 'F' AND c.z < 5 AND c.x = (a.x >> (5 - c.z)) AND c.y = (a.y >> (5 - c.z)) GROUP BY ALL),
@@ -323,3 +385,34 @@ def _(spark, sf_dir):
 @query("c17_pyramid_children", having("tile_cache") + "SELECT DISTINCT z, x, y, 6 AS child_z, CAST(x * CAST(pow(2, 6 - z) AS INT) + dx AS INT) AS child_x, CAST(y * CAST(pow(2, 6 - z) AS INT) + dy AS INT) AS child_y FROM tile_cache, unnest(range(CAST(pow(2, 6 - z) AS BIGINT))) AS a(dx), unnest(range(CAST(pow(2, 6 - z) AS BIGINT))) AS b(dy) WHERE z < 6")
 def _(spark, sf_dir):
     return T.pyramid_children(view(spark, sf_dir, "tile_cache").select("z", "x", "y").distinct(), 6)
+
+
+@query("c10_fit_groups")
+def _(spark, sf_dir):
+    """A search for a zoom: held against a plain second implementation in the tests."""
+    p = view(spark, sf_dir, "points").select("device", (C("lon") / 40 + C("device") % 300 - 150).alias("lon"), (C("lat") / 3).alias("lat"))
+    return T.fit_groups(p, "device", width=1024.0, height=768.0, margins=(20.0, 40.0, 60.0, 10.0), heading=30.0, pitch=20.0)
+
+
+KINDS = ("Blank", "Road", "Satellite", "SatelliteWithRoads", "RoadShadedRelief", "RoadShadedReliefRaster", "RoadRaster", "GrayscaleDarkRaster", "Night", "Unknown")
+
+
+@query("c18_tilesets_for", having("scenes") + f"""
+, k AS (SELECT scene_id, {list(KINDS)}[scene_id % 10 + 1] AS style, CAST(scene_id % 23 AS INT) AS zoom FROM scenes), t AS (
+  SELECT *, CASE style WHEN 'Blank' THEN [] WHEN 'Road' THEN CASE WHEN zoom BETWEEN 4 AND 12 THEN ['vector', 'road-detail'] ELSE ['vector'] END WHEN 'Satellite' THEN ['imagery'] WHEN 'SatelliteWithRoads' THEN ['imagery', 'vector']
+    WHEN 'RoadShadedRelief' THEN CASE WHEN zoom < 15 THEN ['terrain', 'vector'] ELSE ['vector'] END WHEN 'RoadShadedReliefRaster' THEN CASE WHEN zoom <= 6 THEN ['road', 'terrain'] ELSE ['road'] END
+    WHEN 'RoadRaster' THEN ['road'] WHEN 'GrayscaleDarkRaster' THEN ['dark-grey'] WHEN 'Night' THEN ['vector'] END AS names FROM k)
+SELECT scene_id, CAST(i AS INT) AS place, names[i + 1] AS tileset, CAST(CASE names[i + 1] WHEN 'imagery' THEN greatest(1, least(19, zoom)) WHEN 'terrain' THEN least(6, zoom) ELSE zoom END AS INT) AS zoom FROM t, unnest(range(len(names))) AS a(i)""")
+def _(spark, sf_dir):
+    style = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (C("scene_id") % 10 + 1).cast("int"))
+    s = view(spark, sf_dir, "scenes").select("scene_id", F.posexplode(T.tilesets_for(style, (C("scene_id") % 23).cast("int"))).alias("place", "t"))
+    return s.select("scene_id", "place", "t.tileset", "t.zoom")
+
+
+@query("c19_exclusive_coverage")
+def _(spark, sf_dir):
+    """Too many pairs for plain SQL: held against a plain second implementation in the tests."""
+    s = view(spark, sf_dir, "scenes").select("scene_id", F.floor("zoom").cast("int").alias("zoom_level"))
+    parts = T.exclusive_coverage(instances(spark, sf_dir), s)
+    area = (C("right") - C("left")) * (C("bottom") - C("top"))
+    return parts.groupBy("scene_id", "source_id", "z").agg(F.count("*").alias("n_parts"), F.round(F.sum(area), 1).alias("area"))

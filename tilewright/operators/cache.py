@@ -55,17 +55,29 @@ def budget(protected: Column) -> Column:
     return F.when(protected >= 112 * MIB, F.greatest(protected, F.lit(128 * MIB))).otherwise(F.least(F.greatest(protected + 16 * MIB, F.lit(32 * MIB)), F.lit(128 * MIB)))
 
 
-def lru_evict(cache: DataFrame, protected: DataFrame, *, pool: str = "source_id", limit: Column | None = None) -> DataFrame:
+def lru_evict(cache: DataFrame, protected: DataFrame, *, pool: str = "source_id", limit: Column | None = None, slot: Column | None = None) -> DataFrame:
     """The tiles to evict: (pool, source_id, z, x, y, bytes). Per pool, unprotected tiles by last use, until the total is within the budget.
 
     cache: source_id, z, x, y, bytes, last_used; protected: source_id, z, x, y. limit: a fixed budget, else that of the protected bytes.
+
+    slot: the span of time that a tile was last used in (by default its day). Bytes are summed by pool and slot first, and running totals of those few sums tell
+    which slots go whole and which one the budget ends in: only the tiles of that slot are put in order. So a pool of any size is never one task's.
     """
     marked = cache.join(protected.select(*TILE).distinct().withColumn("_safe", F.lit(True)), TILE, "left").withColumn("_safe", F.coalesce("_safe", F.lit(False)))
-    totals = marked.groupBy(F.col(pool).alias("_pool")).agg(F.sum("bytes").alias("_total"), F.sum(F.when(F.col("_safe"), F.col("bytes")).otherwise(0)).alias("_kept"))
-    over = totals.withColumn("_limit", limit if limit is not None else budget(F.col("_kept"))).filter(F.col("_total") > F.col("_limit"))
-    before = Window.partitionBy("_pool").orderBy("last_used", *TILE).rowsBetween(Window.unboundedPreceding, -1)
-    loose = marked.filter(~F.col("_safe")).withColumn("_pool", F.col(pool)).join(over, "_pool").withColumn("_gone", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
-    return loose.filter(F.col("_total") - F.col("_gone") > F.col("_limit")).select(F.col("_pool").alias("pool"), *TILE, "bytes")
+    marked = marked.withColumns({"_pool": F.col(pool), "_slot": slot if slot is not None else F.date_trunc("day", "last_used")})
+    sums = marked.groupBy("_pool", "_slot").agg(F.sum("bytes").alias("_all"), F.sum(F.when(F.col("_safe"), F.col("bytes")).otherwise(0)).alias("_kept"))
+    of_pool = Window.partitionBy("_pool")
+    earlier = of_pool.orderBy(F.col("_slot").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    loose = F.col("_all") - F.col("_kept")
+    total, kept = F.sum("_all").over(of_pool), F.sum("_kept").over(of_pool)
+    sums = sums.withColumns({"_over": total - (limit if limit is not None else budget(kept)), "_gone": F.coalesce(F.sum(loose).over(earlier), F.lit(0)), "_loose": loose}).filter("_over > _gone AND _loose > 0")
+    slots = sums.select("_pool", "_slot", "_over", "_gone", (F.col("_gone") + F.col("_loose") <= F.col("_over")).alias("_whole"))
+    same = F.col("c._slot").eqNullSafe(F.col("s._slot")) & (F.col("c._pool") == F.col("s._pool"))
+    met = marked.filter(~F.col("_safe")).alias("c").join(slots.alias("s"), same).select("c._pool", "c._slot", *[F.col(f"c.{k}") for k in (*TILE, "bytes", "last_used")], "s._over", "s._gone", "s._whole")
+    cols = [F.col("_pool").alias("pool"), *TILE, "bytes"]
+    order = Window.partitionBy("_pool").orderBy("last_used", *TILE).rowsBetween(Window.unboundedPreceding, -1)
+    last = met.filter(~F.col("_whole")).withColumn("_gone", F.col("_gone") + F.coalesce(F.sum("bytes").over(order), F.lit(0))).filter("_over > _gone")
+    return met.filter("_whole").select(cols).unionByName(last.select(cols))
 
 
 def evict_report(cache: DataFrame, evicted: DataFrame, *, pool: str = "source_id") -> DataFrame:

@@ -18,16 +18,28 @@ def outcome(valid: Column, hidden: Column) -> Column:
 
 
 def evaluate_line(width: Column, offset: Column, gap: Column, blur: Column, mitre: Column, opacity: Column, alpha: Column) -> Column:
-    valid = M.finite(width, offset, gap, blur, mitre, opacity) & (width <= 256) & (F.abs(offset) <= 4096) & gap.between(0, 512) & blur.between(0, 128) & mitre.between(1, 16)
-    return outcome(valid, (opacity <= 0) | (width <= 0) | (alpha <= 0))
+    """What is hidden is so whatever its ranges are; only what is drawn must keep to them."""
+    known = M.finite(width, offset, gap, blur, mitre, opacity)
+    hidden = (opacity <= 0) | (width <= 0) | (alpha <= 0)
+    ranges = (width <= 256) & (F.abs(offset) <= 4096) & gap.between(0, 512) & blur.between(0, 128) & mitre.between(1, 16)
+    return outcome(known & (F.coalesce(hidden, F.lit(False)) | ranges), hidden)
 
 
-def evaluate_fill(translate_x: Column, translate_y: Column, opacity: Column, alpha: Column) -> Column:
-    return outcome(M.finite(translate_x, translate_y, opacity) & (F.abs(translate_x) <= 4096) & (F.abs(translate_y) <= 4096), (opacity <= 0) | (alpha <= 0))
+def evaluate_fill(translate_x: Column, translate_y: Column, opacity: Column, alpha: Column, outline_alpha: Column | None = None) -> Column:
+    """outline_alpha: of the outline's own colour, null without one. A visible outline keeps a fill that has no colour of its own."""
+    valid = M.finite(translate_x, translate_y, opacity) & (F.abs(translate_x) <= 4096) & (F.abs(translate_y) <= 4096)
+    bare = F.lit(True) if outline_alpha is None else F.coalesce(outline_alpha <= 0, F.lit(True))
+    return outcome(valid, (opacity <= 0) | ((alpha <= 0) & bare))
+
+
+def fill_outline(color: Column, outline: Column, antialias: Column) -> Column:
+    """The outline's colour: its own, else the fill's where edges are smoothed."""
+    return F.coalesce(outline, F.when(antialias, color))
 
 
 def evaluate_extrusion(base: Column, height: Column, opacity: Column) -> Column:
-    return outcome(M.finite(base, height, opacity) & (base >= 0) & (height >= base) & opacity.between(0, 1), (opacity <= 0) | (height <= base))
+    """A height equal to its base is drawn: a roof without walls."""
+    return outcome(M.finite(base, height, opacity) & (base >= 0) & (height >= base) & opacity.between(0, 1), F.lit(False))
 
 
 def evaluate_text(size: Column, width: Column, line_height: Column, padding: Column, angle: Column, halo: Column) -> Column:
@@ -35,16 +47,23 @@ def evaluate_text(size: Column, width: Column, line_height: Column, padding: Col
     return outcome(valid, F.lit(False))
 
 
+def text_anchor(variable_anchors: Column, anchor: Column) -> Column:
+    """The first of a text's variable anchors, else its anchor, else the centre."""
+    return F.coalesce(F.get(variable_anchors, F.lit(0)), anchor, F.lit("center"))
+
+
 def transformed(text: Column, how: Column) -> Column:
     return F.when(how == "uppercase", F.upper(text)).when(how == "lowercase", F.lower(text)).otherwise(text)
 
 
 def tile_stats(features: DataFrame) -> DataFrame:
-    """Counts by geometry of a tile's layers, and their size: 16 bytes a point, 32 a property, 2 a letter of the layer's name."""
-    kind = F.col("geometry_type")
-    return features.groupBy("z", "x", "y", "source_layer").agg(
-        F.count_if(kind == "Point").alias("n_points"), F.count_if(kind == "LineString").alias("n_lines"), F.count_if(kind == "Polygon").alias("n_polygons"), F.sum(16 * F.col("n_vertices") + 32 * F.col("n_properties") + 2 * F.length("source_layer")).alias("bytes")
-    )
+    """Of decoded features (points, lines, polygons, props): counts of points, lines, their points and polygons of a tile's layers, and their size: 16 bytes a point, 32 a property, 2 a letter of the layer's name."""
+    total = lambda parts: F.coalesce(F.aggregate(parts, F.lit(0), lambda n, p: n + F.size(p)), F.lit(0))
+    count = lambda c: F.coalesce(F.size(c), F.lit(0))
+    line_points, ring_points = total(F.col("lines")), total(F.flatten("polygons"))
+    size = 16 * (count("points") + line_points + ring_points) + 32 * count("props") + 2 * F.length("source_layer")
+    of = lambda v, n: F.sum(v.cast("long")).alias(n)
+    return features.groupBy("z", "x", "y", "source_layer").agg(of(count("points"), "n_points"), of(count("lines"), "n_lines"), of(line_points, "n_line_points"), of(count("polygons"), "n_polygons"), of(size, "bytes"))
 
 
 def exact_geography(query: Column, result_type: Column, entity: Column, address: dict[str, Column], freeform: Column) -> Column:

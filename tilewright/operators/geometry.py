@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import mercator as M
 
-MOST_POINTS, MOST_CONTOURS, EDGE, NO_AREA = 65536, 256, 1e-12, 1e-15
+MOST_POINTS, MOST_CONTOURS, EDGE, NO_AREA, MOST_LEVEL = 65536, 256, 1e-12, 1e-15, 16
+NO_LENGTH = 1e-12
 CONTOUR = ["path_id", "contour"]
 
 
@@ -17,7 +20,7 @@ def build_paths(vertices: DataFrame) -> DataFrame:
     """(path_id, contour, i, x, y): vertices (path_id, contour, i, lon, lat) in world coordinates, unwrapped over the antimeridian.
 
     Every x is shifted by whole worlds to lie next to the one before. Repeats of the vertex before go, as does a last vertex that closes the path.
-    Contours that hold a position that is not finite, or more than 65536 points, are left out. The shifts are a running sum, but for contours with a step
+    Contours that hold a position that is not finite, or more than 65536 points, have no path: `path_errors` names them. The shifts are a running sum, but for contours with a step
     of exactly half a world, whose rounding depends on the shift so far: those are walked.
     """
     order = Window.partitionBy(*CONTOUR).orderBy("i")
@@ -45,6 +48,14 @@ def build_paths(vertices: DataFrame) -> DataFrame:
     return kept.withColumn("_c", closing).filter("NOT _c").drop("_c")
 
 
+def path_errors(vertices: DataFrame) -> DataFrame:
+    """(path_id, contour, error) of the contours that `build_paths` cannot build. Counted before the shuffle."""
+    bad = F.bool_or(~F.coalesce(M.finite(F.col("lon"), F.col("lat")), F.lit(False)))
+    by = vertices.groupBy(*CONTOUR).agg(bad.alias("_bad"), F.count("*").alias("_n"))
+    error = F.when(F.col("_bad"), "a position is not finite").when(F.col("_n") > MOST_POINTS, "too many points")
+    return by.select(*CONTOUR, error.alias("error")).filter("error IS NOT NULL")
+
+
 def align_contours(paths: DataFrame) -> DataFrame:
     """paths with each contour shifted by whole worlds to the path's first one, and `anchor_x`, the mean x of all points."""
     heads = paths.groupBy(*CONTOUR).agg(F.min_by("x", "i").alias("_h"))
@@ -78,39 +89,118 @@ def bounding_boxes(points: DataFrame, by: list[str]) -> DataFrame:
     return points.groupBy(*by).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
 
 
-def to_cells(boxes: DataFrame, n: int, most: int = 4096) -> DataFrame:
-    """boxes with the cells (cx, cy) of an n x n grid that they touch, x wrapped. Boxes of more than `most` cells fail: take a coarser grid."""
-    at = lambda c: F.floor(F.col(c) * n).cast("int")
-    count = (at("x1") - at("x0") + 1).cast("long") * (at("y1") - at("y0") + 1)
-    checked = boxes.withColumn("_x", F.when(count > most, F.raise_error(F.lit("a box covers too many cells"))).otherwise(F.sequence(at("x0"), at("x1"))))
-    rows = checked.withColumn("cx", F.explode("_x")).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
-    return rows.withColumn("cx", F.pmod("cx", F.lit(n)).cast("int")).drop("_x")
+def level_of(size: Column) -> Column:
+    """The finest level of halved cells (0: one cell for the world) whose cells are as wide as size."""
+    return F.when(size > 2.0**-MOST_LEVEL, M.clamp(F.floor(-F.log2(F.when(size > 0, size))), F.lit(0).cast("long"), F.lit(MOST_LEVEL).cast("long"))).otherwise(MOST_LEVEL).cast("int")
+
+
+def leveled(boxes: DataFrame) -> DataFrame:
+    """boxes (x0, y0, x1, y1) with their level: a box touches at most three columns and rows of cells there, however large it is."""
+    return boxes.withColumn("level", level_of(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))))
+
+
+def to_cells(boxes: DataFrame) -> DataFrame:
+    """boxes with the cells (cx, cy) of their level that they touch: x wrapped, and every cell once."""
+    n = M.cells_at(F.col("level"))
+    across = F.array_distinct(F.transform(F.sequence(F.floor(F.col("x0") * n), F.floor(F.col("x1") * n)), lambda c: F.pmod(c, n)))
+    # A box as wide as the world or wider touches the one column of level 0.
+    columns = F.when(F.col("level") == 0, F.array(F.lit(0).cast("long"))).otherwise(across)
+    return boxes.withColumn("cx", F.explode(columns)).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") * n), F.floor(F.col("y1") * n))))
+
+
+def levels_in(leveled_boxes: DataFrame) -> list[int]:
+    """The levels that boxes have: at most 17 numbers."""
+    return sorted(r.level for r in leveled_boxes.select("level").distinct().collect())
 
 
-def bbox_join(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
-    """(a_id, b_id) of boxes (id, x0, y0, x1, y1) that meet, borders included. Pairs meet in the cells of an n x n grid, and count in the first one that they share."""
-    left = to_cells(a.select(F.col("id").alias("a_id"), "x0", "y0", "x1", "y1"), n)
-    right = to_cells(b.select(F.col("id").alias("b_id"), *[F.col(c).alias(c) for c in ("x0", "y0", "x1", "y1")]), n).select("b_id", *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")], "cx", "cy")
+def at_levels(points: DataFrame, levels: list[int], x: str = "px", y: str = "py") -> DataFrame:
+    """points with a row, and a cell, for each of some levels."""
+    rows = points.withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")))
+    n = M.cells_at(F.col("level"))
+    return rows.withColumn("cx", F.pmod(F.floor(F.col(x) * n), n)).withColumn("cy", F.floor(F.col(y) * n))
+
+
+def bbox_join(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a_id, b_id) of boxes (id, x0, y0, x1, y1) that meet, borders included. A pair meets in the cells of the coarser one's level, and counts in
+    the first cell that both touch there."""
+    side = {k: leveled(df.select(F.col("id").alias(f"{k}_id"), "x0", "y0", "x1", "y1")).withColumnRenamed("level", "own") for k, df in (("a", a), ("b", b))}
+    used = sorted({r.own for df in side.values() for r in df.select("own").distinct().collect()})
+    every = F.array(*[F.lit(k) for k in used]).cast("array<int>")
+    cells = {k: to_cells(df.withColumn("level", F.explode(F.filter(every, lambda v: v <= F.col("own"))))) for k, df in side.items()}
+    right = cells["b"].select("b_id", *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")], F.col("own").alias("b_own"), "level", "cx", "cy")
     meet = (F.col("x0") <= F.col("bx1")) & (F.col("x1") >= F.col("bx0")) & (F.col("y0") <= F.col("by1")) & (F.col("y1") >= F.col("by0"))
-    home = (F.pmod(F.floor(F.greatest("x0", "bx0") * n), F.lit(n)) == F.col("cx")) & (F.floor(F.greatest("y0", "by0") * n) == F.col("cy"))
-    return left.join(right, ["cx", "cy"]).filter(meet & home).select("a_id", "b_id")
+    n = M.cells_at(F.col("level"))
+    home = (F.pmod(F.floor(F.greatest("x0", "bx0") * n), n) == F.col("cx")) & (F.floor(F.greatest("y0", "by0") * n) == F.col("cy"))
+    return cells["a"].join(right, ["level", "cx", "cy"]).filter((F.col("level") == F.least("own", "b_own")) & meet & home).select("a_id", "b_id")
+
+
+def banded_edges(shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(boxes, bands) of aligned paths. boxes: path_id, x0, y0, x1, y1, anchor_x, n_bands; bands: path_id, band, edges: those that touch a band
+    of the box's height. There are as many bands as give each some eight edges, so that a point meets few of a large shape's edges."""
+    order = Window.partitionBy(*CONTOUR).orderBy("i")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nxt = lambda c: F.coalesce(F.lead(c).over(order), F.first(c).over(whole)).alias(f"n{c}")
+    rings = shapes.select(*CONTOUR, "i", "x", "y", "anchor_x", nxt("x"), nxt("y"), F.count("*").over(whole).alias("_n")).filter("_n >= 3")
+    climbs = F.sum(F.abs(F.col("ny") - F.col("y")))
+    boxes = rings.groupBy("path_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.first("anchor_x").alias("anchor_x"), F.count("*").alias("_n"), climbs.alias("_climb"))
+    height = F.col("y1") - F.col("y0")
+    # No more rows of edges than four for each edge: a comb's tall teeth get fewer bands.
+    some = F.least(F.col("_n") / 8, F.lit(3.0) * F.col("_n") * height / F.nullif("_climb", F.lit(0.0)))
+    boxes = boxes.withColumn("n_bands", M.clamp(F.ceil(F.coalesce(some, F.lit(1.0))), F.lit(1).cast("long"), F.lit(4096).cast("long")).cast("int")).drop("_n", "_climb")
+    at = lambda y: band_of(y, F.col("y0"), F.col("y1"), F.col("n_bands"))
+    rows = rings.drop("anchor_x").join(boxes.select("path_id", "y0", "y1", "n_bands"), "path_id")
+    rows = rows.withColumn("band", F.explode(F.sequence(at(F.least("y", "ny") - 2 * EDGE), at(F.greatest("y", "ny") + 2 * EDGE))))
+    return boxes, rows.groupBy("path_id", "band").agg(F.collect_list(F.struct("x", "y", "nx", "ny")).alias("edges"))
+
+
+def band_of(y: Column, low: Column, high: Column, n: Column) -> Column:
+    return F.coalesce(M.clamp(F.floor((y - low) / F.nullif(high - low, F.lit(0.0)) * n), F.lit(0).cast("long"), n.cast("long") - 1), F.lit(0).cast("long")).cast("int")
 
 
-def points_in_polygons(points: DataFrame, shapes: DataFrame, n: int = 64) -> DataFrame:
+def points_in_polygons(points: DataFrame, shapes: DataFrame) -> DataFrame:
     """(point_id, path_id) of points (point_id, x, y) inside shapes (aligned paths): even-odd over all contours of three points or more; points on an edge
-    are inside. Points are shifted to the shape's world. Points and boxes meet by cells of an n x n grid."""
-    sized = shapes.withColumn("_n", F.count("*").over(Window.partitionBy(*CONTOUR))).filter("_n >= 3")
-    anchors = sized.groupBy("path_id").agg(F.first("anchor_x").alias("anchor_x"))
-    boxes = to_cells(bounding_boxes(sized, ["path_id"]).join(anchors, "path_id"), n)
-    at = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py")).withColumn("cx", F.pmod(F.floor(F.col("px") * n), F.lit(n)).cast("int")).withColumn("cy", F.floor(F.col("py") * n).cast("int"))
-    found = at.join(boxes, ["cx", "cy"]).withColumn("px", F.col("px") + F.rint(F.col("anchor_x") - F.col("px")))
-    found = found.filter(F.col("px").between(F.col("x0") - EDGE, F.col("x1") + EDGE) & F.col("py").between(F.col("y0") - EDGE, F.col("y1") + EDGE)).select("point_id", "path_id", "px", "py")
-    by_edge = found.join(edges(sized).select("path_id", "x", "y", "nx", "ny"), "path_id")
-    px, py, x, y, nx, ny = (F.col(c) for c in ("px", "py", "x", "y", "nx", "ny"))
-    crosses = ((y > py) != (ny > py)) & (px < (nx - x) * (py - y) / F.nullif(ny - y, F.lit(0.0)) + x)
-    on_edge = (F.abs((nx - x) * (py - y) - (ny - y) * (px - x)) <= EDGE) & px.between(F.least(x, nx) - EDGE, F.greatest(x, nx) + EDGE) & py.between(F.least(y, ny) - EDGE, F.greatest(y, ny) + EDGE)
-    tested = by_edge.groupBy("point_id", "path_id").agg(F.count_if(F.coalesce(crosses, F.lit(False))).alias("_c"), F.bool_or(on_edge).alias("_e"))
-    return tested.filter("_e OR _c % 2 = 1").select("point_id", "path_id")
+    are inside. Points are shifted to the shape's world. Points meet boxes in cells of the box's own size, and then the edges of one band of the shape."""
+    boxes, bands = banded_edges(shapes)
+    boxes = leveled(boxes)
+    at = at_levels(points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py")), levels_in(boxes))
+    found = at.join(to_cells(boxes), ["level", "cx", "cy"]).withColumn("px", F.col("px") + F.rint(F.col("anchor_x") - F.col("px")))
+    found = found.filter(F.col("px").between(F.col("x0") - EDGE, F.col("x1") + EDGE) & F.col("py").between(F.col("y0") - EDGE, F.col("y1") + EDGE))
+    found = found.select("point_id", "path_id", "px", "py", band_of(F.col("py"), F.col("y0"), F.col("y1"), F.col("n_bands")).alias("band"))
+    px, py = F.col("px"), F.col("py")
+
+    def crosses(e: Column) -> Column:
+        return ((e["y"] > py) != (e["ny"] > py)) & F.coalesce(px < (e["nx"] - e["x"]) * (py - e["y"]) / F.nullif(e["ny"] - e["y"], F.lit(0.0)) + e["x"], F.lit(False))
+
+    def on(e: Column) -> Column:
+        near = F.abs((e["nx"] - e["x"]) * (py - e["y"]) - (e["ny"] - e["y"]) * (px - e["x"])) <= EDGE
+        return near & px.between(F.least(e["x"], e["nx"]) - EDGE, F.greatest(e["x"], e["nx"]) + EDGE) & py.between(F.least(e["y"], e["ny"]) - EDGE, F.greatest(e["y"], e["ny"]) + EDGE)
+
+    inside = F.exists("edges", on) | (F.size(F.filter("edges", crosses)) % 2 == 1)
+    return found.join(bands, ["path_id", "band"]).filter(inside).select("point_id", "path_id")
+
+
+def points_on_strokes(points: DataFrame, segs: DataFrame, width: Column, *, closed: bool = False) -> DataFrame:
+    """(point_id, path_id), once each, of points (point_id, x, y) on strokes of paths: segments (path_id, contour, i, x, y, nx, ny) and other columns that width may
+    use. Ends are cut off square; where a path turns, the corner is round: a circle about the point that two segments share. closed: a contour's last segment
+    leads to its first one. Points and strokes meet in cells of the stroke's own size, in one world."""
+    r = width / 2
+    rows = segs.withColumn("_r", r).filter(F.coalesce(F.col("_r") > 0, F.lit(False)))
+    dx, dy = F.col("nx") - F.col("x"), F.col("ny") - F.col("y")
+    rows = rows.withColumn("_l", F.sqrt(dx * dx + dy * dy)).filter(F.col("_l") > NO_LENGTH).withColumns({"_u": dx / F.col("_l"), "_v": dy / F.col("_l")})
+    order = Window.partitionBy(*CONTOUR).orderBy("i")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nxt = lambda c: F.coalesce(F.lead(c).over(order), F.first(c).over(whole) if closed else F.lit(None).cast("double"))
+    nu, nv = nxt("_u"), nxt("_v")
+    rows = rows.withColumn("_turns", (F.abs(F.col("_u") * nv - F.col("_v") * nu) > 1e-7) | (F.col("_u") * nu + F.col("_v") * nv < 0))
+    lo, hi = (lambda f, c: f(F.col(c), F.col(f"n{c}"))), F.col("_r")
+    boxes = leveled(rows.select("path_id", "x", "y", "_r", "_l", "_u", "_v", F.coalesce("_turns", F.lit(False)).alias("_turns"), (lo(F.least, "x") - hi).alias("x0"), (lo(F.least, "y") - hi).alias("y0"), (lo(F.greatest, "x") + hi).alias("x1"), (lo(F.greatest, "y") + hi).alias("y1")))
+    at = at_levels(points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py")), levels_in(boxes))
+    met = at.join(to_cells(boxes), ["level", "cx", "cy"])
+    # The point in the world that lies nearest to the segment.
+    ex, ey = F.col("px") + F.rint((F.col("x0") + F.col("x1")) / 2 - F.col("px")) - F.col("x"), F.col("py") - F.col("y")
+    along, beside = ex * F.col("_u") + ey * F.col("_v"), ex * F.col("_v") - ey * F.col("_u")
+    on = (along.between(F.lit(0.0), F.col("_l")) & (F.abs(beside) <= F.col("_r"))) | (F.col("_turns") & ((along - F.col("_l")) * (along - F.col("_l")) + beside * beside <= F.col("_r") * F.col("_r")))
+    return met.filter(on).select("point_id", "path_id").distinct()
 
 
 def segment_distance2(px: Column, py: Column, x: Column, y: Column, nx: Column, ny: Column) -> Column:
@@ -128,21 +218,77 @@ def segments(paths: DataFrame) -> DataFrame:
 
 
 def split_by_tile(segs: DataFrame, z: int) -> DataFrame:
-    """Segments cut by the tiles of zoom z: (path_id, contour, i, tx, ty, x, y, nx, ny), tx unwrapped. Pieces without length are left out."""
+    """Segments cut by the tiles of zoom z: (path_id, contour, i, tx, ty, x, y, nx, ny), tx unwrapped. Pieces without length are left out.
+
+    A segment is first cut by columns of tiles, and each part by the rows that it crosses there: a long one has as many rows as tiles, not as its box has.
+    """
     n = float(1 << z)
-    at = lambda f, a, b: F.floor(f(F.col(a), F.col(b)) * n).cast("int")
-    rows = segs.withColumn("tx", F.explode(F.sequence(at(F.least, "x", "nx"), at(F.greatest, "x", "nx")))).withColumn("ty", F.explode(F.sequence(at(F.least, "y", "ny"), at(F.greatest, "y", "ny"))))
-    low, high = [], []
-    for a, t in (("x", "tx"), ("y", "ty")):
-        d = F.col(f"n{a}") - F.col(a)
-        t0, t1 = (F.col(t) / n - F.col(a)) / F.nullif(d, F.lit(0.0)), ((F.col(t) + 1) / n - F.col(a)) / F.nullif(d, F.lit(0.0))
-        low.append(F.coalesce(F.least(t0, t1), F.lit(0.0)))
-        high.append(F.coalesce(F.greatest(t0, t1), F.lit(1.0)))
-    cut = rows.withColumn("_a", F.greatest(F.lit(0.0), *low)).withColumn("_b", F.least(F.lit(1.0), *high)).filter("_a < _b")
+    at = lambda v: F.floor(v * n).cast("int")
+
+    def reach(a: str, t: str) -> tuple[Column, Column]:
+        """Where along the segment a column or row of tiles begins and ends."""
+        d = F.nullif(F.col(f"n{a}") - F.col(a), F.lit(0.0))
+        t0, t1 = (F.col(t) / n - F.col(a)) / d, ((F.col(t) + 1) / n - F.col(a)) / d
+        return F.coalesce(F.least(t0, t1), F.lit(0.0)), F.coalesce(F.greatest(t0, t1), F.lit(1.0))
+
     part = lambda a, t: F.col(a) + (F.col(f"n{a}") - F.col(a)) * F.col(t)
+    columns = segs.withColumn("tx", F.explode(F.sequence(at(F.least("x", "nx")), at(F.greatest("x", "nx")))))
+    low, high = reach("x", "tx")
+    columns = columns.withColumns({"_a": F.greatest(F.lit(0.0), low), "_b": F.least(F.lit(1.0), high)}).filter("_a <= _b")
+    slack = 1e-9 / n
+    y0, y1 = F.least(part("y", "_a"), part("y", "_b")) - slack, F.greatest(part("y", "_a"), part("y", "_b")) + slack
+    rows = columns.withColumn("ty", F.explode(F.sequence(at(y0), at(y1))))
+    low, high = reach("y", "ty")
+    cut = rows.withColumns({"_a": F.greatest(F.col("_a"), low), "_b": F.least(F.col("_b"), high)}).filter("_a < _b")
     return cut.select(*CONTOUR, "i", "tx", "ty", part("x", "_a").alias("x"), part("y", "_a").alias("y"), part("x", "_b").alias("nx"), part("y", "_b").alias("ny"))
 
 
+def clipped(x: np.ndarray, y: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """A ring's part with x from low to high: it is cut at one border after the other, and keeps its direction."""
+    for border, sign in ((low, 1.0), (high, -1.0)):
+        if not len(x):
+            break
+        d = (x - border) * sign
+        inside, e = d >= 0, np.roll(d, -1)
+        crossing = inside != np.roll(inside, -1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            t = d / (d - e)
+        px = np.column_stack([x, np.full(len(x), border)]).ravel()
+        py = np.column_stack([y, y + (np.roll(y, -1) - y) * np.where(crossing, t, 0.0)]).ravel()
+        keep = np.column_stack([inside, crossing]).ravel()
+        x, y = px[keep], py[keep]
+    return x, y
+
+
+def split_polygons_by_tile(rings: DataFrame, z: int) -> DataFrame:
+    """(path_id, contour, tx, ty, xs, ys): rings (path_id, contour, i, x, y) cut by the tiles of zoom z that they overlap, tx unwrapped. Rings are cut by columns
+    first, and a column's part by the rows that it reaches. Parts of fewer than three points or without area are left out."""
+    n, kinds = 1 << z, {f.name: f.dataType.simpleString() for f in rings.schema.fields}
+    whole = rings.groupBy(*CONTOUR).agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("_p")).select(*CONTOUR, F.col("_p.x").alias("xs"), F.col("_p.y").alias("ys"))
+
+    def parts(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        if len(x) < 3 or not (np.isfinite(x).all() and np.isfinite(y).all()):
+            return
+        for tx in range(int(np.floor(x.min() * n)), int(np.floor(x.max() * n)) + 1):
+            cx, cy = clipped(x, y, tx / n, (tx + 1) / n)
+            if len(cx) < 3:
+                continue
+            for ty in range(int(np.floor(cy.min() * n)), int(np.floor(cy.max() * n)) + 1):
+                ry, rx = clipped(cy, cx, ty / n, (ty + 1) / n)
+                if len(rx) >= 3 and abs(rx @ np.roll(ry, -1) - np.roll(rx, -1) @ ry) / 2 > NO_AREA:
+                    yield tx, ty, rx, ry
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            for k in range(len(p)):
+                rows = list(parts(np.asarray(p["xs"].iloc[k], float), np.asarray(p["ys"].iloc[k], float)))
+                for at in range(0, len(rows), 4096):
+                    tx, ty, xs, ys = zip(*rows[at : at + 4096], strict=True)
+                    yield pd.DataFrame({"path_id": p["path_id"].iloc[k], "contour": p["contour"].iloc[k], "tx": tx, "ty": ty, "xs": xs, "ys": ys})
+
+    return whole.mapInPandas(cut, f"path_id {kinds['path_id']}, contour {kinds['contour']}, tx int, ty int, xs array<double>, ys array<double>")
+
+
 def running_length(segs: DataFrame) -> DataFrame:
     """segs with `length`, and `before`: the path's length up to the segment."""
     size = segs.withColumn("length", F.sqrt(F.pow(F.col("nx") - F.col("x"), 2) + F.pow(F.col("ny") - F.col("y"), 2)))
@@ -179,31 +325,93 @@ def dash_paths(segs: DataFrame, pattern: list[float]) -> DataFrame:
     return cut.select(*CONTOUR, "i", (F.col("_p") * (len(lengths) // 2) + F.col("_o.k")).alias("dash"), part("x", "_a").alias("x"), part("y", "_a").alias("y"), part("x", "_b").alias("nx"), part("y", "_b").alias("ny"))
 
 
-def place_along(segs: DataFrame, spacing: float, symbol: float, *, padding: float = 4.0) -> DataFrame:
-    """(path_id, contour, k, distance, x, y, tangent_x, tangent_y): symbols repeated along paths. Spacing is at least 16; 1 to 4096 of them, the first centre at half of the
-    smaller of spacing and length; none on paths shorter than the symbol with its padding."""
-    gap = max(16.0, spacing)
-    ran = running_length(segs)
-    total = ran.groupBy(*CONTOUR).agg(F.sum("length").alias("_t")).filter(F.col("_t") >= symbol + 2 * padding)
-    count = M.clamp(F.floor(F.col("_t") / gap), F.lit(1).cast("long"), F.lit(4096).cast("long"))
-    centres = total.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).withColumn("distance", F.least(F.lit(gap), F.col("_t")) / 2 + F.col("k") * gap)
-    on = centres.join(ran.filter("length > 0"), CONTOUR).filter((F.col("distance") >= F.col("before")) & (F.col("distance") < F.col("before") + F.col("length")))
+def dash_pattern(segs: DataFrame, pattern: list[float], width: float) -> DataFrame:
+    """Dashes whose lengths are given in widths of the line. No pattern draws everything; one of a single length, or without any length, is not valid."""
+    if not pattern:
+        return dash_paths(segs, [])
+    if len(pattern) < 2 or any(not np.isfinite(v) or v < 0 for v in pattern) or sum(pattern) * width <= 0:
+        raise ValueError(f"no dash pattern: {pattern}")
+    return dash_paths(segs, [v * width for v in pattern])
+
+
+def point_along(segs: DataFrame, wanted: DataFrame, radius: float = 0.0) -> DataFrame:
+    """wanted (path_id, contour, distance) with x, y, tangent_x and tangent_y: null off the path. The tangent is the segment's, or with a radius the direction from the
+    point that lies so far before to the one that lies so far behind.
+
+    Distances and segments are put in one order by length, and each distance takes the segment before it: no join of distances with all segments of a path.
+    """
+    ran = running_length(segs).filter(F.col("length") > 1e-7)
+    total = ran.groupBy(*CONTOUR).agg(F.max(F.col("before") + F.col("length")).alias("_total"))
+    asked = wanted.select(*CONTOUR, "distance").join(total, CONTOUR, "left").withColumn("_id", F.monotonically_increasing_id())
+    sides = [F.struct(F.lit(0).alias("k"), F.col("distance").alias("d"))]
+    if radius > 0:
+        sides += [F.struct(F.lit(1).alias("k"), F.greatest(F.lit(0.0), F.col("distance") - radius).alias("d")), F.struct(F.lit(2).alias("k"), F.least(F.col("_total"), F.col("distance") + radius).alias("d"))]
+    points = asked.withColumn("_q", F.explode(F.array(*sides))).select(*CONTOUR, "_id", "distance", "_total", F.col("_q.k").alias("_k"), F.col("_q.d").alias("_d"))
+    segment = F.struct("x", "y", "nx", "ny", "length", "before")
+    # A distance at the border of two segments lies on the first one; the distance 0 lies on the first segment.
+    left = points.select(*CONTOUR, F.col("_d").alias("_at"), F.when(F.col("_d") > 0, 0).otherwise(2).alias("_o"), F.struct("_id", "_k", "distance", "_total", "_d").alias("_p"), F.lit(None).cast(ran.select(segment.alias("s")).schema["s"].dataType).alias("_s"))
+    right = ran.select(*CONTOUR, F.col("before").alias("_at"), F.lit(1).alias("_o"), F.lit(None).cast(left.schema["_p"].dataType).alias("_p"), segment.alias("_s"))
+    order = Window.partitionBy(*CONTOUR).orderBy("_at", "_o")
+    met = left.unionByName(right).withColumn("_s", F.last("_s", ignorenulls=True).over(order)).filter("_p IS NOT NULL")
+    ok = (F.col("_p._d") >= 0) & (F.col("_p._d") <= F.col("_p._total"))
+    t = (F.col("_p._d") - F.col("_s.before")) / F.col("_s.length")
+    at = {a: F.when(ok, F.col(f"_s.{a}") + (F.col(f"_s.n{a}") - F.col(f"_s.{a}")) * t) for a in "xy"}
+    along = {f"t{a}": F.when(ok, (F.col(f"_s.n{a}") - F.col(f"_s.{a}")) / F.col("_s.length")) for a in "xy"}
+    rows = met.select(*CONTOUR, "_p.*", *[v.alias(k) for k, v in (at | along).items()])
+    of = lambda k, c: F.max(F.when(F.col("_k") == k, F.col(c)))
+    by = rows.groupBy(*CONTOUR, "_id").agg(of(0, "distance").alias("distance"), *[of(0, c).alias(c) for c in ("x", "y", "tx", "ty")], *[(of(2, c) - of(1, c)).alias(f"_d{c}") for c in "xy"])
+    size = F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))
+    tangent = {a: F.coalesce(F.when(F.col("x").isNotNull() & (size > 1e-7), F.col(f"_d{a}") / F.nullif(size, F.lit(0.0))), F.col(f"t{a}")).alias(f"tangent_{a}") for a in "xy"}
+    return by.select(*CONTOUR, "distance", "x", "y", tangent["x"], tangent["y"])
+
+
+def place_along(segs: DataFrame, spacing: float, symbol: float, *, padding: float = 4.0, continuous: bool = False) -> DataFrame:
+    """(path_id, contour, k, distance, x, y, tangent_x, tangent_y): symbols repeated along paths, 1 to 4096 of them; none on paths shorter than the symbol with its padding.
+
+    Spacing is at least 16, the first centre at half of the smaller of spacing and length, and symbols that would reach into the padding at an end are left out.
+    continuous: symbols one after another, without padding; spacing is at least the symbol's length, and the first one begins with the path.
+    A segment emits the symbols whose centres lie on it: nothing is joined.
+    """
+    gap, padding = (max(symbol, spacing), 0.0) if continuous else (max(16.0, spacing), padding)
+    ran = running_length(segs).withColumn("_t", F.sum("length").over(Window.partitionBy(*CONTOUR))).filter((F.col("length") > 1e-12) & (F.col("_t") >= symbol + 2 * padding))
+    most = F.floor((F.col("_t") - symbol) / gap) + 1 if continuous else F.floor(F.col("_t") / gap)
+    count = M.clamp(most, F.lit(1).cast("long"), F.lit(4096).cast("long"))
+    first = F.lit(symbol / 2) if continuous else F.least(F.lit(gap), F.col("_t")) / 2
+    low, high = F.greatest(F.lit(0).cast("long"), F.floor((F.col("before") - first) / gap)), F.least(count - 1, F.ceil((F.col("before") + F.col("length") - first) / gap))
+    rows = ran.withColumns({"_first": first, "_k": F.when(low <= high, F.sequence(low, high))}).withColumn("k", F.explode("_k")).withColumn("distance", F.col("_first") + F.col("k") * gap)
+    on = rows.filter(((F.col("distance") > F.col("before")) | (F.col("distance") == 0)) & (F.col("distance") <= F.col("before") + F.col("length")))
+    if not continuous:
+        on = on.filter((F.col("distance") - symbol / 2 >= padding) & (F.col("distance") + symbol / 2 <= F.col("_t") - padding))
     t = (F.col("distance") - F.col("before")) / F.col("length")
     return on.select(*CONTOUR, "k", "distance", *[(F.col(a) + (F.col(f"n{a}") - F.col(a)) * t).alias(a) for a in "xy"], *[((F.col(f"n{a}") - F.col(a)) / F.col("length")).alias(f"tangent_{a}") for a in "xy"])
 
 
 def offset_paths(paths: DataFrame, offset: float) -> DataFrame:
-    """Open paths moved to their right by offset; mitres are at most 4 times as long."""
+    """Paths moved to their right by offset. At a corner the point moves along the middle of both sides' normals, as far as keeps the sides' distance; where that would be
+    four times the offset or more (sharp turns) only by the offset, and by the next side's normal where the path turns back. The ends of a closed path see each other."""
     order = Window.partitionBy(*CONTOUR).orderBy("i")
-    step = {f"d{s}{a}": (F.lead(a).over(order) - F.col(a)) if s == "n" else (F.col(a) - F.lag(a).over(order)) for s in "pn" for a in "xy"}
-    df = paths.withColumns(step)
-    size = lambda s: F.sqrt(F.col(f"d{s}x") * F.col(f"d{s}x") + F.col(f"d{s}y") * F.col(f"d{s}y"))
-    df = df.withColumns({f"{s}{a}": v / F.nullif(size(s), F.lit(0.0)) for s in "pn" for a, v in (("u", -F.col(f"d{s}y")), ("v", F.col(f"d{s}x")))})
-    u, v = (F.coalesce((F.col(f"p{c}") + F.col(f"n{c}")) / 2, F.col(f"p{c}"), F.col(f"n{c}"), F.lit(0.0)) for c in "uv")
-    df = df.withColumns({"_u": u, "_v": v}).withColumn("_s", F.col("_u") * F.col("_u") + F.col("_v") * F.col("_v"))
-    # The middle of two unit normals is as long as the cosine of half their angle: the mitre is one over that.
-    scale = F.least(1.0 / F.greatest(F.col("_s"), F.lit(1e-9)), 4.0 / F.greatest(F.sqrt("_s"), F.lit(1e-9)))
-    return df.select(*CONTOUR, "i", (F.col("x") + offset * F.col("_u") * scale).alias("x"), (F.col("y") + offset * F.col("_v") * scale).alias("y"))
+    whole = Window.partitionBy(*CONTOUR)
+    df = paths.select(*CONTOUR, "i", "x", "y", F.struct("x", "y").alias("_at")).withColumns({"_k": F.row_number().over(order), "_n": F.count("*").over(whole)})
+    nth = lambda k: F.max(F.when(F.col("_k") == k, F.col("_at"))).over(whole)
+    df = df.withColumns({"_first": nth(1), "_second": nth(2), "_before": nth(F.col("_n") - 1), "_last": nth(F.col("_n")), "_p": F.lag("_at").over(order), "_q": F.lead("_at").over(order)})
+    closed = (F.col("_n") > 2) & (F.col("_first") == F.col("_last"))
+    df = df.withColumns({"_p": F.coalesce("_p", F.when(closed, F.col("_before"))), "_q": F.coalesce("_q", F.when(closed, F.col("_second")))})
+
+    def normal(a: Column, b: Column) -> dict[str, Column]:
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        size = F.sqrt(dx * dx + dy * dy)
+        ok = M.finite(size) & (size > 1e-7)
+        return {"u": F.when(ok, dy / F.nullif(size, F.lit(0.0))), "v": F.when(ok, -dx / F.nullif(size, F.lit(0.0)))}
+
+    sides = {"p": normal(F.col("_p"), F.col("_at")), "n": normal(F.col("_at"), F.col("_q"))}
+    df = df.withColumns({f"{s}{c}": v for s, of in sides.items() for c, v in of.items()})
+    df = df.withColumns({f"{s}{c}": F.coalesce(F.col(f"{s}{c}"), F.col(f"{o}{c}")) for s, o in ("pn", "np") for c in "uv"})
+    df = df.withColumns({"_mu": F.col("pu") + F.col("nu"), "_mv": F.col("pv") + F.col("nv")}).withColumn("_m", F.sqrt(F.col("_mu") * F.col("_mu") + F.col("_mv") * F.col("_mv")))
+    back = F.col("_m") <= 1e-7
+    half = (F.col("_mu") * F.col("nu") + F.col("_mv") * F.col("nv")) / F.nullif("_m", F.lit(0.0))
+    scale = F.when(F.abs(half) <= 0.25, F.lit(float(offset))).otherwise(M.clamp(offset / half, -4 * abs(offset), 4 * abs(offset)))
+    moved = lambda c, n, m: F.coalesce(F.col(c) + F.when(back, F.col(n) * offset).otherwise(F.col(m) / F.nullif("_m", F.lit(0.0)) * scale), F.col(c)).alias(c)
+    return df.select(*CONTOUR, "i", moved("x", "nu", "_mu"), moved("y", "nv", "_mv"))
 
 
 def hull_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -241,3 +449,11 @@ def convex_hull(points: DataFrame, by: str) -> DataFrame:
         return pd.DataFrame({by: p[by].iloc[0], "k": np.arange(len(h)), "x": h[:, 0], "y": h[:, 1]})
 
     return few.groupBy(by, "_c").applyInPandas(local, f"`{by}` {kind}, x double, y double").groupBy(by).applyInPandas(final, f"`{by}` {kind}, k int, x double, y double")
+
+
+def is_convex(rings: DataFrame) -> DataFrame:
+    """(path_id, is_convex): whether the area that a path's rings enclose (holes taken off) is that of its convex hull, to one part in 1e9."""
+    area = ring_area(rings).groupBy("path_id").agg(F.abs(F.sum("area")).alias("area"))
+    hull = convex_hull(rings, "path_id").withColumnRenamed("k", "i").withColumn("contour", F.lit(0))
+    around = ring_area(hull).select("path_id", F.abs("area").alias("_hull"))
+    return area.join(around, "path_id").select("path_id", ((F.col("_hull") > 0) & (F.abs(F.col("_hull") - F.col("area")) <= F.col("_hull") * 1e-9)).alias("is_convex"))

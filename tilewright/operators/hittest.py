@@ -2,32 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import mercator as M
+from tilewright.operators import geometry as G
+from tilewright.operators.tiles import camera_boxes
 
 GRID = 64
 
 
-def icons_in_view(icons: DataFrame, cells: DataFrame) -> DataFrame:
-    """(scene_id, element_id) of visible icons in the cells (scene_id, cx, cy) of a 64 x 64 world grid that a scene shows."""
+def icons_in_view(icons: DataFrame, scenes: DataFrame) -> DataFrame:
+    """(scene_id, element_id, rank): visible icons in the cells of a 64 x 64 world grid that a scene shows, in the order of layer and drawing.
+
+    A scene's box of cells is that of its camera, widened by the farthest that any icon reaches from its anchor (more so in a pitched view). Scenes as wide
+    or as high as the world show all icons. Ranks are taken in a scene.
+    """
     n = F.lit(GRID)
-    at = icons.filter("is_visible").withColumn("cx", M.cell_x(F.col("lon"), n).cast("int")).withColumn("cy", M.cell_y(F.col("lat"), n).cast("int"))
-    return cells.join(at, ["cx", "cy"]).select("scene_id", "element_id")
+    shown = icons.filter("is_visible")
+    reach = lambda size, anchor: F.max(F.col(size) * F.greatest(F.abs(F.col(anchor)), F.abs(1 - F.col(anchor))))
+    # One row: how far icons reach at most.
+    far = shown.agg(F.coalesce(reach("width", "anchor_x"), F.lit(0.0)).alias("_rx"), F.coalesce(reach("height", "anchor_y"), F.lit(0.0)).alias("_ry")).first()
+    at = shown.withColumn("cx", M.cell_x(F.col("lon"), n).cast("int")).withColumn("cy", M.cell_y(F.col("lat"), n).cast("int"))
+    met = scene_cells(scenes, far["_rx"], far["_ry"]).join(at, ["cx", "cy"])
+    order = Window.partitionBy("scene_id").orderBy("layer_index", "draw_order", "element_id")
+    return met.select("scene_id", "element_id", F.row_number().over(order).alias("rank"))
 
 
-def scene_cells(scenes: DataFrame) -> DataFrame:
-    """(scene_id, cx, cy) of the grid cells that a flat scene's viewport touches, x wrapped; a scene that spans the world has all columns once."""
-    size = M.world_size(F.col("zoom"))
-    x, y = M.lon_to_world_x(F.col("lon")), M.lat_to_world_y(F.col("lat"))
-    half_x, half_y = F.col("vw") / 2 / size, F.col("vh") / 2 / size
+def scene_cells(scenes: DataFrame, reach_x: float = 0.0, reach_y: float = 0.0) -> DataFrame:
+    """(scene_id, cx, cy) of the grid cells that a scene's camera box touches, widened by a reach in pixels; x wrapped; all cells for a scene that spans the world."""
+    base = camera_boxes(scenes).filter((F.col("vw") > 0) & (F.col("vh") > 0))
+    world = F.col("size") * M.cells_at(F.col("z"))
+    lean = 1.0 / F.greatest(F.cos(F.radians(M.normalize_pitch(F.col("pitch")))), F.lit(0.5))
+    low = {a: (F.col(f"min_{a}") - r * lean) / world for a, r in (("x", reach_x), ("y", reach_y))}
+    high = {a: (F.col(f"max_{a}") + r * lean) / world for a, r in (("x", reach_x), ("y", reach_y))}
     at = lambda v: F.floor(v * GRID).cast("int")
-    x0 = at(x - half_x)
-    x1 = F.least(at(x + half_x), x0 + GRID - 1)
-    y0, y1 = F.greatest(F.lit(0), at(y - half_y)), F.least(F.lit(GRID - 1), at(y + half_y))
-    rows = scenes.select("scene_id", F.explode(F.sequence(x0, x1)).alias("cx"), y0.alias("_a"), y1.alias("_b"))
-    return rows.withColumn("cy", F.explode(F.when(F.col("_a") <= F.col("_b"), F.sequence("_a", "_b")).otherwise(F.array().cast("array<int>")))).select("scene_id", F.pmod("cx", F.lit(GRID)).cast("int").alias("cx"), "cy")
+    rows = base.select("scene_id", *[v.alias(f"{k}_{a}") for k, of in (("low", low), ("high", high)) for a, v in of.items()], (F.col("cx") / world).alias("_x"), M.clamp(F.col("cy") / world, 0.0, 1.0).alias("_y"))
+    rows = rows.withColumns({"x0": at(F.col("_x") + F.col("low_x")), "x1": at(F.col("_x") + F.col("high_x")), "y0": F.greatest(F.lit(0), at(F.col("_y") + F.col("low_y"))), "y1": F.least(F.lit(GRID - 1), at(F.col("_y") + F.col("high_y")))})
+    everything = (F.col("high_x") - F.col("low_x") >= 1) | (F.col("high_y") - F.col("low_y") >= 1) | (F.col("x1") - F.col("x0") + 1 >= GRID)
+    span = lambda a, b: F.when(everything, F.sequence(F.lit(0), F.lit(GRID - 1))).when(F.col(a) <= F.col(b), F.sequence(a, b))
+    rows = rows.withColumn("_cy", F.explode_outer(span("y0", "y1"))).withColumn("_cx", F.explode_outer(span("x0", "x1"))).filter("_cx IS NOT NULL AND _cy IS NOT NULL")
+    return rows.select("scene_id", F.pmod("_cx", F.lit(GRID)).cast("int").alias("cx"), F.col("_cy").alias("cy"))
 
 
 def topmost_icon(taps: DataFrame, icons: DataFrame, zoom: float) -> DataFrame:
@@ -46,7 +61,19 @@ def topmost_icon(taps: DataFrame, icons: DataFrame, zoom: float) -> DataFrame:
     return where.join(spread, ["cx", "cy"]).filter(hit).groupBy("tap_id").agg(F.max_by("element_id", "draw_order").alias("element_id"))
 
 
-def topmost_shape(inside: DataFrame, shapes: DataFrame) -> DataFrame:
-    """(point_id, shape_id): of the shapes that hold a point and have a fill, the one drawn last. inside: (point_id, path_id)."""
-    filled = shapes.filter("fill_alpha <> 0").select(F.col("shape_id").alias("path_id"), "order_index").distinct()
-    return inside.join(filled, "path_id").groupBy("point_id").agg(F.max_by("path_id", "order_index").alias("shape_id"))
+def topmost_element(points: DataFrame, shapes: DataFrame, elements: DataFrame, least_order: int = -1) -> DataFrame:
+    """(point_id, element_id): of enabled shapes on visible layers above an order the one drawn last whose fill or stroke holds the point.
+
+    shapes: aligned paths; elements: element_id (their path_id), order_index, is_enabled, is_visible, is_polygon, fill_alpha, stroke_alpha, stroke_width (in world units). A fill counts if it has
+    a colour, a stroke if it has a colour and a width.
+    """
+    able = elements.filter(F.col("is_enabled") & F.col("is_visible") & (F.col("order_index") > least_order)).withColumnRenamed("element_id", "path_id")
+    filled = shapes.join(able.filter(F.col("is_polygon") & (F.col("fill_alpha") != 0)).select("path_id"), "path_id", "left_semi")
+    stroked = able.filter((F.col("stroke_alpha") != 0) & (F.col("stroke_width") > 0)).select("path_id", "is_polygon", "stroke_width")
+    parts = [G.points_in_polygons(points, filled)]
+    for closed in (True, False):
+        of = shapes.join(stroked.filter(F.col("is_polygon") == closed).select("path_id"), "path_id", "left_semi")
+        segs = (G.edges(of) if closed else G.segments(of)).join(stroked.select("path_id", "stroke_width"), "path_id")
+        parts.append(G.points_on_strokes(points, segs, F.col("stroke_width"), closed=closed))
+    hits = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return hits.join(able.select("path_id", "order_index"), "path_id").groupBy("point_id").agg(F.max_by("path_id", F.struct("order_index", "path_id")).alias("element_id"))

@@ -58,19 +58,23 @@ def symbol_bounds(left: Column, top: Column, width: Column, height: Column, rota
     return {"x0": x - half_w, "y0": y - half_h, "x1": x + half_w, "y1": y + half_h}
 
 
+#: What one symbol at one of its places is: repeats along a line are symbols of their own.
+SYMBOL = ["scene_id", "symbol_group", "placement_index"]
+
+
 def collision_groups(placements: DataFrame) -> DataFrame:
-    """placements with `component` (0, or 1 for the text of a symbol placement with an optional member) and `family` (the symbol's first sequence)."""
-    own = Window.partitionBy("scene_id", "symbol_group")
+    """placements with `component` (0, or with an optional member 1 for the icon and 2 for the text of a symbol's place) and `family` (the place's first sequence)."""
+    own = Window.partitionBy(*SYMBOL)
     optional = F.max(F.col("optional").cast("int")).over(own) == 1
-    return placements.withColumn("component", F.when(optional & (F.col("kind") == "text"), 1).otherwise(0)).withColumn("family", F.min("seq").over(own))
+    return placements.withColumn("component", F.when(optional, F.when(F.col("kind") == "icon", 1).otherwise(2)).otherwise(0)).withColumn("family", F.min("seq").over(own))
 
 
 def collision_candidates(grouped: DataFrame) -> DataFrame:
-    """One row for each (scene, symbol group, component): union box, least sort key, most padding, flags that hold for all members, count, first sequence."""
+    """One row for each (scene, symbol group, placement, component): union box, least sort key, most padding, flags that hold for all members, glyphs (texts), first sequence."""
     boxes = grouped.withColumns(symbol_bounds(*[F.col(c) for c in ("left", "top", "width", "height", "rotation")]))
-    return boxes.groupBy("scene_id", "symbol_group", "component").agg(
-        F.min("family").alias("family"), F.max("style_order").alias("style_order"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-        F.min("sort_key").alias("sort_key"), F.max("padding").alias("padding"), F.bool_and("allow_overlap").alias("allow_overlap"), F.bool_and("ignore_placement").alias("ignore_placement"), F.count("*").alias("n_members"), F.min("seq").alias("seq"),
+    return boxes.groupBy(*SYMBOL, "component").agg(
+        F.min("family").alias("family"), F.min_by("style_order", "seq").alias("style_order"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
+        F.min("sort_key").alias("sort_key"), F.max("padding").alias("padding"), F.bool_and("allow_overlap").alias("allow_overlap"), F.bool_and("ignore_placement").alias("ignore_placement"), F.count_if(F.col("kind") == "text").alias("n_glyphs"), F.min("seq").alias("seq"),
     )
 
 
@@ -94,16 +98,18 @@ class Boxes:
 
 def resolve_collisions(candidates: DataFrame) -> DataFrame:
     """candidates with `accepted`: taken in order of layer (descending), sort key and sequence; one is rejected if its padded box
-    overlaps an accepted box of another family, unless it allows overlap; boxes that ignore placement block nothing. One scene is one group."""
+    overlaps an accepted box of another family, unless it allows overlap; boxes that ignore placement block nothing. One scene is one group: a screen of labels,
+    which a viewport bounds."""
 
     def greedy(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["style_order", "sort_key", "seq"], ascending=[False, True, True], ignore_index=True)
         taken, out = Boxes(), []
-        for r in p.itertuples(index=False):
-            box = (r.x0 - r.padding, r.y0 - r.padding, r.x1 + r.padding, r.y1 + r.padding)
-            ok = bool(r.allow_overlap or not taken.hit(box, r.family))
-            if ok and not r.ignore_placement:
-                taken.add(box, r.family)
+        pad = p["padding"].to_numpy()
+        sides = [(p[c].to_numpy() + s * pad).tolist() for c, s in (("x0", -1), ("y0", -1), ("x1", 1), ("y1", 1))]
+        for *box, family, free, passes in zip(*sides, *(p[c].tolist() for c in ("family", "allow_overlap", "ignore_placement")), strict=True):
+            ok = bool(free or not taken.hit(box, family))
+            if ok and not passes:
+                taken.add(tuple(box), family)
             out.append(ok)
         return p.assign(accepted=out)
 
@@ -120,18 +126,18 @@ def batch_runs(placements: DataFrame, key: list[str]) -> DataFrame:
     return placements.withColumn("_new", F.when(same & (F.row_number().over(order) > 1), 0).otherwise(1)).withColumn("batch", F.sum("_new").over(order)).drop("_new")
 
 
-def element_order(elements: DataFrame) -> DataFrame:
+def element_order(elements: DataFrame, block: int = 1024) -> DataFrame:
     """Visible elements with `draw_order`, dense over all layers: by layer, z-index, collection index, id.
 
-    Ranks are taken within a layer, and shifted by the counts of the layers below: no window over the whole table.
+    Ranks are taken within a block of collection indexes of one layer and z-index, and shifted by the counts of the blocks before, which are the only rows
+    of a window of their own: neither a layer nor the table is one task's.
     """
-    seen = elements.filter("is_visible")
-    order = Window.partitionBy("layer_index").orderBy("z_index", "collection_index", "element_id")
-    sizes = seen.groupBy("layer_index").agg(F.count("*").alias("_n"))
-    # Layers are few; their counts are the only rows of this window.
-    below = sizes.withColumn("_below", F.coalesce(F.sum("_n").over(Window.orderBy("layer_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranked = seen.withColumn("_r", F.row_number().over(order)).join(below, "layer_index")
-    return ranked.withColumn("draw_order", F.col("_below") + F.col("_r") - 1).drop("_r", "_below")
+    key = ["layer_index", "z_index", "_block"]
+    seen = elements.filter("is_visible").withColumn("_block", F.floor(F.col("collection_index") / block))
+    sizes = seen.groupBy(*key).agg(F.count("*").alias("_n"))
+    below = sizes.withColumn("_below", F.coalesce(F.sum("_n").over(Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    ranked = seen.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("collection_index", "element_id"))).join(below, key)
+    return ranked.withColumn("draw_order", F.col("_below") + F.col("_r") - 1).drop("_r", "_below", "_block")
 
 
 def layer_summary(elements: DataFrame) -> DataFrame:

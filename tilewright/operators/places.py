@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import mercator as M
 
-#: Units of distances.
+#: The world's box as it is shown first, and units of distances.
+BOX, WORLD, MOST_REGIONS = ("west", "south", "east", "north"), (-180, -70, 180, 80), 1000
 METERS_PER_MILE, FEET_PER_METER, FEET_LIMIT = 1609.344, 3.280839895, 528
 
 
@@ -79,6 +80,17 @@ def suggest_places(favorites: DataFrame, recent: DataFrame, results: DataFrame,
     return first_at_place(rows[0].unionByName(rows[1]).unionByName(rows[2]), ["source", "place_id"])
 
 
+def region_bounds(rows: DataFrame, regions: DataFrame, code: str = "region") -> DataFrame:
+    """rows with west, south, east and north of the region that their code names (trimmed, in capitals); the world's where it names none.
+
+    regions: code, west, south, east, north: a list of countries, of some 250 rows; it is sent to all only if it is as short as that.
+    """
+    named = regions.select(F.col("code").alias("_code"), *BOX)
+    small = F.broadcast(named) if named.limit(MOST_REGIONS + 1).count() <= MOST_REGIONS else named
+    met = rows.drop(*BOX).withColumn("_key", F.upper(F.trim(code))).join(small, F.col("_key") == F.col("_code"), "left")
+    return met.select(*[c for c in rows.columns if c not in BOX], *[F.coalesce(b, F.lit(float(w))).alias(b) for b, w in zip(BOX, WORLD, strict=True)])
+
+
 def neighbourhood(lat: Column, lon: Column) -> Column:
     """Two corners of the square kilometre or so about a place: array<struct<lat,lon>>."""
     d = 1000 / 111320.0

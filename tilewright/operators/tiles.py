@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +27,9 @@ def ground_box(df: DataFrame, half_width: Column, top: Column, bottom: Column, p
     return df.withColumns({f"{prefix}{n}_{a}": f(*v) for a, v in (("x", xs), ("y", ys)) for n, f in (("min", F.least), ("max", F.greatest))})
 
 
-def visible_tiles(scenes: DataFrame, *, margin: float = 0.0) -> DataFrame:
-    """(scene_id, z, x, y, world_x, tile_index, left, top, size) of every tile instance that a scene shows.
-
-    scenes: scene_id, lon, lat, zoom, vw, vh, heading, pitch. The ground plane's box is that of the four corners turned back; rows
-    are enumerated by y, then by unwrapped x. Scenes without a viewport or without rows in range give nothing.
-    """
+def camera_boxes(scenes: DataFrame, *, margin: float = 0.0) -> DataFrame:
+    """scenes (scene_id, lon, lat, zoom, vw, vh, heading, pitch) with z (whole zoom), size (of its tiles, in pixels), cx and cy (the camera in pixels of the world), and min_x, min_y, max_x
+    and max_y: the box, about the camera, of the four corners of the viewport turned back to the ground plane."""
     z = F.floor(M.normalize_zoom(F.col("zoom"))).cast("int")
     base = scenes.withColumn("z", z).withColumn("size", M.TILE_SIZE * F.pow(F.lit(2.0), M.normalize_zoom(F.col("zoom")) - F.col("z")))
     world = F.col("size") * M.cells_at(F.col("z"))
@@ -47,6 +47,16 @@ def visible_tiles(scenes: DataFrame, *, margin: float = 0.0) -> DataFrame:
         for axis in "xy":
             lo, hi = F.col(f"_plain_min_{axis}"), F.col(f"_plain_max_{axis}")
             base = base.withColumns({f"min_{axis}": M.clamp(F.col(f"min_{axis}"), lo - reach, lo), f"max_{axis}": M.clamp(F.col(f"max_{axis}"), hi, hi + reach)})
+    return base
+
+
+def visible_tiles(scenes: DataFrame, *, margin: float = 0.0) -> DataFrame:
+    """(scene_id, z, x, y, world_x, tile_index, left, top, size) of every tile instance that a scene shows.
+
+    The tiles of the scene's own zoom that its camera box touches, by y, then by unwrapped x. Scenes without a viewport or without rows in range
+    give nothing.
+    """
+    base = camera_boxes(scenes, margin=margin)
     at = lambda v: F.floor(v / F.col("size")).cast("int")
     base = base.withColumn("x0", at(F.col("cx") + F.col("min_x"))).withColumn("x1", at(F.col("cx") + F.col("max_x") - 1e-7))
     base = base.withColumn("y0", F.greatest(F.lit(0), at(F.col("cy") + F.col("min_y")))).withColumn("y1", F.least(M.cells_at(F.col("z")).cast("int") - 1, at(F.col("cy") + F.col("max_y") - 1e-7)))
@@ -72,16 +82,16 @@ def required_tiles(visible: DataFrame) -> DataFrame:
     return nearest.select("scene_id", "z", "x", "y", F.row_number().over(order).alias("priority"))
 
 
-def active_layers(scenes: DataFrame, layers: DataFrame) -> DataFrame:
-    """(scene_id, source_id) of layers that are visible, not transparent, and whose zoom range holds the scene's: min <= zoom < max.
+def active_layers(scenes: DataFrame, layers: DataFrame, by: tuple[str, ...] = ("map_id",)) -> DataFrame:
+    """(scene_id, source_id) of the layers of a scene's map (columns `by`) that are visible, not transparent, and whose zoom range holds the scene's: min <= zoom < max.
 
-    Zooms are cut to whole numbers, so that scenes and layers meet by an equal number; a layer has a row for each of at most 23.
+    Zooms are cut to whole numbers, so that scenes and layers meet by equal numbers; a layer has a row for each of at most 23.
     """
     level = F.least(F.floor("zoom"), F.lit(M.MAX_ZOOM)).cast("int")
     on = layers.filter(F.col("is_visible") & (F.col("opacity") > 0) & (F.col("min_zoom") < F.col("max_zoom")))
     low, high = F.greatest(F.lit(0), F.floor("min_zoom").cast("int")), F.least(F.lit(M.MAX_ZOOM), F.floor("max_zoom").cast("int"))
-    by_level = on.filter(low <= high).withColumn("level", F.explode(F.sequence(low, high))).select("source_id", "min_zoom", "max_zoom", "level")
-    return scenes.withColumn("level", level).join(by_level, "level").filter((F.col("zoom") >= F.col("min_zoom")) & (F.col("zoom") < F.col("max_zoom"))).select("scene_id", "source_id")
+    by_level = on.filter(low <= high).withColumn("level", F.explode(F.sequence(low, high))).select("source_id", "min_zoom", "max_zoom", "level", *by)
+    return scenes.withColumn("level", level).join(by_level, [*by, "level"]).filter((F.col("zoom") >= F.col("min_zoom")) & (F.col("zoom") < F.col("max_zoom"))).select("scene_id", "source_id")
 
 
 def request_tiles(required: DataFrame, active: DataFrame, sources: DataFrame) -> DataFrame:
@@ -127,9 +137,163 @@ def fallback_zooms(cache: DataFrame, active_zoom: int, most: int = 22) -> DataFr
     return zooms.groupBy("source_id").agg(F.slice(F.sort_array(F.collect_set("z")), 1, most).alias("zooms"))
 
 
-def cached_instances(cache: DataFrame, visible: DataFrame) -> DataFrame:
-    """(scene_id, source_id, z, x, y, world_x): instances of cached tiles that a scene shows, once for each wrap of the world."""
-    return visible.join(cache.select(*TILE), ["z", "x", "y"]).select("scene_id", *TILE, "world_x")
+def cached_instances(cache: DataFrame, scenes: DataFrame, active: DataFrame) -> DataFrame:
+    """(scene_id, source_id, z, x, y, world_x, left, top, size): instances of cached tiles of any zoom that a scene shows of its active sources, once for each wrap of the world.
+
+    A cached tile of the scene's zoom or a coarser one meets the scene by its own number; a finer one by that of the tile of the scene's zoom
+    above it. So a scene lists the tiles of its own zoom and of coarser ones only, and a cached tile itself and those above it.
+    """
+    n = M.cells_at(F.col("level"))
+    base = camera_boxes(scenes).filter(M.finite(F.col("lon"), F.col("lat"), F.col("zoom"), F.col("vw"), F.col("vh")) & (F.col("vw") > 0) & (F.col("vh") > 0))
+    rows = base.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("z")))).withColumn("_s", F.col("size") * M.cells_at(F.col("z") - F.col("level")))
+    low = lambda c: F.floor((F.col(f"c{c}") + F.col(f"min_{c}")) / F.col("_s"))
+    high = lambda c: F.ceil((F.col(f"c{c}") + F.col(f"max_{c}")) / F.col("_s")) - 1
+    y0, y1 = F.greatest(F.lit(0).cast("long"), low("y")), F.least(n - 1, high("y"))
+    rows = rows.withColumn("_y", F.explode_outer(F.when(y0 <= y1, F.sequence(y0, y1)))).withColumn("_x", F.explode_outer(F.when(low("x") <= high("x"), F.sequence(low("x"), high("x"))))).filter("_x IS NOT NULL AND _y IS NOT NULL")
+    # Coarser levels meet tiles of theirs alone; the scene's own level meets those below it as well.
+    roles = F.when(F.col("level") == F.col("z"), F.array(F.lit("own"), F.lit("above"))).otherwise(F.array(F.lit("own")))
+    rows = rows.select("scene_id", F.explode(roles).alias("role"), "level", F.pmod("_x", n).cast("int").alias("ax"), F.col("_y").cast("int").alias("ay"), "_x", "cx", "cy", "vw", "vh", "_s", *[f"{m}_{a}" for m in ("min", "max") for a in "xy"])
+    rows = rows.join(active, "scene_id")
+    tiles = ancestors(cache.select(*TILE).filter(F.col("z").between(0, M.MAX_ZOOM)).distinct(), "source_id").withColumn("role", F.when(F.col("az") == F.col("z"), "own").otherwise("above")).withColumnRenamed("az", "level")
+    met = rows.join(tiles, ["source_id", "role", "level", "ax", "ay"])
+    deep = M.cells_at(F.col("z") - F.col("level"))
+    met = met.withColumns({"world_x": F.col("_x") * deep + F.col("x") - F.col("ax") * deep, "size": F.col("_s") / deep})
+    left, top = F.col("world_x") * F.col("size") - F.col("cx"), F.col("y") * F.col("size") - F.col("cy")
+    shown = (left < F.col("max_x")) & (left + F.col("size") > F.col("min_x")) & (top < F.col("max_y")) & (top + F.col("size") > F.col("min_y"))
+    return met.filter(shown).select("scene_id", *TILE, F.col("world_x").cast("int").alias("world_x"), (left + F.col("vw") / 2).alias("left"), (top + F.col("vh") / 2).alias("top"), "size")
+
+
+def exclusive_coverage(instances: DataFrame, active_zoom: DataFrame) -> DataFrame:
+    """(scene_id, source_id, z, x, y, world_x, left, top, right, bottom): the parts of tile instances that none drawn before covers. Tiles of the scene's zoom
+    (scene_id, zoom_level) come first, then finer ones before coarser ones, then by number.
+
+    Tiles form a tree, so what may cover a tile is the ready tiles under it, and one over it: those that overlap are found by equal keys, and only they
+    are gathered, for each tile. Each of them takes its rectangle out of what is left.
+    """
+    key = ["scene_id", "source_id", "z", "y", "world_x"]
+    t = instances.join(active_zoom, "scene_id").withColumn("_o", F.struct(F.when(F.col("z") == F.col("zoom_level"), 0).otherwise(1).alias("a"), (-F.col("z")).alias("b"), "y", "world_x"))
+    box = F.struct(F.col("left").alias("x0"), F.col("top").alias("y0"), (F.col("left") + F.col("size")).alias("x1"), (F.col("top") + F.col("size")).alias("y1"))
+    t = t.select(*key, "x", "_o", box.alias("_box"))
+    up = t.withColumn("_l", F.explode(F.sequence(F.lit(0), F.col("z")))).withColumn("_d", F.col("z") - F.col("_l"))
+    up = up.select("scene_id", "source_id", F.col("_l").alias("pz"), F.call_function("shiftright", "y", "_d").alias("py"), F.call_function("shiftright", "world_x", "_d").alias("px"), F.struct(*key, "_o", "_box").alias("_c"))
+    own = t.select("scene_id", "source_id", F.col("z").alias("pz"), F.col("y").alias("py"), F.col("world_x").alias("px"), F.struct(*key, "_o", "_box").alias("_p"))
+    pairs = up.join(own, ["scene_id", "source_id", "pz", "py", "px"]).filter(F.col("_c.z") > F.col("_p.z"))
+    # Of two that overlap the later one loses to the earlier one.
+    lost = pairs.select(F.when(F.col("_c._o") < F.col("_p._o"), F.col("_p")).otherwise(F.col("_c")).alias("_t"), F.when(F.col("_c._o") < F.col("_p._o"), F.col("_c")).otherwise(F.col("_p")).alias("_w"))
+    by = lost.groupBy(*[F.col(f"_t.{k}").alias(k) for k in key]).agg(F.array_sort(F.collect_list(F.struct("_w._o", "_w._box"))).alias("_over"))
+    rect = "struct<x0:double,y0:double,x1:double,y1:double>"
+
+    def minus(r: Column, o: Column) -> Column:
+        x0, y0, x1, y1 = F.greatest(r["x0"], o["x0"]), F.greatest(r["y0"], o["y0"]), F.least(r["x1"], o["x1"]), F.least(r["y1"], o["y1"])
+        part = lambda a, b, c, d: F.struct(a.alias("x0"), b.alias("y0"), c.alias("x1"), d.alias("y1"))
+        parts = F.array(part(r["x0"], r["y0"], r["x1"], y0), part(r["x0"], y1, r["x1"], r["y1"]), part(r["x0"], y0, x0, y1), part(x1, y0, r["x1"], y1))
+        return F.when((x0 >= x1) | (y0 >= y1), F.array(part(r["x0"], r["y0"], r["x1"], r["y1"]))).otherwise(F.filter(parts, lambda p: (p["x0"] < p["x1"]) & (p["y0"] < p["y1"])))
+
+    left = F.aggregate(F.coalesce("_over", F.array().cast(by.schema["_over"].dataType)), F.array(F.col("_box")).cast(f"array<{rect}>"), lambda have, w: F.flatten(F.transform(have, lambda r: minus(r, w["_box"]))))
+    rows = t.join(by, key, "left").select(*key, "x", F.explode(left).alias("_r"))
+    return rows.select("scene_id", *TILE, "world_x", F.col("_r.x0").alias("left"), F.col("_r.y0").alias("top"), F.col("_r.x1").alias("right"), F.col("_r.y1").alias("bottom"))
+
+
+#: Map styles that are drawn of vector tiles.
+VECTOR_STYLES = ("Road", "GrayscaleDark", "BlankAccessible", "GrayscaleLight", "Night", "HighContrastDark", "HighContrastLight")
+#: Names of tilesets, by what they hold; callers give their service's own.
+TILESETS = {"vector": "vector", "road": "road", "detail": "road-detail", "imagery": "imagery", "terrain": "terrain", "dark": "dark-grey"}
+
+
+def tilesets_for(style: Column, zoom: Column, names: dict[str, str] = TILESETS) -> Column:
+    """array<struct<tileset, zoom>>: the tilesets that a style takes at a zoom, lowest first, each with the zoom cut to its range. Null for unknown styles."""
+    of = lambda *kinds: F.array(*[F.lit(names[k]) for k in kinds])
+    sets = (
+        F.when(style == "Blank", F.array().cast("array<string>"))
+        .when(style == "RoadShadedRelief", F.when(zoom < 15, of("terrain", "vector")).otherwise(of("vector")))
+        .when(style == "SatelliteWithRoads", of("imagery", "vector"))
+        .when((style == "Road") & zoom.between(4, 12), of("vector", "detail"))
+        .when(style.isin(*VECTOR_STYLES), of("vector"))
+        .when((style == "RoadShadedReliefRaster") & (zoom <= 6), of("road", "terrain"))
+        .when(style.isin("RoadRaster", "RoadShadedReliefRaster"), of("road"))
+        .when(style == "GrayscaleDarkRaster", of("dark")).when(style == "Satellite", of("imagery"))
+    )
+    cut = lambda t: F.when(t == names["imagery"], M.clamp(zoom, 1, 19)).when(t == names["terrain"], M.clamp(zoom, 0, 6)).otherwise(M.clamp(zoom, 0, M.MAX_ZOOM))
+    return F.transform(sets, lambda t: F.struct(t.alias("tileset"), cut(t).cast("int").alias("zoom")))
+
+
+def fit_groups(points: DataFrame, by: str, *, width: float, height: float, margins: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0), heading: float = 0.0, pitch: float = 0.0) -> DataFrame:
+    """(by, lon, lat, zoom): per group the view of the largest zoom whose box of points (lon, lat) lies within the viewport less its margins (left, top, right, bottom), with half a
+    pixel of slack. Nulls where none does. Boxes are an aggregate; views are searched for many boxes at once: down from the greatest zoom by steps of 1/64, then by halves."""
+    boxes = bounds_of(points, [by])
+    return fit_boxes(boxes, by, width=width, height=height, margins=margins, heading=heading, pitch=pitch)
+
+
+def fit_boxes(boxes: DataFrame, by: str, *, width: float, height: float, margins: tuple[float, float, float, float], heading: float = 0.0, pitch: float = 0.0) -> DataFrame:
+    """(by, lon, lat, zoom) of boxes (by, west, south, east, north); east of less than west crosses the antimeridian."""
+    kind = boxes.schema[by].dataType.simpleString()
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            lon, lat, zoom = fit_views(*[p[c].to_numpy(float) for c in ("west", "south", "east", "north")], width, height, margins, heading, pitch)
+            yield pd.DataFrame({by: p[by], "lon": lon, "lat": lat, "zoom": zoom})
+
+    out = boxes.select(by, "west", "south", "east", "north").mapInPandas(fitted, f"`{by}` {kind}, lon double, lat double, zoom double")
+    return out.select(by, *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("lon", "lat", "zoom")])
+
+
+def fit_views(west: np.ndarray, south: np.ndarray, east: np.ndarray, north: np.ndarray, width: float, height: float, margins: tuple[float, float, float, float], heading: float, pitch: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centres and zooms; NaN where nothing fits."""
+    left, top, right, bottom = margins
+    n = len(west)
+    none = np.full(n, np.nan)
+    room = min(left, top, right, bottom) >= 0 and all(map(math.isfinite, (*margins, width, height))) and width - left - right > 0 and height - top - bottom > 0
+    good = np.isfinite(west) & np.isfinite(south) & np.isfinite(east) & np.isfinite(north) & (north >= south)
+    if not room or not n:
+        return none, none.copy(), none.copy()
+    world_x = lambda lon: np.where((np.mod(lon + 180, 360) == 0) & (lon > 0), 1.0, np.mod(lon + 180, 360) / 360)
+    phi = lambda lat: np.radians(np.clip(lat, -M.MAX_LATITUDE, M.MAX_LATITUDE))
+    world_y = lambda lat: (1 - np.log(np.tan(phi(lat)) + 1 / np.cos(phi(lat))) / math.pi) / 2
+    wx, ex, ny, sy = (f(np.where(good, v, 0.0)) for f, v in ((world_x, west), (world_x, east), (world_y, north), (world_y, south)))
+    ux = np.where(ex < wx, ex + 1, ex)
+    middle_x, middle_y = np.mod((wx + ux) / 2, 1.0), (ny + sy) / 2
+    turn, lean = math.radians(heading % 360), math.radians(min(max(pitch, 0.0), M.MAX_PITCH))
+    far = max(1.0, height * 0.5 / math.tan(math.radians(M.FIELD_OF_VIEW / 2)))
+    # Where the middle of the free part of the viewport lies on the ground, about the camera.
+    ox, oy = (left - right) / 2, (top - bottom) / 2
+    down = far * math.cos(lean) + oy * math.sin(lean)
+    fy = oy if lean == 0 else (0.0 if down == 0 else oy * far / down)
+    fx = ox if lean == 0 else ox * (far - fy * math.sin(lean)) / far
+    gx, gy = fx * math.cos(turn) - fy * math.sin(turn), fy * math.cos(turn) + fx * math.sin(turn)
+
+    def fits(zoom: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = M.TILE_SIZE * 2.0**zoom
+        cx, cy = np.mod(middle_x - gx / size, 1.0), np.clip(middle_y - gy / size, 0.0, 1.0)
+        ok = good.copy()
+        for px, py in ((wx, ny), (ex, ny), (ex, sy), (wx, sy)):
+            d = px - cx
+            x, y = (d - np.rint(d)) * size, (py - cy) * size
+            x, y = x * math.cos(turn) + y * math.sin(turn), y * math.cos(turn) - x * math.sin(turn)
+            if lean:
+                k = far / np.maximum(1.0, far - y * math.sin(lean))
+                x, y = x * k, y * math.cos(lean) * k
+            x, y = x + width / 2, y + height / 2
+            ok &= (x >= left - 0.5) & (x <= width - right + 0.5) & (y >= top - 0.5) & (y <= height - bottom + 0.5)
+        return ok, cx, cy
+
+    lower = np.full(n, float(M.MAX_ZOOM))
+    upper = lower.copy()
+    found, best_x, best_y = fits(lower)
+    for k in range(M.MAX_ZOOM * 64):
+        if found.all():
+            break
+        z = np.full(n, M.MAX_ZOOM - (k + 1) / 64)
+        ok, cx, cy = fits(z)
+        new = ok & ~found
+        lower, upper = np.where(new, z, lower), np.where(new, z + 1 / 64, upper)
+        best_x, best_y, found = np.where(new, cx, best_x), np.where(new, cy, best_y), found | ok
+    for _ in range(48):
+        z = (lower + upper) / 2
+        ok, cx, cy = fits(z)
+        lower, upper = np.where(ok, z, lower), np.where(ok, upper, z)
+        best_x, best_y = np.where(ok, cx, best_x), np.where(ok, cy, best_y)
+    lat = np.clip(np.degrees(np.arctan(np.sinh(math.pi * (1 - 2 * best_y)))), -M.MAX_LATITUDE, M.MAX_LATITUDE)
+    return np.where(found, best_x * 360 - 180, np.nan), np.where(found, lat, np.nan), np.where(found, lower, np.nan)
 
 
 def pyramid_children(tiles: DataFrame, min_zoom: int) -> DataFrame:

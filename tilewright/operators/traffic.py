@@ -136,7 +136,7 @@ def incident_card(df: DataFrame) -> DataFrame:
 
 
 def hover_transitions(events: DataFrame) -> DataFrame:
-    """(pointer_id, ts, exited, entered) where a pointer's target changes; a pointer starts without one."""
-    before = F.lag("target").over(Window.partitionBy("pointer_id").orderBy("ts"))
+    """(pointer_id, ts, exited, entered) where a pointer's target changes; a pointer starts without one. Events of one time go by event_id."""
+    before = F.lag("target").over(Window.partitionBy("pointer_id").orderBy("ts", "event_id"))
     moved = events.withColumn("exited", before).filter(~F.col("target").eqNullSafe(F.col("exited")))
     return moved.select("pointer_id", "ts", "exited", F.col("target").alias("entered"))

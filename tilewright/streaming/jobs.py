@@ -76,7 +76,7 @@ def hover_stream(stream: DataFrame, forget_ms: int = 86_400_000) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = ordered(batches, "ts")
+        rows = ordered(batches, "ts", "event_id")
         now = rows["target"].astype("Int64")
         before = now.shift(1)
         before.iloc[0] = state.get[0] if state.exists and state.get[0] >= 0 else pd.NA

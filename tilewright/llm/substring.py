@@ -191,88 +191,68 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-#: A repeat's source: the place whose words it repeats lies `_shift` words earlier in the text (_src, _src_variant). Known runs have none. places: firsts, or firsts and lasts, as 32-bit numbers.
-SOURCE = "_kind int, _src long, _src_variant long, _shift int, places binary"
+#: A repeat: the words [first, last), and the place whose words they repeat, `_shift` words earlier in a text (_src, _src_variant). Known runs and clashes have no source.
+REPEAT = "_kind int, _src long, _src_variant long, _shift int, first int, last int"
 
 
-def repeats(found: DataFrame) -> DataFrame:
-    """(_id, _variant, SOURCE): of found places, those that are not the first of their window, grouped by source as far as a task sees them."""
+def repeats(found: DataFrame, width: int) -> DataFrame:
+    """(_id, _variant, REPEAT) of found places: a row for each that is not the first of its window."""
     ordered = found.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "_id", "first", "_variant")
-    names = ["_id", "_variant", "_kind", "_src", "_src_variant", "_shift", "places"]
+    names = ["_id", "_variant", "_kind", "_src", "_src_variant", "_shift", "first", "last"]
 
-    def later(c: list[np.ndarray]) -> list[np.ndarray]:
-        """(id, variant, kind, source, its variant, shift, first, last) of whole keys' rows."""
+    def later(c: list[np.ndarray]) -> pa.RecordBatch:
+        """Of whole keys' rows."""
         h1, h2, ids, variants, first, last = c
         new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]) if len(h1) else np.zeros(0, bool)
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
         sure = h2 < 0
         keep = sure | (ids != ids[lead]) | (first != first[lead])
         none = np.zeros_like(ids)
-        out = [ids, variants, np.where(sure, h2, 0), np.where(sure, none, ids[lead]), np.where(sure, none, variants[lead]), np.where(sure, 0, first - first[lead]), first, last]
-        return [x[keep] for x in out]
-
-    def grouped(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-        x = [np.concatenate(p) for p in zip(*parts, strict=True)]
-        order = np.lexsort((x[6], *x[5::-1]))
-        x = [c[order] for c in x]
-        cut = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in x[:6]], axis=0)])) if len(order) else np.zeros(0, np.int64)
-        ends = np.append(cut[1:], len(order))[: len(cut)]
-        first, last = x[6].astype(np.int32), x[7].astype(np.int32)
-        packed = [(first[a:z].tobytes() if k == 0 else first[a:z].tobytes() + last[a:z].tobytes()) for a, z, k in zip(cut.tolist(), ends.tolist(), x[2][cut].tolist(), strict=True)]
-        kinds = (np.int64, np.int64, np.int32, np.int64, np.int64, np.int32)
-        return pa.RecordBatch.from_arrays([*[pa.array(c[cut].astype(k)) for c, k in zip(x, kinds, strict=False)], pa.array(packed, pa.binary())], names=names)
+        out = [ids, variants, np.where(sure, h2, 0), np.where(sure, none, ids[lead]), np.where(sure, none, variants[lead]), np.where(sure, 0, first - first[lead]), first, np.where(sure, last, first + width)]
+        kinds = (np.int64, np.int64, np.int32, np.int64, np.int64, np.int32, np.int32, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep].astype(k)) for x, k in zip(out, kinds, strict=True)], names=names)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 6
-        parts, n = [], 0
         for b in batches:
             c = [np.concatenate([h, x.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, x in zip(held, b.columns, strict=True)]
             # The last key may go on in the next batch.
             cut = int(np.argmax((c[0] == c[0][-1]) & (c[1] == c[1][-1]))) if len(c[0]) else 0
             held = [x[cut:] for x in c]
-            parts.append(later([x[:cut] for x in c]))
-            n += len(parts[-1][0])
-            if n > 1_000_000:
-                yield grouped(parts)
-                parts, n = [], 0
-        parts.append(later(held))
-        yield grouped(parts)
+            yield later([x[:cut] for x in c])
+        yield later(held)
 
-    return ordered.mapInArrow(lean(reduce), f"_id long, _variant long, {SOURCE}")
+    return ordered.mapInArrow(lean(reduce), f"_id long, _variant long, {REPEAT}")
 
 
-def runs_of(entries: list[dict], width: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int, int]]]:
-    """(runs [first, last) of words that go, pieces (source, its variant, from, to, shift) of the source's words to hold against them) of a text's entries.
+def runs_of(entries: pa.StructArray) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int, int]]]:
+    """(runs [first, last) of words that go, pieces (source, its variant, from, to, shift) of the source's words to hold against them) of a text's repeats.
 
     Pieces end at every CUT words of the source, so that texts which repeat the same words ask for the same pieces, and what is asked of a text
     is bounded by its own length.
     """
-    by: dict[tuple[int, int, int], list[np.ndarray]] = {}
-    gone: list[tuple[int, int]] = []
-    for e in entries:
-        at = np.frombuffer(e["places"], np.int32)
-        if e["_kind"] == KNOWN:
-            gone += zip(at[: len(at) // 2].tolist(), at[len(at) // 2 :].tolist(), strict=True)
-        elif not e["_kind"]:
-            by.setdefault((e["_src"], e["_src_variant"], e["_shift"]), []).append(at)
+    kind, src, variant, shift, first, last = (entries.field(k).to_numpy(zero_copy_only=False) for k in range(6))
+    known = kind == KNOWN
+    gone = list(zip(first[known].tolist(), last[known].tolist(), strict=True))
+    at = np.flatnonzero(kind == 0)
+    at = at[np.lexsort((first[at], shift[at], variant[at], src[at]))]
+    cut = consecutive(src[at], variant[at], shift[at], step=first[at])
+    ends = np.append(cut[1:], len(at))[: len(cut)] - 1
     pieces = []
-    for (src, variant, shift), found in by.items():
-        at = np.unique(np.concatenate(found))
-        cut = consecutive(step=at)
-        for a, z in zip(at[cut].tolist(), at[np.append(cut[1:], len(at)) - 1].tolist(), strict=True):
-            gone.append((a, z + width))
-            a, z = a - shift, z + width - shift
-            edges = [a, *range(a // CUT * CUT + CUT, z, CUT), z]
-            pieces += [(src, variant, s, e, shift) for s, e in zip(edges, edges[1:], strict=False)]
+    for i, a, z in zip(at[cut].tolist(), first[at[cut]].tolist(), last[at[ends]].tolist(), strict=True):
+        gone.append((a, z))
+        d = int(shift[i])
+        edges = [a - d, *range((a - d) // CUT * CUT + CUT, z - d, CUT), z - d]
+        pieces += [(int(src[i]), int(variant[i]), s, e, d) for s, e in zip(edges, edges[1:], strict=False)]
     return gone, pieces
 
 
-def asked(by_text: DataFrame, width: int) -> DataFrame:
+def asked(by_text: DataFrame) -> DataFrame:
     """(_id, _variant, asked: array<struct<s,e>>): the distinct pieces of each source."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = {p[:4] for e in b.column(0).to_pylist() for p in runs_of(e, width)[1]}
+            found = {p[:4] for e in b.column(0) for p in runs_of(e.values)[1]}
             cols = list(zip(*found, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["_id", "_variant", "s", "e"])
 
@@ -299,8 +279,8 @@ def once(own: DataFrame, width: int, bits: int, id_type: str, keep_text: bool, s
     """A try: the result, or None if two windows that differ share a hash."""
     spark = own.sparkSession
     seen = spark.sparkContext.broadcast(sketch(own, "_text", width, bits, seed).tobytes())
-    rows = repeats(places(own.select("_id", "_variant", "_text"), width, bits, seen, seed, strength))
-    entry = F.struct(*[c.split()[0] for c in SOURCE.split(", ")])
+    rows = repeats(places(own.select("_id", "_variant", "_text"), width, bits, seen, seed, strength), width)
+    entry = F.struct(*[c.split()[0] for c in REPEAT.split(", ")])
     by_text = saved(rows.groupBy("_id", "_variant").agg(F.collect_list(entry).alias("entries")), "repeats")
     if not by_text.filter(F.exists("entries", lambda e: e["_kind"] == CLASH)).isEmpty():
         return None
@@ -316,7 +296,7 @@ def once(own: DataFrame, width: int, bits: int, id_type: str, keep_text: bool, s
                 if pieces.is_valid:
                     checks = [(i.as_py(), variant.as_py(), p["s"], p["e"], *digest(w[p["s"] : p["e"]])) for p in pieces.as_py()]
                 if entries.is_valid:
-                    runs, told = runs_of(entries.as_py(), width)
+                    runs, told = runs_of(entries.values)
                     checks += [(src, v, s, e, *digest(w[s + d : e + d])) for src, v, s, e, d in told]
                     w = [x for x, g in zip(w, merged(runs, n).tolist(), strict=True) if not g]
                 kept = b" ".join(w)
@@ -326,7 +306,7 @@ def once(own: DataFrame, width: int, bits: int, id_type: str, keep_text: bool, s
             yield pa.RecordBatch.from_arrays(made, names=[k for k, _ in kinds])
 
     key = ["_id", "_variant"]
-    met = own.join(by_text.hint("merge"), key, "left").join(asked(by_text, width).hint("merge"), key, "left")
+    met = own.join(by_text.hint("merge"), key, "left").join(asked(by_text).hint("merge"), key, "left")
     ids = F.when(F.col("_id") != NO_ID, F.col("_id")).cast(id_type)
     out = saved(met.select(ids.alias("_out"), "_carry", "_text", "_id", "_variant", "entries", "asked").mapInArrow(lean(keep), ", ".join(f"{k} {t}" for k, t in kinds)), "deduplicated")
     checks = out.select(F.explode("checks").alias("c")).select("c.*").groupBy("id", "variant", "s", "e").agg(*[f(c).alias(n + c) for n, f in (("lo", F.min), ("hi", F.max)) for c in "xy"])

@@ -17,9 +17,9 @@ def _grid(i: str) -> str:
 
 VIEWS: dict[str, str] = {
     "points": f"SELECT event_id AS point_id, user_id AS device, ts, value, event_type AS kind, {_grid('((event_id * 7919) % 100000)')} FROM events",
-    "scenes": f"""SELECT o_orderkey AS scene_id, o_orderkey % (SELECT 1 + CAST(floor(max(s_suppkey) / CAST(10 AS DOUBLE)) AS BIGINT) FROM supplier) AS map_id, CAST(2 + o_orderkey % 9 + (o_orderkey % 4) * 0.25 AS DOUBLE) AS zoom,
+    "scenes": f"""SELECT o_orderkey AS scene_id, o_orderkey % (SELECT 1 + CAST(floor(max(s_suppkey) / CAST(3 AS DOUBLE)) AS BIGINT) FROM supplier) AS map_id, CAST(2 + o_orderkey % 9 + (o_orderkey % 4) * 0.25 AS DOUBLE) AS zoom,
         CAST(1024 AS DOUBLE) AS vw, CAST(768 AS DOUBLE) AS vh, CAST((o_orderkey % 8) * 45 AS DOUBLE) AS heading, CAST((o_orderkey % 3) * 20 AS DOUBLE) AS pitch, o_orderdate AS ts, {_grid('((o_orderkey * 7919) % 100000)')} FROM orders""",
-    "layers": """SELECT s_suppkey AS source_id, CAST(floor(s_suppkey / CAST(10 AS DOUBLE)) AS BIGINT) AS map_id, CAST(s_suppkey % 4 AS DOUBLE) AS min_zoom, CAST(6 + s_suppkey % 5 AS DOUBLE) AS max_zoom, s_suppkey % 7 <> 6 AS is_visible,
+    "layers": """SELECT s_suppkey AS source_id, CAST(floor(s_suppkey / CAST(3 AS DOUBLE)) AS BIGINT) AS map_id, CAST(s_suppkey % 4 AS DOUBLE) AS min_zoom, CAST(6 + s_suppkey % 5 AS DOUBLE) AS max_zoom, s_suppkey % 7 <> 6 AS is_visible,
         CAST(CASE WHEN s_suppkey % 5 = 4 THEN 0 ELSE 1 END AS DOUBLE) AS opacity, CAST(s_suppkey % 3 AS INT) AS min_source_zoom, CAST(5 + s_suppkey % 4 AS INT) AS max_source_zoom,
         CAST(CASE WHEN s_suppkey % 2 = 0 THEN 256 ELSE 512 END AS INT) AS tile_size, CAST(-180 + (s_suppkey % 18) * 10 AS DOUBLE) AS west, CAST(-80 AS DOUBLE) AS south,
         CAST(180 - (s_suppkey % 18) * 5 AS DOUBLE) AS east, CAST(80 - s_suppkey % 40 AS DOUBLE) AS north FROM supplier""",

@@ -4,11 +4,11 @@ A fingerprint of 64 bits is cut into two segments of 32. Of two fingerprints tha
 segment differs in at most one. Every segment is indexed once as it is and 32 times with one bit left out; equal keys
 are joined (for a left-out bit: those that have it set with those that do not) and every candidate is verified.
 Fingerprints take part once each, however many documents have them. A key's fingerprints are not paired out: they are
-searched breadth first, and only links that connect them are passed on; keys with more than `block` fingerprints are dealt
-out as pairs of blocks.
+searched breadth first, and only links that connect them are passed on; keys with more than `block` fingerprints take a byte of the other
+segment as well, and what is large even so is dealt out as pairs of blocks.
 
 Null texts and texts without words have fingerprint zero, linked like any other. Repeated rows are linked as copies; rows
-with a null id get their fingerprint, and count in no component's smallest id (a component of null ids alone is null).
+with a null id (and texts of any length, taken whole) get their fingerprint, and count in no component's smallest id (a component of null ids alone is null).
 An empty table gives no rows. Other columns do not take part.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from tilewright.llm.common import lean, saved
 from tilewright.llm.graph import components
 
-BITS, SEGMENT, BLOCK = 64, 32, 2048
+BITS, SEGMENT, BLOCK, TASK = 64, 32, 2048, 16384
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -108,7 +108,9 @@ def spanning(fps: np.ndarray, side: np.ndarray, most: int) -> list[tuple[int, in
 def links(fps: DataFrame, most: int = 3, block: int = BLOCK) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) at most `most` (up to 3) bits apart: all of them where a key has two
     fingerprints, else enough to connect the same ones."""
-    index = variants(fps)
+    # A fixed number of fingerprints a task, as each becomes 66 rows.
+    n_fps = fps.count()
+    index = variants(fps.repartition(max(1, -(-n_fps // TASK)), "fp"))
     of_key = index.groupBy("key").agg(*[f(F.when(F.col("bit") == s, x)).alias(f"{n}{s}") for s in (0, 1) for f, n, x in ((F.count, "n", F.lit(1)), (F.min, "lo", F.col("fp")), (F.max, "hi", F.col("fp")))])
     exact = (F.shiftrightunsigned("key", 32) % 33) == 32
     # A table, as both what two fingerprints share and what more share come from it; single fingerprints end here.
@@ -116,11 +118,18 @@ def links(fps: DataFrame, most: int = 3, block: int = BLOCK) -> DataFrame:
     n = F.col("n0") + F.col("n1")
     pairs = shared.filter(n == 2).select(F.least("lo0", F.coalesce("lo1", "hi0")).alias("a"), F.greatest("lo0", F.coalesce("lo1", "hi0")).alias("b"))
     pairs = pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)
-    parts = F.ceil(F.col("n") / block).cast("int")
-    more = index.join(shared.filter(n > 2).select("key", n.alias("n"), exact.alias("exact")).hint("merge"), "key").withColumn("parts", parts)
+    more = index.join(shared.filter(n > 2).select("key", n.alias("n"), exact.alias("exact")).hint("merge"), "key")
+    side = F.when(F.col("exact"), F.lit(-1)).otherwise(F.col("bit")).alias("side")
+    dealt = more.filter(F.col("n") <= block).select("key", F.lit(0).cast("long").alias("cell"), side, "fp")
+    # Large keys take a byte of the other segment as well: of two that differ in at most three bits, one of its four bytes is equal.
+    other = F.when(F.shiftrightunsigned("key", 32) < 33, F.shiftrightunsigned("fp", SEGMENT)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    byte = lambda j: (F.shiftrightunsigned(other, 8 * j).bitwiseAND(F.lit(255)) + 1 + 256 * j).cast("long")
+    large = saved(more.filter(F.col("n") > block).select("key", F.explode(F.array(*[byte(j) for j in range(4)])).alias("sub"), side, "fp"), "large")
+    sizes = large.groupBy("key", "sub").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     cells = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, own) * F.col("parts") + F.greatest(o, own)))
-    dealt = more.select("key", F.explode(cells).alias("cell"), F.when(F.col("exact"), F.lit(-1)).otherwise(F.col("bit")).alias("side"), "fp")
+    spread = large.join(sizes.hint("merge"), ["key", "sub"]).select("key", "sub", F.explode(cells).alias("_c"), "side", "fp")
+    dealt = dealt.unionByName(spread.select("key", (F.col("sub") * (1 << 40) + F.col("_c")).alias("cell"), "side", "fp"))
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 4
@@ -150,7 +159,7 @@ def links(fps: DataFrame, most: int = 3, block: int = BLOCK) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42, most: int = 3) -> DataFrame:
     """(id, fingerprint, component_id): component_id is the smallest id that is reachable over links, the row's own included."""
     own = saved(fingerprints(docs, id_col=id_col, text=text, width=width, seed=seed), "fingerprints")
-    distinct = own.groupBy("fp").agg(F.min(id_col).alias("least"))
+    distinct = saved(own.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
     of = components(links(distinct.select("fp"), most))
     joined = distinct.join(of.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     joined = saved(joined, "classes")

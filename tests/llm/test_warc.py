@@ -32,8 +32,24 @@ def test_round_trip(spark):
 
 def test_chunks_carry_digests(spark):
     df = spark.createDataFrame([(1, "u", "a" * 2500, 1, 2, "z")], SCHEMA)
-    made = warc.write(warc.chunked(warc.records(df), 1000), shared_path(spark, "warc"))
+    made = warc.write(warc.records(warc.chunk_table(df, size=1000)), shared_path(spark, "warc"))
     rows = sorted(warc.read(made, 1000).collect(), key=lambda r: r.chunk_no)
     assert [r.n_bytes for r in rows] == [1000, 1000, 500] and [r.last for r in rows] == [False, False, True]
     assert [r.sha256 for r in rows] == [hashlib.sha256(b"a" * n).hexdigest() for n in (1000, 2000, 2500)]
     assert b"".join(bytes(r.data) for r in rows) == b"a" * 2500
+
+
+def test_a_large_payload_travels_in_chunks(spark):
+    """No row after the first scan is larger than a chunk."""
+    text = "0123456789abcdef" * (1 << 20)
+    df = spark.createDataFrame([(1, "u", text, 1, 2, "z"), (2, "u", text, 1, 2, "z")], SCHEMA)
+    rows = warc.records(warc.chunk_table(df)).selectExpr("id", "refers_to", "chunk_no", "octet_length(data) AS n", "last").collect()
+    assert {r.n for r in rows if r.id == 1} == {warc.CHUNK} and len([r for r in rows if r.id == 1]) == len(text) // warc.CHUNK
+    assert [(r.refers_to, r.chunk_no, r.n, r.last) for r in rows if r.id == 2] == [(1, 0, 0, True)]
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type) for r in warc.round_trip(df).collect()}
+    digest = hashlib.sha256(text.encode()).hexdigest()
+    assert got == {1: (len(text), digest, "response"), 2: (len(text), digest, "revisit")}
+
+
+def test_stores_by_the_names_of_clusters(tmp_path):
+    assert warc.SCHEMES["s3a"] == "s3" and warc.opened(f"file://{tmp_path}")[1] == str(tmp_path)

@@ -1,14 +1,14 @@
 """WARC archives through a table of chunks.
 
-Payloads travel as rows (record, chunk number, bytes): cut in the JVM, streamed into gzip members by the writing tasks, and
-streamed back by the reading tasks with a SHA-256 that is carried from chunk to chunk. No task holds a whole payload, nor
-an archive. A task's archive has a name of its own, and only the archives that Spark's writer has committed to the manifest
-are read, so attempts that were lost or repeated leave nothing behind that counts.
+Payloads are cut to rows (record, chunk number, bytes) as they are read, and written as a table; from there on no row is larger than a chunk. They are streamed into
+gzip members by the writing tasks, and streamed back by the reading tasks with a SHA-256 that is carried from chunk to chunk. Only the first scan sees a payload
+in one piece, as its table holds it in one value. A task's archive has a name of its own, and only the archives that Spark's writer has committed to
+the manifest are read, so attempts that were lost or repeated leave nothing behind that counts.
 
 Of records with equal payloads of at least `least` bytes, the one with the smallest id is a response and the others are
 revisits of it; rows that repeat that smallest id are responses too. Rows with a null id come after all others, and are
 responses where no other row has the payload. Null payloads are empty, and shorter ones are all responses. An empty
-table gives no rows. Other columns do not take part. A null url is written as an empty one.
+table gives no rows. Other columns do not take part, whatever their names. A null url is written as an empty one.
 """
 
 from __future__ import annotations
@@ -24,32 +24,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.common import saved, shared_path
+from tilewright.llm.common import lean, saved, shared_path
 
 CHUNK = 1 << 18
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LINE = b"\r\n"
 
 
-def records(pages: DataFrame, *, id_col: str = "page_id", url: str = "url", payload: str = "html", least: int = 100) -> DataFrame:
-    """(id, url, payload: binary, payload_bytes, payload_digest, refers_to: the response's id, for revisits)."""
-    body = F.encode(F.coalesce(F.col(f"`{payload}`"), F.lit("")), "UTF-8") if isinstance(pages.schema[payload].dataType, T.StringType) else F.coalesce(F.col(f"`{payload}`"), F.lit(b""))
-    own = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url}`").alias("url"), body.alias("payload"))
+def chunk_table(pages: DataFrame, *, id_col: str = "page_id", url: str = "url", payload: str = "html", size: int = CHUNK) -> DataFrame:
+    """(_row, id, url, payload_bytes, payload_digest, chunk_no, last, data): the rows' payloads cut to chunks as they are read, written as a table. An empty payload is one empty chunk."""
+    body = F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b""))
+    own = pages.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{url}`").alias("url"), body.alias("payload"))
     own = own.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    # Short payloads need no partner: a key of their own keeps them from meeting in one task.
-    key = F.when(F.col("payload_bytes") >= least, F.col("payload_digest"))
-    firsts = own.select(key.alias("_key"), "id").filter("_key is not null").groupBy("_key").agg(F.min("id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    # The payload goes through one join at most, whose large keys Spark can split.
-    return own.withColumn("_key", F.coalesce(key, F.concat(F.lit("-"), F.xxhash64("id", "url").cast("string")))).join(firsts.hint("merge"), "_key", "left").select(
-        "id", "url", "payload", "payload_bytes", "payload_digest", F.when(~F.col("id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to")
-    )
+    n = F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / size)).cast("int")
+    cut = own.withColumn("_n", n).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    rows = cut.select("_row", "id", "url", "payload_bytes", "payload_digest", "chunk_no", (F.col("chunk_no") == F.col("_n") - 1).alias("last"), F.substring("payload", F.col("chunk_no") * size + 1, F.lit(size)).alias("data"))
+    return saved(rows, "chunks")
 
 
-def chunked(rows: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Chunk rows of records, in order and side by side: revisits and empty payloads have one empty chunk."""
-    n = F.when(F.col("refers_to").isNull(), F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / size))).otherwise(F.lit(1)).cast("int")
-    cut = F.when(F.col("refers_to").isNull(), F.substring("payload", F.col("chunk_no") * size + 1, F.lit(size))).otherwise(F.lit(b""))
-    return rows.withColumn("_n", n).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("id", "url", "payload_bytes", "payload_digest", "refers_to", "chunk_no", (F.col("chunk_no") == F.col("_n") - 1).alias("last"), cut.alias("data"))
+def records(chunks: DataFrame, *, least: int = 100) -> DataFrame:
+    """chunks with `refers_to` (the response's id, for revisits, which keep one empty chunk), a record's side by side and in order.
+
+    Which rows are revisits is told by ids and digests alone; chunks are then joined by the number of their row, so that no payload that many rows share is one
+    task's.
+    """
+    heads = chunks.filter("chunk_no = 0").select("_row", "id", "payload_bytes", "payload_digest").filter(F.col("payload_bytes") >= least)
+    firsts = heads.groupBy("payload_digest").agg(F.min("id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    revisits = heads.join(firsts.hint("merge"), "payload_digest").filter(~F.col("id").eqNullSafe(F.col("_first")) & F.col("_first").isNotNull()).select("_row", F.col("_first").alias("refers_to"))
+    met = chunks.join(revisits.hint("merge"), "_row", "left").filter(F.col("refers_to").isNull() | (F.col("chunk_no") == 0))
+    again = F.col("refers_to").isNotNull()
+    out = met.withColumns({"data": F.when(again, F.lit(b"")).otherwise(F.col("data")), "last": again | F.col("last")})
+    return out.sortWithinPartitions("_row", "chunk_no").select("id", "url", "payload_bytes", "payload_digest", "refers_to", "chunk_no", "last", "data")
+
+
+#: Names that clusters give to stores, and those by which pyarrow knows them.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def opened(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    scheme, colon, rest = uri.partition(":")
+    return pa.fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
 
 
 def name_of(x: object) -> str:
@@ -72,11 +86,11 @@ def write(chunks: DataFrame, folder: str, level: int = 1) -> DataFrame:
     """Writes chunk rows as archives of one gzip member a record, below folder (any place that pyarrow.fs opens). Returns their manifest (archive, records)."""
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = pa.fs.FileSystem.from_uri(folder)
+        fs, path = opened(folder)
         fs.create_dir(path, recursive=True)
         name, out, n = f"{uuid.uuid4().hex}.warc.gz", None, 0
         for b in batches:
-            for r in b.to_pylist():
+            for r in (r for k in range(0, b.num_rows, 16) for r in b.slice(k, 16).to_pylist()):
                 if out is None:
                     out = fs.open_output_stream(f"{path}/{name}")
                 if r["chunk_no"] == 0:
@@ -90,7 +104,7 @@ def write(chunks: DataFrame, folder: str, level: int = 1) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "records": pa.array([n], pa.int64())})
 
-    return saved(chunks.mapInArrow(written, "archive string, records long"), "manifest")
+    return saved(chunks.mapInArrow(lean(written), "archive string, records long"), "manifest")
 
 
 class Inflated:
@@ -145,7 +159,7 @@ def read(manifest: DataFrame, size: int = CHUNK, payload: bool = True) -> DataFr
     """
 
     def chunks(archive: str) -> Iterator[dict]:
-        fs, path = pa.fs.FileSystem.from_uri(archive)
+        fs, path = opened(archive)
         with fs.open_input_stream(path) as source:
             stream, number = Inflated(source), -1
             while (line := stream.line()) is not None:
@@ -186,12 +200,13 @@ def read(manifest: DataFrame, size: int = CHUNK, payload: bool = True) -> DataFr
 
     # One archive a task: an archive is the output of one task, and so of bounded size.
     n = manifest.count()
-    return manifest.select("archive").repartition(max(1, n), "archive").mapInArrow(of, CHUNKS)
+    # Dealt in turn from one list of names, so that each task gets one.
+    return manifest.select("archive").coalesce(1).repartition(max(1, n)).mapInArrow(lean(of), CHUNKS)
 
 
 def round_trip(pages: DataFrame, *, id_col: str = "page_id", url: str = "url", payload: str = "html", least: int = 100, size: int = CHUNK, folder: str | None = None) -> DataFrame:
     """(id, payload_bytes, payload_digest, record_type, refers_to) of each row, as read back from archives that it has written."""
-    made = write(chunked(records(pages, id_col=id_col, url=url, payload=payload, least=least), size), folder or shared_path(pages.sparkSession, "warc"))
+    made = write(records(chunk_table(pages, id_col=id_col, url=url, payload=payload, size=size), least=least), folder or shared_path(pages.sparkSession, "warc"))
     id_type = pages.schema[id_col].dataType
     bare = lambda c: F.when(F.length(c) > 13, F.substring(c, 13, F.length(c) - 13)).cast(id_type)
     revisit = F.col("record_type") == "revisit"

@@ -1,5 +1,6 @@
 """Classifiers: held-out accuracy, edge cases, and brute force of what can be recomputed."""
 
+import itertools
 import math
 import re
 import textwrap
@@ -54,6 +55,46 @@ def test_chain_uses_out_of_fold_predictions():
     assert ((p > 0.5) == first).mean() > 0.97
 
 
+def slow_hash(word, bits, seed=21):
+    """A bucket by the formula, in plain numbers."""
+    h = labelled.hasher(seed)
+    low = (1 << 64) - 1
+    x = (sum(int(h.byte[c]) * pow(h.powers.base, k, 1 << 64) for k, c in enumerate(word)) + len(word)) & low
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & low
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & low
+    return (x ^ (x >> 31)) >> (64 - bits)
+
+
+def test_toxicity_is_what_its_weights_say(spark, split):
+    """Probabilities of whole texts, recomputed word by word."""
+    docs, train, _ = split
+    chain = toxicity.fit(docs, train)
+    for r in toxicity.score(docs.filter("doc_id % 250 = 1"), chain).join(docs, "doc_id").collect():
+        words = re.findall(rb"[a-z\x80-\xff]+", r.text.encode().lower())
+        has = {slow_hash(w[:n], toxicity.BITS) for w in words for n in (4, 5, 6, 7, len(w))}
+        p = []
+        for link in chain:
+            x = link.constant + sum(float(v) for b, v in zip(link.buckets, link.weights) if int(b) in has) + sum(float(a) * b for a, b in zip(link.earlier, p))
+            p.append(1 / (1 + math.exp(-max(-35, min(35, x)))))
+        assert [r.p_group_1, r.p_group_2, r.toxicity] == pytest.approx(p, abs=1e-9) and r.is_toxic == (p[-1] >= 0.5)
+
+
+def test_quality_is_what_its_weights_say(spark, split):
+    """Expected grades and tail probabilities of whole texts, recomputed word by word."""
+    docs, train, _ = split
+    model = quality.fit(docs, quality.grades(train))
+    kind = lambda c: 65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c
+    for r in quality.score(docs.filter("doc_id % 250 = 1"), model).join(docs, "doc_id").collect():
+        words, n = r.text.encode().split(), {}
+        for k, w in enumerate(words):
+            shape = bytes(g for g, _ in itertools.groupby(map(kind, w)))
+            for b in (slow_hash(w, quality.BITS, 22), slow_hash(shape, quality.BITS, 23), *([0] if k and words[k - 1] == w else [])):
+                n[b] = n.get(b, 0) + 1
+        x = sum(float(model.weights[b]) * math.sqrt(c / len(words)) for b, c in n.items())
+        tails = [1 / (1 + math.exp(-max(-35, min(35, x - t)))) for t in model.thresholds]
+        assert [r.expected_grade, r.tail_probability] == pytest.approx([sum(tails), tails[0]], abs=1e-6)
+
+
 def test_quality_on_held_out_rows(spark, split):
     docs, train, test = split
     model = quality.fit(docs, quality.grades(train))

@@ -37,11 +37,6 @@ def letter_features(data: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.nda
     return np.tile(row, len(found)), np.concatenate(found).astype(np.int64)
 
 
-def bucket_of(word: str, bits: int) -> int:
-    data = np.frombuffer(word.encode(), np.uint8)
-    return int(hasher(21).of(data, np.zeros(1, np.int64), np.full(1, len(data)))[0] >> np.uint64(64 - bits))
-
-
 def shape_features(data: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, bucket, words of the row) of the words, of their shapes (kinds of bytes, repeats collapsed), and of words that repeat the one before."""
     start, end, row = V.words(data, at)

@@ -4,9 +4,10 @@ P(grade <= k) = sigmoid(threshold[k] - weights . x): one set of weights over has
 order. A text's features are the square roots of their shares of its words. Gives the expected grade, and the probability
 of a grade of at least `least`, by which texts are selected.
 
-Fitted on a sample of at most `most` graded rows; everything else covers all rows and whole texts. Null and empty texts
+Fitted on a sample of at most `most` graded rows; everything else covers all rows and whole texts, of any length. Null and empty texts
 have no features, and are judged by the thresholds alone; null ids are kept; repeated rows are scored each for itself;
 without graded rows all are kept. An empty table gives no rows.
+Columns with the names of outputs are replaced; others stay.
 """
 
 from __future__ import annotations

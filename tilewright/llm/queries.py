@@ -23,7 +23,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, p_insult, p_contempt, toxicity, is_toxic) of every document."""
+    """(doc_id, p_group_1, p_group_2, toxicity, is_toxic) of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
 

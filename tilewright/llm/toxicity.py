@@ -2,12 +2,12 @@
 
 Categories are predicted one after another: a category's model is linear in the presence of hashed words and word
 beginnings and in the probabilities of the categories before it. The chain is trained with out-of-fold predictions: what a later
-model sees of an earlier one in training is what models that were not fitted on the row say. The last category is the label itself;
-those before it are weak labels: labelled rows that are toxic and hold one of the category's seed words.
+model sees of an earlier one in training is what a chain says that was fitted without the row. The last category is the label itself. The tables
+have no other labels, so those before it are learned: groups of toxic labelled rows by the words that they use.
 
-Fitted on a sample of at most `most` labelled rows; everything else covers all rows and whole texts. Null and empty texts
+Fitted on a sample of at most `most` labelled rows; everything else covers all rows and whole texts, of any length. Null and empty texts
 have the probability of a text without features, and are not toxic by it; null ids are kept; repeated rows are scored each
-for itself; without labels, or with labels of one kind only, nothing is toxic. An empty table gives no rows.
+for itself; without labels, or with labels of one kind only, nothing is toxic. An empty table gives no rows. Columns with the names of outputs are replaced; others stay.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from tilewright.llm import bytesvec as V
 from tilewright.llm.common import lean
-from tilewright.llm.labelled import bucket_of, gathered, letter_features, sample, sigmoid
+from tilewright.llm.labelled import gathered, letter_features, sample, sigmoid
 
-#: Categories before the last, and their seed words.
-SEEDS = {"insult": ("idiot", "moron", "stupid", "clown", "loser"), "contempt": ("worthless", "pathetic", "trash", "scum", "disgusting")}
-LAST, BITS, SAMPLE, FEATURES, FOLDS = "toxic", 20, 5000, 150, 5
+#: Categories before the last: groups of toxic rows that use the same words.
+GROUPS = ("group_1", "group_2")
+BITS, SAMPLE, FEATURES, FOLDS = 20, 5000, 150, 5
 #: Half the likelihood ratio that a bucket must reach to be used, and the weight of the ridge penalty.
 LEAST_GAIN, RIDGE = 6.0, 0.05
 
@@ -96,26 +96,57 @@ def apply_link(link: Link, row: np.ndarray, bucket: np.ndarray, earlier: np.ndar
     return sigmoid(total + earlier @ link.earlier)
 
 
-def fit_chain(row: np.ndarray, bucket: np.ndarray, targets: list[np.ndarray], features: int = FEATURES, folds: int = FOLDS) -> list[Link]:
-    """A link for each target, in order. row, bucket: the distinct features of each row."""
+def apply_chain(chain: list[Link], row: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
+    """The categories' probabilities of n rows, one after another. row and bucket without repeats."""
+    p = np.zeros((n, 0))
+    for link in chain:
+        p = np.column_stack([p, apply_link(link, row, bucket, p)])
+    return p
+
+
+def fit_chain(row: np.ndarray, bucket: np.ndarray, targets: list[np.ndarray], features: int = FEATURES, folds: int = FOLDS, inner: int = 3) -> list[Link]:
+    """A link for each target, in order. row, bucket: the distinct features of each row.
+
+    What a link sees of earlier categories is what a chain says that was fitted without the row: one for each fold, which picks its buckets, and gets its
+    own out-of-fold values, from the other folds' rows alone (`inner` folds of them; in those, the links before see no earlier categories).
+    """
     n = len(targets[0]) if targets else 0
-    fold = np.arange(n) % folds
-    out_of_fold, chain = np.zeros((n, 0)), []
-    for y in targets:
-        chain.append(fit_link(row, bucket, out_of_fold, y, features))
-        held = np.zeros(n)
-        for k in range(folds):
-            within = fold[row] != k
-            use = np.flatnonzero(fold != k)
-            place = np.cumsum(fold != k) - 1
-            link = fit_link(place[row[within]], bucket[within], out_of_fold[use], y[use], features)
-            held[fold == k] = apply_link(link, row[~within], bucket[~within], out_of_fold)[fold == k]
-        out_of_fold = np.column_stack([out_of_fold, held])
-    return chain
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, seeds: dict[str, tuple[str, ...]] = SEEDS, label: str = "toxic", most: int = SAMPLE, id_col: str = "doc_id", text: str = "text") -> list[Link]:
-    """The chain for the categories of seeds and then the label (0 or 1)."""
+    fold = np.arange(n) % max(1, folds)
+    seen = np.zeros((n, len(targets)))
+    for k in range(folds if n > folds and len(targets) > 1 else 0):
+        use, held = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        place = np.zeros(n, np.int64)
+        place[use], place[held] = np.arange(len(use)), np.arange(len(held))
+        within = fold[row] != k
+        r, b = place[row[within]], bucket[within]
+        others = [y[use] for y in targets]
+        chain = fit_chain(r, b, others, features, inner, 0) if inner else [fit_link(r, b, np.zeros((len(use), 0)), y, features) for y in others]
+        r, b = place[row[~within]], bucket[~within]
+        seen[held] = apply_chain(chain, r, b, len(held)) if inner else np.column_stack([apply_link(c, r, b, np.zeros((len(held), 0))) for c in chain])
+    return [fit_link(row, bucket, seen[:, :j], y, features) for j, y in enumerate(targets)]
+
+
+def groups_of(row: np.ndarray, bucket: np.ndarray, toxic: np.ndarray, k: int = len(GROUPS), rounds: int = 12, seed: int = 3) -> np.ndarray:
+    """The group of each toxic row, by which words it uses (-1 for other rows): k means of the directions of their telling buckets, from the two rows that lie farthest apart."""
+    out = np.full(len(toxic), -1)
+    buckets = telling(row, bucket, toxic, FEATURES) if toxic.sum() >= 2 else np.zeros(0, np.int64)
+    if not len(buckets):
+        return out
+    x = dense(row, bucket, len(toxic), buckets)[toxic]
+    x = x - x.mean(axis=0)
+    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
+    means = x[np.random.default_rng(seed).integers(0, len(x), 1)]
+    for _ in range(k - 1):
+        means = np.vstack([means, x[np.argmin((x @ means.T).max(axis=1))]])
+    for _ in range(rounds):
+        of = np.argmax(x @ means.T, axis=1)
+        means = np.vstack([x[of == j].mean(axis=0) if (of == j).any() else means[j] for j in range(k)])
+    out[toxic] = of
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most: int = SAMPLE, id_col: str = "doc_id", text: str = "text") -> list[Link]:
+    """The chain for the groups of toxic rows and then the label (0 or 1)."""
 
     def features(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         return [np.unique(letter_features(data, at, BITS)[1])]
@@ -124,21 +155,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, seeds: dict[str, tuple[str, ...]]
     found = [np.frombuffer(f[0], np.int32) for f in got]
     row, bucket = np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate([*found, np.zeros(0, np.int32)]).astype(np.int64)
     toxic = y[:, 0].astype(int) == 1 if len(y) else np.zeros(0, bool)
-    # Only buckets that toxic rows hold more often, two of them at least, can speak for a category.
-    held, total = np.bincount(bucket, toxic[row].astype(float), 1 << BITS), np.bincount(bucket, minlength=1 << BITS)
-    use = ((held >= 2) & (held / max(1, toxic.sum()) > 1.5 * (total - held) / max(1, (~toxic).sum())))[bucket]
-    row, bucket = row[use], bucket[use]
-    targets = []
-    for of in seeds.values():
-        has = np.zeros(len(toxic), bool)
-        has[row[np.isin(bucket, [bucket_of(w, BITS) for w in of])]] = True
-        targets.append(toxic & has)
-    return fit_chain(row, bucket, [*targets, toxic])
+    of = groups_of(row, bucket, toxic)
+    return fit_chain(row, bucket, [*(of == j for j in range(len(GROUPS))), toxic])
 
 
 def score(docs: DataFrame, chain: list[Link], *, names: list[str] | None = None, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """docs with p_<category> of each category of the chain, `toxicity` (that of the last) and `is_toxic`. Columns of these names are replaced."""
-    names = [f"p_{c}" for c in names or SEEDS]
+    names = [f"p_{c}" for c in names or GROUPS]
     added = [*names, "toxicity", "is_toxic"]
     kept = [f for f in docs.schema.fields if f.name not in added]
     watched = np.unique(np.concatenate([c.buckets for c in chain])) if chain else np.zeros(0, np.int64)

@@ -133,13 +133,13 @@ def _(spark, sf_dir):
 @query("e11_split_polygons", SHAPES + """, bx AS (SELECT shape_id, contour, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, min(CASE WHEN contour = 0 THEN 1 ELSE -1 END) AS turn FROM v GROUP BY ALL),
 t AS (SELECT *, CAST(a.u AS INT) AS tx, CAST(b.u AS INT) AS ty FROM bx, unnest(range(CAST(floor(x0 * 256) AS BIGINT), CAST(floor(x1 * 256) AS BIGINT) + 1)) AS a(u), unnest(range(CAST(floor(y0 * 256) AS BIGINT), CAST(floor(y1 * 256) AS BIGINT) + 1)) AS b(u)),
 c AS (SELECT *, turn * (least(x1, (tx + 1) / 256.0) - greatest(x0, tx / 256.0)) * (least(y1, (ty + 1) / 256.0) - greatest(y0, ty / 256.0)) AS area FROM t)
-SELECT shape_id, contour, CAST(tx + 256 AS INT) % 256 AS tx, ty, round(abs(area) * 1e9, 3) AS area FROM c WHERE abs(area) > 1e-15""")
+SELECT shape_id, contour, CAST(tx + 256 AS INT) % 256 AS tx, ty, round(abs(area) * 1e9, 0) AS area FROM c WHERE abs(area) > 1e-15""")
 def _(spark, sf_dir):
     cut = G.split_polygons_by_tile(shapes(spark, sf_dir), 8)
     n = F.size("xs")
     at = lambda c, k: F.get(c, F.pmod(k, n))
     area = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, k: s + at("xs", k) * at("ys", k + 1) - at("xs", k + 1) * at("ys", k)) / 2
-    return cut.select(C("path_id").alias("shape_id"), "contour", F.pmod("tx", F.lit(256)).cast("int").alias("tx"), "ty", F.round(F.abs(area) * 1e9, 3).alias("area"))
+    return cut.select(C("path_id").alias("shape_id"), "contour", F.pmod("tx", F.lit(256)).cast("int").alias("tx"), "ty", F.round(F.abs(area) * 1e9, 0).alias("area"))
 
 
 @query("e12_path_length", PATHS + """, m AS (

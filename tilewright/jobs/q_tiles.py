@@ -249,9 +249,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.request_tiles(T.required_tiles(shown(spark, sf_dir)), active(spark, sf_dir), view(spark, sf_dir, "layers"))
 
 
-@query("c01_visible_tiles", TILES + 'SELECT scene_id, z, x, y, world_x, tile_index, round("left", 4) AS "left", round(top, 4) AS top FROM vt')
+@query("c01_visible_tiles", TILES + 'SELECT scene_id, z, x, y, world_x, tile_index, round("left", 2) AS "left", round(top, 2) AS top FROM vt')
 def _(spark, sf_dir):
-    return shown(spark, sf_dir).select("scene_id", "z", "x", "y", "world_x", "tile_index", *rounded("left", "top", places=4))
+    return shown(spark, sf_dir).select("scene_id", "z", "x", "y", "world_x", "tile_index", *rounded("left", "top", places=2))
 
 
 @query("c01_visible_tiles_margin", having("scenes") + "," + boxes(128) + """, pl AS (SELECT scene_id, plain.lx AS plx, plain.hx AS phx, plain.ly AS ply, plain.hy AS phy FROM (WITH""" + boxes().replace("FROM scenes", "FROM scenes") + """ SELECT scene_id, lx, hx, ly, hy FROM bx) AS plain),

@@ -191,14 +191,15 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-#: A repeat: the words [first, last), and the place whose words they repeat, `_shift` words earlier in a text (_src, _src_variant). Known runs and clashes have no source.
-REPEAT = "_kind int, _src long, _src_variant long, _shift int, first int, last int"
+#: A repeat: the window at `first`, and the place whose words it repeats, `_shift` words earlier in a text (_src, _src_variant). Known runs and clashes have no source, and their number
+#: of words for a shift.
+REPEAT = "_kind int, _src long, _src_variant long, _shift int, first int"
 
 
-def repeats(found: DataFrame, width: int) -> DataFrame:
+def repeats(found: DataFrame) -> DataFrame:
     """(_id, _variant, REPEAT) of found places: a row for each that is not the first of its window."""
     ordered = found.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "_id", "first", "_variant")
-    names = ["_id", "_variant", "_kind", "_src", "_src_variant", "_shift", "first", "last"]
+    names = ["_id", "_variant", "_kind", "_src", "_src_variant", "_shift", "first"]
 
     def later(c: list[np.ndarray]) -> pa.RecordBatch:
         """Of whole keys' rows."""
@@ -208,8 +209,8 @@ def repeats(found: DataFrame, width: int) -> DataFrame:
         sure = h2 < 0
         keep = sure | (ids != ids[lead]) | (first != first[lead])
         none = np.zeros_like(ids)
-        out = [ids, variants, np.where(sure, h2, 0), np.where(sure, none, ids[lead]), np.where(sure, none, variants[lead]), np.where(sure, 0, first - first[lead]), first, np.where(sure, last, first + width)]
-        kinds = (np.int64, np.int64, np.int32, np.int64, np.int64, np.int32, np.int32, np.int32)
+        out = [ids, variants, np.where(sure, h2, 0), np.where(sure, none, ids[lead]), np.where(sure, none, variants[lead]), np.where(sure, last - first, first - first[lead]), first]
+        kinds = (np.int64, np.int64, np.int32, np.int64, np.int64, np.int32, np.int32)
         return pa.RecordBatch.from_arrays([pa.array(x[keep].astype(k)) for x, k in zip(out, kinds, strict=True)], names=names)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,13 +226,17 @@ def repeats(found: DataFrame, width: int) -> DataFrame:
     return ordered.mapInArrow(lean(reduce), f"_id long, _variant long, {REPEAT}")
 
 
-def runs_of(entries: pa.StructArray) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int, int]]]:
+def runs_of(entries: pa.StructArray, width: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int, int]]]:
     """(runs [first, last) of words that go, pieces (source, its variant, from, to, shift) of the source's words to hold against them) of a text's repeats.
 
     Pieces end at every CUT words of the source, so that texts which repeat the same words ask for the same pieces, and what is asked of a text
     is bounded by its own length.
     """
-    kind, src, variant, shift, first, last = (entries.field(k).to_numpy(zero_copy_only=False) for k in range(6))
+    lists = entries.field(4)
+    of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    kind, src, variant, shift = (entries.field(k).to_numpy(zero_copy_only=False)[of] for k in range(4))
+    first = lists.flatten().to_numpy(zero_copy_only=False)
+    last = first + np.where(kind == 0, width, shift)
     known = kind == KNOWN
     gone = list(zip(first[known].tolist(), last[known].tolist(), strict=True))
     at = np.flatnonzero(kind == 0)
@@ -247,12 +252,12 @@ def runs_of(entries: pa.StructArray) -> tuple[list[tuple[int, int]], list[tuple[
     return gone, pieces
 
 
-def asked(by_text: DataFrame) -> DataFrame:
+def asked(by_text: DataFrame, width: int) -> DataFrame:
     """(_id, _variant, asked: array<struct<s,e>>): the distinct pieces of each source."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = {p[:4] for e in b.column(0) for p in runs_of(e.values)[1]}
+            found = {p[:4] for e in b.column(0) for p in runs_of(e.values, width)[1]}
             cols = list(zip(*found, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["_id", "_variant", "s", "e"])
 
@@ -279,9 +284,11 @@ def once(own: DataFrame, width: int, bits: int, id_type: str, keep_text: bool, s
     """A try: the result, or None if two windows that differ share a hash."""
     spark = own.sparkSession
     seen = spark.sparkContext.broadcast(sketch(own, "_text", width, bits, seed).tobytes())
-    rows = repeats(places(own.select("_id", "_variant", "_text"), width, bits, seen, seed, strength), width)
-    entry = F.struct(*[c.split()[0] for c in REPEAT.split(", ")])
-    by_text = saved(rows.groupBy("_id", "_variant").agg(F.collect_list(entry).alias("entries")), "repeats")
+    rows = repeats(places(own.select("_id", "_variant", "_text"), width, bits, seen, seed, strength))
+    # By source first, which takes most of the rows together before they are shuffled.
+    source = [c.split()[0] for c in REPEAT.split(", ")[:-1]]
+    by_source = rows.groupBy("_id", "_variant", *source).agg(F.collect_list("first").alias("firsts"))
+    by_text = saved(by_source.groupBy("_id", "_variant").agg(F.collect_list(F.struct(*source, "firsts")).alias("entries")), "repeats")
     if not by_text.filter(F.exists("entries", lambda e: e["_kind"] == CLASH)).isEmpty():
         return None
     kinds = [("_id", id_type), ("_carry", own.schema["_carry"].dataType.simpleString()), ("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string"), ("kept", "string"), ("checks", "array<struct<id:bigint,variant:bigint,s:int,e:int,x:bigint,y:bigint>>")]
@@ -296,7 +303,7 @@ def once(own: DataFrame, width: int, bits: int, id_type: str, keep_text: bool, s
                 if pieces.is_valid:
                     checks = [(i.as_py(), variant.as_py(), p["s"], p["e"], *digest(w[p["s"] : p["e"]])) for p in pieces.as_py()]
                 if entries.is_valid:
-                    runs, told = runs_of(entries.values)
+                    runs, told = runs_of(entries.values, width)
                     checks += [(src, v, s, e, *digest(w[s + d : e + d])) for src, v, s, e, d in told]
                     w = [x for x, g in zip(w, merged(runs, n).tolist(), strict=True) if not g]
                 kept = b" ".join(w)
@@ -306,7 +313,7 @@ def once(own: DataFrame, width: int, bits: int, id_type: str, keep_text: bool, s
             yield pa.RecordBatch.from_arrays(made, names=[k for k, _ in kinds])
 
     key = ["_id", "_variant"]
-    met = own.join(by_text.hint("merge"), key, "left").join(asked(by_text).hint("merge"), key, "left")
+    met = own.join(by_text.hint("merge"), key, "left").join(asked(by_text, width).hint("merge"), key, "left")
     ids = F.when(F.col("_id") != NO_ID, F.col("_id")).cast(id_type)
     out = saved(met.select(ids.alias("_out"), "_carry", "_text", "_id", "_variant", "entries", "asked").mapInArrow(lean(keep), ", ".join(f"{k} {t}" for k, t in kinds)), "deduplicated")
     checks = out.select(F.explode("checks").alias("c")).select("c.*").groupBy("id", "variant", "s", "e").agg(*[f(c).alias(n + c) for n, f in (("lo", F.min), ("hi", F.max)) for c in "xy"])

@@ -98,6 +98,8 @@ OTHERS = (
     "Two conditions are met and the third is not.", "The apache people lived in the south.", "She studied at a school in Massachusetts known as MIT.", "Software and documentation are sold by the company.", "The international library is open to any person.", "The program was modified in 2004.",
 )
 UNKNOWN, SURE, SHARE, WIDE = "unknown", 0.5, 0.6, 128
+#: Words of any prose, which the gate takes last.
+PLAIN = COMMON | frozenset("above agreed an appear as at available basis but code common conditions contents copies copy copying deal derived distribute distributed do either file form forms general holder its later modify notice program public released rights".split())
 #: What may stand before a line: marks of comments, quotes and lists.
 MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|<!--|%+|>+|\||dnl\b|REM\b)?[ \t]*"
 BLANK_LINES = r"(?:\r?\n[ \t]*){2,}"
@@ -133,7 +135,7 @@ def gate() -> list[str]:
         count = lambda w: sum(w in p for p in pairs)  # noqa: B023, E731
         mine: set[str] = set()
         while sum(not mine.isdisjoint(p) for p in pairs) <= (1 - SHARE) * len(pairs):
-            free = sorted({w for p in pairs for w in p} - mine, key=lambda w: (w in COMMON, w not in chosen, -count(w), w))
+            free = sorted({w for p in pairs for w in p} - mine, key=lambda w: (w in PLAIN, w not in chosen, -count(w), w))
             mine.add(free[0])
         chosen |= mine
     return sorted(chosen)
@@ -200,10 +202,13 @@ def template_pairs(text: str) -> list[str]:
 
 def passages(docs: DataFrame, text: str) -> DataFrame:
     """(_row, paragraph, part, words) of paragraphs that hold a word of the gate: their words, in parts of 2 * WIDE that overlap by half, so that any WIDE words lie in one."""
-    pattern = r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(gate()) + r")(?![A-Za-z0-9])"
+    telling = F.array(*[F.lit(w) for w in gate()])
+    words = lambda c: F.split(F.lower(c), "[^a-z0-9]+")
+    # Whole texts first: most hold none of these words, and end here.
+    held = docs.filter(F.arrays_overlap(words(F.col(f"`{text}`")), telling))
     plain = F.regexp_replace(F.col(f"`{text}`"), MARKS, "")
-    lines = docs.filter(F.col(f"`{text}`").rlike(pattern)).select("_row", F.posexplode(F.split(plain, BLANK_LINES)).alias("paragraph", "_p")).filter(F.col("_p").rlike(pattern))
-    words = lines.select("_row", "paragraph", F.filter(F.split(F.lower(F.regexp_replace("_p", "[^A-Za-z0-9]+", " ")), " "), lambda w: w != "").alias("_w"))
+    lines = held.select("_row", F.posexplode(F.split(plain, BLANK_LINES)).alias("paragraph", "_p")).select("_row", "paragraph", words(F.col("_p")).alias("_w")).filter(F.arrays_overlap("_w", telling))
+    words = lines.select("_row", "paragraph", F.filter("_w", lambda w: w != "").alias("_w"))
     last = F.greatest(F.lit(0), F.ceil(F.size("_w") / WIDE).cast("int") - 2)
     return words.withColumn("part", F.explode(F.sequence(F.lit(0), last))).select("_row", "paragraph", "part", F.slice("_w", F.col("part") * WIDE + 1, F.lit(2 * WIDE)).alias("words"))
 

@@ -135,7 +135,7 @@ def gate() -> list[str]:
         count = lambda w: sum(w in p for p in pairs)  # noqa: B023, E731
         mine: set[str] = set()
         while sum(not mine.isdisjoint(p) for p in pairs) <= (1 - SHARE) * len(pairs):
-            free = sorted({w for p in pairs for w in p} - mine, key=lambda w: (w in PLAIN, w not in chosen, -count(w), w))
+            free = sorted({w for p in pairs for w in p} - mine, key=lambda w: (w in COMMON, w in PLAIN, w not in chosen, -count(w), w))
             mine.add(free[0])
         chosen |= mine
     return sorted(chosen)

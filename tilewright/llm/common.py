@@ -41,6 +41,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, row: str, name: str) -> DataFrame:
+    """df with a number for each row, written with it: read again, in other splits too, a row keeps its number."""
+    return saved(df.withColumn(row, F.monotonically_increasing_id()), name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

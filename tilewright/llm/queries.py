@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import bpe, conversations, decontaminate, hashindex, licences, packing, quality, simhash, substring, toxicity, vafile, warc
+from tilewright.llm import bpe, conversations, decontaminate, hashindex, lexical, licences, packing, quality, simhash, substring, toxicity, vafile, warc
 from tilewright.llm.common import table
 
 
@@ -65,13 +65,19 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, rank, doc_id, score): the ten best documents for each item."""
+    found = lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document."""
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_simhash, op4_toxicity, op5_exact_top_k, op6_nearest, op7_warc, op8_licences, op9_quality, op10_byte_bpe, op11_conversation_repair, op13_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_simhash, op4_toxicity, op5_exact_top_k, op6_nearest, op7_warc, op8_licences, op9_quality, op10_byte_bpe, op11_conversation_repair, op12_lexical_search, op13_decontamination)}
 
 OP2_SQL = r"""
 WITH d AS (
@@ -168,6 +174,29 @@ SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) b LEFT JOIN s ON s.conv_id = b.conv_id LEFT JOIN z ON z.conv_id = b.conv_id LEFT JOIN r ON r.conv_id = b.conv_id
 """
 
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), g AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM t WHERE len(w) > 0
+), d AS (
+  SELECT r, doc_id, 25 + (75 * len(w) * n_docs) // n_terms AS m FROM t, g WHERE len(w) > 0
+), tf AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM t) GROUP BY r, term
+), df AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(n_docs) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS weight FROM tf, g GROUP BY term
+), q AS (
+  SELECT i, item_id, term, count(*) AS times FROM (
+    SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY i, item_id, term
+), s AS (
+  SELECT i, item_id, tf.r, d.doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN df ON df.term = q.term JOIN tf ON tf.term = q.term JOIN d ON d.r = tf.r GROUP BY i, item_id, tf.r, d.doc_id
+), b AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM b WHERE rank <= 10
+"""
+
 OP13_SQL = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
@@ -188,4 +217,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hit ON hit.r = d.r LEFT JOIN named ON named.r = d.r
 """
 
-ORACLES = {"op11_conversation_repair": OP11_SQL, "op13_decontamination": OP13_SQL, "op2_substring_dedup": OP2_SQL, "op5_exact_top_k": OP5_SQL, "op7_warc": OP7_SQL}
+ORACLES = {"op11_conversation_repair": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_decontamination": OP13_SQL, "op2_substring_dedup": OP2_SQL, "op5_exact_top_k": OP5_SQL, "op7_warc": OP7_SQL}

@@ -53,3 +53,21 @@ def test_a_large_payload_travels_in_chunks(spark):
 
 def test_stores_by_the_names_of_clusters(tmp_path):
     assert warc.SCHEMES["s3a"] == "s3" and warc.opened(f"file://{tmp_path}")[1] == str(tmp_path)
+
+
+def test_records_stay_whole_where_partitions_are_skewed(spark):
+    """With thresholds at which adaptive execution takes a payload of many chunks for a skewed partition."""
+    keys = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1m", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k", "spark.sql.files.maxPartitionBytes": "1m"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    text = "".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(150_000))
+    pages = [(1, "u", text)] + [(k, "u", text[: 64 * k] + ("same" * 100 if k % 2 else str(k) * 50)) for k in range(2, 40)] + [(k, "u", "same" * 200) for k in range(50, 90)]
+    df = spark.createDataFrame([(*p, 1, 2, "z") for p in pages], SCHEMA)
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = {r.page_id: r for r in warc.round_trip(df, size=1 << 12).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert {i: (r.payload_bytes, r.payload_digest) for i, r in got.items()} == {i: (len(t), hashlib.sha256(t.encode()).hexdigest()) for i, _, t in pages}
+    assert {i for i, r in got.items() if r.record_type == "revisit"} == set(range(51, 90))

@@ -51,7 +51,9 @@ def records(chunks: DataFrame, *, least: int = 100) -> DataFrame:
     heads = chunks.filter("chunk_no = 0").select("_row", "id", "payload_bytes", "payload_digest").filter(F.col("payload_bytes") >= least)
     firsts = heads.groupBy("payload_digest").agg(F.min("id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     revisits = heads.join(firsts.hint("merge"), "payload_digest").filter(~F.col("id").eqNullSafe(F.col("_first")) & F.col("_first").isNotNull()).select("_row", F.col("_first").alias("refers_to"))
-    met = chunks.join(revisits.hint("merge"), "_row", "left").filter(F.col("refers_to").isNull() | (F.col("chunk_no") == 0))
+    # Dealt by a given number of partitions, which adaptive execution takes as they are: it would split large ones of its own, and a record with them.
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = chunks.repartition(n, "_row").join(revisits.hint("merge"), "_row", "left").filter(F.col("refers_to").isNull() | (F.col("chunk_no") == 0))
     again = F.col("refers_to").isNotNull()
     out = met.withColumns({"data": F.when(again, F.lit(b"")).otherwise(F.col("data")), "last": again | F.col("last")})
     return out.sortWithinPartitions("_row", "chunk_no").select("id", "url", "payload_bytes", "payload_digest", "refers_to", "chunk_no", "last", "data")

@@ -19,10 +19,10 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import saved
+from tilewright.llm.common import numbered, saved
 
 #: Statements and notices by which well-known licences are given, by family: a paragraph each.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -200,14 +200,21 @@ def template_pairs(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)} or set(w))
 
 
+def words_in(text: Column) -> Column:
+    return F.split(F.lower(text), "[^a-z0-9]+")
+
+
+def telling(words: Column) -> Column:
+    """Whether one of the words is one of the gate."""
+    return F.arrays_overlap(words, F.array(*[F.lit(w) for w in gate()]))
+
+
 def passages(docs: DataFrame, text: str) -> DataFrame:
     """(_row, paragraph, part, words) of paragraphs that hold a word of the gate: their words, in parts of 2 * WIDE that overlap by half, so that any WIDE words lie in one."""
-    telling = F.array(*[F.lit(w) for w in gate()])
-    words = lambda c: F.split(F.lower(c), "[^a-z0-9]+")
     # Whole texts first: most hold none of these words, and end here.
-    held = docs.filter(F.arrays_overlap(words(F.col(f"`{text}`")), telling))
+    held = docs.filter(telling(words_in(F.col(f"`{text}`"))))
     plain = F.regexp_replace(F.col(f"`{text}`"), MARKS, "")
-    lines = held.select("_row", F.posexplode(F.split(plain, BLANK_LINES)).alias("paragraph", "_p")).select("_row", "paragraph", words(F.col("_p")).alias("_w")).filter(F.arrays_overlap("_w", telling))
+    lines = held.select("_row", F.posexplode(F.split(plain, BLANK_LINES)).alias("paragraph", "_p")).select("_row", "paragraph", words_in(F.col("_p")).alias("_w")).filter(telling(F.col("_w")))
     words = lines.select("_row", "paragraph", F.filter("_w", lambda w: w != "").alias("_w"))
     last = F.greatest(F.lit(0), F.ceil(F.size("_w") / WIDE).cast("int") - 2)
     return words.withColumn("part", F.explode(F.sequence(F.lit(0), last))).select("_row", "paragraph", "part", F.slice("_w", F.col("part") * WIDE + 1, F.lit(2 * WIDE)).alias("words"))
@@ -285,8 +292,10 @@ def found(docs: DataFrame, *, text: str = "text", sure: float = SURE, share: flo
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", sure: float = SURE, share: float = SHARE) -> DataFrame:
     """(id, licences, n_hits, hits) of every row; hits: array<struct<paragraph, family, probability, p_unknown, template_share>>, by paragraph and family."""
-    own = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("_text")).withColumn("_row", F.monotonically_increasing_id())
-    hits = found(own.select("_row", "_text"), text="_text", sure=sure, share=share)
+    # Rows are numbered as they are written, with the texts that hold a word of the gate: few.
+    own = F.col(f"`{text}`")
+    own = numbered(docs.select(F.col(f"`{id_col}`").alias("_id"), F.when(telling(words_in(own)), own).alias("_text")), "_row", "licence-rows")
+    hits = found(own.filter("_text IS NOT NULL").select("_row", "_text"), text="_text", sure=sure, share=share)
     fields = ["paragraph", "family", "probability", "p_unknown", "template_share"]
     by = hits.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("hits"))
     none = F.array().cast("array<struct<paragraph:int,family:string,probability:double,p_unknown:double,template_share:double>>")

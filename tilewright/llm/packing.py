@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilewright.llm import bpe
-from tilewright.llm.common import free_name, lean, saved
+from tilewright.llm.common import free_name, lean, numbered, saved
 
 #: Pieces of a shard, on average: what one task packs at once.
 SHARD = 8192
@@ -109,12 +109,12 @@ def shard_pack(rows: DataFrame, shards: int, level: int, capacity: int) -> DataF
 def pack(table: DataFrame, *, capacity: int = 2048, length: str = "length", shard: int = SHARD) -> DataFrame:
     """table (any columns, lengths from 1 to capacity) with `sequence_id` and `offset`.
 
-    The table is written once, so that its rows keep their numbers. Rows with a null length, or one that is not from
+    The table is written once, with its rows' numbers. Rows with a null length, or one that is not from
     1 to capacity, get null for both. Columns named sequence_id or offset are replaced; all others stay, whatever their names.
     """
     kept = [c for c in table.columns if c.lower() not in ("sequence_id", "offset")]
     row = free_name("_row", kept)
-    own = saved(table.select(*[F.col(f"`{c}`") for c in kept]), "pieces").withColumn(row, F.monotonically_increasing_id())
+    own = numbered(table.select(*[F.col(f"`{c}`") for c in kept]), row, "pieces")
     size = F.col(f"`{length}`")
     short = own.filter(size.between(1, capacity - 1)).select(F.col(row).alias("_row"), size.cast("long").alias("length"))
     n = short.count()

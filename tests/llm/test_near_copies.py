@@ -84,3 +84,56 @@ def test_variants_of_one_text_are_connected(spark):
     words = [f"w{k}" for k in range(300)]
     rows = [(k, changed(rng, words, 5)) for k in range(40)] + [(500, " ".join(words))]
     assert kept(spark, rows) == brute_kept(rows) == [0]
+
+
+def test_links_through_others_are_not_lost(spark):
+    """One text, a hundred that differ from it in a word, and of each of these one that differs in four more: those are like it, and not like the first."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(204)]
+    rows = [(0, " ".join(base))]
+    for k in range(100):
+        near = changed(rng, base, 1)
+        rows += [(2 * k + 1, near), (2 * k + 2, changed(rng, near.split(), 4))]
+    assert kept(spark, rows) == brute_kept(rows)
+
+
+@pytest.mark.parametrize("block", [4, 16, 1000])
+def test_families_of_any_size_are_connected_as_by_all_pairs(spark, block):
+    rng = random.Random(9)
+    rows = []
+    for f in range(3):
+        base = [f"f{f}w{k}" for k in range(150)]
+        rows += [(len(rows), " ".join(base))] if f else []
+        for _ in range(25):
+            rows.append((len(rows), changed(rng, base, rng.choice([1, 2, 4, 8]))))
+            if rng.random() < 0.4:
+                rows.append((len(rows), changed(rng, rows[-1][1].split(), 3)))
+    sets = [shingle_set(t) for _, t in rows]
+    docs = spark.createDataFrame(rows, "_row long, text string")
+    nodes, links = jaccard.links(docs, small=2, block=block)
+    found = {(r.a, r.b) for r in links.collect()}
+    n = range(len(rows))
+    assert all(alike(sets[a], sets[b]) for a, b in found)
+    want = classes(n, [(a, b) for a in n for b in n if b < a and alike(sets[a], sets[b])])
+    assert classes(n, list(found)) == want and len(set(want.values())) > 3
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    """Of pairs of 0.8 to 0.85, each alone, 99 in 100 at least are found."""
+    rng = random.Random(10)
+    rows, pairs = [], set()
+    for k in range(400):
+        words = [f"p{k}w{j}" for j in range(200)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, changed(rng, words, 4))]
+        if 0.8 <= len(shingle_set(rows[-1][1]) & shingle_set(rows[-2][1])) / len(shingle_set(rows[-1][1]) | shingle_set(rows[-2][1])):
+            pairs.add((2 * k, 2 * k + 1))
+    found = {(r.a, r.b) for r in jaccard.links(spark.createDataFrame(rows, "_row long, text string"))[1].collect()}
+    assert found <= pairs and len(found) >= 0.99 * len(pairs) > 100
+
+
+def test_empty_and_null(spark):
+    docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "a b", "x"), (3, "a b", "x")], "_row long, text string, node string")
+    nodes, links = jaccard.links(docs)
+    assert {(r["_row"], r.node) for r in nodes.collect()} == {(1, 1), (2, 1), (3, 3)} and links.count() == 0
+    nodes, links = jaccard.links(docs.limit(0))
+    assert nodes.count() == links.count() == 0

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import jaccard, packing, quality, simhash, substring, toxicity
-from tilewright.llm.common import free_name, saved, table
+from tilewright.llm.common import free_name, numbered, saved, table
 from tilewright.llm.graph import components
 
 
@@ -27,9 +27,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near copies the row with the smallest id stays, the first one of those that repeat it. Linked are rows by op3's
     fingerprints, and rows whose five-word shingles have a Jaccard similarity of 0.8 at least. Rows with a null id can be no
     group's smallest and stay. Rows that share an id but not a text are rows of their own."""
-    # Rows are picked by number, so that each text goes through one join.
+    # Rows are picked by number, so that each text goes through one join; the numbers are written with the rows.
     row = free_name("_row", docs.columns)
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = numbered(docs, row, "rows")
     nodes, alike = jaccard.links(rows, id_col=row)
     nodes = nodes.withColumnRenamed(row, "_row")
     close = simhash.near_duplicates(rows, id_col=row).withColumnRenamed(row, "_row").filter(F.col("_row") != F.col("component_id")).select("_row", "component_id")

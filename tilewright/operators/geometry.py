@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,10 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import mercator as M
+from tilewright.operators.staging import LEAST_HOT, hot_keys, spread_join, written
 
 MOST_POINTS, MOST_CONTOURS, EDGE, NO_AREA, MOST_LEVEL = 65536, 256, 1e-12, 1e-15, 16
 NO_LENGTH = 1e-12
 CONTOUR = ["path_id", "contour"]
+SIDES = ["x0", "y0", "x1", "y1"]
 
 
 def build_paths(vertices: DataFrame) -> DataFrame:
@@ -99,13 +102,24 @@ def leveled(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("level", level_of(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))))
 
 
+CELL = ["level", "depth", "cx", "cy"]
+#: Boxes of these levels (a sixteenth of the world or wider) go to all tasks where there are no more than so many.
+COARSE, MOST_SENT = 4, 20_000
+#: A cell with too many points is cut into 16, and those again, up to so many times.
+ROUNDS = 3
+
+
+def columns_of(x0: Column, x1: Column, n: Column) -> Column:
+    """Columns of n cells that a stretch touches, wrapped, each once."""
+    return F.array_distinct(F.transform(F.sequence(F.floor(x0 * n), F.floor(x1 * n)), lambda c: F.pmod(c, n)))
+
+
 def to_cells(boxes: DataFrame) -> DataFrame:
-    """boxes with the cells (cx, cy) of their level that they touch: x wrapped, and every cell once."""
+    """boxes with the cells (cx, cy, at depth 0) of their level that they touch: x wrapped, and every cell once."""
     n = M.cells_at(F.col("level"))
-    across = F.array_distinct(F.transform(F.sequence(F.floor(F.col("x0") * n), F.floor(F.col("x1") * n)), lambda c: F.pmod(c, n)))
     # A box as wide as the world or wider touches the one column of level 0.
-    columns = F.when(F.col("level") == 0, F.array(F.lit(0).cast("long"))).otherwise(across)
-    return boxes.withColumn("cx", F.explode(columns)).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") * n), F.floor(F.col("y1") * n))))
+    columns = F.when(F.col("level") == 0, F.array(F.lit(0).cast("long"))).otherwise(columns_of(F.col("x0"), F.col("x1"), n))
+    return boxes.withColumn("depth", F.lit(0)).withColumn("cx", F.explode(columns)).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") * n), F.floor(F.col("y1") * n))))
 
 
 def levels_in(leveled_boxes: DataFrame) -> list[int]:
@@ -115,23 +129,68 @@ def levels_in(leveled_boxes: DataFrame) -> list[int]:
 
 def at_levels(points: DataFrame, levels: list[int], x: str = "px", y: str = "py") -> DataFrame:
     """points with a row, and a cell, for each of some levels."""
-    rows = points.withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")))
+    rows = points.withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>"))).withColumn("depth", F.lit(0))
     n = M.cells_at(F.col("level"))
     return rows.withColumn("cx", F.pmod(F.floor(F.col(x) * n), n)).withColumn("cy", F.floor(F.col(y) * n))
 
 
-def bbox_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a_id, b_id) of boxes (id, x0, y0, x1, y1) that meet, borders included. A pair meets in the cells of the coarser one's level, and counts in
-    the first cell that both touch there."""
-    side = {k: leveled(df.select(F.col("id").alias(f"{k}_id"), "x0", "y0", "x1", "y1")).withColumnRenamed("level", "own") for k, df in (("a", a), ("b", b))}
-    used = sorted({r.own for df in side.values() for r in df.select("own").distinct().collect()})
-    every = F.array(*[F.lit(k) for k in used]).cast("array<int>")
-    cells = {k: to_cells(df.withColumn("level", F.explode(F.filter(every, lambda v: v <= F.col("own"))))) for k, df in side.items()}
-    right = cells["b"].select("b_id", *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")], F.col("own").alias("b_own"), "level", "cx", "cy")
-    meet = (F.col("x0") <= F.col("bx1")) & (F.col("x1") >= F.col("bx0")) & (F.col("y0") <= F.col("by1")) & (F.col("y1") >= F.col("by0"))
+def refined(points: DataFrame, boxes: DataFrame, least: int, x: str = "px", y: str = "py") -> tuple[DataFrame, DataFrame]:
+    """Points and boxes in cells, with cells where points are dense cut into 16, again and again. Cells of different levels stay apart, so a point still meets a box once."""
+    for _ in range(ROUNDS):
+        hot = hot_keys(points, CELL, least)
+        if hot is None:
+            break
+        hot = F.broadcast(hot.withColumn("_cut", F.lit(True)).drop("_parts"))
+        cut, depth = F.col("_cut").isNotNull(), F.col("depth") + 2
+        n = M.cells_at(F.col("level") + depth)
+        points = points.join(hot, CELL, "left").withColumns({"cx": F.when(cut, F.pmod(F.floor(F.col(x) * n), n)).otherwise(F.col("cx")), "cy": F.when(cut, F.floor(F.col(y) * n)).otherwise(F.col("cy")), "depth": F.when(cut, depth).otherwise(F.col("depth"))}).drop("_cut")
+        inner = F.filter(columns_of(F.col("x0"), F.col("x1"), n), lambda c: F.floor(c / 4) == F.col("cx"))
+        rows = F.filter(F.sequence(F.floor(F.col("y0") * n), F.floor(F.col("y1") * n)), lambda c: F.floor(c / 4) == F.col("cy"))
+        boxes = boxes.join(hot, CELL, "left").withColumn("_x", F.explode(F.when(cut, inner).otherwise(F.array("cx")))).withColumn("_y", F.explode(F.when(cut, rows).otherwise(F.array("cy"))))
+        boxes = boxes.withColumns({"cx": F.col("_x"), "cy": F.col("_y"), "depth": F.when(cut, depth).otherwise(F.col("depth"))}).drop("_x", "_y", "_cut")
+    return points, boxes
+
+
+def points_by_boxes(points: DataFrame, boxes: DataFrame, least: int = LEAST_HOT, sent: int = MOST_SENT) -> DataFrame:
+    """Points (px, py) with the boxes (level, x0, y0, x1, y1) whose cells they lie in, once each. Large boxes go to all tasks if a count says that they are few; else, as with the
+    other ones, rows are dealt by cells, which are cut where points are dense, and into parts where no cut helps."""
+    used = levels_in(boxes)
+    coarse, fine, out = [k for k in used if k <= COARSE], [k for k in used if k > COARSE], []
+    if coarse:
+        large, at = boxes.filter(F.col("level") <= COARSE), at_levels(points, coarse)
+        out.append(at.join(F.broadcast(to_cells(large)), CELL) if large.count() <= sent else spread_join(at, to_cells(large), CELL, least))
+    if fine:
+        out.append(spread_join(*refined(at_levels(points, fine), to_cells(boxes.filter(F.col("level") > COARSE)), least), CELL, least))
+    if not out:
+        return at_levels(points, [0]).join(to_cells(boxes), CELL)
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
+def bbox_join(a: DataFrame, b: DataFrame, least: int = LEAST_HOT, sent: int = MOST_SENT) -> DataFrame:
+    """(a_id, b_id) of boxes (id, x0, y0, x1, y1) that meet, borders included. A pair meets in the cells of the coarser one's level, and counts in the first cell that both touch there.
+
+    A box stands in the cells of its own level for one side, and in those of the other side's coarser levels as a partner only: boxes of a level with its like and finer ones of the
+    second side, then with finer ones of the first. So a box as wide as the world costs a row for each box of the other side, and no more.
+    """
+    kind = {k: leveled(df.select(F.col("id").alias(f"{k}_id"), *[F.col(c).alias(f"{k}{c}") for c in SIDES], *SIDES)) for k, df in (("a", a), ("b", b))}
+    own = {k: written(df, "boxes") for k, df in kind.items()}
+    used = {k: levels_in(df) for k, df in own.items()}
+    meet = (F.col("ax0") <= F.col("bx1")) & (F.col("ax1") >= F.col("bx0")) & (F.col("ay0") <= F.col("by1")) & (F.col("ay1") >= F.col("by0"))
     n = M.cells_at(F.col("level"))
-    home = (F.pmod(F.floor(F.greatest("x0", "bx0") * n), n) == F.col("cx")) & (F.floor(F.greatest("y0", "by0") * n) == F.col("cy"))
-    return cells["a"].join(right, ["level", "cx", "cy"]).filter((F.col("level") == F.least("own", "b_own")) & meet & home).select("a_id", "b_id")
+    home = (F.pmod(F.floor(F.greatest("ax0", "bx0") * n), n) == F.col("cx")) & (F.floor(F.greatest("ay0", "by0") * n) == F.col("cy"))
+    out = []
+    for one, other, finer in (("a", "b", lambda v: v <= F.col("level")), ("b", "a", lambda v: v < F.col("level"))):
+        for low, high in ((0, COARSE), (COARSE + 1, MOST_LEVEL)):
+            levels = [k for k in used[one] if low <= k <= high]
+            if not levels:
+                continue
+            heads = own[one].filter(F.col("level").between(low, high))
+            every = F.array(*[F.lit(k) for k in levels]).cast("array<int>")
+            partners = to_cells(own[other].withColumn("level", F.explode(F.filter(every, finer)))).drop(*SIDES)
+            cells = to_cells(heads).drop(*SIDES)
+            met = partners.join(F.broadcast(cells), CELL) if high == COARSE and heads.count() <= sent else spread_join(partners, cells, CELL, least)
+            out.append(met.filter(meet & home).select("a_id", "b_id"))
+    return reduce(DataFrame.unionByName, out) if out else own["a"].join(own["b"].select("b_id", "level"), "level").select("a_id", "b_id")
 
 
 def banded_edges(shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,7 +199,7 @@ def banded_edges(shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = Window.partitionBy(*CONTOUR).orderBy("i")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nxt = lambda c: F.coalesce(F.lead(c).over(order), F.first(c).over(whole)).alias(f"n{c}")
-    rings = shapes.select(*CONTOUR, "i", "x", "y", "anchor_x", nxt("x"), nxt("y"), F.count("*").over(whole).alias("_n")).filter("_n >= 3")
+    rings = written(shapes.select(*CONTOUR, "i", "x", "y", "anchor_x", nxt("x"), nxt("y"), F.count("*").over(whole).alias("_n")).filter("_n >= 3"), "rings")
     climbs = F.sum(F.abs(F.col("ny") - F.col("y")))
     boxes = rings.groupBy("path_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.first("anchor_x").alias("anchor_x"), F.count("*").alias("_n"), climbs.alias("_climb"))
     height = F.col("y1") - F.col("y0")
@@ -157,13 +216,13 @@ def band_of(y: Column, low: Column, high: Column, n: Column) -> Column:
     return F.coalesce(M.clamp(F.floor((y - low) / F.nullif(high - low, F.lit(0.0)) * n), F.lit(0).cast("long"), n.cast("long") - 1), F.lit(0).cast("long")).cast("int")
 
 
-def points_in_polygons(points: DataFrame, shapes: DataFrame) -> DataFrame:
+def points_in_polygons(points: DataFrame, shapes: DataFrame, least: int = LEAST_HOT, sent: int = MOST_SENT) -> DataFrame:
     """(point_id, path_id) of points (point_id, x, y) inside shapes (aligned paths): even-odd over all contours of three points or more; points on an edge
     are inside. Points are shifted to the shape's world. Points meet boxes in cells of the box's own size, and then the edges of one band of the shape."""
     boxes, bands = banded_edges(shapes)
-    boxes = leveled(boxes)
-    at = at_levels(points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py")), levels_in(boxes))
-    found = at.join(to_cells(boxes), ["level", "cx", "cy"]).withColumn("px", F.col("px") + F.rint(F.col("anchor_x") - F.col("px")))
+    boxes = written(leveled(boxes), "boxes")
+    met = points_by_boxes(points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py")), boxes, least, sent)
+    found = met.withColumn("px", F.col("px") + F.rint(F.col("anchor_x") - F.col("px")))
     found = found.filter(F.col("px").between(F.col("x0") - EDGE, F.col("x1") + EDGE) & F.col("py").between(F.col("y0") - EDGE, F.col("y1") + EDGE))
     found = found.select("point_id", "path_id", "px", "py", band_of(F.col("py"), F.col("y0"), F.col("y1"), F.col("n_bands")).alias("band"))
     px, py = F.col("px"), F.col("py")
@@ -179,7 +238,7 @@ def points_in_polygons(points: DataFrame, shapes: DataFrame) -> DataFrame:
     return found.join(bands, ["path_id", "band"]).filter(inside).select("point_id", "path_id")
 
 
-def points_on_strokes(points: DataFrame, segs: DataFrame, width: Column, *, closed: bool = False) -> DataFrame:
+def points_on_strokes(points: DataFrame, segs: DataFrame, width: Column, *, closed: bool = False, least: int = LEAST_HOT, sent: int = MOST_SENT) -> DataFrame:
     """(point_id, path_id), once each, of points (point_id, x, y) on strokes of paths: segments (path_id, contour, i, x, y, nx, ny) and other columns that width may
     use. Ends are cut off square; where a path turns, the corner is round: a circle about the point that two segments share. closed: a contour's last segment
     leads to its first one. Points and strokes meet in cells of the stroke's own size, in one world."""
@@ -193,9 +252,8 @@ def points_on_strokes(points: DataFrame, segs: DataFrame, width: Column, *, clos
     nu, nv = nxt("_u"), nxt("_v")
     rows = rows.withColumn("_turns", (F.abs(F.col("_u") * nv - F.col("_v") * nu) > 1e-7) | (F.col("_u") * nu + F.col("_v") * nv < 0))
     lo, hi = (lambda f, c: f(F.col(c), F.col(f"n{c}"))), F.col("_r")
-    boxes = leveled(rows.select("path_id", "x", "y", "_r", "_l", "_u", "_v", F.coalesce("_turns", F.lit(False)).alias("_turns"), (lo(F.least, "x") - hi).alias("x0"), (lo(F.least, "y") - hi).alias("y0"), (lo(F.greatest, "x") + hi).alias("x1"), (lo(F.greatest, "y") + hi).alias("y1")))
-    at = at_levels(points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py")), levels_in(boxes))
-    met = at.join(to_cells(boxes), ["level", "cx", "cy"])
+    boxes = written(leveled(rows.select("path_id", "x", "y", "_r", "_l", "_u", "_v", F.coalesce("_turns", F.lit(False)).alias("_turns"), (lo(F.least, "x") - hi).alias("x0"), (lo(F.least, "y") - hi).alias("y0"), (lo(F.greatest, "x") + hi).alias("x1"), (lo(F.greatest, "y") + hi).alias("y1"))), "strokes")
+    met = points_by_boxes(points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py")), boxes, least, sent)
     # The point in the world that lies nearest to the segment.
     ex, ey = F.col("px") + F.rint((F.col("x0") + F.col("x1")) / 2 - F.col("px")) - F.col("x"), F.col("py") - F.col("y")
     along, beside = ex * F.col("_u") + ey * F.col("_v"), ex * F.col("_v") - ey * F.col("_u")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import mercator as M
 from tilewright.operators import geometry as G
+from tilewright.operators.staging import written
 from tilewright.operators.tiles import camera_boxes
 
 GRID = 64
@@ -67,6 +68,8 @@ def topmost_element(points: DataFrame, shapes: DataFrame, elements: DataFrame, l
     shapes: aligned paths; elements: element_id (their path_id), order_index, is_enabled, is_visible, is_polygon, fill_alpha, stroke_alpha, stroke_width (in world units). A fill counts if it has
     a colour, a stroke if it has a colour and a width.
     """
+    # Shapes take part three times over.
+    shapes = written(shapes, "shapes")
     able = elements.filter(F.col("is_enabled") & F.col("is_visible") & (F.col("order_index") > least_order)).withColumnRenamed("element_id", "path_id")
     filled = shapes.join(able.filter(F.col("is_polygon") & (F.col("fill_alpha") != 0)).select("path_id"), "path_id", "left_semi")
     stroked = able.filter((F.col("stroke_alpha") != 0) & (F.col("stroke_width") > 0)).select("path_id", "is_polygon", "stroke_width")

@@ -7,7 +7,9 @@ Branches are nested, so that an earlier decisive operand hides later failures.
 
 from __future__ import annotations
 
+import json
 import math
+import zlib
 from dataclasses import dataclass
 from typing import Any
 
@@ -18,6 +20,10 @@ from tilewright.functions import colors as C
 
 #: Limits of an expression.
 MOST_DEPTH, MOST_NODES, MOST_ARGUMENTS, MOST_TEXT = 32, 4096, 1024, 16384
+#: Labels of a match that are compared one by one; more become a table.
+MOST_COMPARED = 64
+#: A constant of a rule of which only the shape is compiled: [PARAMETER, kind, number].
+PARAMETER = "@"
 
 
 def no() -> Column:
@@ -45,6 +51,8 @@ class Scope:
     properties: dict[str, tuple[str, Column]]
     zoom: Column | None = None
     geometry: Column | None = None
+    #: Arrays of the constants of a rule whose shape is compiled: kind -> column.
+    parameters: dict[str, Column] | None = None
 
 
 def constant(x: Any) -> Value:
@@ -226,10 +234,42 @@ def _concat(c, args, of, bound, depth):
     return Value("string", out, failed | (F.length(out) > MOST_TEXT))
 
 
+def choose(at: Column, values: list[Column], first: int = 0) -> Column:
+    """The value of number `at`, told by halves: few comparisons for many values."""
+    if len(values) == 1:
+        return values[0]
+    half = len(values) // 2
+    return F.when(at < first + half, choose(at, values[:half], first)).otherwise(choose(at, values[half:], first + half))
+
+
+def bucket_of(x: str | float, n: int) -> int:
+    return (zlib.crc32(x.encode()) if isinstance(x, str) else math.floor(x)) % n
+
+
+def looked_up(needle: Value, labels: list[list]) -> Column:
+    """The number of the first list that holds the needle, or null: labels lie in small buckets of a constant table, by a hash of theirs (numbers: by their whole part)."""
+    kind = needle.kind
+    own = [(x, k) for k, group in enumerate(labels) for x in group if isinstance(x, str if kind == "string" else (int, float)) and not isinstance(x, bool)]
+    n = max(1, len(own) // 2)
+    buckets: list[list[dict]] = [[] for _ in range(n)]
+    for x, k in own:
+        if all(y["x"] != x for y in buckets[bucket_of(x, n)]):
+            buckets[bucket_of(x, n)].append({"x": x, "k": k})
+    table = F.from_json(F.lit(json.dumps(buckets)), f"array<array<struct<x:{'string' if kind == 'string' else 'double'},k:int>>>")
+    v = needle.value
+    at = F.crc32(v.cast("binary")) if kind == "string" else F.floor(v)
+    found = F.get(F.filter(F.get(table, F.pmod(at, F.lit(n)).cast("int")), lambda e: e["x"] == v), F.lit(0))
+    return found["k"]
+
+
 def _match(c, args, of, bound, depth):
     needle, last = of(args[0]), of(args[-1])
     arms = [(a if isinstance(a, list) else [a], of(b)) for a, b in zip(args[1:-1:2], args[2::2], strict=False)]
     kind = kind_of([*(v for _, v in arms), last])
+    if sum(len(labels) for labels, _ in arms) > MOST_COMPARED and needle.kind in ("string", "number") and all(x is not None for labels, _ in arms for x in labels):
+        at = F.coalesce(looked_up(needle, [labels for labels, _ in arms]), F.lit(len(arms)))
+        every = [v for _, v in arms] + [last]
+        return Value(kind, choose(at, [cast(v, kind) for v in every]), needle.failed | choose(at, [v.failed for v in every]))
     value, failed = cast(last, kind), last.failed
     for labels, v in reversed(arms):
         hit = no()
@@ -239,7 +279,10 @@ def _match(c, args, of, bound, depth):
     return Value(kind, value, needle.failed | failed)
 
 
-def increasing(stops: list) -> list[float]:
+def increasing(c, stops: list) -> list[float] | list[Column]:
+    """Stops of a rule, or columns of a shape's: those were checked when the shape was taken."""
+    if stops and all(isinstance(s, list) and s[:2] == [PARAMETER, "number"] for s in stops):
+        return [c.of(s).value for s in stops]
     if any(not isinstance(s, (int, float)) for s in stops) or any(a >= b for a, b in zip(stops, stops[1:], strict=False)):
         raise RuleError("stops must increase")
     return [float(s) for s in stops]
@@ -247,7 +290,7 @@ def increasing(stops: list) -> list[float]:
 
 def _step(c, args, of, bound, depth):
     x, outs = of(args[0]), [of(a) for a in args[1::2]]
-    stops, kind = increasing(args[2::2]), kind_of(outs)
+    stops, kind = increasing(c, args[2::2]), kind_of(outs)
     value, failed = cast(outs[-1], kind), outs[-1].failed
     for stop, v in reversed(list(zip(stops, outs[:-1], strict=True))):
         value, failed = F.when(x.value < stop, cast(v, kind)).otherwise(value), F.when(x.value < stop, v.failed).otherwise(failed)
@@ -257,7 +300,7 @@ def _step(c, args, of, bound, depth):
 def _interpolate(c, args, of, bound, depth):
     form, x = args[0], of(args[1])
     base = 1.0 if form[0] == "linear" else float(form[1])
-    stops, outs = increasing(args[2::2]), [of(a) for a in args[3::2]]
+    stops, outs = increasing(c, args[2::2]), [of(a) for a in args[3::2]]
     kind = kind_of(outs)
     if kind not in ("number", "string", "null") or x.kind != "number":
         return Value("number", F.lit(None).cast("double"), F.lit(True))
@@ -268,15 +311,24 @@ def _interpolate(c, args, of, bound, depth):
     def between(a: Value, b: Value, t: Column) -> Column:
         return a.value + (b.value - a.value) * t if kind != "string" else C.lerp_color(a.value, b.value, t)
 
+    def power(e: float | Column) -> float | Column:
+        return F.pow(F.lit(base), e) if isinstance(e, Column) else base**e
+
     for k in range(len(stops) - 2, -1, -1):
         a, b = stops[k], stops[k + 1]
-        t = (x.value - a) / (b - a) if base == 1 else (F.pow(F.lit(base), x.value - a) - 1) / (base ** (b - a) - 1)
+        t = (x.value - a) / (b - a) if base == 1 else (power(x.value - a) - 1) / (power(b - a) - 1)
         value = F.when(x.value < b, between(outs[k], outs[k + 1], t)).otherwise(value)
     value = F.when(x.value <= stops[0], outs[0].value).otherwise(value)
     # Texts between stops must be colours; at the ends any text stands as it is.
     return Value(kind, value, failed | value.isNull() if kind == "string" else failed)
 
 
+def _parameter(c, args, of, bound, depth):
+    if c.scope.parameters is None or args[0] not in c.scope.parameters:
+        raise RuleError(f"unknown operator {PARAMETER}")
+    return Value(args[0], F.get(c.scope.parameters[args[0]], F.lit(args[1])), no())
+
+
 def _literal_or(c, args, of, bound, depth):
     """The first argument unless it failed or is null, else the second: how older functions fall back."""
     v, other = of(args[0]), of(args[1])
@@ -325,7 +377,7 @@ def _number(c, args, of, bound, depth):
 OPERATORS = {
     "literal": lambda c, a, of, b, d: constant(a[0]), "get": _get, "has": _has, "geometry-type": _geometry, "zoom": _zoom, "==": _same(False), "!=": _same(True),
     "<": _order(lambda a, b: a < b), "<=": _order(lambda a, b: a <= b), ">": _order(lambda a, b: a > b), ">=": _order(lambda a, b: a >= b), "!": _not, "all": _all(False), "any": _all(True), "in": _in, "case": _case,
-    "coalesce": _coalesce, "concat": _concat, "format": _concat, "match": _match, "step": _step, "interpolate": _interpolate, "let": _let, "var": _var, "to-string": _string, "+": _fold(lambda a, b: a + b), "*": _fold(lambda a, b: a * b), "number": _number, "value-or": _literal_or,
+    "coalesce": _coalesce, "concat": _concat, "format": _concat, "match": _match, "step": _step, "interpolate": _interpolate, "let": _let, "var": _var, "to-string": _string, "+": _fold(lambda a, b: a + b), "*": _fold(lambda a, b: a * b), "number": _number, "value-or": _literal_or, PARAMETER: _parameter,
 }
 
 
@@ -376,10 +428,59 @@ def from_legacy(f: list) -> list:
     raise RuleError(f"unknown filter {name}")
 
 
+def is_legacy(f: list) -> bool:
+    """Whether a filter is of the older form."""
+    if f[0] in ("none", "!has", "!in") or (f[0] in ("==", "!=", "<", "<=", ">", ">=", "in", "has") and len(f) > 1 and isinstance(f[1], str)):
+        return True
+    inner = [x for x in f[1:] if isinstance(x, list) and x]
+    return f[0] in ("all", "any") and any(x[0] in ("none", "!has", "!in") or (len(x) > 1 and isinstance(x[1], str) and x[0] not in ("get", "has", "!", "var", PARAMETER)) for x in inner)
+
+
 def compile_filter(f: list | None, scope: Scope) -> tuple[Column, Column]:
     """(match, failed) of a filter in either form; no filter matches everything."""
     if f is None:
         return F.lit(True), no()
-    old = f[0] in ("none", "!has", "!in") or (f[0] in ("==", "!=", "<", "<=", ">", ">=", "in", "has") and len(f) > 1 and isinstance(f[1], str)) or (f[0] in ("all", "any") and any(isinstance(x, list) and x and (x[0] in ("none", "!has", "!in") or (len(x) > 1 and isinstance(x[1], str) and x[0] not in ("get", "has", "!", "var"))) for x in f[1:]))
-    value, failed = truth(compile_expression(from_legacy(f) if old else f, scope))
+    value, failed = truth(compile_expression(from_legacy(f) if is_legacy(f) else f, scope))
     return value & ~failed, failed
+
+
+def shape_of(rule: Any, numbers: list[float], texts: list[str]) -> Any:
+    """rule with the constants that rules of one kind differ in taken out, into numbers and texts: values, and stops. Labels, names and lists stay. Rules of one shape are compiled once."""
+
+    def walk(e: Any, depth: int = 0) -> Any:
+        if depth > MOST_DEPTH:
+            raise RuleError("the rule is too large")
+        if isinstance(e, bool) or e is None or isinstance(e, str) and "{" in e:
+            return e
+        if isinstance(e, (int, float)):
+            if not math.isfinite(e):
+                raise RuleError("numbers must be finite")
+            numbers.append(float(e))
+            return [PARAMETER, "number", len(numbers) - 1]
+        if isinstance(e, str):
+            texts.append(e)
+            return [PARAMETER, "string", len(texts) - 1]
+        if isinstance(e, dict):
+            return walk(from_function(e), depth)
+        if not e or not isinstance(e[0], str) or e[0] == PARAMETER:
+            raise RuleError(f"no expression: {str(e)[:60]}")
+        name, args, down = e[0], e[1:], lambda x: walk(x, depth + 1)
+        if name == "literal":
+            return down(args[0]) if len(args) == 1 and not isinstance(args[0], (list, dict)) else e
+        if name in ("get", "has", "var", "zoom", "geometry-type", "format"):
+            return e
+        if name == "match":
+            return [name, down(args[0]), *[down(x) if k % 2 or k == len(args) - 2 else x for k, x in enumerate(args[1:])]]
+        if name == "in":
+            return [name, down(args[0]), *args[1:]]
+        if name == "let":
+            return [name, *[x if k % 2 == 0 and k < len(args) - 1 else down(x) for k, x in enumerate(args)]]
+        if name in ("step", "interpolate"):
+            head = 1 if name == "step" else 2
+            stops = args[2::2]
+            if any(isinstance(s, bool) or not isinstance(s, (int, float)) for s in stops) or any(a >= b for a, b in zip(stops, stops[1:], strict=False)):
+                raise RuleError("stops must increase")
+            return [name, *(args[:1] if head == 2 else []), *map(down, args[head - 1 :])]
+        return [name, *map(down, args)]
+
+    return walk(rule)

@@ -40,10 +40,11 @@ VIEWS: dict[str, str] = {
         SELECT c_custkey AS shape_id, contour, i, CASE WHEN i = 0 OR i = 3 THEN -1 ELSE 1 END AS sx, CASE WHEN i < 2 THEN -1 ELSE 1 END AS sy, CAST(c_custkey % 3 AS INT) AS fill_alpha, c_custkey * 2 AS order_index, c_custkey % 13 <> 0 AS is_visible, c_custkey % 17 <> 0 AS is_enabled, {_grid('((c_custkey * 2503) % 100000)')} FROM (
         SELECT c_custkey, CAST(floor(k / CAST(4 AS DOUBLE)) AS INT) AS contour, CAST(k % 4 AS INT) AS i FROM customer CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS corners(k)))
         WHERE contour = 0 OR shape_id % 2 = 0""",
-    "features": """SELECT CAST(4 AS INT) AS z, CAST(p_partkey % 16 AS INT) AS x, CAST((p_partkey * 7) % 16 AS INT) AS y, p_partkey AS feature_id,
+    # Twenty features a tile, and two sources for each tile's number: tiles grow in number with the parts, over zooms from 4 to 14.
+    "features": """SELECT 1 + p_partkey % 2 + 2 * CAST(floor(t / CAST(256 AS DOUBLE)) AS BIGINT) AS source_id, CAST(4 + t % 11 AS INT) AS z, CAST((t * 7919) % CAST(pow(2, 4 + t % 11) AS BIGINT) AS INT) AS x, CAST((t * 104729 + 3) % CAST(pow(2, 4 + t % 11) AS BIGINT) AS INT) AS y, p_partkey AS feature_id,
         CASE p_type WHEN 'ECONOMY' THEN 'road' WHEN 'SMALL' THEN 'poi' WHEN 'MEDIUM' THEN 'water_label' WHEN 'PROMO' THEN 'transit' WHEN 'STANDARD' THEN 'admin_boundary' ELSE 'landcover' END AS source_layer,
         CASE WHEN p_type = 'ECONOMY' THEN 'LineString' WHEN p_type = 'LARGE' THEN 'Polygon' ELSE 'Point' END AS geometry_type,
-        CAST((p_partkey * 31) % 97 AS DOUBLE) / 97 AS fx, CAST((p_partkey * 17) % 89 AS DOUBLE) / 89 AS fy, p_name AS name, CAST(p_partkey % 5 AS INT) AS rank, p_size / CAST(50 AS DOUBLE) AS level, p_brand AS brand, p_retailprice AS height FROM part""",
+        CAST((p_partkey * 31) % 97 AS DOUBLE) / 97 AS fx, CAST((p_partkey * 17) % 89 AS DOUBLE) / 89 AS fy, p_name AS name, CAST(p_partkey % 5 AS INT) AS rank, p_size / CAST(50 AS DOUBLE) AS level, p_brand AS brand, p_retailprice AS height FROM (SELECT *, CAST(floor(p_partkey / CAST(40 AS DOUBLE)) AS BIGINT) AS t FROM part)""",
     # A scene for each supplier: its lines are symbols, an icon and a text each.
     "placements": """SELECT scene_id, symbol_group, placement_index, style_order, sort_key, x0 AS "left", y0 AS top, width, height, rotation, padding, CASE WHEN k = 0 THEN 'icon' ELSE 'text' END AS kind, optional, allow_overlap, ignore_placement, placement_index * 2 + k AS seq FROM (
         SELECT l_suppkey AS scene_id, l_partkey AS symbol_group, n AS placement_index, CAST(l_partkey % 4 AS INT) AS style_order, CAST(l_quantity AS DOUBLE) AS sort_key, CAST((l_partkey * 137 + n * 31) % 1900 AS DOUBLE) AS x0, CAST((l_partkey * 89 + n * 17) % 1060 AS DOUBLE) AS y0,
@@ -58,7 +59,7 @@ VIEWS: dict[str, str] = {
     "services": """SELECT s_suppkey AS service_id, replace(replace(concat('<"tiles":["t/', CAST(s_suppkey AS VARCHAR(20)), '"],"defaultStyles":"s","tileInfo":<"rows":512,"cols":', CASE WHEN s_suppkey % 7 = 0 THEN '256' ELSE '512' END,
         ',"lods":[', CASE WHEN s_suppkey % 11 = 0 THEN '' ELSE concat('<"level":', CAST(3 + s_suppkey % 4 AS VARCHAR(9)), '>,<"level":', CAST(s_suppkey % 3 AS VARCHAR(9)), '>') END, ']>', CASE WHEN s_suppkey % 2 = 0 THEN ',"copyrightText":"Someone"' ELSE ',"copyrightText":" "' END, '>'), '<', chr(123)), '>', chr(125)) AS json FROM supplier""",
     # Shapes of tile features, in whole numbers of a grid of 4096: a point, a line of three points, or a square with a hole for every other one.
-    "shaped": """SELECT CAST(1 AS BIGINT) AS source_id, z, x, y, feature_id, source_layer, geometry_type, name, rank, level, CAST((feature_id * 31) % 3000 AS BIGINT) AS gx, CAST((feature_id * 17) % 3000 AS BIGINT) AS gy FROM features""",
+    "shaped": """SELECT source_id, z, x, y, feature_id, source_layer, geometry_type, name, rank, level, CAST((feature_id * 31) % 3000 AS BIGINT) AS gx, CAST((feature_id * 17) % 3000 AS BIGINT) AS gy FROM features""",
     "places": f"""SELECT place_id, name, address, {_grid('(((place_id - place_id % 2) * 7919) % 100000)')}, entity_type FROM (
         SELECT c_custkey AS place_id, c_name AS name, c_mktsegment AS address, CASE c_nationkey % 4 WHEN 0 THEN 'Country' WHEN 1 THEN 'Municipality' WHEN 2 THEN 'POI' ELSE 'Street' END AS entity_type FROM customer
         UNION ALL SELECT 1000000 + s_suppkey AS place_id, CASE WHEN s_suppkey % 9 = 0 THEN '' ELSE s_name END AS name, 'Supplier row' AS address, 'POI' AS entity_type FROM supplier)""",

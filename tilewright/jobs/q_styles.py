@@ -10,6 +10,7 @@ from tilewright.jobs.fixtures import having, view
 from tilewright.jobs.q_tiles import LAT
 from tilewright.jobs.registry import query
 from tilewright.operators import styles as S
+from tilewright.sources.tables import read_style
 
 PROPERTIES = ["name", "rank", "level", "brand", "height", "opt"]
 FEATURES = having("features") + ", f AS (SELECT *, CASE WHEN feature_id % 4 <> 0 THEN level END AS opt FROM features)\n"
@@ -114,12 +115,39 @@ def _(spark, sf_dir):
     return resolved(spark, sf_dir)
 
 
+# Every source is drawn in the styles of its map (three sources, three styles), at the map's zoom.
+@query("g01_resolve_styles", FEATURES.rstrip() + """, st AS (
+  SELECT s_suppkey AS style_id, CAST(floor(s_suppkey / CAST(3 AS DOUBLE)) AS BIGINT) AS map_id, s_suppkey % 5 AS low, 5 + (1 + s_suppkey % 8) / 10.0 AS stop, 10 + s_suppkey % 4 AS high, s_suppkey % 3 <> 0 AS vis FROM supplier
+), m AS (
+  SELECT f.*, st.*, 5 + 1.5 * (st.map_id % 3) AS zoom FROM f JOIN st ON st.map_id = CAST(floor(f.source_id / CAST(3 AS DOUBLE)) AS BIGINT)
+)
+SELECT map_id, style_id, feature_id, 1 AS layer_order, 'roads' AS layer_id, '#f00' AS color, round(CASE WHEN zoom <= stop THEN 1 WHEN zoom < 9 THEN 1 + 2 * (zoom - stop) / (9 - stop) ELSE 3 END, 6) AS width, false AS failed
+FROM m WHERE source_layer = 'road' AND geometry_type = 'LineString' AND zoom >= low AND opt IS NOT NULL
+UNION ALL SELECT map_id, style_id, feature_id, 2, 'labels', NULL, NULL, false FROM m WHERE source_layer = 'poi' AND geometry_type = 'Point' AND zoom < high AND vis""")
+def _(spark, sf_dir):
+    map_of = lambda c: F.floor(F.col(c) / F.lit(3.0)).cast("long").alias("map_id")
+    layers = read_style(view(spark, sf_dir, "styles"), keep=("style_id",)).withColumn("map_id", map_of("style_id"))
+    f = features(spark, sf_dir).withColumn("map_id", map_of("source_id"))
+    found = S.resolve_styles(f, layers, 5 + 1.5 * (F.col("map_id") % 3), PROPERTIES, ["map_id"])
+    return found.select("map_id", "style_id", "feature_id", "layer_order", "layer_id", F.col("paint")["line-color"].alias("color"), F.round(F.col("paint")["line-width"].cast("double"), 6).alias("width"), "failed")
+
+
+# More labels than are compared one by one: 50,000 names, every third of the parts' among them.
+@query("f14_match_table", FEATURES + "SELECT feature_id, CASE WHEN feature_id % 3 = 0 AND feature_id < 150000 THEN 'third' WHEN rank = 1 THEN 'one' ELSE 'none' END AS v, CASE WHEN feature_id BETWEEN 1 AND 50000 THEN feature_id % 7 ELSE -1 END AS n FROM f")
+def _(spark, sf_dir):
+    f = features(spark, sf_dir).withColumn("key", F.concat(F.lit("k"), F.col("feature_id")))
+    scope = S.scope_of(f, [*PROPERTIES, "key", "feature_id"], F.lit(7.0))
+    text = compile_expression(["match", ["get", "key"], [f"k{i}" for i in range(0, 150_000, 3)], "third", ["match", ["get", "rank"], 1, "one", "none"]], scope)
+    number = compile_expression(["match", ["get", "feature_id"], *[x for r in range(7) for x in ([i for i in range(1, 50_001) if i % 7 == r], r)], -1], scope)
+    return f.select("feature_id", text.value.alias("v"), number.value.cast("long").alias("n"))
+
+
 @query("g01_failure_counts", RESOLVED + "SELECT layer_id, count(*) FILTER (NOT failed) AS n_drawn, count(*) FILTER (failed) AS n_failed FROM r GROUP BY layer_id")
 def _(spark, sf_dir):
     return S.failure_counts(resolved(spark, sf_dir))
 
 
-@query("g12_project_features", having("features") + f"SELECT feature_id, round((x + fx) / 16 * 360 - 180, 6) AS lon, round({LAT.format('(y + fy) / 16')}, 6) AS lat FROM features")
+@query("g12_project_features", having("features") + f"SELECT feature_id, round((x + fx) / pow(2, z) * 360 - 180, 6) AS lon, round({LAT.format('(y + fy) / pow(2, z)')}, 6) AS lat FROM features")
 def _(spark, sf_dir):
     return S.project_features(view(spark, sf_dir, "features")).select("feature_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
@@ -128,13 +156,13 @@ TEXTS = [{"id": "names", "type": "symbol", "source-layer": "poi", "filter": [">"
 
 
 @query("g14_label_candidates", having("features") + """, t AS (
-  SELECT z, x, y, 0 AS layer_order, 'names' AS layer_id, feature_id, concat(name, ' ', rank) AS text, fx AS ax, fy AS ay FROM features WHERE source_layer = 'poi' AND rank > 0
-  UNION ALL SELECT z, x, y, 1, 'roads', feature_id, brand, fx + 0.02, fy FROM features WHERE source_layer = 'road'
-), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY z, x, y ORDER BY layer_order, feature_id) AS INT) AS place FROM t WHERE trim(text) <> '')
-SELECT z, x, y, place, layer_order, layer_id, feature_id, text, round(ax, 6) AS ax, round(ay, 6) AS ay FROM r WHERE place <= 256""")
+  SELECT source_id, z, x, y, 0 AS layer_order, 'names' AS layer_id, feature_id, concat(name, ' ', rank) AS text, fx AS ax, fy AS ay FROM features WHERE source_layer = 'poi' AND rank > 0
+  UNION ALL SELECT source_id, z, x, y, 1, 'roads', feature_id, brand, fx + 0.02, fy FROM features WHERE source_layer = 'road'
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY source_id, z, x, y ORDER BY layer_order, feature_id) AS INT) AS place FROM t WHERE trim(text) <> '')
+SELECT source_id, z, x, y, place, layer_order, layer_id, feature_id, text, round(ax, 6) AS ax, round(ay, 6) AS ay FROM r WHERE place <= 256""")
 def _(spark, sf_dir):
     f = features(spark, sf_dir)
     at = lambda dx: F.struct((F.col("fx") + dx).alias("x"), F.col("fy").alias("y"))
     line = F.when(F.col("geometry_type") == "LineString", F.array(F.array(at(0.0), at(0.01), at(0.02), at(0.03)))).otherwise(F.array().cast("array<array<struct<x:double,y:double>>>"))
     rows = S.label_candidates(f.withColumn("at", S.representative(F.array(at(0.0)), line)), TEXTS, 7.0, PROPERTIES)
-    return rows.select("z", "x", "y", "place", "layer_order", "layer_id", "feature_id", "text", F.round("at.x", 6).alias("ax"), F.round("at.y", 6).alias("ay"))
+    return rows.select("source_id", "z", "x", "y", "place", "layer_order", "layer_id", "feature_id", "text", F.round("at.x", 6).alias("ax"), F.round("at.y", 6).alias("ay"))

@@ -57,13 +57,13 @@ def transformed(text: Column, how: Column) -> Column:
 
 
 def tile_stats(features: DataFrame) -> DataFrame:
-    """Of decoded features (points, lines, polygons, props): counts of points, lines, their points and polygons of a tile's layers, and their size: 16 bytes a point, 32 a property, 2 a letter of the layer's name."""
+    """Of decoded features (points, lines, polygons, props): counts of points, lines, their points and polygons of the layers of a source's tile, and their size: 16 bytes a point, 32 a property, 2 a letter of the layer's name."""
     total = lambda parts: F.coalesce(F.aggregate(parts, F.lit(0), lambda n, p: n + F.size(p)), F.lit(0))
     count = lambda c: F.coalesce(F.size(c), F.lit(0))
     line_points, ring_points = total(F.col("lines")), total(F.flatten("polygons"))
     size = 16 * (count("points") + line_points + ring_points) + 32 * count("props") + 2 * F.length("source_layer")
     of = lambda v, n: F.sum(v.cast("long")).alias(n)
-    return features.groupBy("z", "x", "y", "source_layer").agg(of(count("points"), "n_points"), of(count("lines"), "n_lines"), of(line_points, "n_line_points"), of(count("polygons"), "n_polygons"), of(size, "bytes"))
+    return features.groupBy("source_id", "z", "x", "y", "source_layer").agg(of(count("points"), "n_points"), of(count("lines"), "n_lines"), of(line_points, "n_line_points"), of(count("polygons"), "n_polygons"), of(size, "bytes"))
 
 
 def exact_geography(query: Column, result_type: Column, entity: Column, address: dict[str, Column], freeform: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import mercator as M
-from tilewright.functions.rules import Scope, compile_expression, compile_filter
+from tilewright.functions.rules import RuleError, Scope, choose, compile_expression, compile_filter, from_legacy, is_legacy, shape_of
+from tilewright.operators.staging import LEAST_HOT, spread_join, written
 
 #: Kinds of geometry that a layer's type draws.
 GEOMETRIES = {"line": ("LineString", "MultiLineString", "Polygon", "MultiPolygon"), "fill": ("Polygon", "MultiPolygon"), "symbol": ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon"), "circle": ("Point", "MultiPoint")}
@@ -61,6 +62,81 @@ def resolve_layers(features: DataFrame, layers: list[dict[str, Any]], zoom: floa
     return rows.select("feature_id", *keep, "_d.*")
 
 
+#: Shapes of rules that are compiled into one plan.
+SHAPES = 64
+
+
+def shaped_rules(part: str) -> Callable[[Column, Column], Column]:
+    """A column of (shape, numbers, texts) of a layer's filter and part (JSON): equal shapes differ in their constants only. A rule that is not valid has no shape."""
+
+    @F.pandas_udf("shape string, numbers array<double>, texts array<string>")
+    def of(filters: pd.Series, parts: pd.Series) -> pd.DataFrame:
+        out = []
+        for f, p in zip(filters, parts, strict=True):
+            numbers: list[float] = []
+            texts: list[str] = []
+            try:
+                rule = None if f is None else json.loads(f)
+                rule = None if rule is None else shape_of(from_legacy(rule) if is_legacy(rule) else rule, numbers, texts)
+                values = {k: shape_of(v, numbers, texts) for k, v in sorted((json.loads(p) if p else {}).items())}
+                out.append((json.dumps([rule, values]), numbers, texts))
+            except (ValueError, TypeError, IndexError, KeyError, AttributeError):
+                out.append((None, [], []))
+        return pd.DataFrame(out, columns=["shape", "numbers", "texts"])
+
+    return of
+
+
+def compiled_shape(shape: str, scope: Scope) -> tuple[Column, Column, Column]:
+    """(match, failed, paint: map of what did not fail) of a shape."""
+    none = F.create_map().cast("map<string,string>")
+    try:
+        rule, values = json.loads(shape)
+        match, failed = compile_filter(rule, scope)
+        compiled = {k: compile_expression(v, scope) for k, v in values.items()}
+    except (RuleError, TypeError, IndexError):
+        return F.lit(False), F.lit(True), none
+    if not compiled:
+        return match, failed, none
+    every = F.create_map(*[x for k, v in compiled.items() for x in (F.lit(k), F.when(~failed & ~v.failed, v.value.cast("string")))])
+    return match, failed, F.map_filter(every, lambda k, v: v.isNotNull())
+
+
+def resolve_styles(features: DataFrame, layers: DataFrame, zoom: Column, properties: list[str], by: list[str], *, part: str = "paint", keep: tuple[str, ...] = ("style_id",), least: int = LEAST_HOT) -> DataFrame:
+    """(feature_id, by..., keep..., layer_order, layer_id, paint: map of texts, failed): features with the layers of any number of styles that draw them.
+
+    layers: as from `read_style`, with columns `by` that say which features (of a source, or a map) a style is for, and `keep`. Features meet layers by these and the source layer. Rules are
+    not compiled one by one: each is cut into a shape and its constants, and a shape is compiled once, however many styles have it, with the constants as columns. Layers whose rules are not valid
+    fail for every feature that they would draw. zoom: a column of features or layers.
+    """
+    layers = written(layers.filter("visible").select(*by, *keep, "layer_order", "layer_id", "type", "source_layer", "min_zoom", "max_zoom", shaped_rules(part)(F.col("filter"), F.col(part)).alias("_rule")).filter(F.col("type").isin(*GEOMETRIES)), "layers")
+    shapes = written(layers.select(F.col("_rule.shape").alias("_shape")).filter("_shape IS NOT NULL").distinct(), "shapes")
+    drawn = F.lit(False)
+    for kind, geometries in GEOMETRIES.items():
+        drawn = drawn | ((F.col("type") == kind) & F.col("geometry_type").isin(*geometries))
+    met = spread_join(features, layers, [*by, "source_layer"], least).withColumn("_zoom", zoom).filter(drawn & (F.col("_zoom") >= F.col("min_zoom")) & (F.col("_zoom") < F.col("max_zoom")))
+    if shapes.count() > SHAPES:
+        met = written(met, "drawn")
+    scope = scope_of(features, properties, F.col("_zoom"))
+    scope.parameters = {"number": F.col("_rule.numbers"), "string": F.col("_rule.texts")}
+    columns = ["feature_id", *by, *keep, "layer_order", "layer_id"]
+    out = met.filter("_rule.shape IS NULL").select(*columns, F.create_map().cast("map<string,string>").alias("paint"), F.lit(True).alias("failed"))
+    block: list[str] = []
+
+    def resolved(block: list[str]) -> DataFrame:
+        parts = [compiled_shape(s, scope) for s in block]
+        numbers = met.sparkSession.createDataFrame([(s, k) for k, s in enumerate(block)], "_shape string, _no int")
+        rows = met.withColumn("_shape", F.col("_rule.shape")).join(F.broadcast(numbers), "_shape")
+        rows = rows.withColumn("failed", choose(F.col("_no"), [p[1] for p in parts])).filter(F.col("failed") | choose(F.col("_no"), [p[0] for p in parts]))
+        return rows.select(*columns, choose(F.col("_no"), [p[2] for p in parts]).alias("paint"), "failed")
+
+    for r in shapes.orderBy("_shape").toLocalIterator():
+        block.append(r["_shape"])
+        if len(block) == SHAPES:
+            out, block = out.unionByName(resolved(block)), []
+    return out.unionByName(resolved(block)) if block else out
+
+
 def failure_counts(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("layer_id").agg(F.count_if(~F.col("failed")).alias("n_drawn"), F.count_if("failed").alias("n_failed"))
 
@@ -72,12 +148,12 @@ def representative(points: Column, lines: Column) -> Column:
 
 
 def label_candidates(features: DataFrame, layers: list[dict[str, Any]], zoom: float | Column, properties: list[str], most: int = 256) -> DataFrame:
-    """(z, x, y, place, layer_order, layer_id, feature_id, text, at): the first `most` labels of each tile by layer order and feature: texts, not blank, of the visible text layers whose filter
+    """(source_id, z, x, y, place, layer_order, layer_id, feature_id, text, at): the first `most` labels of each source's tile by layer order and feature: texts, not blank, of the visible text layers whose filter
     holds. at: a column of features (struct<x,y>), where the label stands."""
     texts = [{**layer, "text": {"text": layer["layout"]["text-field"]}} if layer.get("layout", {}).get("text-field") is not None else {**layer, "visibility": "none"} for layer in layers]
-    rows = resolve_layers(features, texts, zoom, properties, part="text", keep=("z", "x", "y", "at")).filter(~F.col("failed") & (F.trim("text") != ""))
-    order = Window.partitionBy("z", "x", "y").orderBy("layer_order", "feature_id")
-    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("z", "x", "y", "place", "layer_order", "layer_id", "feature_id", "text", "at")
+    rows = resolve_layers(features, texts, zoom, properties, part="text", keep=("source_id", "z", "x", "y", "at")).filter(~F.col("failed") & (F.trim("text") != ""))
+    order = Window.partitionBy("source_id", "z", "x", "y").orderBy("layer_order", "feature_id")
+    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("source_id", "z", "x", "y", "place", "layer_order", "layer_id", "feature_id", "text", "at")
 
 
 def project_features(features: DataFrame) -> DataFrame:

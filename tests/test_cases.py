@@ -339,7 +339,7 @@ def test_places_and_telemetry_files(spark):
     folder = tempfile.mkdtemp(prefix="spark-")
     p = view(spark, SF, "places")
     for _ in range(2):  # the second one replaces the first
-        tables.write_places(p, f"{folder}/p", ["name", "place_id"], "name")
+        tables.write_places(p, f"{folder}/p", ["name", "place_id"])
     got = spark.read.parquet(f"{folder}/p")
     assert sorted(r.item for r in got.collect()) == list(range(p.count())) and {r.n_items for r in got.collect()} == {p.count()}
     os.makedirs(f"{folder}/e")

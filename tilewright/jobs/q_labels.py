@@ -66,9 +66,22 @@ def _(spark, sf_dir):
     return c.withColumns({k: F.round(k, 4) for k in ("x0", "y0", "x1", "y1")})
 
 
-@query("h04_resolve_collisions")
+# Candidates are placed one after the other: a text of ones and zeros says which were accepted so far.
+@query("h04_resolve_collisions", BOX + """, c AS (
+  SELECT scene_id, symbol_group, placement_index, component, min(family) AS family, arg_min(style_order, seq) AS style_order, min(x0) - max(padding) AS l, min(y0) - max(padding) AS t, max(x1) + max(padding) AS r, max(y1) + max(padding) AS b,
+    min(sort_key) AS sort_key, bool_and(allow_overlap) AS allow_overlap, bool_and(ignore_placement) AS ignore_placement, min(seq) AS seq FROM gr GROUP BY scene_id, symbol_group, placement_index, component
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY style_order DESC, sort_key, seq) AS n FROM c
+), k AS (
+  SELECT v.scene_id, v.n, list(u.n) AS blockers FROM o u JOIN o v ON u.scene_id = v.scene_id AND u.n < v.n AND u.family <> v.family AND NOT u.ignore_placement AND NOT v.allow_overlap
+    AND u.l < v.r AND u.r > v.l AND u.t < v.b AND u.b > v.t GROUP BY v.scene_id, v.n
+), w AS (
+  SELECT scene_id, list_reduce(list_prepend({'placed': '', 'blockers': CAST([] AS BIGINT[])}, list({'placed': '', 'blockers': coalesce(blockers, [])} ORDER BY o.n)),
+    lambda a, x: {'placed': a.placed || CASE WHEN len(list_filter(x.blockers, lambda y: substr(a.placed, y, 1) = '1')) > 0 THEN '0' ELSE '1' END, 'blockers': x.blockers}).placed AS placed
+  FROM o LEFT JOIN k USING (scene_id, n) GROUP BY scene_id
+)
+SELECT o.scene_id, symbol_group, placement_index, component, substr(w.placed, o.n, 1) = '1' AS accepted FROM o JOIN w ON w.scene_id = o.scene_id""")
 def _(spark, sf_dir):
-    """Greedy by nature, and so without SQL: held against a plain second implementation in the tests."""
     return L.resolve_collisions(L.collision_candidates(L.collision_groups(view(spark, sf_dir, "placements")))).select("scene_id", "symbol_group", "placement_index", "component", "accepted")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tilewright.functions import mercator as M
 from tilewright.jobs.fixtures import having, view
 from tilewright.jobs.q_tiles import HAV
 from tilewright.jobs.registry import query
@@ -237,6 +238,21 @@ def _(spark, sf_dir):
     return E.changed_only(s, "device")
 
 
+# Six hours and 3,000 km since the last position that was passed on.
+@query("k02_movement_filter", having("points").replace("WITH ", "WITH RECURSIVE ", 1) + f""", o AS (
+  SELECT device, point_id, lon, lat, epoch_us(ts) AS us, row_number() OVER (PARTITION BY device ORDER BY ts, point_id) AS n FROM points
+), r AS (
+  SELECT device, point_id, lon, lat, n, true AS moved, us AS last_us, lat AS last_lat, lon AS last_lon FROM o WHERE n = 1
+  UNION ALL SELECT device, point_id, lon, lat, n, moved, CASE WHEN moved THEN us ELSE last_us END, CASE WHEN moved THEN lat ELSE last_lat END, CASE WHEN moved THEN lon ELSE last_lon END FROM (
+    SELECT o.*, last_us, last_lat, last_lon, us - last_us >= 21600000000 AND 2 * {M.EARTH_RADIUS_M} * asin(sqrt(pow(sin(radians(o.lat - last_lat) / 2), 2) + cos(radians(last_lat)) * cos(radians(o.lat)) * pow(sin(radians(o.lon - last_lon) / 2), 2))) >= 3000000 AS moved
+    FROM r JOIN o ON o.device = r.device AND o.n = r.n + 1)
+)
+SELECT device, point_id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM r WHERE moved""")
+def _(spark, sf_dir):
+    moved = E.movement_filter(view(spark, sf_dir, "points"), 3_000_000.0, 21_600.0)
+    return moved.select("device", "point_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
 @query("k11_cadence_windows", having("points") + "SELECT epoch_us(ts) // 300000000 AS version, count(*) AS n, count(DISTINCT device) AS n_sources FROM points GROUP BY 1")
 def _(spark, sf_dir):
     return E.cadence_windows(view(spark, sf_dir, "points"), 300)

@@ -88,7 +88,7 @@ def _(spark, sf_dir):
 
 @query("a02_indexed_places", having("places") + "SELECT row_number() OVER (ORDER BY entity_type, name, place_id) - 1 AS item, count(*) OVER () AS n_items, name, address, round(lat, 6) AS lat, round(lon, 6) AS lon FROM places")
 def _(spark, sf_dir):
-    p = T.indexed_places(view(spark, sf_dir, "places"), ["entity_type", "name", "place_id"], "entity_type")
+    p = T.indexed_places(view(spark, sf_dir, "places"), ["entity_type", "name", "place_id"])
     return p.select("item", "n_items", "name", "address", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.operators.staging import in_order, written
+
 #: What a source layer's name holds, in order of precedence, and the kind of its features.
 FEATURE_KINDS = (
     ("Road", ("road", "transportation")), ("Transit", ("transit",)), ("Water", ("water", "marine")), ("NaturalFeature", ("natural", "landcover")),
@@ -96,10 +98,57 @@ class Boxes:
             self.at.setdefault(c, []).append((box, family))
 
 
-def resolve_collisions(candidates: DataFrame) -> DataFrame:
+#: Candidates of a scene that one task resolves in order. Larger scenes are resolved by rounds.
+MOST_IN_TASK = 50_000
+RANK = ["scene_id", "style_order", "sort_key", "seq"]
+
+
+def before(a: str, b: str) -> Column:
+    """Whether candidate a is placed before b."""
+    first = lambda c, up: F.col(f"{a}.{c}") < F.col(f"{b}.{c}") if up else F.col(f"{a}.{c}") > F.col(f"{b}.{c}")
+    same = lambda c: F.col(f"{a}.{c}") == F.col(f"{b}.{c}")
+    return first("style_order", False) | (same("style_order") & (first("sort_key", True) | (same("sort_key") & first("seq", True))))
+
+
+def conflicts(candidates: DataFrame, cell: float = 64.0) -> DataFrame:
+    """(scene_id, seq, by): pairs of candidates of a scene, of different families, whose padded boxes overlap, `by` being placed before `seq`; `by` blocks and `seq` can be blocked.
+    Boxes meet in cells, and count in the first one that both touch."""
+    boxes = candidates.select(*RANK, "family", "allow_overlap", "ignore_placement", *[(F.col(c) + s * F.col("padding")).alias(c) for c, s in (("x0", -1), ("y0", -1), ("x1", 1), ("y1", 1))])
+    span = lambda a: F.sequence(F.floor(F.col(f"{a}0") / cell), F.floor(F.col(f"{a}1") / cell))
+    cells = boxes.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+    a, b = cells.filter("NOT ignore_placement").alias("a"), cells.filter("NOT allow_overlap").alias("b")
+    key = (F.col("a.scene_id") == F.col("b.scene_id")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
+    meet = (F.col("a.x0") < F.col("b.x1")) & (F.col("a.x1") > F.col("b.x0")) & (F.col("a.y0") < F.col("b.y1")) & (F.col("a.y1") > F.col("b.y0"))
+    home = (F.floor(F.greatest("a.x0", "b.x0") / cell) == F.col("a.cx")) & (F.floor(F.greatest("a.y0", "b.y0") / cell) == F.col("a.cy"))
+    return a.join(b, key & (F.col("a.family") != F.col("b.family")) & meet & home & before("a", "b")).select("b.scene_id", "b.seq", F.col("a.seq").alias("by"))
+
+
+def resolve_by_rounds(candidates: DataFrame) -> DataFrame:
+    """candidates with `accepted`, as placing them in order would have it. In each round, a candidate that an accepted one blocks is rejected, and one whose blockers are all rejected is
+    accepted; a scene's first undecided candidate is always decided, so rounds end, most often after some ten. No scene is a group."""
+    open_pairs = written(conflicts(candidates), "conflicts")
+    key = ["scene_id", "seq"]
+    by = [F.col("scene_id"), F.col("by").alias("seq")]
+    rejected = None
+    while True:
+        # Whoever nobody blocks any more is accepted, and rejects those that it blocks.
+        blocked = open_pairs.select(*key).distinct()
+        free = open_pairs.select(*by).distinct().join(blocked, key, "left_anti")
+        if free.isEmpty():
+            break
+        gone = written(open_pairs.join(free.select("scene_id", F.col("seq").alias("by")), ["scene_id", "by"]).select(*key).distinct(), "rejected")
+        rejected = gone if rejected is None else rejected.unionByName(gone)
+        rest = open_pairs.join(gone, key, "left_anti").join(gone.select("scene_id", F.col("seq").alias("by")), ["scene_id", "by"], "left_anti")
+        open_pairs = written(rest.select(*key, "by"), "conflicts")
+    if rejected is None:
+        return candidates.withColumn("accepted", F.lit(True))
+    return candidates.join(rejected.withColumn("_r", F.lit(True)), key, "left").withColumn("accepted", F.col("_r").isNull()).drop("_r").select(*candidates.columns, "accepted")
+
+
+def resolve_collisions(candidates: DataFrame, most_in_task: int = MOST_IN_TASK) -> DataFrame:
     """candidates with `accepted`: taken in order of layer (descending), sort key and sequence; one is rejected if its padded box
-    overlaps an accepted box of another family, unless it allows overlap; boxes that ignore placement block nothing. One scene is one group: a screen of labels,
-    which a viewport bounds."""
+    overlaps an accepted box of another family, unless it allows overlap; boxes that ignore placement block nothing. A scene of up to `most_in_task` candidates is one group; larger
+    ones are resolved by rounds over the pairs that overlap, with the same result."""
 
     def greedy(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["style_order", "sort_key", "seq"], ascending=[False, True, True], ignore_index=True)
@@ -113,8 +162,13 @@ def resolve_collisions(candidates: DataFrame) -> DataFrame:
             out.append(ok)
         return p.assign(accepted=out)
 
+    candidates = written(candidates, "candidates")
+    large = candidates.groupBy("scene_id").count().filter(F.col("count") > most_in_task).select("scene_id")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema.fields) + ", accepted boolean"
-    return candidates.groupBy("scene_id").applyInPandas(greedy, schema)
+    if large.isEmpty():
+        return candidates.groupBy("scene_id").applyInPandas(greedy, schema)
+    small = candidates.join(large, "scene_id", "left_anti").groupBy("scene_id").applyInPandas(greedy, schema)
+    return small.unionByName(resolve_by_rounds(candidates.join(large, "scene_id", "left_semi")))
 
 
 def batch_runs(placements: DataFrame, key: list[str]) -> DataFrame:
@@ -126,18 +180,9 @@ def batch_runs(placements: DataFrame, key: list[str]) -> DataFrame:
     return placements.withColumn("_new", F.when(same & (F.row_number().over(order) > 1), 0).otherwise(1)).withColumn("batch", F.sum("_new").over(order)).drop("_new")
 
 
-def element_order(elements: DataFrame, block: int = 1024) -> DataFrame:
-    """Visible elements with `draw_order`, dense over all layers: by layer, z-index, collection index, id.
-
-    Ranks are taken within a block of collection indexes of one layer and z-index, and shifted by the counts of the blocks before, which are the only rows
-    of a window of their own: neither a layer nor the table is one task's.
-    """
-    key = ["layer_index", "z_index", "_block"]
-    seen = elements.filter("is_visible").withColumn("_block", F.floor(F.col("collection_index") / block))
-    sizes = seen.groupBy(*key).agg(F.count("*").alias("_n"))
-    below = sizes.withColumn("_below", F.coalesce(F.sum("_n").over(Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranked = seen.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("collection_index", "element_id"))).join(below, key)
-    return ranked.withColumn("draw_order", F.col("_below") + F.col("_r") - 1).drop("_r", "_below", "_block")
+def element_order(elements: DataFrame) -> DataFrame:
+    """Visible elements with `draw_order`, dense over all layers: by layer, z-index, collection index, id. Ranks are taken by ranges of all four: neither a layer nor the table is one task's."""
+    return in_order(elements.filter("is_visible"), ["layer_index", "z_index", "collection_index", "element_id"], "draw_order")
 
 
 def layer_summary(elements: DataFrame) -> DataFrame:

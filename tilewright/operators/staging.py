@@ -1,11 +1,11 @@
-"""Tables written between steps of a job, and joins on keys that many rows share."""
+"""Tables written between steps of a job, joins on keys that many rows share, and ranks and running sums by ranges."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one key that a task may be left with, and the most keys that can have more than their share: a thousand.
@@ -50,3 +50,28 @@ def spread_join(many: DataFrame, few: DataFrame, keys: list[str], least: int = L
     left = many.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in many.columns]), n).cast("int")).drop("_parts")
     right = few.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
     return left.join(right, [*keys, "_part"]).drop("_part")
+
+
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """df in ranges of `order` (null first), one a partition, written with `_range` and `_place`, the row's place in its range from 0 on. Rows that are equal in `order` lie in one range."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    return written(rows.withColumns({"_range": F.shiftright("_id", 33).cast("int"), "_place": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id"), "ranged")
+
+
+def in_order(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with each row's number in `order`, from 0 on: places in ranges, shifted by the counts of the ranges before, which are few."""
+    rows = ranged(df, order)
+    below = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0))).drop("_n")
+    return rows.join(F.broadcast(sizes), "_range").withColumn(name, F.col("_below") + F.col("_place")).drop("_range", "_place", "_below")
+
+
+def running_sum(df: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
+    """df with the sum of value over the rows of its key `by` up to its own in `order` (distinct in a key). Sums run in a key's part of a range, and are shifted by those of its ranges before."""
+    rows = ranged(df, [*by, order])
+    part = [*by, "_range"]
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*part).agg(F.sum(value).alias("_s")).withColumn("_below", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    inner = F.sum(value).over(Window.partitionBy(*part).orderBy(order))
+    return rows.withColumn("_inner", inner).join(sums, part).withColumn(name, F.col("_below") + F.col("_inner")).drop("_range", "_place", "_below", "_inner")

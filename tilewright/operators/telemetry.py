@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from tilewright.functions.mercator import EARTH_RADIUS_M
+from tilewright.operators.staging import running_sum, written
 from tilewright.operators.traffic import micros_of, refresh_version
 
 WAVE = ["source_id", "generation", "scene_version"]
@@ -40,8 +48,7 @@ def peak_concurrency(events: DataFrame, by: list[str]) -> DataFrame:
     steps = events.select(*by, F.explode(F.array(F.struct(start.alias("at"), F.lit(1).alias("d")), F.struct(ends.alias("at"), F.lit(-1).alias("d")))).alias("s")).select(*by, "s.at", "s.d")
     # Steps of one time are summed first, which also shrinks the shuffle.
     summed = steps.groupBy(*by, "at").agg(F.sum("d").alias("d"))
-    running = F.sum("d").over(Window.partitionBy(*by).orderBy("at"))
-    return summed.withColumn("n", running).groupBy(*by).agg(F.max("n").alias("peak"))
+    return running_sum(summed, by, "at", "d", "n").groupBy(*by).agg(F.max("n").alias("peak"))
 
 
 def request_timing(events: DataFrame, width: str = "1 day") -> DataFrame:
@@ -75,3 +82,57 @@ def cadence_windows(events: DataFrame, seconds: int) -> DataFrame:
     """(version, n, n_sources) of events by refresh version."""
     version = refresh_version(F.col("ts"), seconds)
     return events.groupBy(version.alias("version")).agg(F.count("*").alias("n"), F.countDistinct("device").alias("n_sources"))
+
+
+#: Rows of a slice of time, as far as times tell them apart.
+SLICE_ROWS = 50_000_000
+
+
+def metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    a, b, c, d = map(math.radians, (lat1, lon1, lat2, lon2))
+    h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+    return 2 * EARTH_RADIUS_M * math.asin(math.sqrt(min(1.0, max(0.0, h))))
+
+
+def movement_filter(positions: DataFrame, least_m: float = 5.0, least_s: float = 1.0, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(device, point_id, ts, lon, lat) of a device's first position, and of each that lies least_m metres and least_s seconds from the last one that was passed on.
+
+    Time is cut into slices of about `slice_rows` rows. Slices are folded in order: a slice's rows stream by, sorted by device and time, each device's after its last position so far, and leave
+    what is passed on and each device's new last position, as tables. So a task holds one batch of rows, whatever a device's history. Positions with a null device, time or place are left out.
+    """
+    columns = ["device", "point_id", "ts", "lon", "lat"]
+    rows = positions.select(*columns).dropna().withColumns({"_us": micros_of(F.col("ts")), "_state": F.lit(False)})
+    n = rows.count()
+    cuts = rows.approxQuantile("_us", [k / -(-n // slice_rows) for k in range(1, -(-n // slice_rows))], 0.001) if n > slice_rows else []
+    bounds = [None, *sorted({int(c) for c in cuts}), None]
+    schema = rows.schema
+    arrow = to_arrow_schema(T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields]))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for b in batches:
+            device, lon, lat, us, state = (b.column(c).to_pylist() for c in ("device", "lon", "lat", "_us", "_state"))
+            keep = []
+            for k, d in enumerate(device):
+                if d != now:
+                    now, last = d, None
+                if state[k]:
+                    last = (us[k], lat[k], lon[k])
+                elif last is None or (us[k] - last[0] >= least_s * 1e6 and metres(last[1], last[2], lat[k], lon[k]) >= least_m):
+                    last = (us[k], lat[k], lon[k])
+                    keep.append(k)
+            yield b.take(pa.array(keep, pa.int64())).cast(arrow)
+
+    out, state = None, None
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        part = rows if low is None else rows.filter(F.col("_us") > low)
+        part = part if high is None else part.filter(F.col("_us") <= high)
+        whole = part if state is None else part.unionByName(state)
+        passed = written(whole.repartition("device").sortWithinPartitions("device", F.desc("_state"), "_us", "point_id").mapInArrow(fold, schema), "moved")
+        out = passed if out is None else out.unionByName(passed)
+        if high is not None:
+            newest = passed.unionByName(state) if state is not None else passed
+            own = F.struct("_us", "point_id", *[c for c in columns if c not in ("device", "point_id")])
+            best = newest.groupBy("device").agg(F.max(own).alias("_m"))
+            state = written(best.select("device", F.col("_m.point_id").alias("point_id"), *[F.col(f"_m.{c}").alias(c) for c in ("ts", "lon", "lat", "_us")]).withColumn("_state", F.lit(True)), "last")
+    return out.select(*columns)

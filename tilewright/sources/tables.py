@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.operators.staging import in_order
+
 #: Bits of the keywords that events carry.
 KEYWORDS = {"lifecycle": 1, "device": 2, "camera": 4, "tiles": 8, "cache": 16, "icons": 32, "errors": 64, "custom_tiles": 128, "vector_tiles": 256, "accessibility": 512, "frames": 1024}
 #: Levels of events, the gravest first.
@@ -12,20 +14,15 @@ LEVELS = ("critical", "error", "warning", "informational", "verbose")
 NO_ATTRIBUTION = "Contributors"
 
 
-def indexed_places(places: DataFrame, order: list[str], slot: str) -> DataFrame:
-    """(item, n_items, name, address, lat, lon): places numbered from 0 without gaps, in order, with their count. slot: a column that goes with the order (the first
-    of it), by which counts are taken first: ranks are taken within a slot, and no task has all rows."""
-    sizes = places.groupBy(slot).agg(F.count("*").alias("_n"))
-    # One row for each slot.
-    below = sizes.withColumn("_below", F.coalesce(F.sum("_n").over(Window.orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n_items", F.sum("_n").over(Window.partitionBy()))
-    ranked = places.withColumn("_r", F.row_number().over(Window.partitionBy(slot).orderBy(*order)))
-    met = ranked.join(below.drop("_n").withColumnRenamed(slot, "_slot"), F.col(slot).eqNullSafe(F.col("_slot")))
-    return met.select((F.col("_below") + F.col("_r") - 1).alias("item"), "n_items", "name", "address", "lat", "lon")
+def indexed_places(places: DataFrame, order: list[str]) -> DataFrame:
+    """(item, n_items, name, address, lat, lon): places numbered from 0 without gaps, in order, with their count. Numbers are taken by ranges of the order."""
+    ranked = in_order(places, order, "item")
+    return ranked.select("item", F.lit(ranked.count()).alias("n_items"), "name", "address", "lat", "lon")
 
 
-def write_places(places: DataFrame, path: str, order: list[str], slot: str) -> None:
+def write_places(places: DataFrame, path: str, order: list[str]) -> None:
     """Replaces what is at path with all places, numbered."""
-    indexed_places(places, order, slot).write.mode("overwrite").parquet(path)
+    indexed_places(places, order).write.mode("overwrite").parquet(path)
 
 
 def tile_service(text: str = "json") -> list:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.rules import RuleError, compile_expression, compile_filter, shape_of
 from tilewright.jobs.fixtures import view
-from tilewright.operators import labels, staging, styles, telemetry
+from tilewright.operators import geometry, labels, staging, styles, telemetry
 from tilewright.streaming.jobs import moved
 
 
@@ -112,3 +112,39 @@ def test_filters_of_labels_by_table(spark):
     for r in f.withColumn("geometry_type", F.lit("Point")).select("id", texts.value.alias("t"), numbers.value.alias("n"), texts.failed.alias("f")).collect():
         assert r.t == (f"arm {r.id % 5}" if r.id < 180 else "none") and r.n == (1.0 if r.id < 150 and r.id % 3 == 0 else 0.0) and not r.f
     assert compile_filter(["==", ["get", "key"], "n1"], scope) is not None
+
+
+def tiles_of(df):
+    area = lambda xs, ys: sum(a * d - b * c for a, b, c, d in zip(xs, xs[1:] + xs[:1], ys, ys[1:] + ys[:1])) / 2
+    out = {}
+    for r in df.collect():
+        assert (r.path_id, r.contour, r.tx, r.ty) not in out
+        out[(r.path_id, r.contour, r.tx, r.ty)] = round(area(list(r.xs), list(r.ys)), 12)
+    return out
+
+
+def test_rings_by_quadrants(spark):
+    """Rings as wide as the world, turned either way, a star and a sliver: as cut tile by tile."""
+    import math
+
+    star = [(0.5 + (0.45 if k % 2 else 0.12) * math.cos(k * math.pi / 7), 0.5 + (0.45 if k % 2 else 0.12) * math.sin(k * math.pi / 7)) for k in range(14)]
+    rings = {1: [(0, 0), (1, 0), (1, 1), (0, 1)], 2: [(0.01, 0.02), (0.03, 0.97), (0.99, 0.9), (0.8, 0.05)], 3: star, 4: [(0.1, 0.1), (0.9, 0.1001), (0.9, 0.1002)], 5: [(0.2, 0.2), (0.21, 0.2), (0.21, 0.21)], 6: [(0.1, 0.1), (0.2, 0.2)], 7: [(-0.3, 0.25), (0.4, 0.25), (0.4, 0.75), (-0.3, 0.75)], 8: [(0.1, 0.1), (float("nan"), 0.2), (0.3, 0.3)]}
+    df = spark.createDataFrame([(k, 0, i, float(x), float(y)) for k, r in rings.items() for i, (x, y) in enumerate(r)], "path_id long, contour int, i int, x double, y double")
+    want = tiles_of(geometry.split_polygons_by_tile(df, 6, most=10**9))
+    got = tiles_of(geometry.split_polygons_by_tile(df, 6, most=8))
+    assert got == want and sum(k[0] == 1 for k in got) == 64 * 64 and {k[0] for k in got} == {1, 2, 3, 4, 5, 7}
+    assert geometry.split_polygons_by_tile(df.limit(0), 6).count() == 0
+
+
+def test_hulls_of_hulls(spark):
+    rng = random.Random(5)
+    rows = [(None if k % 50 == 0 else "a" if k % 3 else "b", rng.gauss(0, 1), float(rng.randrange(5))) for k in range(3000)] + [("one", 1.0, 2.0)] * 3 + [("line", float(k), 2.0 * k) for k in range(9)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(7)
+    got = {}
+    for r in geometry.convex_hull(df, "g").orderBy("g", "k").collect():
+        got.setdefault(r.g, []).append((r.x, r.y))
+    import numpy as np
+
+    for key in (None, "a", "b", "one", "line"):
+        own = np.array([r[1:] for r in rows if r[0] == key])
+        assert got[key] == list(map(tuple, geometry.hull_of(own[:, 0], own[:, 1]).tolist()))

@@ -213,10 +213,21 @@ def _(spark, sf_dir):
     return rounded(G.offset_paths(paths(spark, sf_dir), 0.001), 8, "x", "y")
 
 
-@query("e19_convex_hull")
+# A side of the hull has no point to its right, and none beyond its ends. Places are whole numbers, so that what lies on a line is on it.
+@query("e19_convex_hull", PATHS + """, g AS (SELECT DISTINCT path_id, CAST(round(x * 10000000) AS BIGINT) AS x, CAST(round(y * 10000000) AS BIGINT) AS y FROM p), sides AS (
+  SELECT a.path_id, a.x, a.y FROM g a JOIN g b ON b.path_id = a.path_id AND (b.x <> a.x OR b.y <> a.y) JOIN g c ON c.path_id = a.path_id GROUP BY a.path_id, a.x, a.y, b.x, b.y
+  HAVING bool_and((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) > 0 OR (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) <= 0)
+), corners AS (
+  SELECT path_id, x, y FROM sides UNION SELECT path_id, min(x), min(y) FROM g GROUP BY path_id HAVING count(*) = 1
+), ends AS (
+  SELECT path_id, min({'x': x, 'y': y}) AS low, max({'x': x, 'y': y}) AS high FROM corners GROUP BY path_id
+), upper AS (
+  SELECT c.*, CASE WHEN x = high.x AND y = high.y AND low <> high OR (high.x - low.x) * (y - low.y) - (high.y - low.y) * (x - low.x) > 0 THEN 1 ELSE 0 END AS up FROM corners c JOIN ends USING (path_id)
+)
+SELECT path_id, CAST(row_number() OVER (PARTITION BY path_id ORDER BY up, CASE WHEN up = 1 THEN -x ELSE x END, CASE WHEN up = 1 THEN -y ELSE y END) - 1 AS INT) AS k, x, y FROM upper""")
 def _(spark, sf_dir):
-    """Held against a plain second implementation in the tests."""
-    return G.convex_hull(paths(spark, sf_dir), "path_id")
+    whole = lambda c: F.round(C(c) * 10_000_000).alias(c)
+    return G.convex_hull(paths(spark, sf_dir).select("path_id", whole("x"), whole("y")), "path_id").select("path_id", "k", C("x").cast("long").alias("x"), C("y").cast("long").alias("y"))
 
 
 @query("e19_is_convex", having("polygons") + "SELECT shape_id, count(DISTINCT contour) = 1 AS is_convex FROM polygons GROUP BY shape_id")

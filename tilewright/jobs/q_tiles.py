@@ -409,9 +409,22 @@ def _(spark, sf_dir):
     return s.select("scene_id", "place", "t.tileset", "t.zoom")
 
 
-@query("c19_exclusive_coverage")
+# From each tile down: a cell with tiles below it falls into quarters, one without any is free.
+@query("c19_exclusive_coverage", CACHED.replace("WITH ", "WITH RECURSIVE ", 1) + """, iz AS (
+  SELECT cr.scene_id, source_id, z, y, world_x, size, CAST(floor(zoom) AS INT) AS zl FROM cr JOIN scenes ON scenes.scene_id = cr.scene_id
+), below AS (
+  SELECT DISTINCT scene_id, source_id, CAST(u AS INT) AS z, y >> CAST(z - u AS INT) AS y, world_x >> CAST(z - u AS INT) AS world_x FROM iz, unnest(range(z)) AS t(u)
+), drawn AS (
+  SELECT a.* FROM iz a LEFT JOIN iz b ON b.scene_id = a.scene_id AND b.source_id = a.source_id AND b.z = a.zl AND a.z > a.zl AND b.y = a.y >> CAST(greatest(0, a.z - a.zl) AS INT) AND b.world_x = a.world_x >> CAST(greatest(0, a.z - a.zl) AS INT) WHERE b.z IS NULL
+), w AS (
+  SELECT scene_id, source_id, z, zl, size, z AS cz, y AS cy, world_x AS cx, EXISTS (SELECT 1 FROM below b WHERE b.scene_id = d.scene_id AND b.source_id = d.source_id AND b.z = d.z AND b.y = d.y AND b.world_x = d.world_x) AND z <> zl AS deep FROM drawn d
+  UNION ALL SELECT c.scene_id, c.source_id, c.z, c.zl, c.size, c.cz, c.cy, c.cx, b.z IS NOT NULL FROM (
+    SELECT scene_id, source_id, z, zl, size, cz + 1 AS cz, cy * 2 + k // 2 AS cy, cx * 2 + k % 2 AS cx FROM w, unnest([0, 1, 2, 3]) AS q(k) WHERE deep) c
+  LEFT JOIN below b ON b.scene_id = c.scene_id AND b.source_id = c.source_id AND b.z = c.cz AND b.y = c.cy AND b.world_x = c.cx
+  LEFT JOIN iz p ON p.scene_id = c.scene_id AND p.source_id = c.source_id AND p.z = c.cz AND p.y = c.cy AND p.world_x = c.cx WHERE p.z IS NULL
+)
+SELECT scene_id, source_id, z, count(*) AS n_parts, round(sum(pow(size / pow(2, cz - z), 2)), 1) AS area FROM w WHERE NOT deep GROUP BY scene_id, source_id, z""")
 def _(spark, sf_dir):
-    """Too many pairs for plain SQL: held against a plain second implementation in the tests."""
     s = view(spark, sf_dir, "scenes").select("scene_id", F.floor("zoom").cast("int").alias("zoom_level"))
     parts = T.exclusive_coverage(instances(spark, sf_dir), s)
     area = (C("right") - C("left")) * (C("bottom") - C("top"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -318,33 +320,86 @@ def clipped(x: np.ndarray, y: np.ndarray, low: float, high: float) -> tuple[np.n
     return x, y
 
 
-def split_polygons_by_tile(rings: DataFrame, z: int) -> DataFrame:
-    """(path_id, contour, tx, ty, xs, ys): rings (path_id, contour, i, x, y) cut by the tiles of zoom z that they overlap, tx unwrapped. Rings are cut by columns
-    first, and a column's part by the rows that it reaches. Parts of fewer than three points or without area are left out."""
+#: Up to this many tiles a ring's box is cut tile by tile; larger ones are cut to quadrants first, which are dealt out anew.
+MOST_TILES = 256
+
+
+def ring_size(x: np.ndarray, y: np.ndarray) -> float:
+    """The signed area."""
+    return float(x @ np.roll(y, -1) - np.roll(x, -1) @ y) / 2
+
+
+def cells_of(x: np.ndarray, y: np.ndarray, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """A ring's parts in the cells of a grid of n columns: by columns, and then by the rows that a column's part reaches."""
+    for cx in range(int(np.floor(x.min() * n)), int(np.floor(x.max() * n)) + 1):
+        px, py = clipped(x, y, cx / n, (cx + 1) / n)
+        if len(px) < 3:
+            continue
+        for cy in range(int(np.floor(py.min() * n)), int(np.floor(py.max() * n)) + 1):
+            qy, qx = clipped(py, px, cy / n, (cy + 1) / n)
+            if len(qx) >= 3 and abs(ring_size(qx, qy)) > NO_AREA:
+                yield cx, cy, qx, qy
+
+
+def split_polygons_by_tile(rings: DataFrame, z: int, most: int = MOST_TILES) -> DataFrame:
+    """(path_id, contour, tx, ty, xs, ys): rings (path_id, contour, i, x, y) cut by the tiles of zoom z that they overlap, tx unwrapped. Parts of fewer than three points or without area
+    are left out.
+
+    A ring whose box has up to `most` tiles is cut at once. A larger one is cut to quadrants of its size, those again to sixteen, and so on: a round of all rings at a time, dealt out anew.
+    Quadrants that lie wholly inside are not cut any more, but written out as ranges of whole tiles.
+    """
     n, kinds = 1 << z, {f.name: f.dataType.simpleString() for f in rings.schema.fields}
     whole = rings.groupBy(*CONTOUR).agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("_p")).select(*CONTOUR, F.col("_p.x").alias("xs"), F.col("_p.y").alias("ys"))
+    schema = f"path_id {kinds['path_id']}, contour {kinds['contour']}, state int, level int, tx int, ty int, xs array<double>, ys array<double>"
+    TILE, OPEN, FULL = 0, 1, 2
 
-    def parts(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def parts(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int, int, int, np.ndarray, np.ndarray]]:
         if len(x) < 3 or not (np.isfinite(x).all() and np.isfinite(y).all()):
             return
-        for tx in range(int(np.floor(x.min() * n)), int(np.floor(x.max() * n)) + 1):
-            cx, cy = clipped(x, y, tx / n, (tx + 1) / n)
-            if len(cx) < 3:
-                continue
-            for ty in range(int(np.floor(cy.min() * n)), int(np.floor(cy.max() * n)) + 1):
-                ry, rx = clipped(cy, cx, ty / n, (ty + 1) / n)
-                if len(rx) >= 3 and abs(rx @ np.roll(ry, -1) - np.roll(rx, -1) @ ry) / 2 > NO_AREA:
-                    yield tx, ty, rx, ry
+        wide, high = (np.floor(v.max() * n) - np.floor(v.min() * n) + 1 for v in (x, y))
+        if wide * high <= most:
+            for tx, ty, qx, qy in cells_of(x, y, n):
+                yield TILE, z, tx, ty, qx, qy
+            return
+        # Some four cells across the box.
+        level = min(z, max(0, int(np.floor(-np.log2(max(x.max() - x.min(), y.max() - y.min()))))) + 2)
+        m, none = 1 << level, np.zeros(0)
+        for cx, cy, qx, qy in cells_of(x, y, m):
+            if abs(abs(ring_size(qx, qy)) * m * m - 1) < 1e-12:
+                yield FULL, level, cx, cy, none, np.array([np.sign(ring_size(qx, qy))])
+            else:
+                yield TILE if level == z else OPEN, level, cx, cy, qx, qy
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             for k in range(len(p)):
-                rows = list(parts(np.asarray(p["xs"].iloc[k], float), np.asarray(p["ys"].iloc[k], float)))
-                for at in range(0, len(rows), 4096):
-                    tx, ty, xs, ys = zip(*rows[at : at + 4096], strict=True)
-                    yield pd.DataFrame({"path_id": p["path_id"].iloc[k], "contour": p["contour"].iloc[k], "tx": tx, "ty": ty, "xs": xs, "ys": ys})
-
-    return whole.mapInPandas(cut, f"path_id {kinds['path_id']}, contour {kinds['contour']}, tx int, ty int, xs array<double>, ys array<double>")
+                rows = parts(np.asarray(p["xs"].iloc[k], float), np.asarray(p["ys"].iloc[k], float))
+                while some := list(islice(rows, 4096)):
+                    state, level, tx, ty, xs, ys = zip(*some, strict=True)
+                    yield pd.DataFrame({"path_id": p["path_id"].iloc[k], "contour": p["contour"].iloc[k], "state": state, "level": level, "tx": tx, "ty": ty, "xs": xs, "ys": ys})
+
+    now = written(whole.mapInPandas(cut, schema), "quadrants")
+    out = [now.filter(F.col("state") == TILE)]
+    full = [now.filter(F.col("state") == FULL)]
+    spread = int(rings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while not (rest := now.filter(F.col("state") == OPEN)).isEmpty():
+        now = written(rest.select(*CONTOUR, "level", "tx", "ty", "xs", "ys").repartition(spread, *CONTOUR, "tx", "ty").select(*CONTOUR, "xs", "ys").mapInPandas(cut, schema), "quadrants")
+        out.append(now.filter(F.col("state") == TILE))
+        full.append(now.filter(F.col("state") == FULL))
+    columns = [*CONTOUR, "tx", "ty", "xs", "ys"]
+    tiles = reduce(DataFrame.unionByName, out).select(*columns)
+    ranges = reduce(DataFrame.unionByName, full)
+    if ranges.isEmpty():
+        return tiles
+    # Whole quadrants: first to some sixteen tiles across, dealt out, and then to tiles.
+    inner = lambda c, by: F.explode(F.sequence(F.col(c) * by, (F.col(c) + 1) * by - 1))
+    coarse = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), F.lit(z - 4) - F.col("level")))
+    fine = F.call_function("shiftleft", F.lit(1), F.lit(z) - F.greatest(F.col("level"), F.lit(z - 4)))
+    ranges = ranges.withColumns({"_a": coarse, "_b": fine, "_s": F.get("ys", F.lit(0))}).select(*CONTOUR, "_a", "_b", "_s", inner("tx", F.col("_a")).alias("tx"), "ty").select(*CONTOUR, "_b", "_s", "tx", inner("ty", F.col("_a")).alias("ty"))
+    ranges = ranges.repartition(spread, *CONTOUR, "tx", "ty").select(*CONTOUR, "_b", "_s", inner("tx", F.col("_b")).alias("tx"), "ty").select(*CONTOUR, "_s", "tx", inner("ty", F.col("_b")).alias("ty"))
+    corner = lambda c, *d: F.array(*[(F.col(c) + k) / float(n) for k in d])
+    turned = lambda v: F.when(F.col("_s") > 0, v).otherwise(F.reverse(v))
+    return tiles.unionByName(ranges.select(*CONTOUR, "tx", "ty", turned(corner("tx", 0, 1, 1, 0)).alias("xs"), turned(corner("ty", 0, 0, 1, 1)).alias("ys")))
 
 
 def running_length(segs: DataFrame) -> DataFrame:
@@ -489,24 +544,56 @@ def hull_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array(half(p) + half(p[::-1]))
 
 
+#: Points that a task holds of all its keys before it passes their hulls on, and the parts that a key's hulls are put together in.
+MOST_HELD, HULLS = 1 << 20, 64
+
+
 def convex_hull(points: DataFrame, by: str) -> DataFrame:
-    """(by, k, x, y). Points are first reduced to the hulls of 16 columns of a grid: no group is gathered whole."""
-    box = points.groupBy(by).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
-    cell = F.floor((F.col("x") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300)) * 15)
-    # In a column of the grid only its own hull can matter: its lowest and highest point at each end, and those between, by slope. All distinct extremes of x in it are kept.
-    gridded = points.join(box, by).withColumn("_c", cell).groupBy(by, "_c", "x").agg(F.min("y").alias("a"), F.max("y").alias("b"))
-    few = gridded.select(by, "_c", "x", F.explode(F.array_distinct(F.array("a", "b"))).alias("y"))
+    """(by, k, x, y): corners of each key's hull. A hull of hulls: tasks first make the hulls of the rows that they read, which are then put together in parts, and the parts' hulls
+    in the end: no group holds more than the hulls that tasks have made."""
     kind = points.schema[by].dataType.simpleString()
+    schema = f"`{by}` {kind}, x double, y double"
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[object, list[np.ndarray]] = {}
+        n = 0
+
+        def passed(kind_of_key: pa.DataType) -> Iterator[pa.RecordBatch]:
+            hulls = [(key, hull_of(*np.concatenate(parts).T)) for key, parts in held.items()]
+            for i in range(0, len(hulls), 4096):
+                some = hulls[i : i + 4096]
+                keys = pa.array([key for key, h in some for _ in range(len(h))], kind_of_key)
+                x, y = np.concatenate([h for _, h in some]).T
+                yield pa.RecordBatch.from_arrays([keys, pa.array(x), pa.array(y)], names=[by, "x", "y"])
+
+        key_type = None
+        for b in batches:
+            key_type = b.schema.field(0).type
+            coded = b.column(0).dictionary_encode(null_encoding="encode")
+            code, keys = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            x, y = (b.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            order = np.argsort(code, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(code[order])) + 1) if len(order) else []:
+                h = hull_of(x[part], y[part])
+                held.setdefault(keys[code[part[0]]], []).append(h)
+                n += len(h)
+            if n > MOST_HELD:
+                yield from passed(key_type)
+                held.clear()
+                n = 0
+        if held:
+            yield from passed(key_type)
 
     def local(p: pd.DataFrame) -> pd.DataFrame:
         h = hull_of(p["x"].to_numpy(), p["y"].to_numpy())
-        return pd.DataFrame({by: p[by].iloc[0], "x": h[:, 0], "y": h[:, 1]})
+        return pd.DataFrame({by: [p[by].iloc[0]] * len(h), "x": h[:, 0], "y": h[:, 1]})
 
     def final(p: pd.DataFrame) -> pd.DataFrame:
-        h = hull_of(p["x"].to_numpy(), p["y"].to_numpy())
-        return pd.DataFrame({by: p[by].iloc[0], "k": np.arange(len(h)), "x": h[:, 0], "y": h[:, 1]})
+        return local(p).assign(k=range(len(local(p))))[[by, "k", "x", "y"]]
 
-    return few.groupBy(by, "_c").applyInPandas(local, f"`{by}` {kind}, x double, y double").groupBy(by).applyInPandas(final, f"`{by}` {kind}, k int, x double, y double")
+    some = points.select(by, "x", "y").filter(M.finite(F.col("x"), F.col("y"))).mapInArrow(partial, schema)
+    parts = some.withColumn("_part", F.pmod(F.xxhash64("x", "y"), F.lit(HULLS))).groupBy(by, "_part").applyInPandas(local, schema)
+    return parts.groupBy(by).applyInPandas(final, f"`{by}` {kind}, k int, x double, y double")
 
 
 def is_convex(rings: DataFrame) -> DataFrame:

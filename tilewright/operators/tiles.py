@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import mercator as M
+from tilewright.operators.staging import written
 
 TILE = ["source_id", "z", "x", "y"]
 
@@ -164,34 +165,42 @@ def cached_instances(cache: DataFrame, scenes: DataFrame, active: DataFrame) ->
 
 
 def exclusive_coverage(instances: DataFrame, active_zoom: DataFrame) -> DataFrame:
-    """(scene_id, source_id, z, x, y, world_x, left, top, right, bottom): the parts of tile instances that none drawn before covers. Tiles of the scene's zoom
-    (scene_id, zoom_level) come first, then finer ones before coarser ones, then by number.
+    """(scene_id, source_id, z, x, y, world_x, left, top, right, bottom): the parts of tile instances that none drawn before covers, as the largest quarters (of quarters ...) of theirs
+    that hold none. Tiles of the scene's zoom (scene_id, zoom_level) come first, then finer ones before coarser ones.
 
-    Tiles form a tree, so what may cover a tile is the ready tiles under it, and one over it: those that overlap are found by equal keys, and only they
-    are gathered, for each tile. Each of them takes its rectangle out of what is left.
+    Tiles form a tree. A tile of the scene's zoom is drawn whole; a finer one is not, if the tile of that zoom above it is there; from all others the tiles below them are taken. So the
+    cells that have a tile below them are listed, with which of their four quarters have one or are one: the other quarters are free, and belong to the nearest tile above. Nothing gathers
+    the tiles below a coarse one.
     """
-    key = ["scene_id", "source_id", "z", "y", "world_x"]
-    t = instances.join(active_zoom, "scene_id").withColumn("_o", F.struct(F.when(F.col("z") == F.col("zoom_level"), 0).otherwise(1).alias("a"), (-F.col("z")).alias("b"), "y", "world_x"))
-    box = F.struct(F.col("left").alias("x0"), F.col("top").alias("y0"), (F.col("left") + F.col("size")).alias("x1"), (F.col("top") + F.col("size")).alias("y1"))
-    t = t.select(*key, "x", "_o", box.alias("_box"))
-    up = t.withColumn("_l", F.explode(F.sequence(F.lit(0), F.col("z")))).withColumn("_d", F.col("z") - F.col("_l"))
-    up = up.select("scene_id", "source_id", F.col("_l").alias("pz"), F.call_function("shiftright", "y", "_d").alias("py"), F.call_function("shiftright", "world_x", "_d").alias("px"), F.struct(*key, "_o", "_box").alias("_c"))
-    own = t.select("scene_id", "source_id", F.col("z").alias("pz"), F.col("y").alias("py"), F.col("world_x").alias("px"), F.struct(*key, "_o", "_box").alias("_p"))
-    pairs = up.join(own, ["scene_id", "source_id", "pz", "py", "px"]).filter(F.col("_c.z") > F.col("_p.z"))
-    # Of two that overlap the later one loses to the earlier one.
-    lost = pairs.select(F.when(F.col("_c._o") < F.col("_p._o"), F.col("_p")).otherwise(F.col("_c")).alias("_t"), F.when(F.col("_c._o") < F.col("_p._o"), F.col("_c")).otherwise(F.col("_p")).alias("_w"))
-    by = lost.groupBy(*[F.col(f"_t.{k}").alias(k) for k in key]).agg(F.array_sort(F.collect_list(F.struct("_w._o", "_w._box"))).alias("_over"))
-    rect = "struct<x0:double,y0:double,x1:double,y1:double>"
-
-    def minus(r: Column, o: Column) -> Column:
-        x0, y0, x1, y1 = F.greatest(r["x0"], o["x0"]), F.greatest(r["y0"], o["y0"]), F.least(r["x1"], o["x1"]), F.least(r["y1"], o["y1"])
-        part = lambda a, b, c, d: F.struct(a.alias("x0"), b.alias("y0"), c.alias("x1"), d.alias("y1"))
-        parts = F.array(part(r["x0"], r["y0"], r["x1"], y0), part(r["x0"], y1, r["x1"], r["y1"]), part(r["x0"], y0, x0, y1), part(x1, y0, r["x1"], y1))
-        return F.when((x0 >= x1) | (y0 >= y1), F.array(part(r["x0"], r["y0"], r["x1"], r["y1"]))).otherwise(F.filter(parts, lambda p: (p["x0"] < p["x1"]) & (p["y0"] < p["y1"])))
-
-    left = F.aggregate(F.coalesce("_over", F.array().cast(by.schema["_over"].dataType)), F.array(F.col("_box")).cast(f"array<{rect}>"), lambda have, w: F.flatten(F.transform(have, lambda r: minus(r, w["_box"]))))
-    rows = t.join(by, key, "left").select(*key, "x", F.explode(left).alias("_r"))
-    return rows.select("scene_id", *TILE, "world_x", F.col("_r.x0").alias("left"), F.col("_r.y0").alias("top"), F.col("_r.x1").alias("right"), F.col("_r.y1").alias("bottom"))
+    scene = ["scene_id", "source_id"]
+    cell = [*scene, "z", "y", "world_x"]
+    down = lambda c, by: F.call_function("shiftright", c, by)
+    t = written(instances.join(active_zoom, "scene_id").select(*cell, "x", "left", "top", "size", "zoom_level"), "instances")
+    deepest = F.col("z") > F.col("zoom_level")
+    above = t.filter(deepest).select(*cell, F.col("zoom_level").alias("_z"), down("y", F.col("z") - F.col("zoom_level")).alias("_y"), down("world_x", F.col("z") - F.col("zoom_level")).alias("_x"))
+    active = t.filter("z = zoom_level").select(*scene, F.col("z").alias("_z"), F.col("y").alias("_y"), F.col("world_x").alias("_x"))
+    hidden = above.join(active, [*scene, "_z", "_y", "_x"], "left_semi").select(*cell)
+    # Cells with a tile below them, up to the coarsest tile there is, and a bit for each quarter that has or is one.
+    top = t.groupBy(*scene).agg(F.min("z").alias("_top"))
+    up = t.join(top, scene).filter(F.col("z") > F.col("_top")).withColumn("_q", F.explode(F.sequence(F.col("_top") + 1, F.col("z")))).withColumn("_d", F.col("z") - F.col("_q"))
+    nodes = up.select(*scene, "_top", F.col("_q").alias("z"), down("y", F.col("_d")).alias("y"), down("world_x", F.col("_d")).alias("world_x")).distinct()
+    quarter = F.call_function("shiftleft", F.lit(1), F.pmod("y", F.lit(2)).cast("int") * 2 + F.pmod("world_x", F.lit(2)).cast("int"))
+    held = nodes.groupBy(*scene, "_top", (F.col("z") - 1).alias("z"), down("y", F.lit(1)).alias("y"), down("world_x", F.lit(1)).alias("world_x")).agg(F.bit_or(quarter).alias("_held"))
+    held = written(held, "held")
+    # The nearest tile at or above a cell with free quarters.
+    free = held.filter("_held <> 15").withColumn("_q", F.explode(F.sequence(F.col("_top"), F.col("z")))).withColumn("_d", F.col("z") - F.col("_q"))
+    met = free.select(*[F.col(c).alias(f"c_{c}") for c in ("z", "y", "world_x")], "_held", *scene, F.col("_q").alias("z"), down("y", F.col("_d")).alias("y"), down("world_x", F.col("_d")).alias("world_x")).join(t, cell)
+    owner = met.groupBy(*scene, "c_z", "c_y", "c_world_x", "_held").agg(F.max(F.struct("z", "y", "world_x", "x", "left", "top", "size", "zoom_level")).alias("_t"))
+    parts = owner.select(*scene, "_t.*", "c_z", "c_y", "c_world_x", "_held", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("_k")).filter(F.col("_held").bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("_k"))) == 0)
+    parts = parts.filter("z <> zoom_level").join(hidden, cell, "left_anti")
+    n = F.pow(F.lit(2.0), F.col("c_z") + 1 - F.col("z"))
+    side = F.col("size") / n
+    left = F.col("left") + (F.col("c_world_x") * 2 + F.col("_k") % 2 - F.col("world_x") * n) * side
+    upper = F.col("top") + (F.col("c_y") * 2 + F.floor(F.col("_k") / 2) - F.col("y") * n) * side
+    cut = parts.select("scene_id", *TILE, "world_x", left.alias("left"), upper.alias("top"), (left + side).alias("right"), (upper + side).alias("bottom"))
+    # Whole: tiles of the scene's zoom, and those without a tile below them.
+    own = t.join(hidden, cell, "left_anti").join(held.select(*cell, "_held"), cell, "left").filter("z = zoom_level OR _held IS NULL")
+    return cut.unionByName(own.select("scene_id", *TILE, "world_x", "left", "top", (F.col("left") + F.col("size")).alias("right"), (F.col("top") + F.col("size")).alias("bottom")))
 
 
 #: Map styles that are drawn of vector tiles.

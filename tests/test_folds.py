@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tilewright.functions.rules import RuleError, compile_expression, compile_filter, shape_of
 from tilewright.jobs.fixtures import view
 from tilewright.operators import geometry, labels, staging, styles, telemetry
+from tilewright.sources import archive
 from tilewright.streaming.jobs import moved
 
 
@@ -148,3 +149,24 @@ def test_hulls_of_hulls(spark):
     for key in (None, "a", "b", "one", "line"):
         own = np.array([r[1:] for r in rows if r[0] == key])
         assert got[key] == list(map(tuple, geometry.hull_of(own[:, 0], own[:, 1]).tolist()))
+
+
+def test_tile_archive(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(s, z, rng.randrange(1 << z), rng.randrange(1 << z), bytes(rng.randrange(256) for _ in range(rng.choice([0, 1, 900])))) for s in (1, 2, 3) for z in range(3, 9) for _ in range(20)] + [(1, 3, 0, 0, None)]
+    folder = f"file://{tmp_path}"
+    archive.write_tile_archive(spark.createDataFrame(rows, "source_id long, z int, x int, y int, content binary"), folder)
+    whole = archive.read_tile_archive(spark, folder)
+    as_rows = lambda df: sorted((r.source_id, r.z, r.x, r.y, bytes(r.content)) for r in df.collect())
+    assert as_rows(whole) == sorted(rows[:-1])
+    some = archive.read_tile_archive(spark, folder, source_id=(2, 2), z=(5, 7), x=(3, None))
+    assert as_rows(some.filter("x <= 10")) == sorted(r for r in rows[:-1] if r[0] == 2 and 5 <= r[1] < 8 and 3 <= r[2] <= 10)
+    assert 0 < some.rdd.getNumPartitions() < whole.rdd.getNumPartitions()
+    assert archive.read_tile_archive(spark, folder, z=(20, None)).count() == 0 and whole.filter("z = 4 OR x = 1").count() == sum(r[1] == 4 or r[2] == 1 for r in rows[:-1])
+    with pytest.raises(ValueError):
+        archive.read_tile_archive(spark, folder, content=(1, 2))
+    # What a lost task has left behind is not read.
+    (tmp_path / "data" / "lost.tiles").write_bytes(b"x" * 99)
+    assert whole.count() == len(rows) - 1
+    archive.write_tile_archive(whole.limit(0), f"{folder}/none")
+    assert archive.read_tile_archive(spark, f"{folder}/none").count() == 0

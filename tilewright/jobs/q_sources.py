@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tilewright.jobs.fixtures import having, view
@@ -10,8 +12,9 @@ from tilewright.operators import evaluate as V
 from tilewright.operators import places as P
 from tilewright.operators import raster as R
 from tilewright.operators import styles as S
+from tilewright.operators.staging import shared_folder
 from tilewright.operators.tiles import pyramid_children
-from tilewright.sources import mvt
+from tilewright.sources import archive, mvt
 from tilewright.sources import tables as T
 
 C = F.col
@@ -41,6 +44,15 @@ def _(spark, sf_dir):
     return mvt.checked_blobs(blobs, most=20 * 1024).select("source_id", "z", "x", "y", "error", C("content").isNull().alias("is_null"))
 
 
+@query("a03_tile_archive", SH + """SELECT source_id, z, x, y, count(*) AS n_features, CAST(sum(feature_id) AS BIGINT) AS ids FROM shaped WHERE z BETWEEN 6 AND 11 AND x >= 10 AND source_id <= 3 GROUP BY ALL""")
+def _(spark, sf_dir):
+    """Encoded tiles, written to an archive and read from it by source, zoom and x."""
+    folder = f"{shared_folder(spark)}/tiles-{uuid.uuid4().hex}"
+    archive.write_tile_archive(tiles(spark, sf_dir), folder)
+    blobs = archive.read_tile_archive(spark, folder, z=(6, 11), x=(10, None), source_id=(None, 3))
+    return mvt.decode_vector_tiles(blobs).groupBy("source_id", "z", "x", "y").agg(F.count("*").alias("n_features"), F.sum(F.try_element_at("props", F.lit("feature_id"))["i"]).alias("ids"))
+
+
 @query("a04_decode_vector_tiles", SH + f"""
 SELECT source_id, z, x, y, source_layer, geometry_type, feature_id, name, CAST(rank AS BIGINT) AS rank, round(level, 6) AS level, feature_id % 2 = 1 AS odd,
   CASE geometry_type WHEN 'Point' THEN {POINTS} END AS points, CASE geometry_type WHEN 'LineString' THEN {LINE} END AS line,

@@ -51,13 +51,19 @@ def camera_boxes(scenes: DataFrame, *, margin: float = 0.0) -> DataFrame:
     return base
 
 
+def by_scene(scenes: DataFrame) -> DataFrame:
+    """scenes, a fixed number of partitions by scene: scenes are few bytes, of which adaptive execution would make few partitions."""
+    return scenes.repartition(int(scenes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "scene_id")
+
+
 def visible_tiles(scenes: DataFrame, *, margin: float = 0.0) -> DataFrame:
     """(scene_id, z, x, y, world_x, tile_index, left, top, size) of every tile instance that a scene shows.
 
     The tiles of the scene's own zoom that its camera box touches, by y, then by unwrapped x. Scenes without a viewport or without rows in range
     give nothing.
     """
-    base = camera_boxes(scenes, margin=margin)
+    # Dealt by scene before a scene becomes its tiles: what groups or ranks a scene's tiles later finds them together, and shuffles none of them.
+    base = camera_boxes(by_scene(scenes), margin=margin)
     at = lambda v: F.floor(v / F.col("size")).cast("int")
     base = base.withColumn("x0", at(F.col("cx") + F.col("min_x"))).withColumn("x1", at(F.col("cx") + F.col("max_x") - 1e-7))
     base = base.withColumn("y0", F.greatest(F.lit(0), at(F.col("cy") + F.col("min_y")))).withColumn("y1", F.least(M.cells_at(F.col("z")).cast("int") - 1, at(F.col("cy") + F.col("max_y") - 1e-7)))
@@ -98,7 +104,9 @@ def active_layers(scenes: DataFrame, layers: DataFrame, by: tuple[str, ...] = ("
 def request_tiles(required: DataFrame, active: DataFrame, sources: DataFrame) -> DataFrame:
     """(scene_id, source_id, z, x, y, priority) of required tiles that pass the bounds of a scene's sources."""
     inside = M.tile_intersects(F.col("z"), F.col("x"), F.col("y"), F.col("west"), F.col("south"), F.col("east"), F.col("north"))
-    return required.join(active, "scene_id").join(sources.select("source_id", "west", "south", "east", "north"), "source_id").filter(inside).select("scene_id", *TILE, "priority")
+    # Bounds go to the scenes' sources first, which are few; tiles then meet both by scene, as they lie.
+    bounded = active.join(sources.select("source_id", "west", "south", "east", "north"), "source_id")
+    return required.join(bounded, "scene_id").filter(inside).select("scene_id", *TILE, "priority")
 
 
 def ancestors(tiles: DataFrame, *keep: str) -> DataFrame:
@@ -146,6 +154,8 @@ def cached_instances(cache: DataFrame, scenes: DataFrame, active: DataFrame) ->
     """
     n = M.cells_at(F.col("level"))
     base = camera_boxes(scenes).filter(M.finite(F.col("lon"), F.col("lat"), F.col("zoom"), F.col("vw"), F.col("vh")) & (F.col("vw") > 0) & (F.col("vh") > 0))
+    # Written, so that the camera's arithmetic is done once a scene, and not with that of its tiles.
+    base = by_scene(written(base.select("scene_id", "z", "size", "cx", "cy", "vw", "vh", *[f"{m}_{a}" for m in ("min", "max") for a in "xy"]), "cameras"))
     rows = base.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("z")))).withColumn("_s", F.col("size") * M.cells_at(F.col("z") - F.col("level")))
     low = lambda c: F.floor((F.col(f"c{c}") + F.col(f"min_{c}")) / F.col("_s"))
     high = lambda c: F.ceil((F.col(f"c{c}") + F.col(f"max_{c}")) / F.col("_s")) - 1

@@ -31,7 +31,9 @@ def build_paths(vertices: DataFrame) -> DataFrame:
     order = Window.partitionBy(*CONTOUR).orderBy("i")
     whole = Window.partitionBy(*CONTOUR)
     ok = F.min(M.finite(F.col("lon"), F.col("lat")).cast("int")).over(whole) == 1
-    base = vertices.withColumn("_ok", ok & (F.count("*").over(whole) <= MOST_POINTS)).filter("_ok").withColumns({"x": M.lon_to_world_x(F.col("lon")), "y": M.lat_to_world_y(F.col("lat"))})
+    # Dealt by path once: contours, and what stands on whole paths later, lie together.
+    dealt = vertices.repartition(int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path_id")
+    base = dealt.withColumn("_ok", ok & (F.count("*").over(whole) <= MOST_POINTS)).filter("_ok").withColumns({"x": M.lon_to_world_x(F.col("lon")), "y": M.lat_to_world_y(F.col("lat"))})
     step = F.coalesce(F.col("x") - F.lag("x").over(order), F.lit(0.0))
     base = base.select(*CONTOUR, "i", "x", "y", step.alias("_d")).withColumn("_tie", F.max((F.abs("_d") == 0.5).cast("int")).over(whole) == 1)
     plain = base.filter("NOT _tie").withColumn("x", F.col("x") - F.sum(F.rint("_d")).over(order)).select(*CONTOUR, "i", "x", "y")
@@ -62,12 +64,11 @@ def path_errors(vertices: DataFrame) -> DataFrame:
 
 
 def align_contours(paths: DataFrame) -> DataFrame:
-    """paths with each contour shifted by whole worlds to the path's first one, and `anchor_x`, the mean x of all points."""
-    heads = paths.groupBy(*CONTOUR).agg(F.min_by("x", "i").alias("_h"))
-    firsts = heads.groupBy("path_id").agg(F.min_by("_h", "contour").alias("_f"))
-    shift = heads.join(firsts, "path_id").select(*CONTOUR, F.rint(F.col("_f") - F.col("_h")).alias("_s"))
-    moved = paths.join(shift, CONTOUR).withColumn("x", F.col("x") + F.col("_s")).drop("_s")
-    return moved.join(moved.groupBy("path_id").agg(F.avg("x").alias("anchor_x")), "path_id")
+    """paths with each contour shifted by whole worlds to the path's first one, and `anchor_x`, the mean x of all points. One order of a path's points serves it all."""
+    path, contour = Window.partitionBy("path_id").orderBy("contour", "i"), Window.partitionBy(*CONTOUR).orderBy("i")
+    shift = F.rint(F.first("x").over(path) - F.first("x").over(contour))
+    moved = paths.withColumn("_s", shift).withColumn("x", F.col("x") + F.col("_s")).drop("_s")
+    return moved.withColumn("anchor_x", F.avg("x").over(path.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
 
 
 def edges(rings: DataFrame) -> DataFrame:

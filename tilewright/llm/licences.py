@@ -31,7 +31,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
     "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "This project is distributed under the terms of the Apache License 2.0",
+        "Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "Distributed under the Apache 2.0 license.", "This project is distributed under the terms of the Apache License 2.0",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
         'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     ),

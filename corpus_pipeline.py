@@ -46,9 +46,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated windows go; what stays is joined by single spaces. A document stays if all its words went, with an empty text; a null text becomes an empty one."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = substring.deduplicated(docs, carry=others).withColumnRenamed("kept", "text")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    # Other columns travel under names of their own, whatever they are called.
+    own = {c: f"_own_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+    out = substring.deduplicated(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in own.items()]), carry=tuple(own.values()))
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)}
+    return out.select(*[(made[c] if c in made else F.col(own[c])).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

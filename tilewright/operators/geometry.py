@@ -373,11 +373,9 @@ def split_polygons_by_tile(rings: DataFrame, z: int, most: int = MOST_TILES) ->
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            for k in range(len(p)):
-                rows = parts(np.asarray(p["xs"].iloc[k], float), np.asarray(p["ys"].iloc[k], float))
-                while some := list(islice(rows, 4096)):
-                    state, level, tx, ty, xs, ys = zip(*some, strict=True)
-                    yield pd.DataFrame({"path_id": p["path_id"].iloc[k], "contour": p["contour"].iloc[k], "state": state, "level": level, "tx": tx, "ty": ty, "xs": xs, "ys": ys})
+            rows = ((i, c, *part) for i, c, x, y in zip(p["path_id"], p["contour"], p["xs"], p["ys"], strict=True) for part in parts(np.asarray(x, float), np.asarray(y, float)))
+            while some := list(islice(rows, 4096)):
+                yield pd.DataFrame(some, columns=[*CONTOUR, "state", "level", "tx", "ty", "xs", "ys"])
 
     now = written(whole.mapInPandas(cut, schema), "quadrants")
     out = [now.filter(F.col("state") == TILE)]

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from tilewright.operators.tiles import TILE
 
 
+#: Tiles that are put out together: a few megabytes.
+ROWS = 64
+
+
 def composited(below: bytes, above: bytes) -> bytes:
     """above over below, by its alpha; opaque."""
     a, b = (np.frombuffer(v, np.uint8).reshape(-1, 4).astype(np.int32) for v in (above, below))
@@ -28,11 +32,12 @@ def composite_tiles(background: DataFrame, overlay: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):
-                row = b.slice(k, 1)
-                below, above = (row.column(i)[0].as_py() for i in (4, 5))
-                ok = below is not None and above is not None and len(below) == len(above) and not len(below) % 4
-                yield pa.RecordBatch.from_arrays([*row.columns[:4], pa.array([composited(below, above) if ok else None], pa.binary()), pa.array([None if ok else "the buffers do not match"], pa.string())], names=[*TILE, "pixels", "error"])
+            for k in range(0, b.num_rows, ROWS):
+                rows = b.slice(k, ROWS)
+                pairs = [(x.as_buffer() if x.is_valid else None, y.as_buffer() if y.is_valid else None) for x, y in zip(rows.column(4), rows.column(5), strict=True)]
+                good = [x is not None and y is not None and x.size == y.size and not x.size % 4 for x, y in pairs]
+                pixels = pa.array([composited(x, y) if ok else None for (x, y), ok in zip(pairs, good, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*rows.columns[:4], pixels, pa.array([None if ok else "the buffers do not match" for ok in good], pa.string())], names=[*TILE, "pixels", "error"])
 
     kinds = {f.name: f.dataType.simpleString() for f in met.schema.fields}
     return met.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in TILE) + ", pixels binary, error string")
@@ -73,19 +78,21 @@ def crop_overzoom(parents: DataFrame, tiles: DataFrame) -> DataFrame:
     rows = near.join(parents.select("source_id", F.col("z").alias("az"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("width").alias("_w"), F.col("height").alias("_h"), "pixels"), ["source_id", "az", "ax", "ay"])
     names = [*TILE, "parent_z", "width", "height", "scale_x", "scale_y", "shift_x", "shift_y", "pixels", "error"]
 
+    def cropped(r: tuple) -> list:
+        scale = 1 << (r.z - r.az)
+        w, h = r.w_ // scale, r.h_ // scale
+        if not w or not h or len(r.pixels) != r.w_ * r.h_ * 4:
+            return [r.source_id, r.z, r.x, r.y, r.az, None, None, None, None, None, None, None, "the tile above is too small"]
+        x, y = r.x % scale * w, r.y % scale * h
+        left, top, right, bottom = max(0, x - 1), max(0, y - 1), min(r.w_, x + w + 1), min(r.h_, y + h + 1)
+        part = np.frombuffer(r.pixels, np.uint8).reshape(r.h_, r.w_, 4)[top:bottom, left:right]
+        pw, ph = right - left, bottom - top
+        return [r.source_id, r.z, r.x, r.y, r.az, pw, ph, w / pw, h / ph, (x - left) / pw, (y - top) / ph, part.tobytes(), None]
+
     def crop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            for r in p.itertuples(index=False):
-                scale = 1 << (r.z - r.az)
-                w, h = r.w_ // scale, r.h_ // scale
-                if not w or not h or len(r.pixels) != r.w_ * r.h_ * 4:
-                    yield pd.DataFrame([[r.source_id, r.z, r.x, r.y, r.az, None, None, None, None, None, None, None, "the tile above is too small"]], columns=names)
-                    continue
-                x, y = r.x % scale * w, r.y % scale * h
-                left, top, right, bottom = max(0, x - 1), max(0, y - 1), min(r.w_, x + w + 1), min(r.h_, y + h + 1)
-                part = np.frombuffer(r.pixels, np.uint8).reshape(r.h_, r.w_, 4)[top:bottom, left:right]
-                pw, ph = right - left, bottom - top
-                yield pd.DataFrame([[r.source_id, r.z, r.x, r.y, r.az, pw, ph, w / pw, h / ph, (x - left) / pw, (y - top) / ph, part.tobytes(), None]], columns=names)
+            for k in range(0, len(p), ROWS):
+                yield pd.DataFrame([cropped(r) for r in p.iloc[k : k + ROWS].itertuples(index=False)], columns=names)
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     out = rows.select(*TILE, "az", F.col("_w").alias("w_"), F.col("_h").alias("h_"), "pixels")

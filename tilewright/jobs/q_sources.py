@@ -104,6 +104,23 @@ def _(spark, sf_dir):
     return p.select("item", "n_items", "name", "address", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
+@query("a02_written_places", having("places") + "SELECT row_number() OVER (ORDER BY name, place_id) - 1 AS item, count(*) OVER () AS n_items, name, address, round(lat, 6) AS lat, round(lon, 6) AS lon FROM places WHERE name <> ''")
+def _(spark, sf_dir):
+    """Valid places, numbered, written as files and read again."""
+    folder = f"{shared_folder(spark)}/places-{uuid.uuid4().hex}"
+    T.write_places(P.valid_places(view(spark, sf_dir, "places")), folder, ["name", "place_id"])
+    return spark.read.parquet(folder).select("item", "n_items", "name", "address", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+@query("a08_telemetry_files", "SELECT event_id FROM events WHERE event_id % 5 < 3 AND (event_id % 2048) & 72 <> 0")
+def _(spark, sf_dir):
+    """Events as JSON lines in files, filtered as they are read."""
+    folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    level = F.element_at(F.array(*[F.lit(v) for v in T.LEVELS]), (C("event_id") % 5 + 1).cast("int"))
+    view(spark, sf_dir, "events").select("event_id", level.alias("level"), (C("event_id") % 2048).alias("keywords")).write.json(folder)
+    return T.read_telemetry(spark, folder, "event_id long, level string, keywords long", "warning", T.KEYWORDS["tiles"] | T.KEYWORDS["errors"]).select("event_id")
+
+
 @query("a08_read_telemetry", "SELECT event_id FROM events WHERE event_id % 5 < 3 AND (event_id % 2048) & 72 <> 0")
 def _(spark, sf_dir):
     level = F.element_at(F.array(*[F.lit(v) for v in T.LEVELS]), (C("event_id") % 5 + 1).cast("int"))

@@ -70,7 +70,15 @@ def _(spark, sf_dir):
     return p.select("place_id", *[F.round(v, 6).alias(k) if k != "error" else v.alias(k) for k, v in got.items()])
 
 
-HITS = having("points") + f", t AS (SELECT point_id, {wx('lon')} * 1024 AS x, {wy('lat')} * 1024 AS y FROM points), ic AS (SELECT point_id AS incident_id, x, y FROM t WHERE point_id % 3 = 0), ln AS (SELECT point_id AS incident_id, x, y, x + 30 AS nx, y + 12 AS ny FROM t WHERE point_id % 3 = 1), tp AS (SELECT point_id AS tap_id, x + 4 AS px, y + 3 AS py FROM t WHERE point_id % 3 = 2), a AS (SELECT tap_id, 0 AS k, pow(px - x, 2) + pow(py - y, 2) AS d, incident_id FROM tp, ic WHERE py - y + 16 BETWEEN 0 AND 32 AND abs(px - x) <= (py - y + 16) / 2), b0 AS (SELECT *, greatest(0, least(1, ((px - x) * 30 + (py - y) * 12) / 1044.0)) AS u FROM tp, ln), b AS (SELECT tap_id, 1 AS k, pow(px - x - u * 30, 2) + pow(py - y - u * 12, 2) AS d, incident_id FROM b0), r AS (SELECT *, row_number() OVER (PARTITION BY tap_id ORDER BY k, d, incident_id) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b WHERE d <= 64))\n"
+HITS = having("points") + f""", t AS (SELECT point_id, {wx('lon')} * 1024 AS x, {wy('lat')} * 1024 AS y FROM points),
+ic AS (SELECT point_id AS incident_id, x, y FROM t WHERE point_id % 3 = 0),
+ln AS (SELECT point_id AS incident_id, x, y, x + 30 AS nx, y + 12 AS ny FROM t WHERE point_id % 3 = 1),
+tp AS (SELECT point_id AS tap_id, x + 4 AS px, y + 3 AS py FROM t WHERE point_id % 3 = 2),
+a AS (SELECT tap_id, 0 AS k, pow(px - x, 2) + pow(py - y, 2) AS d, incident_id FROM tp, ic WHERE py - y + 16 BETWEEN 0 AND 32 AND abs(px - x) <= (py - y + 16) / 2),
+b0 AS (SELECT *, greatest(0, least(1, ((px - x) * 30 + (py - y) * 12) / 1044.0)) AS u FROM tp, ln),
+b AS (SELECT tap_id, 1 AS k, pow(px - x - u * 30, 2) + pow(py - y - u * 12, 2) AS d, incident_id FROM b0),
+r AS (SELECT *, row_number() OVER (PARTITION BY tap_id ORDER BY k, d, incident_id) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b WHERE d <= 64))
+"""
 
 
 @query("i04_nearest_incident", HITS + "SELECT tap_id, incident_id, k = 1 AS is_line FROM r WHERE n = 1")

@@ -272,7 +272,16 @@ def _(spark, sf_dir):
     return seen.groupBy("scene_id").agg(F.count("*").alias("n"), F.sum("element_id").alias("ids"), F.min_by("element_id", "rank").alias("first_id"), F.max_by("element_id", "rank").alias("last_id"))
 
 
-@query("i02_topmost_icon", having("points", "elements") + f", o AS (SELECT *, row_number() OVER (ORDER BY layer_index, z_index, collection_index, element_id) AS draw FROM elements WHERE is_visible), b AS (SELECT element_id, draw, {wx('lon')} * 8192 - width * 0.5 AS x0, {wy('lat')} * 8192 - height AS y0, width, height FROM o WHERE is_enabled), t AS (SELECT point_id AS tap_id, {wx('(lon + 0.2)')} * 8192 AS tx, {wy('(lat + 0.1)')} * 8192 AS ty FROM points) SELECT tap_id, arg_max(element_id, draw) AS element_id FROM t JOIN b ON tx + round_even((x0 - tx) / 8192, 0) * 8192 >= x0 AND tx + round_even((x0 - tx) / 8192, 0) * 8192 < x0 + width AND ty >= y0 AND ty < y0 + height GROUP BY tap_id")
+@query("i02_topmost_icon", having("points", "elements") + f""", o AS (SELECT *, row_number() OVER (ORDER BY layer_index, z_index, collection_index, element_id) AS draw
+  FROM elements
+  WHERE is_visible),
+b AS (SELECT element_id, draw, {wx('lon')} * 8192 - width * 0.5 AS x0, {wy('lat')} * 8192 - height AS y0, width, height
+  FROM o
+  WHERE is_enabled),
+t AS (SELECT point_id AS tap_id, {wx('(lon + 0.2)')} * 8192 AS tx, {wy('(lat + 0.1)')} * 8192 AS ty
+  FROM points) SELECT tap_id, arg_max(element_id, draw) AS element_id
+  FROM t
+  JOIN b ON tx + round_even((x0 - tx) / 8192, 0) * 8192 >= x0 AND tx + round_even((x0 - tx) / 8192, 0) * 8192 < x0 + width AND ty >= y0 AND ty < y0 + height GROUP BY tap_id""")
 def _(spark, sf_dir):
     taps = view(spark, sf_dir, "points").select(C("point_id").alias("tap_id"), (C("lon") + 0.2).alias("lon"), (C("lat") + 0.1).alias("lat"))
     return H.topmost_icon(taps, L.element_order(view(spark, sf_dir, "elements")), 5.0)

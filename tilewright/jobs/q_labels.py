@@ -16,7 +16,10 @@ def _(spark, sf_dir):
     return view(spark, sf_dir, "features").select("feature_id", L.classify_feature(C("source_layer")).alias("kind"))
 
 
-CAND = having("features") + ", cd AS (SELECT x AS scene, name, rank AS layer_order, level AS prominence, feature_id AS seq, fx + fy AS distance FROM features), nm AS (SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY scene, name ORDER BY layer_order DESC, prominence DESC, seq) AS r FROM cd) WHERE r = 1), tp AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY scene ORDER BY layer_order DESC, prominence DESC, distance, seq) AS INT) AS rank FROM nm) WHERE rank <= 8)\n"
+CAND = having("features") + """, cd AS (SELECT x AS scene, name, rank AS layer_order, level AS prominence, feature_id AS seq, fx + fy AS distance FROM features),
+nm AS (SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY scene, name ORDER BY layer_order DESC, prominence DESC, seq) AS r FROM cd) WHERE r = 1),
+tp AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY scene ORDER BY layer_order DESC, prominence DESC, distance, seq) AS INT) AS rank FROM nm) WHERE rank <= 8)
+"""
 
 
 def named(spark, sf_dir):

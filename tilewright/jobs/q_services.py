@@ -121,7 +121,11 @@ def _(spark, sf_dir):
     return P.route_steps(steps, P.route_points(legs)).withColumns({c: F.round(c, 6) for c in ("lat", "lon")})
 
 
-@query("j18_format_distance", "SELECT event_id, CASE WHEN m < 1000 THEN concat(format('{:,}', CAST(round(m) AS BIGINT)), ' m') ELSE concat(format('{:,}', CAST(floor(round(m / 1000, 1)) AS BIGINT)), '.', CAST(round(round(m / 1000, 1) * 10) AS BIGINT) % 10, ' km') END AS metric, CASE WHEN m * 3.280839895 < 528 THEN concat(format('{:,}', CAST(round(m * 3.280839895) AS BIGINT)), ' ft') ELSE concat(format('{:,}', CAST(floor(round(m / 1609.344, 1)) AS BIGINT)), '.', CAST(round(round(m / 1609.344, 1) * 10) AS BIGINT) % 10, ' mi') END AS imperial FROM (SELECT event_id, value * value * value / 50 AS m FROM events)")
+@query("j18_format_distance", """SELECT event_id, CASE
+  WHEN m < 1000 THEN concat(format('{:,}', CAST(round(m) AS BIGINT)), ' m') ELSE concat(format('{:,}', CAST(floor(round(m / 1000, 1)) AS BIGINT)), '.', CAST(round(round(m / 1000, 1) * 10) AS BIGINT) % 10, ' km') END AS metric, CASE
+  WHEN m * 3.280839895 < 528 THEN concat(format('{:,}', CAST(round(m * 3.280839895) AS BIGINT)), ' ft') ELSE concat(format('{:,}', CAST(floor(round(m / 1609.344, 1)) AS BIGINT)), '.', CAST(round(round(m / 1609.344, 1) * 10) AS BIGINT) % 10, ' mi') END AS imperial
+  FROM (SELECT event_id, value * value * value / 50 AS m
+  FROM events)""")
 def _(spark, sf_dir):
     m = C("value") * C("value") * C("value") / 50
     return view(spark, sf_dir, "events").select("event_id", P.format_distance(m).alias("metric"), P.format_distance(m, False).alias("imperial"))
@@ -216,7 +220,18 @@ def _(spark, sf_dir):
     return E.peak_concurrency(view(spark, sf_dir, "tile_events"), ["source_id"])
 
 
-@query("k07_coverage_milestones", having("tile_events") + ", q AS (SELECT DISTINCT source_id, generation, scene_version, z, x, y FROM tile_events WHERE (x + y) % 2 = 0), f AS (SELECT source_id, generation, scene_version, z, x, y, min(ts) AS seen FROM tile_events WHERE state = 'completed' GROUP BY ALL), j AS (SELECT q.source_id, q.generation, q.scene_version, min(seen) AS first_tile, count(*) AS n, count(seen) AS m, max(seen) AS l FROM q LEFT JOIN f USING (source_id, generation, scene_version, z, x, y) GROUP BY ALL) SELECT source_id, generation, scene_version, first_tile, CASE WHEN n = m THEN l END AS full_coverage, CASE WHEN n = m THEN l + INTERVAL 250 MILLISECONDS END AS opaque_coverage FROM j")
+@query("k07_coverage_milestones", having("tile_events") + """, q AS (SELECT DISTINCT source_id, generation, scene_version, z, x, y
+  FROM tile_events
+  WHERE (x + y) % 2 = 0),
+f AS (SELECT source_id, generation, scene_version, z, x, y, min(ts) AS seen
+  FROM tile_events
+  WHERE state = 'completed' GROUP BY ALL),
+j AS (SELECT q.source_id, q.generation, q.scene_version, min(seen) AS first_tile, count(*) AS n, count(seen) AS m, max(seen) AS l
+  FROM q
+  LEFT JOIN f USING (source_id, generation, scene_version, z, x, y) GROUP BY ALL) SELECT source_id, generation, scene_version, first_tile, CASE
+  WHEN n = m THEN l END AS full_coverage, CASE
+  WHEN n = m THEN l + INTERVAL 250 MILLISECONDS END AS opaque_coverage
+  FROM j""")
 def _(spark, sf_dir):
     e = view(spark, sf_dir, "tile_events")
     return E.milestones(e.filter((C("x") + C("y")) % 2 == 0), e.filter("state = 'completed'"))

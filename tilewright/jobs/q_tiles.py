@@ -314,7 +314,12 @@ def _(spark, sf_dir):
     return T.overlapping(c.filter("z = 5"), c.filter("z <> 5"))
 
 
-@query("c09_bounds_centre", having("points") + f", b AS (SELECT device, min(lon) AS west, min(lat) AS south, max(lon) - 20 AS east, max(lat) AS north FROM points GROUP BY device), c AS (SELECT *, ({wx('west')} + CASE WHEN {wx('east')} < {wx('west')} THEN 1 ELSE 0 END + {wx('east')}) / 2 AS cx, ({wy('south')} + {wy('north')}) / 2 AS cy FROM b) SELECT device, round(west, 6) AS west, round(south, 6) AS south, round(east, 6) AS east, round(north, 6) AS north, round((cx - floor(cx)) * 360 - 180, 6) AS lon, round({LAT.format('cy')}, 6) AS lat FROM c")
+@query("c09_bounds_centre", having("points") + f""", b AS (SELECT device, min(lon) AS west, min(lat) AS south, max(lon) - 20 AS east, max(lat) AS north
+  FROM points GROUP BY device),
+c AS (SELECT *, ({wx('west')} + CASE
+  WHEN {wx('east')} < {wx('west')} THEN 1 ELSE 0 END + {wx('east')}) / 2 AS cx, ({wy('south')} + {wy('north')}) / 2 AS cy
+  FROM b) SELECT device, round(west, 6) AS west, round(south, 6) AS south, round(east, 6) AS east, round(north, 6) AS north, round((cx - floor(cx)) * 360 - 180, 6) AS lon, round({LAT.format('cy')}, 6) AS lat
+  FROM c""")
 def _(spark, sf_dir):
     b = T.bounds_of(view(spark, sf_dir, "points"), ["device"]).withColumn("east", C("east") - 20)
     at = T.bounds_centre(C("west"), C("south"), C("east"), C("north"))

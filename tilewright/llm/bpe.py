@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from tilewright.llm.common import lean
 
 #: Entries of a worker's piece cache, and the longest piece that it keeps.
-CACHE, LONGEST = 300_000, 48
+CACHE, LONGEST = 600_000, 48
 #: Marks that may end a piece, and the first character beyond the Latin blocks whose letters every library knows alike.
 MARKS, BEYOND = frozenset(".,!?:;"), chr(0x250)
 TWO_BLANKS = re.compile(r"\s\s")

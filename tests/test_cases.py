@@ -381,3 +381,11 @@ def test_rules_that_are_not_valid():
     for bad in (["nope"], ["var", "x"], ["step", 1, "a", 2, "b", 1, "c"], [3]):
         with pytest.raises((rules.RuleError, AssertionError)):
             rules.compile_expression(json.loads(json.dumps(bad)), scope)
+
+
+@pytest.mark.parametrize("name", ["c04_request_tiles", "c05_cache_lookup", "c06_missing_tiles", "c07_coverage", "c12_cached_instances", "c19_exclusive_coverage"])
+def test_tables_that_grow_are_not_sent_to_all_tasks(spark, name):
+    """Small as they are here, the driver would hold them whole where they are large."""
+    df = QUERIES[name](spark, SF)
+    df.collect()
+    assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()

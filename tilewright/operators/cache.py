@@ -14,7 +14,7 @@ def lookup(requests: DataFrame, cache: DataFrame, pending: DataFrame) -> DataFra
     """requests with `found`: hit, pending or missing. cache and pending are keyed by (source_id, z, x, y)."""
     hits = cache.select(*TILE).distinct().withColumn("_hit", F.lit(True))
     waits = pending.select(*TILE).distinct().withColumn("_wait", F.lit(True))
-    joined = requests.join(hits, TILE, "left").join(waits, TILE, "left")
+    joined = requests.join(hits.hint("merge"), TILE, "left").join(waits.hint("merge"), TILE, "left")
     return joined.withColumn("found", F.when(F.col("_hit"), "hit").when(F.col("_wait"), "pending").otherwise("missing")).drop("_hit", "_wait")
 
 
@@ -24,14 +24,15 @@ def lookup_counts(found: DataFrame) -> DataFrame:
 
 def missing(requests: DataFrame, cache: DataFrame, pending: DataFrame, attempted: DataFrame) -> DataFrame:
     """Requests that are neither cached, pending nor attempted in the scene, ranked in it. attempted: (scene_id, source_id, z, x, y)."""
-    left = requests.join(cache.select(*TILE), TILE, "left_anti").join(pending.select(*TILE), TILE, "left_anti").join(attempted.select("scene_id", *TILE), ["scene_id", *TILE], "left_anti")
+    # By sorting: packed, these tables look small enough to be sent to all tasks, and the driver would hold them whole.
+    left = requests.join(cache.select(*TILE).hint("merge"), TILE, "left_anti").join(pending.select(*TILE).hint("merge"), TILE, "left_anti").join(attempted.select("scene_id", *TILE).hint("merge"), ["scene_id", *TILE], "left_anti")
     order = Window.partitionBy("scene_id").orderBy("priority", *TILE)
     return left.select("scene_id", *TILE, F.row_number().over(order).alias("rank"))
 
 
 def coverage(requests: DataFrame, ready: DataFrame) -> DataFrame:
     """(scene_id, n_required, n_covered, n_opaque, is_full). ready: source_id, z, x, y, is_opaque; a scene without required tiles is not full."""
-    joined = requests.join(ready.select(*TILE, "is_opaque"), TILE, "left")
+    joined = requests.join(ready.select(*TILE, "is_opaque").hint("merge"), TILE, "left")
     by = joined.groupBy("scene_id").agg(F.count("*").alias("n_required"), F.count("is_opaque").alias("n_covered"), F.count_if(F.col("is_opaque")).alias("n_opaque"))
     return by.withColumn("is_full", (F.col("n_required") > 0) & (F.col("n_required") == F.col("n_covered")))
 
@@ -46,7 +47,7 @@ def redundant(cache: DataFrame, active: DataFrame, ready: DataFrame) -> DataFram
     at = ["source_id", "b_z", "b_x", "b_y"]
     above = overlapping(active, ready).filter(F.col("b_z") <= F.col("a_z")).select("source_id", F.col("a_z").alias("b_z"), F.col("a_x").alias("b_x"), F.col("a_y").alias("b_y"), F.col("b_z").alias("ready_z"))
     finest = above.groupBy(*at).agg(F.max("ready_z").alias("ready_z"))
-    joined = pairs.join(finest, at, "left").withColumn("ok", F.coalesce((F.col("ready_z") == F.col("b_z")) | (F.col("ready_z") > F.col("a_z")), F.lit(False)))
+    joined = pairs.join(finest.hint("merge"), at, "left").withColumn("ok", F.coalesce((F.col("ready_z") == F.col("b_z")) | (F.col("ready_z") > F.col("a_z")), F.lit(False)))
     return joined.groupBy("source_id", *[F.col(f"a_{k}").alias(k) for k in "zxy"]).agg(F.bool_and("ok").alias("is_redundant"))
 
 

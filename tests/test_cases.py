@@ -389,3 +389,38 @@ def test_tables_that_grow_are_not_sent_to_all_tasks(spark, name):
     df = QUERIES[name](spark, SF)
     df.collect()
     assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hulls_of_many_keys_at_once():
+    rng = np.random.default_rng(5)
+    own = [rng.integers(0, 9, (n, 2)).astype(float) for n in range(1, 40)]
+    # An arc whose points go one at a time, from the last on: more rounds than are made at once.
+    t = np.arange(400.0)
+    own.append(np.column_stack([np.append(t, 400.0), np.append(t * t, -1e6)]))
+    key = np.repeat(np.arange(len(own)), [len(p) for p in own])
+    mixed = rng.permutation(len(key))
+    k, x, y = geometry.hulls_of(key[mixed], *np.concatenate(own)[mixed].T)
+    for g, p in enumerate(own):
+        assert np.column_stack([x[k == g], y[k == g]]).tolist() == geometry.hull_of(p[:, 0], p[:, 1]).tolist()
+
+
+def test_hulls_of_keys_over_many_batches(spark):
+    """Keys that end at, and go on over, the borders of batches."""
+    rows = [(None if g == 3 else g, float(i % 7 + g), float(i * i % 11)) for g in range(30) for i in range(1 + g * 3)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = {}
+        for r in geometry.convex_hull(spark.createDataFrame(rows, "g long, x double, y double"), "g").orderBy("g", "k").collect():
+            got.setdefault(r.g, []).append((r.k, r.x, r.y))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == {r[0] for r in rows}
+    for g, corners in got.items():
+        own = np.array([r[1:] for r in rows if r[0] == g])
+        assert corners == [(k, *p) for k, p in enumerate(geometry.hull_of(own[:, 0], own[:, 1]).tolist())]
+
+
+def test_a_segment_on_a_border_of_tiles_has_one_row_of_them(spark):
+    s = spark.createDataFrame([(1, 0, 0, 0.1, 0.5, 0.3, 0.5), (2, 0, 0, 0.5, 0.1, 0.5, 0.3), (3, 0, 0, 0.1, 0.5, 0.1, 0.75)], "path_id long, contour int, i int, x double, y double, nx double, ny double")
+    got = sorted((r.path_id, r.tx, r.ty) for r in geometry.split_by_tile(s, 2).collect())
+    assert got == [(1, 0, 2), (1, 1, 2), (2, 2, 0), (2, 2, 1), (3, 0, 2)]

@@ -52,18 +52,26 @@ def stitch_tiles(children: DataFrame, levels: int, size: int) -> DataFrame:
     mask = side - 1
     rows = children.select("source_id", (F.col("z") - levels).alias("z"), up("x"), up("y"), F.col("x").bitwiseAND(mask).alias("dx"), F.col("y").bitwiseAND(mask).alias("dy"), "pixels").filter("z >= 0")
 
-    def stitch(p: pd.DataFrame) -> pd.DataFrame:
-        good = len(p) == side * side and p["pixels"].map(lambda v: v is not None and len(v) == part * part * 4).all() and not p.duplicated(["dx", "dy"]).any()
-        pixels = None
-        if good:
-            out = np.zeros((size, size, 4), np.uint8)
-            for dx, dy, v in zip(p["dx"], p["dy"], p["pixels"], strict=True):
-                out[dy * part : (dy + 1) * part, dx * part : (dx + 1) * part] = np.frombuffer(v, np.uint8).reshape(part, part, 4)
-            pixels = out.tobytes()
-        return p[TILE].head(1).assign(pixels=[pixels], error=None if good else "children are missing or of another size")
+    n, length = side * side, part * part * 4
+    place = F.col("dy") * side + F.col("dx")
+    by = rows.groupBy(*TILE).agg(F.count("*").alias("_n"), F.count_if(F.octet_length("pixels") == length).alias("_whole"), F.size(F.collect_set(place)).alias("_places"), F.collect_list(F.struct(place.alias("k"), "pixels")).alias("_kids"))
+    good = (F.col("_n") == n) & (F.col("_whole") == n) & (F.col("_places") == n)
+    lists = by.select(*TILE, F.when(good, F.array_sort("_kids")["pixels"]).alias("kids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, ROWS):
+                some = b.slice(k, ROWS)
+                kids = some.column(4)
+                whole = kids.is_valid().to_numpy(zero_copy_only=False)
+                # Of all tiles at once: children by rows and columns, and their own rows before the columns of children.
+                joined = np.frombuffer(b"".join(kids.drop_null().flatten().to_pylist()), np.uint8).reshape(-1, side, side, part, part * 4)
+                tiles = iter(joined.transpose(0, 1, 3, 2, 4).reshape(len(joined), -1))
+                pixels = pa.array([next(tiles).tobytes() if ok else None for ok in whole], pa.binary())
+                yield pa.RecordBatch.from_arrays([*some.columns[:4], pixels, pa.array([None if ok else "children are missing or of another size" for ok in whole], pa.string())], names=[*TILE, "pixels", "error"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.groupBy(*TILE).applyInPandas(stitch, ", ".join(f"{c} {kinds[c]}" for c in TILE) + ", pixels binary, error string")
+    return lists.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in TILE) + ", pixels binary, error string")
 
 
 def crop_overzoom(parents: DataFrame, tiles: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from tilewright.functions import colors, rules
 from tilewright.functions import mercator as M
 from tilewright.jobs.fixtures import view
 from tilewright.jobs.queries import QUERIES
-from tilewright.operators import cache, evaluate, geometry, labels, styles, tiles
+from tilewright.operators import cache, evaluate, geometry, hittest, labels, raster, styles, tiles
 from tilewright.sources import mvt, tables
 
 MIB = 1 << 20
@@ -424,3 +424,21 @@ def test_a_segment_on_a_border_of_tiles_has_one_row_of_them(spark):
     s = spark.createDataFrame([(1, 0, 0, 0.1, 0.5, 0.3, 0.5), (2, 0, 0, 0.5, 0.1, 0.5, 0.3), (3, 0, 0, 0.1, 0.5, 0.1, 0.75)], "path_id long, contour int, i int, x double, y double, nx double, ny double")
     got = sorted((r.path_id, r.tx, r.ty) for r in geometry.split_by_tile(s, 2).collect())
     assert got == [(1, 0, 2), (1, 1, 2), (2, 2, 0), (2, 2, 1), (3, 0, 2)]
+
+
+def test_icon_totals_are_those_of_the_icons(spark):
+    """A scene's totals without a row for each of its icons."""
+    icons, scenes = labels.element_order(view(spark, SF, "elements")), view(spark, SF, "scenes").filter("scene_id < 200")
+    by = hittest.icons_in_view(icons, scenes).groupBy("scene_id").agg(F.count("*").alias("n"), F.sum("element_id").alias("ids"), F.min_by("element_id", "rank").alias("first_id"), F.max_by("element_id", "rank").alias("last_id"))
+    assert sorted(map(tuple, hittest.icon_totals_in_view(icons, scenes).collect())) == sorted(map(tuple, by.collect()))
+    plan = hittest.icon_totals_in_view(icons, scenes)._jdf.queryExecution().analyzed().toString()
+    assert "Window" not in plan
+
+
+def test_stitched_tiles_take_no_call_for_each(spark):
+    kids = [(s, 3, x, y, bytes([s * 16 + x * 4 + y] * 16)) for s in (1, 2, 3) for x in (0, 1) for y in (0, 1) if (s, x, y) != (2, 1, 1)] + [(3, 3, 0, 0, b"")]
+    df = raster.stitch_tiles(spark.createDataFrame(kids, "source_id long, z int, x int, y int, pixels binary"), 1, 4)
+    got = {r.source_id: (r.pixels and bytes(r.pixels), r.error) for r in df.collect()}
+    want = b"".join(bytes([16 + x // 2 * 4 + y // 2] * 4) for y in range(4) for x in range(4))
+    assert got[1] == (want, None) and got[2] == got[3] == (None, "children are missing or of another size")
+    assert "FlatMapGroups" not in df._jdf.queryExecution().analyzed().toString()

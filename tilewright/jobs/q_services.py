@@ -70,7 +70,15 @@ def _(spark, sf_dir):
     return view(spark, sf_dir, "events").select("event_id", T.refresh_version(C("ts"), 60).alias("version"), F.round(T.refresh_delay(C("ts"), 300), 6).alias("delay_s"))
 
 
-@query("j07_attribution", r"WITH t AS (SELECT page_id % 20 AS layer, page_id AS seq, trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '<[^>]+>', '', 'g')) AS x FROM pages), u AS (SELECT layer, seq, replace(x, '&amp;', '&') AS text FROM t), f AS (SELECT layer, text, min(seq) AS seq FROM u WHERE text <> '' GROUP BY ALL) SELECT layer, string_agg(text, ' ' ORDER BY seq) AS attribution FROM f GROUP BY layer")
+# Named characters as a map; a text falls into entities, other ampersands and what lies between.
+NAMED = "MAP {" + ", ".join(f"'{name}': chr({ord(c)})" for name, c in T.ENTITIES.items()) + "}"
+CODE = "CAST(CASE WHEN lower(e[3]) = 'x' THEN concat('0x', e[4:-2]) ELSE e[3:-2] END AS BIGINT)"
+
+
+@query("j07_attribution", rf"""WITH t AS (SELECT page_id % 20 AS layer, page_id AS seq, regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '<[^>]+>', '', 'g') AS x FROM pages),
+e AS (SELECT layer, seq, unnest(regexp_extract_all(x, '&(?:#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[A-Za-z0-9]+);|&|[^&]+')) AS e, generate_subscripts(regexp_extract_all(x, '&(?:#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[A-Za-z0-9]+);|&|[^&]+'), 1) AS k FROM t),
+d AS (SELECT layer, seq, k, CASE WHEN e[1] <> '&' OR e = '&' THEN e WHEN e[2] <> '#' THEN coalesce({NAMED}[e[2:-2]], e) WHEN {CODE} < 55296 OR {CODE} BETWEEN 57344 AND 1114111 THEN chr(CAST({CODE} AS INT)) ELSE e END AS e FROM e),
+u AS (SELECT layer, seq, trim(string_agg(e, '' ORDER BY k)) AS text FROM d GROUP BY ALL), f AS (SELECT layer, text, min(seq) AS seq FROM u WHERE text <> '' GROUP BY ALL) SELECT layer, string_agg(text, ' ' ORDER BY seq) AS attribution FROM f GROUP BY layer""")
 def _(spark, sf_dir):
     t = view(spark, sf_dir, "pages").select((C("page_id") % 20).alias("layer"), C("page_id").alias("seq"), F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("text"))
     return T.attribution(T.plain_text(t, "text"))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tilewright.jobs.fixtures import having, view
@@ -154,9 +157,8 @@ def _(spark, sf_dir):
 
 
 def pixels(seed, n):
-    """n pixels that depend on a tile's number: four bytes each, as text of hexadecimal digits read back."""
-    value = lambda k: F.lpad(F.hex(F.pmod(seed * 7 + k * 31, F.lit(256)).cast("long")), 2, "0")
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4 * n - 1)), value), ""))
+    """n pixels that depend on a tile's number: one of 256 buffers."""
+    return F.get(F.array(*[F.lit(bytes((s * 7 + k * 31) % 256 for k in range(4 * n))) for s in range(256)]), F.pmod(seed, F.lit(256)).cast("int"))
 
 
 def raster_tiles(spark, sf_dir, n=16):
@@ -177,8 +179,18 @@ def _(spark, sf_dir):
 
 def weighed(df, *more):
     """The sum of a buffer's bytes, each times its place."""
-    bytes_ = F.transform(F.sequence(F.lit(1), F.octet_length("pixels")), lambda k: k.cast("long") * F.conv(F.hex(F.substring("pixels", k, F.lit(1))), 16, 10).cast("long"))
-    return df.select("source_id", "z", "x", "y", *more, F.aggregate(bytes_, F.lit(0).cast("long"), lambda a, b: a + b).alias("total"), "error")
+
+    @F.pandas_udf("long")
+    def total(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in it:
+            sizes = s.str.len()
+            out = pd.Series([None] * len(s), index=s.index, dtype="Int64")
+            # Buffers of one length at once.
+            for n, rows in s[s.notna()].groupby(sizes):
+                out[rows.index] = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), int(n)) @ np.arange(1, int(n) + 1)
+            yield out
+
+    return df.select("source_id", "z", "x", "y", *more, total("pixels").alias("total"), "error")
 
 
 @query("d02_stitch_tiles", having("tile_cache") + f""", c AS (SELECT DISTINCT source_id, 6 AS z, CAST(x * CAST(pow(2, 6 - z) AS INT) + dx AS INT) AS x, CAST(y * CAST(pow(2, 6 - z) AS INT) + dy AS INT) AS y FROM tile_cache, unnest(range(CAST(pow(2, 6 - z) AS BIGINT))) AS a(dx), unnest(range(CAST(pow(2, 6 - z) AS BIGINT))) AS b(dy) WHERE z = 5),

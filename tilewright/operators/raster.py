@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tilewright.operators.tiles import TILE
 
 
-#: Tiles that are put out together: a few megabytes.
-ROWS = 64
+#: Tiles that are put out together, a few megabytes, and so many bytes of small ones.
+ROWS, BYTES = 64, 4 << 20
 
 
 def composited(below: bytes, above: bytes) -> bytes:
@@ -36,7 +36,11 @@ def composite_tiles(background: DataFrame, overlay: DataFrame) -> DataFrame:
                 rows = b.slice(k, ROWS)
                 pairs = [(x.as_buffer() if x.is_valid else None, y.as_buffer() if y.is_valid else None) for x, y in zip(rows.column(4), rows.column(5), strict=True)]
                 good = [x is not None and y is not None and x.size == y.size and not x.size % 4 for x, y in pairs]
-                pixels = pa.array([composited(x, y) if ok else None for (x, y), ok in zip(pairs, good, strict=True)], pa.binary())
+                # All tiles at once: a pixel's place does not matter.
+                whole = [p for p, ok in zip(pairs, good, strict=True) if ok]
+                done, ends = composited(*[b"".join(p[k] for p in whole) for k in (0, 1)]), np.cumsum([p[0].size for p in whole]).tolist()
+                tiles = iter([done[a:z] for a, z in zip([0, *ends], ends, strict=False)])
+                pixels = pa.array([next(tiles) if ok else None for ok in good], pa.binary())
                 yield pa.RecordBatch.from_arrays([*rows.columns[:4], pixels, pa.array([None if ok else "the buffers do not match" for ok in good], pa.string())], names=[*TILE, "pixels", "error"])
 
     kinds = {f.name: f.dataType.simpleString() for f in met.schema.fields}
@@ -86,21 +90,29 @@ def crop_overzoom(parents: DataFrame, tiles: DataFrame) -> DataFrame:
     rows = near.join(parents.select("source_id", F.col("z").alias("az"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("width").alias("_w"), F.col("height").alias("_h"), "pixels"), ["source_id", "az", "ax", "ay"])
     names = [*TILE, "parent_z", "width", "height", "scale_x", "scale_y", "shift_x", "shift_y", "pixels", "error"]
 
-    def cropped(r: tuple) -> list:
-        scale = 1 << (r.z - r.az)
-        w, h = r.w_ // scale, r.h_ // scale
-        if not w or not h or len(r.pixels) != r.w_ * r.h_ * 4:
-            return [r.source_id, r.z, r.x, r.y, r.az, None, None, None, None, None, None, None, "the tile above is too small"]
-        x, y = r.x % scale * w, r.y % scale * h
-        left, top, right, bottom = max(0, x - 1), max(0, y - 1), min(r.w_, x + w + 1), min(r.h_, y + h + 1)
-        part = np.frombuffer(r.pixels, np.uint8).reshape(r.h_, r.w_, 4)[top:bottom, left:right]
-        pw, ph = right - left, bottom - top
-        return [r.source_id, r.z, r.x, r.y, r.az, pw, ph, w / pw, h / ph, (x - left) / pw, (y - top) / ph, part.tobytes(), None]
+    def cropped(p: pd.DataFrame) -> pd.DataFrame:
+        """Tiles that show the same part of parents of one size are cut at once."""
+        scale = 2 ** (p["z"] - p["az"])
+        w, h = p["w_"] // scale, p["h_"] // scale
+        bad = (w < 1) | (h < 1) | (p["pixels"].str.len() != p["w_"] * p["h_"] * 4)
+        out = p[TILE].assign(parent_z=p["az"], **dict.fromkeys(names[5:12], None), error=np.where(bad, "the tile above is too small", None))
+        parts = pd.DataFrame({"pw": p["w_"], "ph": p["h_"], "w": w, "h": h, "x": p["x"] % scale * w, "y": p["y"] % scale * h})[~bad].reset_index(names="_at")
+        made = []
+        for (pw, ph, w, h, x, y), group in parts.groupby(["pw", "ph", "w", "h", "x", "y"], sort=False)["_at"]:
+            left, top, right, bottom = max(0, x - 1), max(0, y - 1), min(pw, x + w + 1), min(ph, y + h + 1)
+            cut = np.frombuffer(b"".join(p["pixels"].loc[group]), np.uint8).reshape(-1, ph, pw, 4)[:, top:bottom, left:right]
+            wide, high = right - left, bottom - top
+            made.append(pd.DataFrame({"width": wide, "height": high, "scale_x": w / wide, "scale_y": h / high, "shift_x": (x - left) / wide, "shift_y": (y - top) / high, "pixels": [c.tobytes() for c in cut]}, index=group.to_numpy()))
+        if made:
+            out[names[5:12]] = pd.concat(made).reindex(out.index)
+        return out[names].replace({np.nan: None}) if bad.any() else out[names]
 
     def crop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            for k in range(0, len(p), ROWS):
-                yield pd.DataFrame([cropped(r) for r in p.iloc[k : k + ROWS].itertuples(index=False)], columns=names)
+            if len(p):
+                step = max(ROWS, BYTES // max(1, int(p["pixels"].str.len().max())))
+                for k in range(0, len(p), step):
+                    yield cropped(p.iloc[k : k + step].reset_index(drop=True))
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     out = rows.select(*TILE, "az", F.col("_w").alias("w_"), F.col("_h").alias("h_"), "pixels")

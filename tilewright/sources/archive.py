@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tilewright.operators.staging import written
+
 TILE = ["source_id", "z", "x", "y"]
 SCHEMA = "source_id long, z int, x int, y int, content binary"
 #: Tiles that lie no further apart are fetched together, up to so many bytes.
@@ -40,7 +42,7 @@ def write_tile_archive(blobs: DataFrame, folder: str, *, group_bytes: int = 1 <<
     """Writes tiles (source_id, z, x, y, content) below folder, in order of source, zoom and place. Tiles without content are left out; one that is there twice is twice in the archive."""
     n = int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, at = f"{uuid.uuid4().hex}.tiles", None, 0
         for b in batches:
             places = []
@@ -58,8 +60,9 @@ def write_tile_archive(blobs: DataFrame, folder: str, *, group_bytes: int = 1 <<
         if out is not None:
             out.close()
 
-    rows = blobs.filter("content IS NOT NULL").select(F.col("source_id").cast("long"), *[F.col(c).cast("int") for c in "zxy"], "content").repartitionByRange(n, *TILE).sortWithinPartitions(*TILE)
-    directory = rows.mapInArrow(written, "source_id long, z int, x int, y int, file string, offset long, length long")
+    # Written first: ranges are told by a pass over the rows, for which tiles would be made twice.
+    rows = written(blobs.filter("content IS NOT NULL").select(F.col("source_id").cast("long"), *[F.col(c).cast("int") for c in "zxy"], "content"), "tiles").repartitionByRange(n, *TILE).sortWithinPartitions(*TILE)
+    directory = rows.mapInArrow(packed, "source_id long, z int, x int, y int, file string, offset long, length long")
     directory.write.mode("overwrite").option("parquet.block.size", group_bytes).parquet(f"{folder}/directory")
 
 

@@ -23,7 +23,18 @@ def test_copies_of_boxes_are_all_paired(spark, monkeypatch, chunk, least):
     assert sorted(map(tuple, got.collect())) == sorted((i, j) for i in range(30) for j in [*range(200, 220), 300])
 
 
-@pytest.mark.parametrize(("name", "columns"), [("e06_bbox_join", ["a_id", "b_id"])])
+@pytest.mark.parametrize(("chunk", "least"), [(1024, 1_000_000), (4, 5)])
+def test_copies_of_points_are_all_paired(spark, monkeypatch, chunk, least):
+    monkeypatch.setattr(geometry, "CHUNK", chunk)
+    ring = [(0.4, 0.4), (0.6, 0.4), (0.6, 0.6), (0.4, 0.6)]
+    shapes = geometry.align_contours(spark.createDataFrame([(p, 0, i, x, y) for p in (7, 8) for i, (x, y) in enumerate(ring)], "path_id long, contour int, i int, x double, y double"))
+    points = spark.createDataFrame([*[(i, 0.5, 0.5) for i in range(40)], (50, 0.9, 0.9)], "point_id long, x double, y double")
+    members, places = geometry.places_of(points, least)
+    got = geometry.point_pairs(members, geometry.points_in_polygons(places, shapes), least)
+    assert sorted(map(tuple, got.collect())) == [(i, p) for i in range(40) for p in (7, 8)]
+
+
+@pytest.mark.parametrize(("name", "columns"), [("e06_bbox_join", ["a_id", "b_id"]), ("e07_points_in_polygons", ["point_id", "shape_id"])])
 def test_each_pair_has_a_row_where_events_repeat(spark, tmp_path, name, columns):
     """Events twice, 100,000 ids apart: at the same places."""
     events = spark.read.parquet(f"{SF}/events.parquet")

@@ -34,7 +34,7 @@ def test_copies_of_points_are_all_paired(spark, monkeypatch, chunk, least):
     assert sorted(map(tuple, got.collect())) == [(i, p) for i in range(40) for p in (7, 8)]
 
 
-@pytest.mark.parametrize(("name", "columns"), [("e06_bbox_join", ["a_id", "b_id"]), ("e07_points_in_polygons", ["point_id", "shape_id"])])
+@pytest.mark.parametrize(("name", "columns"), [("e06_bbox_join", ["a_id", "b_id"]), ("e07_points_in_polygons", ["point_id", "shape_id"]), ("e08_points_on_strokes", ["point_id", "shape_id"])])
 def test_each_pair_has_a_row_where_events_repeat(spark, tmp_path, name, columns):
     """Events twice, 100,000 ids apart: at the same places."""
     events = spark.read.parquet(f"{SF}/events.parquet")
